@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from spindrift.llm import mixing, sharding
+from spindrift.llm import mixing, packing, sharding, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc": warc.op1_warc,
         "op3_mixing": mixing.op3_mixing,
+        "op9_packing": packing.op9_packing,
         "op10_sharding": sharding.op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.OP3_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op3_mixing": mixing.OP3_SQL}
