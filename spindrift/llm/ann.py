@@ -2,19 +2,20 @@
 
 Training (bounded): at most ``TRAIN_ROWS`` vectors, those of smallest md5 of the id, fit the
 coarse centroids (k-means) and, on their residuals, one codebook of 256 entries per sub-vector.
-The number of lists grows with the square root of the rows, so that a query meets
-``PROBES / lists`` of them.
+The number of lists grows with the square root of the rows. How many of them a query visits is
+measured on the sample: the fewest that hold ``TARGET`` of its rows' exact neighbours. Clustered
+vectors need few; vectors without any structure need most.
 
 Index: every vector goes to its nearest centroid's list and is coded there. Lists are dealt into
 parts of about ``PART_ROWS`` rows by a hash of the id: a list that a hot vector fills has many
-parts, each as large as any other. A query visits all parts of its ``PROBES`` lists of largest
+parts, each as large as any other. A query visits all parts of its lists of largest
 centroid inner product. In a part, asymmetric distance tables score the codes; the ``RERANK`` best
-(ties to the smaller id) are rescored exactly from the original vectors in double precision, and
+(and k at least; ties to the smaller id) are rescored exactly from the original vectors in double precision, and
 the part's best k go on to one window over all parts of the query.
 
 Vectors that are null, all zero, or hold null or non-finite components take no part. Repeated
 rows are separate candidates (a query's own id is none). A table with fewer candidates than k
-returns all of them: below ``PROBES`` lists every list is visited, and ``RERANK`` exceeds k.
+returns all of them: below ``LEAST_PROBES`` lists every list is visited, and RERANK exceeds k.
 """
 
 from __future__ import annotations
@@ -30,8 +31,11 @@ from spindrift.llm.common import table
 
 K = 20
 TRAIN_ROWS, ROUNDS = 16_384, 12
+BOOK_ROWS, BOOK_ROUNDS = 8_192, 8
 SUBVECTORS, CODES = 16, 256
-PROBES, RERANK = 16, 200
+#: Probes are the fewest lists that hold this share of the sample's own neighbours; RERANK is by part.
+TARGET, LEAST_PROBES, RERANK = 0.97, 8, 64
+ASKED = 256
 PART_ROWS = 2048
 #: Queries scored together: bounds the distance tables in memory.
 BLOCK = 256
@@ -69,8 +73,9 @@ class Quantiser:
         self.centers = kmeans(sample, lists)
         m = max(d for d in range(1, SUBVECTORS + 1) if dim % d == 0)
         self.split = (m, dim // m)
+        sample = sample[:BOOK_ROWS]
         residuals = sample - self.centers[_distances(sample, self.centers).argmin(1)]
-        self.books = [kmeans(residuals[:, i * self.split[1] : (i + 1) * self.split[1]], CODES, seed=11 + i) for i in range(m)]
+        self.books = [kmeans(residuals[:, i * self.split[1] : (i + 1) * self.split[1]], CODES, BOOK_ROUNDS, 11 + i) for i in range(m)]
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = _distances(x, self.centers).argmin(1)
@@ -81,10 +86,21 @@ class Quantiser:
     def probes(self, q: np.ndarray, n: int) -> np.ndarray:
         return np.argsort(-(q @ self.centers.T), axis=1, kind="stable")[:, :n]
 
+    def enough(self, sample: np.ndarray, k: int, target: float) -> int:
+        """The fewest probes that reach ``target`` of the k nearest of some of the sample's rows."""
+        asked = sample[:ASKED]
+        score = asked @ sample.T
+        score[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+        near = np.argsort(-score, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+        own = _distances(sample, self.centers).argmin(1)
+        rank = np.argsort(self.probes(asked, len(self.centers)), axis=1)
+        met = np.bincount(np.take_along_axis(rank, own[near], 1).ravel(), minlength=len(self.centers)).cumsum()
+        return int(np.searchsorted(met, target * met[-1])) + 1
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(query, sub-vector, code) inner products."""
         width = self.split[1]
-        out = np.full((len(q), len(self.books), CODES), -np.inf)
+        out = np.full((len(q), len(self.books), CODES), -np.inf, np.float32)
         for i, b in enumerate(self.books):
             out[:, i, : len(b)] = q[:, i * width : (i + 1) * width] @ b.T
         return out
@@ -160,22 +176,24 @@ def _search(model: Quantiser, k: int, rerank: int):
             some = asking[b : b + BLOCK]
             q = np.frombuffer(b"".join(raw[i] for i in some), "<f8").reshape(len(some), -1)
             look = model.tables(q)
+            near = np.zeros((len(some), len(rows)), np.float32)
+            for m in range(codes.shape[1]):
+                near += look[:, m, :][:, codes[:, m]]
+            near[own[None, :] == ids[some][:, None]] = -np.inf  # a query is no candidate of its own
+            best = np.argsort(-near, axis=1, kind="stable")[:, :rerank]  # rows lie by id: ties to the smaller
             for j, i in enumerate(some):
-                near = look[j][np.arange(codes.shape[1])[:, None], codes.T].sum(0)
-                near[own == ids[i]] = -np.inf  # a query is no candidate of its own
-                best = np.argsort(-near, kind="stable")[:rerank]  # rows lie by id: ties to the smaller
-                best = best[near[best] > -np.inf]
-                score = (x[best] * q[j]).sum(1)
-                top = np.lexsort((own[best], -score))[:k]
+                at = best[j][near[j][best[j]] > -np.inf]
+                score = (x[at] * q[j]).sum(1)
+                top = np.lexsort((own[at], -score))[:k]
                 out_q.append(np.full(len(top), ids[i]))
-                out_v.append(own[best[top]])
+                out_v.append(own[at[top]])
                 out_s.append(score[top])
         return pa.table({"query_id": np.concatenate(out_q).astype(np.int64), "vec_id": np.concatenate(out_v).astype(np.int64), "score": np.concatenate(out_s).astype(np.float64)})
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query, k: int = K, probes: int = PROBES, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = K, target: float = TARGET, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of each query row's k nearest found."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
@@ -185,7 +203,9 @@ def nearest(vectors: DataFrame, is_query, k: int = K, probes: int = PROBES, rera
     if not sample.num_rows:
         return spark.createDataFrame([], schema)
     n = rows.count()
-    model = Quantiser(_matrix(sample.column("v")), max(1, int(n**0.5 / 2)))
+    seen = _matrix(sample.column("v"))
+    model = Quantiser(seen, max(1, int(n**0.5 / 2)))
+    probes, rerank = max(LEAST_PROBES, model.enough(seen, k, target)), max(rerank, k)
     salted = rows.select("vec_id", "v", is_query.alias("q"), F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(1 << 30)).alias("salt"))
     # rows of each list, one number a list
     counted = rows.select("vec_id", "v").mapInArrow(_lists(model), "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect()

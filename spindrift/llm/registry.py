@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from spindrift.llm import mixing, packing, sharding, warc
+from spindrift.llm import ann, mixing, packing, sharding, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
         "op3_mixing": mixing.op3_mixing,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op8_ann": ann.op8_ann,
         "op9_packing": packing.op9_packing,
         "op10_sharding": sharding.op10_sharding,
     }
