@@ -40,6 +40,8 @@ KEPT_WORDS, KEPT_CHARS = 1_000_000, 40
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 
+#: Texts whose new words are learned at once.
+TOGETHER = 512
 #: Punctuation that, after letters, is a pre-token of its own.
 TAIL = ".,!?;:"
 
@@ -114,6 +116,9 @@ class WordIds:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
+        return [ids for i in range(0, len(texts), TOGETHER) for ids in self._some(texts[i : i + TOGETHER])]
+
+    def _some(self, texts: list[bytes]) -> list[bytes]:
         known = self.known
         if len(known) > KEPT_WORDS:
             known.clear()
@@ -164,6 +169,7 @@ def pack(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int,
     n = -(-total // length)
     room, used = [length] * n, [0] * n
     open_, out = [(0.0, s) for s in range(n)], []
+    parked: list[tuple[int, float, int]] = []  # with too little room for the last item, roomiest first
 
     def put(item: int, start: int, size: int, s: int, spent: float) -> None:
         out.append((item, start, size, s, used[s]))
@@ -173,23 +179,23 @@ def pack(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int,
             heapq.heappush(open_, (spent + cost(size), s))
 
     for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        size, aside = lengths[item], []
+        size = lengths[item]
+        while parked and -parked[0][0] >= size:
+            _, spent, s = heapq.heappop(parked)
+            heapq.heappush(open_, (spent, s))
         while open_ and room[open_[0][1]] < size:
-            aside.append(heapq.heappop(open_))
+            spent, s = heapq.heappop(open_)
+            heapq.heappush(parked, (-room[s], spent, s))
         if open_:
             spent, s = heapq.heappop(open_)
             put(item, 0, size, s, spent)
-        else:
-            # fits nowhere whole: cut it over the roomiest sequences
-            aside.sort(key=lambda x: (-room[x[1]], x))
-            start = 0
-            while size:
-                spent, s = aside.pop(0)
-                part = min(size, room[s])
-                put(item, start, part, s, spent)
-                start, size = start + part, size - part
-        for x in aside:
-            heapq.heappush(open_, x)
+            continue
+        start = 0
+        while size:  # fits nowhere whole: cut it over the roomiest sequences
+            _, spent, s = heapq.heappop(parked)
+            part = min(size, room[s])
+            put(item, start, part, s, spent)
+            start, size = start + part, size - part
     return out
 
 
