@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from spindrift.llm import ann, brown, jaccard, mixing, packing, sharding, toxicity, warc
+from spindrift.llm import ann, brown, fingerprint, jaccard, mixing, packing, sharding, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
+        "op2_fingerprint": fingerprint.op2_fingerprint,
         "op3_mixing": mixing.op3_mixing,
         "op5_brown": brown.op5_brown,
         "op6_jaccard": jaccard.op6_jaccard,
