@@ -161,12 +161,15 @@ def source_targets(by_source: list[tuple[str | None, int]], cap: int = MAX_REPEA
     return {s: t for (s, _), t in zip(ordered, targets, strict=True)}
 
 
-def mixed_documents(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix of all rows at 100 % of their size: doc_id, size, source_size, target, taken,
+    source, copies, and text_key, a hash of the text."""
     sized = staged(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
+            F.xxhash64("text").alias("text_key"),
         ),
         "mix-sizes",
     )
@@ -177,11 +180,22 @@ def mixed_documents(docs: DataFrame, extra: list[str] | None = None) -> DataFram
         T.StructType([T.StructField("name", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())]),
     )
     mixed = mix(sized.withColumn("members", F.array("source")), {s: int(targets[s] + 0.5) for s, _ in sizes})
-    return mixed.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return mixed.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "text_key")
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, all its columns."""
+    taken = mixed_documents(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"), F.col("source").alias("mix_source")).agg(F.sum("copies").cast("int").alias("mix_copies"))
+    mine = docs.withColumn("mix_hash", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id")) & (F.col("mix_hash") == F.col("mix_key")) & F.col("source").eqNullSafe(F.col("mix_source"))
+    # rows alike in id, text and source are one by now; their copies were summed up
+    first = Window.partitionBy("doc_id", "mix_hash", "source").orderBy("mix_key")
+    once = mine.join(taken, same).withColumn("mix_nth", F.row_number().over(first)).where("mix_nth = 1")
+    return once.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed_documents(table(spark, sf_dir, "documents"))
+    return mixed_documents(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 OP3_SQL = r"""
