@@ -57,23 +57,24 @@ def mine_patterns(factors: DataFrame, columns: list[str], excess: str = "excess_
     found by growing each row's own combinations: the self-joins are on the row id, and every
     level is counted before it is grown."""
     row = ["condition", "game_id"]
-    labelled = factors.where(F.col("rising").isNotNull())
+    # each level is used several times: kept, not planned anew
+    labelled = factors.where(F.col("rising").isNotNull()).persist()
     base = F.broadcast(_base(labelled))
     long = items(labelled, [*row, "rising"], columns)
 
     def counted(sets: DataFrame) -> DataFrame:
         per = sets.groupBy("condition", "items").agg(F.count("*").alias("n"), F.sum("rising").alias("k")).where(F.col("n") >= min_count)
-        return _measured(per.join(base, "condition"))
+        return _measured(per.join(base, "condition")).persist()
 
-    single_rows = long.select(*row, "rising", "factor", "item", F.array("item").alias("items"))
+    single_rows = long.select(*row, "rising", "factor", "item", F.array("item").alias("items")).persist()
     levels = [counted(single_rows)]
     frequent = single_rows.join(levels[0].select("condition", "items"), ["condition", "items"], "left_semi").select(*row, "rising", "factor", "item")
     add = frequent.select(*row, F.col("factor").alias("factor2"), F.col("item").alias("item2"))
-    members = [frequent.select(*row, "rising", F.array("item").alias("items"), F.array("factor").alias("held"))]
+    members = [frequent.select(*row, "rising", F.array("item").alias("items"), F.array("factor").alias("held")).persist()]
     for _ in range(1, max_len):
         grow = members[-1].join(levels[-1].where("lift >= 1").select("condition", "items"), ["condition", "items"], "left_semi")
         wider = grow.join(add, row).where(~F.array_contains("held", F.col("factor2")))
-        wider = wider.select(*row, "rising", F.array_sort(F.array_append("items", F.col("item2"))).alias("items"), F.array_sort(F.array_append("held", F.col("factor2"))).alias("held")).distinct()
+        wider = wider.select(*row, "rising", F.array_sort(F.array_append("items", F.col("item2"))).alias("items"), F.array_sort(F.array_append("held", F.col("factor2"))).alias("held")).distinct().persist()
         level = counted(wider)
         members.append(wider.join(level.select("condition", "items"), ["condition", "items"], "left_semi"))
         levels.append(level)

@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 from spindrift.operators.mining import match_patterns
 
 
+COLUMNS = ["condition", "game_id", "name", "console", "price_cents", "score", "pattern_score", "model_pred", "matched", "already_rising", "genre", "publisher", "region", "platform"]
+
+
 def zscore(x: Column, by: str = "condition") -> Column:
     """Standard scores within a condition (population deviation); 0 where it doesn't vary."""
     w = Window.partitionBy(by)
     return F.coalesce(F.try_divide(x - F.avg(x).over(w), F.nullif(F.stddev_pop(x).over(w), F.lit(0.0))), F.lit(0.0))
 
 
-def watchlist(now: DataFrame, patterns: DataFrame, labeled: DataFrame, games: DataFrame, history: DataFrame, predictions: DataFrame | None = None, excess: str = "excess_36m", top: int = 50) -> DataFrame:
+def watchlist(now: DataFrame, patterns: DataFrame, labeled: DataFrame, games: DataFrame, history: DataFrame, predictions: DataFrame | None = None, top: int = 50) -> DataFrame:
     """``now``: factors as of today. ``patterns``: with nth, their order. ``predictions``: game_id,
     condition, model_pred."""
     row = ["game_id", "condition"]
     hits = match_patterns(now, patterns)
-    rows = now.select(*row, "console", excess).join(hits, row)
+    rows = now.select(*row, "console", "genre", "publisher", "region", "platform").join(hits, row)
     model = predictions is not None
     rows = rows.join(predictions.select(*row, "model_pred"), row, "left") if model else rows.withColumn("model_pred", F.lit(None).cast("double"))
     rows = rows.where((F.col("pattern_score") > 0) | F.col("model_pred").isNotNull())
@@ -30,9 +33,8 @@ def watchlist(now: DataFrame, patterns: DataFrame, labeled: DataFrame, games: Da
         rows = rows.withColumn("score", zscore(F.col("pattern_score")))
     latest = history.groupBy(*row).agg(F.max_by("price_cents", "month").alias("price_cents"))
     flags = labeled.select(*row, (F.coalesce("rising", F.lit(0.0)) == 1).alias("already_rising"))
-    names = games.select(F.col("id").alias("game_id"), "name", "platform", "region", "genre")
+    names = games.select(F.col("id").alias("game_id"), "name")
     nth = Window.partitionBy("condition").orderBy(F.desc("score"), "game_id")
     best = rows.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= top)
-    return best.join(latest, row, "left").join(flags, row, "left").join(names, "game_id", "left").select(
-        *row, "console", "name", "platform", "region", "genre", "price_cents", F.col(excess).alias("excess"), F.coalesce("already_rising", F.lit(False)).alias("already_rising"), "pattern_score", "matched", "model_pred", "score", F.col("nth").cast("int").alias("nth")
-    )
+    whole = best.join(latest, row, "left").join(flags, row, "left").join(names, "game_id", "left")
+    return whole.withColumn("already_rising", F.coalesce("already_rising", F.lit(False))).select(*COLUMNS)

@@ -1,0 +1,486 @@
+"""The registered queries: each operator over the driver's tables (sources.model.Panel)."""
+
+from __future__ import annotations
+
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindrift.operators import curves, factors, forecast, mining, series, signals
+from spindrift.operators.watchlist import watchlist
+from spindrift.plans import report, serve
+from spindrift.plans.analyze import in_order
+from spindrift.sources.model import Panel
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+# The dictionaries fitted to the words of the driver's part names.
+WORDS = {"red": r"\bred\b", "blue": r"\bblue\b", "large": r"\blarge\b", "new": r"\bnew\b", "cold": r"\bcold\b", "hot": r"\bhot\b"}
+FLAGS = {"ring": r"\bring\b", "bolt": r"\bbolt\b", "gear": r"\bgear\b"}
+NAMED = {"top": 5, "franchises": WORDS, "words": FLAGS}
+CATS = ["platform", "genre", "publisher", "release_era", "lifecycle", "franchise", "kw_ring", "kw_bolt", "kw_gear", "price_bucket", "cib_loose", "new_cib", "liquidity"]
+SUPPORT = 5
+#: A point in time for queries that compare with now.
+NOW = "2001-10-01 00:00:00"
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places, as the SQL counterparts round: sums differ in their last bits."""
+    return df.select([F.round(c, 6).alias(c) if t == "double" else F.transform(c, lambda x: F.round(x, 6)).alias(c) if t == "array<double>" else F.col(c) for c, t in df.dtypes])
+
+
+def kept(f):
+    """A derived table that one query uses more than once: planned once, kept while it is used."""
+
+    @functools.wraps(f)
+    def get(self, *args):
+        key = (f.__name__, args)
+        if key not in self._kept:
+            self._kept[key] = f(self, *args).persist()
+        return self._kept[key]
+
+    return get
+
+
+class Stage(Panel):
+    """The panel and what is derived from it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, sf_dir)
+        self._kept: dict = {}
+
+    @kept
+    def history(self) -> DataFrame:
+        return super().history()
+
+    @kept
+    def index(self) -> DataFrame:
+        return series.console_index(self.history())
+
+    @kept
+    def labeled(self) -> DataFrame:
+        return series.label_rising(series.series_metrics(self.history(), self.index(), self.ASOF))
+
+    @kept
+    def factors(self, start=None) -> DataFrame:
+        return factors.build_factors(self.labeled(), self.games(), self.history(), self.sales(), self.ASOF, start=start, **NAMED)
+
+    def lift(self) -> DataFrame:
+        return mining.factor_lift(self.factors(), CATS, SUPPORT)
+
+    @kept
+    def patterns(self) -> DataFrame:
+        return mining.mine_patterns(self.factors(), CATS, min_count=SUPPORT)
+
+    def curves(self) -> DataFrame:
+        return curves.curve_matrix(self.history(), self.index())
+
+    @kept
+    def features(self) -> DataFrame:
+        return signals.pre_features(self.history(), self.index())
+
+    @kept
+    def watch(self) -> DataFrame:
+        return watchlist(self.factors(self.ASOF), in_order(self.patterns()), self.labeled(), self.games(), self.history())
+
+
+# ---------------------------------------------------------------------------- scans and scalars
+
+
+@query
+def scan_history(spark, d):
+    return Panel(spark, d).history()
+
+
+@query
+def scan_games(spark, d):
+    return Panel(spark, d).games()
+
+
+@query
+def scan_sales(spark, d):
+    return Panel(spark, d).sales().groupBy("game_id", "condition").agg(F.count("*").alias("n"), F.sum("price_cents").alias("cents"), F.max("sale_date").alias("last_sale"))
+
+
+@query
+def in_filter(spark, d):
+    from spindrift.sources import model
+
+    return model.in_filter(model.in_filter(Stage(spark, d).history(), "condition", ["loose", "cib"]), "console", ["ASIA", "EUROPE"])
+
+
+@query
+def price_cents(spark, d):
+    from spindrift.functions.text import price_cents as cents
+
+    part = Panel(spark, d).raw("part")
+    return part.select("p_partkey", cents(F.concat(F.lit("$"), F.format_number("p_retailprice", 2))).alias("cents"))
+
+
+@query
+def clean_text(spark, d):
+    from spindrift.functions.text import clean_text as clean
+
+    return Panel(spark, d).raw("part").select("p_partkey", clean(F.when(F.col("p_size") % 7 == 0, " N/A ").otherwise(F.concat(F.lit("  "), F.regexp_replace("p_name", " ", "  ")))).alias("name"))
+
+
+@query
+def iso_date(spark, d):
+    from spindrift.functions.text import iso_date as iso
+
+    when = F.col("o_orderdate")
+    shown = F.element_at(F.array(F.date_format(when, "MMMM d, yyyy"), F.date_format(when, "yyyy-MM-dd"), F.date_format(when, "MMMM yyyy"), F.date_format(when, "yyyy"), F.lit("soon")), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return Panel(spark, d).raw("orders").select("o_orderkey", iso(shown).alias("day"))
+
+
+@query
+def usd_percent(spark, d):
+    from spindrift.functions.text import signed_percent, usd
+
+    o = Panel(spark, d).raw("customer")
+    return o.select("c_custkey", usd(F.round(F.col("c_acctbal") * 100).cast("long")).alias("usd"), signed_percent(F.col("c_acctbal") / 10000).alias("pct"))
+
+
+@query
+def bin_cut(spark, d):
+    from spindrift.functions.text import binned
+
+    p = Panel(spark, d).raw("part")
+    return p.select("p_partkey", binned(F.col("p_retailprice") * 20, *factors.PRICE_BINS, right=False).alias("price"), binned(F.col("p_size"), *factors.SALES_BINS, right=True).alias("size"))
+
+
+@query
+def like_search(spark, d):
+    return serve.matching_games(Stage(spark, d).games(), "RED").select("id", "name")
+
+
+@query
+def nocase_sort(spark, d):
+    rows = Stage(spark, d).games().orderBy(F.lower("name"), "id").limit(40)
+    return rows.select("id", "name")
+
+
+@query
+def split_matched(spark, d):
+    from spindrift.functions.text import split_matched as split
+
+    return Panel(spark, d).raw("part").select("p_partkey", F.array_join(split(F.concat("p_name", F.lit(" |  | "), "p_brand")), "/").alias("parts"))
+
+
+@query
+def split_ids(spark, d):
+    from spindrift.functions.text import split_ids as split
+
+    p = Panel(spark, d).raw("part")
+    return p.select("p_partkey", F.array_join(split(F.concat_ws(",", "p_size", "p_partkey", "p_size", F.lit("x"))).cast("array<string>"), ",").alias("ids"))
+
+
+# ---------------------------------------------------------------------------- series
+
+
+@query
+def monthly_returns(spark, d):
+    return rounded(series.monthly_returns(Stage(spark, d).history()))
+
+
+@query
+def console_index(spark, d):
+    return rounded(Stage(spark, d).index())
+
+
+@query
+def dense_panel(spark, d):
+    return rounded(series.dense_panel(Stage(spark, d).history()))
+
+
+@query
+def series_metrics(spark, d):
+    s = Stage(spark, d)
+    return rounded(series.series_metrics(s.history(), s.index(), s.ASOF))
+
+
+@query
+def label_rising(spark, d):
+    return rounded(Stage(spark, d).labeled().select("game_id", "console", "condition", "excess_36m", "rising"))
+
+
+# ---------------------------------------------------------------------------- factors and mining
+
+
+@query
+def agg_top_n(spark, d):
+    return factors.top_n(Stage(spark, d).games(), "publisher", 5).groupBy("publisher").agg(F.count("*").alias("n"))
+
+
+@query
+def game_factors(spark, d):
+    return rounded(factors.game_factors(Stage(spark, d).games(), **NAMED))
+
+
+@query
+def price_at(spark, d):
+    return factors.price_at(Stage(spark, d).history(), Stage.ASOF)
+
+
+@query
+def price_factors(spark, d):
+    return rounded(factors.price_factors(Stage(spark, d).history(), Stage.ASOF))
+
+
+@query
+def sales_factors(spark, d):
+    return factors.sales_factors(Stage(spark, d).sales(), Stage.ASOF)
+
+
+@query
+def build_factors(spark, d):
+    return rounded(Stage(spark, d).factors())
+
+
+@query
+def wilson(spark, d):
+    rows = Panel(spark, d).raw("lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("k"))
+    lo, hi = mining.wilson(F.col("k"), F.col("n"))
+    return rounded(rows.select("l_suppkey", "n", "k", lo.alias("lo"), hi.alias("hi")))
+
+
+@query
+def factor_lift(spark, d):
+    return rounded(Stage(spark, d).lift())
+
+
+@query
+def item_matrix(spark, d):
+    return mining.items(Stage(spark, d).factors(), ["condition", "game_id"], CATS).groupBy("condition", "item").agg(F.count("*").alias("n"))
+
+
+@query
+def patterns(spark, d):
+    return rounded(Stage(spark, d).patterns())
+
+
+@query
+def match_patterns(spark, d):
+    s = Stage(spark, d)
+    return rounded(mining.match_patterns(s.factors(s.ASOF), in_order(s.patterns())))
+
+
+@query
+def zscore(spark, d):
+    from spindrift.operators.watchlist import zscore as z
+
+    return rounded(Panel(spark, d).raw("supplier").select("s_suppkey", z(F.col("s_acctbal"), "s_nationkey").alias("z")))
+
+
+@query
+def watchlist_pattern(spark, d):
+    return rounded(Stage(spark, d).watch())
+
+
+# ---------------------------------------------------------------------------- curves and signals
+
+
+@query
+def curve_matrix(spark, d):
+    rows = Stage(spark, d).curves().select("console", "condition", "game_id", F.posexplode("curve").alias("pos", "y"))
+    return rounded(rows)
+
+
+@query
+def curve_shapes(spark, d):
+    return Stage(spark, d).curves().select("console", "condition", "game_id", curves.shape_of(F.col("curve")).alias("shape"))
+
+
+@query
+def curve_clusters(spark, d):
+    """Rows only: k-means starts differ between engines."""
+    return curves.cluster_curves(Stage(spark, d).curves(), 5)[0]
+
+
+@query
+def cluster_profile(spark, d):
+    """Rows only, like the clusters it describes."""
+    s = Stage(spark, d)
+    assigned = curves.cluster_curves(s.curves(), 5)[0]
+    return rounded(curves.profile_clusters(assigned, s.factors(), CATS, SUPPORT))
+
+
+@query
+def pre_features(spark, d):
+    return rounded(Stage(spark, d).features())
+
+
+@query
+def breakouts(spark, d):
+    return signals.breakouts(Stage(spark, d).features())
+
+
+@query
+def compare_signals(spark, d):
+    s = Stage(spark, d)
+    return rounded(signals.pre_breakout_signals(s.history(), s.index()))
+
+
+# ---------------------------------------------------------------------------- model
+
+
+def _samples(s: Stage) -> DataFrame:
+    return forecast.build_samples(s.history(), s.index(), s.games(), **NAMED)
+
+
+@query
+def samples(spark, d):
+    return rounded(_samples(Stage(spark, d)).select("game_id", "console", "condition", "t0", "log_price_t0", "momentum_12m", "target", "cib_loose_ratio", "age_years", "publisher", "lifecycle_pos"))
+
+
+@query
+def split_by_time(spark, d):
+    train, test = forecast.split_by_time(_samples(Stage(spark, d)))
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.groupBy("part", "t0").agg(F.count("*").alias("n"))
+
+
+@query
+def spearman_rank(spark, d):
+    rows = Panel(spark, d).raw("part").select("p_partkey", "p_size", "p_retailprice")
+    ranked = forecast.average_rank(forecast.average_rank(rows, "p_size", "ra"), "p_retailprice", "rb")
+    return rounded(ranked.agg(F.corr("ra", "rb").alias("rho"), F.sum("ra").alias("sum_ra")))
+
+
+# ---------------------------------------------------------------------------- reads
+
+
+@query
+def q_coverage(spark, d):
+    s = Stage(spark, d)
+    games = s.games().withColumn("last_detail_at", F.when(F.col("id") % 3 != 0, F.col("release_date").cast("timestamp"))).withColumn("last_list_at", F.col("release_date").cast("timestamp"))
+    out = serve.coverage(games, s.prices(), NOW, 365)
+    return out.withColumns({c: F.col(c).cast("date") for c in ("last_list_at", "last_detail_at")})
+
+
+@query
+def q_facets(spark, d):
+    return serve.facets(Stage(spark, d).games())
+
+
+def _search(spark, d, **how):
+    s = Stage(spark, d)
+    return rounded(serve.search_games(s.games(), s.prices(), metrics=s.labeled(), page=2, per_page=7, **how).select("id", "name", "loose_cents", "cib_cents", "new_cents", "excess_36m"))
+
+
+@query
+def q_search_price(spark, d):
+    return _search(spark, d, sort="price")
+
+
+@query
+def q_search_rank(spark, d):
+    return _search(spark, d, sort="rank", cond="cib")
+
+
+@query
+def q_search_name(spark, d):
+    return _search(spark, d, sort="name", q="e")
+
+
+@query
+def q_search_excess(spark, d):
+    return _search(spark, d, sort="excess", cond="new")
+
+
+@query
+def q_game(spark, d):
+    s = Stage(spark, d)
+    return serve.game(s.games(), s.prices(), 7)
+
+
+@query
+def q_history(spark, d):
+    return serve.history(Stage(spark, d).prices(), 7)
+
+
+@query
+def q_history_table(spark, d):
+    return serve.history_table(Stage(spark, d).prices(), 7)
+
+
+@query
+def q_sales(spark, d):
+    return serve.sales(Stage(spark, d).sales(), 7)
+
+
+@query
+def q_game_analysis(spark, d):
+    s = Stage(spark, d)
+    shapes = s.curves().select("game_id", "condition", curves.shape_of(F.col("curve")).alias("shape"))
+    return rounded(serve.game_metrics(s.labeled(), 7, shapes).select("game_id", "condition", "ret_36m", "excess_36m", "rising", "shape"))
+
+
+@query
+def q_rebased_index(spark, d):
+    s = Stage(spark, d)
+    return serve.rebased_index(s.games(), s.prices(), s.index(), 7)
+
+
+@query
+def q_console_index(spark, d):
+    return serve.console_index_series(Stage(spark, d).index(), "ASIA")
+
+
+@query
+def q_movers(spark, d):
+    s = Stage(spark, d)
+    return rounded(serve.movers(s.games(), s.prices(), s.labeled(), "EUROPE", "loose"))
+
+
+@query
+def q_watchlist(spark, d):
+    rows = serve.watchlist(Stage(spark, d).watch(), "cib", sort="name")
+    return rounded(rows.withColumn("patterns", F.array_join("patterns", ";")).select("game_id", "name", "console", "score", "patterns"))
+
+
+@query
+def q_watchlist_consoles(spark, d):
+    return serve.watchlist_consoles(Stage(spark, d).watch())
+
+
+@query
+def q_compare_raw(spark, d):
+    s = Stage(spark, d)
+    return serve.compare_series(s.games(), s.prices(), [3, 7, 9])
+
+
+@query
+def q_compare_rebased(spark, d):
+    s = Stage(spark, d)
+    return serve.compare_series(s.games(), s.prices(), [3, 7, 9], mode="rebased")
+
+
+@query
+def q_compare_index(spark, d):
+    s = Stage(spark, d)
+    return serve.compare_series(s.games(), s.prices(), [3, 7, 9], mode="index", index=s.index())
+
+
+@query
+def q_report_factors(spark, d):
+    return rounded(report.top_factors(Stage(spark, d).lift()).select("condition", "factor", "value", "n", "lift", F.col("nth").cast("long").alias("nth")))
+
+
+@query
+def q_names(spark, d):
+    s = Stage(spark, d)
+    keyed = s.patterns().withColumn("key", F.concat_ws("|", "condition", "items"))
+    return serve.names_lookup(keyed, s.games(), "key").select("key", F.array_join("names", "; ").alias("names"))
+
+
+@query
+def q_healthz(spark, d):
+    return serve.healthz(Stage(spark, d).games())
