@@ -49,42 +49,42 @@ def items(factors: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return long.where(F.col("value").isNotNull() & (F.col("value") != "unknown") & ~(F.col("factor").startswith("kw_") & (F.col("value") == "no"))).select(*keys, "factor", F.concat("factor", F.lit("="), "value").alias("item"))
 
 
+def _combinations(a: Column, most: int) -> Column:
+    """All combinations of 1 to ``most`` (3 at most) items of a sorted array, each in its order."""
+    rest = lambda i: F.slice(a, i, F.size(a))
+    kinds = [F.transform(a, lambda x: F.array(x))]
+    if most > 1:
+        kinds.append(F.flatten(F.transform(a, lambda x, i: F.transform(rest(i + 2), lambda y: F.array(x, y)))))
+    if most > 2:
+        kinds.append(F.flatten(F.transform(a, lambda x, i: F.flatten(F.transform(rest(i + 2), lambda y, j: F.transform(rest(i + j + 3), lambda z: F.array(x, y, z)))))))
+    return F.concat(*kinds)
+
+
 def mine_patterns(factors: DataFrame, columns: list[str], excess: str = "excess_36m", min_count: int = 30, max_len: int = 3, min_lift: float = 1.5, min_gain: float = 0.1, examples: int = 5) -> DataFrame:
     """Combinations of up to three items with a lift that no part of them explains.
 
-    A combination is looked at if one of its parts with one item less was and had lift 1 or more,
-    and the item added is frequent alone. Items of a row are few (one a factor), so the sizes are
-    found by growing each row's own combinations: the self-joins are on the row id, and every
-    level is counted before it is grown."""
-    row = ["condition", "game_id"]
-    # each level is used several times: kept, not planned anew
-    labelled = factors.where(F.col("rising").isNotNull()).persist()
-    base = F.broadcast(_base(labelled))
-    long = items(labelled, [*row, "rising"], columns)
-
-    def counted(sets: DataFrame) -> DataFrame:
-        per = sets.groupBy("condition", "items").agg(F.count("*").alias("n"), F.sum("rising").alias("k")).where(F.col("n") >= min_count)
-        return _measured(per.join(base, "condition")).persist()
-
-    single_rows = long.select(*row, "rising", "factor", "item", F.array("item").alias("items")).persist()
-    levels = [counted(single_rows)]
-    frequent = single_rows.join(levels[0].select("condition", "items"), ["condition", "items"], "left_semi").select(*row, "rising", "factor", "item")
-    add = frequent.select(*row, F.col("factor").alias("factor2"), F.col("item").alias("item2"))
-    members = [frequent.select(*row, "rising", F.array("item").alias("items"), F.array("factor").alias("held")).persist()]
-    for _ in range(1, max_len):
-        grow = members[-1].join(levels[-1].where("lift >= 1").select("condition", "items"), ["condition", "items"], "left_semi")
-        wider = grow.join(add, row).where(~F.array_contains("held", F.col("factor2")))
-        wider = wider.select(*row, "rising", F.array_sort(F.array_append("items", F.col("item2"))).alias("items"), F.array_sort(F.array_append("held", F.col("factor2"))).alias("held")).distinct().persist()
-        level = counted(wider)
-        members.append(wider.join(level.select("condition", "items"), ["condition", "items"], "left_semi"))
-        levels.append(level)
-
-    looked_at = levels[0].select("condition", "items", "lift")
-    for level in levels[1:]:
-        looked_at = looked_at.unionByName(level.select("condition", "items", "lift"))
+    A combination is looked at if it is frequent and one of its parts with one item less was
+    looked at and had lift 1 or more. A row has one item a factor at most, so its combinations are
+    made in place and counted in one aggregation, summed up before the shuffle; all that follows
+    works on the counted combinations."""
+    labelled = factors.where(F.col("rising").isNotNull())
+    item = lambda c: F.when(F.col(c).isNotNull() & (F.col(c) != "unknown") & ((F.col(c) != "no") if c.startswith("kw_") else F.lit(True)), F.concat(F.lit(f"{c}="), c))
+    held = F.array_sort(F.array_compact(F.array(*[item(c) for c in columns])))
+    rows = labelled.select("condition", "game_id", "rising", excess, held.alias("held"))
+    sets = rows.select("condition", "game_id", "rising", excess, F.explode(_combinations(F.col("held"), max_len)).alias("items"))
+    counted = sets.groupBy("condition", "items").agg(F.count("*").alias("n"), F.sum("rising").alias("k")).where(F.col("n") >= min_count)
+    counted = _measured(counted.join(F.broadcast(_base(labelled)), "condition")).persist()  # used at every size
+    less_one = F.explode(F.transform("items", lambda x: F.array_remove("items", x)))
+    levels = [counted.where(F.size("items") == 1)]
+    for size in range(2, max_len + 1):
+        risen = levels[-1].where("lift >= 1").select("condition", F.col("items").alias("part"))
+        reached = counted.where(F.size("items") == size).select("condition", "items", less_one.alias("part")).join(risen, ["condition", "part"], "left_semi").select("condition", "items").distinct()
+        levels.append(counted.join(reached, ["condition", "items"], "left_semi"))
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
+    every = every.persist()
+    looked_at = every.select("condition", "items", "lift")
     good = every.where(F.col("lift") >= min_lift)
     # proper parts: leave one out, and single items of triples; a part that wasn't looked at counts 0
     whole = F.size("items")
@@ -95,11 +95,8 @@ def mine_patterns(factors: DataFrame, columns: list[str], excess: str = "excess_
     explained = part.join(looked_at, ["condition", "items"], "left").where(F.col("whole_lift") < F.coalesce("lift", F.lit(0.0)) + min_gain).select("condition", F.col("whole").alias("items")).distinct()
     found = good.join(explained, ["condition", "items"], "left_anti")
 
-    everyone = members[0].select(*row, "rising", "items")
-    for m in members[1:]:
-        everyone = everyone.unionByName(m.select(*row, "rising", "items"))
     rank = Window.partitionBy("condition", "items").orderBy(F.desc_nulls_last(excess), "game_id")
-    risers = everyone.where("rising = 1").join(found.select("condition", "items"), ["condition", "items"], "left_semi").join(labelled.select(*row, excess), row).withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= examples)
+    risers = sets.where("rising = 1").join(found.select("condition", "items"), ["condition", "items"], "left_semi").withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= examples)
     shown = risers.groupBy("condition", "items").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "game_id"))), lambda x: x["game_id"]).alias("ids"))
     done = found.join(shown, ["condition", "items"], "left")
     return done.select(

@@ -1,0 +1,276 @@
+"""DuckDB SQL for the registered queries, written from the definitions, not from the plans."""
+
+from __future__ import annotations
+
+# Named blocks; a query lists those it needs, in order.
+BLOCKS = {
+    "li": """li AS (
+  SELECT l_suppkey AS game_id, CASE l_returnflag WHEN 'A' THEN 'loose' WHEN 'N' THEN 'cib' WHEN 'R' THEN 'new' END AS condition,
+         CAST(date_trunc('month', l_shipdate) AS DATE) AS month, CAST(l_shipdate AS DATE) AS sale_date, l_extendedprice AS price FROM lineitem)""",
+    "prices": """prices AS (SELECT game_id, condition, month, CAST(round(max(price) * 100) AS BIGINT) AS price_cents FROM li GROUP BY 1, 2, 3)""",
+    "home": """home AS (SELECT s_suppkey AS id, r_name AS console, n_name AS platform FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
+    "games": """games AS (
+  SELECT h.id, h.console, h.platform, h.console AS region, p_name AS name, p_type AS genre, p_brand AS publisher, p_size AS list_rank,
+         CAST(o_orderdate AS DATE) AS release_date, 'title-' || h.id AS slug
+  FROM home h LEFT JOIN part ON p_partkey = h.id LEFT JOIN orders ON o_orderkey = h.id)""",
+    "hist": """hist AS (SELECT p.game_id, h.console, p.condition, p.month, p.price_cents FROM prices p JOIN home h ON h.id = p.game_id WHERE p.price_cents > 0)""",
+    "rets": """rets AS (
+  SELECT a.console, a.condition, a.game_id, a.month, ln(a.price_cents) - ln(b.price_cents) AS ret
+  FROM hist a JOIN hist b ON a.game_id = b.game_id AND a.condition = b.condition AND b.month = CAST(a.month - INTERVAL 1 MONTH AS DATE))""",
+    "cal": """cal AS (
+  SELECT console, condition, CAST(unnest(generate_series(min(month)::TIMESTAMP, max(month)::TIMESTAMP, INTERVAL 1 MONTH)) AS DATE) AS month FROM hist GROUP BY 1, 2)""",
+    "idx": """idx0 AS (SELECT console, condition, month, median(ret) AS med, count(*) AS n FROM rets GROUP BY 1, 2, 3),
+idx1 AS (SELECT c.console, c.condition, c.month, coalesce(i.n, 0) AS n, CASE WHEN i.n >= 5 THEN i.med END AS ret FROM cal c LEFT JOIN idx0 i USING (console, condition, month)),
+idx AS (SELECT *, sum(coalesce(ret, 0)) OVER (PARTITION BY console, condition ORDER BY month) AS level FROM idx1)""",
+    "panel": """panel0 AS (
+  SELECT c.console, c.condition, s.game_id, c.month, ln(h.price_cents) AS logp
+  FROM cal c JOIN (SELECT DISTINCT console, condition, game_id FROM hist) s USING (console, condition)
+  LEFT JOIN hist h ON h.game_id = s.game_id AND h.condition = c.condition AND h.month = c.month),
+panel AS (
+  SELECT *, coalesce(logp, lag(logp, 1) OVER w, lag(logp, 2) OVER w) AS filled FROM panel0 WINDOW w AS (PARTITION BY game_id, condition ORDER BY month))""",
+    "met": """past AS (
+  SELECT *, logp - lag(logp) OVER w AS diff, logp - lag(logp, 3) OVER w AS jump,
+         logp - max(logp) OVER (PARTITION BY game_id, condition ORDER BY month ROWS UNBOUNDED PRECEDING) AS fall
+  FROM panel WHERE month <= DATE '2001-06-01' WINDOW w AS (PARTITION BY game_id, condition ORDER BY month)),
+per AS (
+  SELECT game_id, console, condition,
+         max(filled) FILTER (month = DATE '2001-06-01') AS p0, max(filled) FILTER (month = DATE '2000-06-01') AS p12,
+         max(filled) FILTER (month = DATE '1998-06-01') AS p36, max(filled) FILTER (month = DATE '1996-06-01') AS p60,
+         min(month) FILTER (logp IS NOT NULL) AS first_month, max(month) FILTER (logp IS NOT NULL) AS last_month,
+         arg_min(logp, month) AS first_logp, arg_max(logp, month) AS last_logp, count(logp) AS n_months,
+         count(logp) FILTER (month >= DATE '1998-06-01') AS obs_36m,
+         regr_slope(logp, (year(month) * 12 + month(month)) / 12.0::DOUBLE) FILTER (month >= DATE '1998-06-01') AS slope,
+         stddev_pop(diff) FILTER (month > DATE '1998-06-01') * sqrt(12) AS vol_36m, exp(min(fall)) - 1 AS max_drawdown, max(jump) AS jump_size
+  FROM past GROUP BY 1, 2, 3),
+lv AS (
+  SELECT console, condition, max(level) FILTER (month = DATE '2001-06-01') AS l0, max(level) FILTER (month = DATE '2000-06-01') AS l12,
+         max(level) FILTER (month = DATE '1998-06-01') AS l36, max(level) FILTER (month = DATE '1996-06-01') AS l60 FROM idx GROUP BY 1, 2),
+jm AS (SELECT p.game_id, p.condition, min(p.month) AS jump_month FROM past p JOIN per q ON p.game_id = q.game_id AND p.condition = q.condition AND p.jump = q.jump_size GROUP BY 1, 2),
+met AS (
+  SELECT p.game_id, p.console, p.condition, DATE '2001-06-01' AS "asof", p0 - p12 AS ret_12m, p0 - p36 AS ret_36m, p0 - p60 AS ret_60m,
+         p0 - p12 - (l0 - l12) AS excess_12m, p0 - p36 - (l0 - l36) AS excess_36m, p0 - p60 - (l0 - l60) AS excess_60m,
+         last_logp - first_logp AS ret_all, last_logp - first_logp - (b.level - a.level) AS excess_all,
+         CASE WHEN obs_36m >= 12 THEN slope END AS slope_36m, vol_36m, obs_36m, n_months, first_month, last_month, max_drawdown, jump_size, jm.jump_month
+  FROM per p LEFT JOIN lv USING (console, condition)
+  LEFT JOIN idx a ON a.console = p.console AND a.condition = p.condition AND a.month = p.first_month
+  LEFT JOIN idx b ON b.console = p.console AND b.condition = p.condition AND b.month = p.last_month
+  LEFT JOIN jm ON jm.game_id = p.game_id AND jm.condition = p.condition WHERE n_months > 0)""",
+    "lab": """bar AS (SELECT console, condition, quantile_cont(excess_36m, 0.8::DOUBLE) AS thr, count(excess_36m) AS many FROM met WHERE n_months >= 24 GROUP BY 1, 2),
+lab AS (
+  SELECT m.*, CASE WHEN m.n_months >= 24 AND m.excess_36m IS NOT NULL AND b.many >= 10 THEN CAST(m.excess_36m >= b.thr AS DOUBLE) END AS rising
+  FROM met m LEFT JOIN bar b USING (console, condition))""",
+    "gf": """pub AS (SELECT publisher FROM games WHERE publisher IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, publisher LIMIT 5),
+span AS (SELECT console, min(release_date) AS lo, max(release_date) AS hi FROM games GROUP BY 1),
+gf0 AS (
+  SELECT g.*, CASE WHEN hi > lo THEN least(greatest((release_date - lo) / (hi - lo)::DOUBLE, 0), 1) END AS pos
+  FROM games g LEFT JOIN span USING (console)),
+gf AS (
+  SELECT id AS game_id, coalesce(region, 'unknown') AS region, coalesce(platform, 'unknown') AS platform, coalesce(genre, 'unknown') AS genre,
+         CASE WHEN publisher IS NULL THEN 'unknown' WHEN publisher IN (SELECT publisher FROM pub) THEN publisher ELSE 'other' END AS publisher,
+         'unknown' AS developer, 'unknown' AS esrb,
+         coalesce((year(release_date) // 5 * 5)::VARCHAR || '-' || (year(release_date) // 5 * 5 + 4)::VARCHAR, 'unknown') AS release_era,
+         CASE WHEN pos > -0.01 AND pos <= 0.2 THEN 'early' WHEN pos > 0.2 AND pos <= 0.8 THEN 'mid' WHEN pos > 0.8 AND pos <= 1.01 THEN 'late' ELSE 'unknown' END AS lifecycle,
+         CASE WHEN regexp_matches(name, '\\bred\\b') THEN 'red' WHEN regexp_matches(name, '\\bblue\\b') THEN 'blue' WHEN regexp_matches(name, '\\blarge\\b') THEN 'large'
+              WHEN regexp_matches(name, '\\bnew\\b') THEN 'new' WHEN regexp_matches(name, '\\bcold\\b') THEN 'cold' WHEN regexp_matches(name, '\\bhot\\b') THEN 'hot' ELSE 'none' END AS franchise,
+         CASE WHEN regexp_matches(name, '\\bring\\b') THEN 'yes' ELSE 'no' END AS kw_ring, CASE WHEN regexp_matches(name, '\\bbolt\\b') THEN 'yes' ELSE 'no' END AS kw_bolt,
+         CASE WHEN regexp_matches(name, '\\bgear\\b') THEN 'yes' ELSE 'no' END AS kw_gear, CAST(year(release_date) AS BIGINT) AS release_year, pos AS lifecycle_pos
+  FROM gf0)""",
+}
+
+
+def _price_blocks(day: str, name: str) -> str:
+    return f"""{name}_at AS (
+  SELECT game_id, condition, arg_max(price_cents, month) AS price FROM hist WHERE month <= DATE '{day}' AND month >= DATE '{day}' - INTERVAL 2 MONTH GROUP BY 1, 2),
+{name}_r AS (
+  SELECT game_id, max(price) FILTER (condition = 'cib') / max(price) FILTER (condition = 'loose')::DOUBLE AS cl, max(price) FILTER (condition = 'new') / max(price) FILTER (condition = 'cib')::DOUBLE AS nc
+  FROM {name}_at GROUP BY 1),
+{name} AS (
+  SELECT a.game_id, a.condition,
+         CASE WHEN price < 2000 THEN '<$20' WHEN price < 10000 THEN '$20-100' WHEN price < 50000 THEN '$100-500' ELSE '$500+' END AS price_bucket,
+         CASE WHEN cl IS NULL THEN 'unknown' WHEN cl < 1.5 THEN '<1.5x' WHEN cl < 3 THEN '1.5-3x' ELSE '3x+' END AS cib_loose,
+         CASE WHEN nc IS NULL THEN 'unknown' WHEN nc < 1.5 THEN '<1.5x' WHEN nc < 3 THEN '1.5-3x' ELSE '3x+' END AS new_cib,
+         ln(price) AS log_price_start, cl AS cib_loose_ratio, nc AS new_cib_ratio
+  FROM {name}_at a JOIN {name}_r USING (game_id))"""
+
+
+BLOCKS["pf"] = _price_blocks("2001-06-01", "pf")
+BLOCKS["ps"] = _price_blocks("1998-06-01", "ps")
+BLOCKS["sf"] = """sf AS (SELECT game_id, condition, count(*) AS sales_12m FROM li WHERE sale_date > DATE '2000-06-01' AND sale_date <= DATE '2001-06-01' GROUP BY 1, 2)"""
+BLOCKS["fac"] = """fac AS (
+  SELECT l.game_id, l.condition, l.console, l.rising, l.excess_36m, gf.* EXCLUDE (game_id),
+         coalesce(ps.price_bucket, 'unknown') AS price_bucket, coalesce(ps.cib_loose, 'unknown') AS cib_loose, coalesce(ps.new_cib, 'unknown') AS new_cib,
+         ps.log_price_start, ps.cib_loose_ratio, ps.new_cib_ratio, coalesce(sf.sales_12m, 0) AS sales_12m,
+         CASE WHEN coalesce(sf.sales_12m, 0) <= 0 THEN '0' WHEN sf.sales_12m <= 4 THEN '1-4' WHEN sf.sales_12m <= 14 THEN '5-14' ELSE '15+' END AS liquidity,
+         (DATE '1998-06-01' - g.release_date) / 365.25::DOUBLE AS age_years
+  FROM lab l LEFT JOIN gf ON gf.game_id = l.game_id LEFT JOIN ps ON ps.game_id = l.game_id AND ps.condition = l.condition
+  LEFT JOIN sf ON sf.game_id = l.game_id AND sf.condition = l.condition LEFT JOIN games g ON g.id = l.game_id)"""
+CATS = ["platform", "genre", "publisher", "release_era", "lifecycle", "franchise", "kw_ring", "kw_bolt", "kw_gear", "price_bucket", "cib_loose", "new_cib", "liquidity"]
+BLOCKS["long"] = "long AS (" + " UNION ALL ".join(f"SELECT game_id, condition, rising, excess_36m, '{c}' AS factor, {c} AS value FROM fac" for c in CATS) + ")"
+_WILSON = """(k / n::DOUBLE + 1.96 * 1.96 / 2 / n {sign} 1.96 * sqrt(k / n::DOUBLE * (1 - k / n::DOUBLE) / n + 1.96 * 1.96 / 4 / (n::DOUBLE * n))) / (1 + 1.96 * 1.96 / n)"""
+LO, HI = (f"CAST({_WILSON.format(sign=s)} AS DOUBLE)" for s in "-+")
+BLOCKS["lift"] = f"""base AS (SELECT condition, avg(rising) AS base, count(*) AS labelled FROM fac WHERE rising IS NOT NULL GROUP BY 1 HAVING avg(rising) > 0),
+lift0 AS (SELECT condition, factor, value, count(*) AS n, sum(rising) AS k FROM long WHERE rising IS NOT NULL AND NOT (factor LIKE 'kw_%' AND value = 'no') GROUP BY 1, 2, 3 HAVING count(*) >= 5),
+lift AS (SELECT l.*, base, k / n AS rate, k / n / base AS lift, {LO} / base AS lift_lo, {HI} / base AS lift_hi FROM lift0 l JOIN base USING (condition))"""
+BLOCKS["ex"] = """ex AS (SELECT p.console, p.condition, p.game_id, p.month, p.logp - coalesce(i.level, 0) AS e FROM panel p LEFT JOIN idx i USING (console, condition, month))"""
+BLOCKS["curve"] = """cw AS (SELECT *, (month - DATE '1996-11-01') AS days FROM ex WHERE month >= CAST((SELECT max(month) FROM hist) - INTERVAL 60 MONTH AS DATE)),
+cs AS (SELECT console, condition, min(month) AS lo, max(month) AS hi FROM cw GROUP BY 1, 2),
+cp AS (SELECT w.console, w.condition, w.game_id, (w.month - s.lo) / (s.hi - s.lo)::DOUBLE AS t, w.e AS y FROM cw w JOIN cs s USING (console, condition) WHERE w.e IS NOT NULL),
+ck AS (SELECT console, condition, game_id FROM cp GROUP BY 1, 2, 3 HAVING count(*) >= 36),
+cg AS (SELECT ck.*, CAST(r.range AS INTEGER) AS pos, r.range / 23.0::DOUBLE AS g FROM ck, range(24) r),
+cl AS (SELECT g.console, g.condition, g.game_id, g.pos, g.g, max(p.t) FILTER (p.t <= g.g) AS ta, arg_max(p.y, p.t) FILTER (p.t <= g.g) AS ya,
+              min(p.t) FILTER (p.t > g.g) AS tb, arg_min(p.y, p.t) FILTER (p.t > g.g) AS yb
+       FROM cg g JOIN cp p USING (console, condition, game_id) GROUP BY 1, 2, 3, 4, 5),
+cv AS (SELECT console, condition, game_id, pos, CASE WHEN ya IS NULL THEN yb WHEN yb IS NULL THEN ya ELSE ya + (yb - ya) * (g - ta) / (tb - ta) END AS raw FROM cl),
+curve AS (SELECT console, condition, game_id, pos, raw - first_value(raw) OVER (PARTITION BY game_id, condition ORDER BY pos) AS y FROM cv)"""
+BLOCKS["shape"] = """sh AS (SELECT console, condition, game_id, list(y ORDER BY pos) AS c FROM curve GROUP BY 1, 2, 3),
+shape AS (
+  SELECT console, condition, game_id,
+    CASE WHEN abs(c[24] - c[1]) < 0.1 AND list_max(c) - list_min(c) < 0.2 THEN 'flat'
+         WHEN list_position(c, list_max(c)) - 1 BETWEEN 0.15 * 24 AND 0.85 * 24 AND c[24] < list_max(c) - 0.5 * (list_max(c) - c[1]) AND list_max(c) - c[1] > 0.2 THEN 'spike & fade'
+         WHEN c[24] - c[1] <= -0.1 THEN 'decliner'
+         WHEN c[24] - c[1] > 0 AND (c[24] - c[17]) / nullif(c[24] - c[1], 0) > 0.6 THEN 'late surge' ELSE 'steady climber' END AS shape
+  FROM sh)"""
+BLOCKS["feat"] = """gap AS (SELECT console, game_id, month, max(logp) FILTER (condition = 'cib') - max(logp) FILTER (condition = 'loose') AS gap FROM panel WHERE condition IN ('cib', 'loose') GROUP BY 1, 2, 3),
+f0 AS (SELECT *, e - lag(e) OVER w AS d, lag(e, 12) OVER w AS e12, lag(e, 3) OVER w AS e3, lead(e, 6) OVER w AS e6 FROM ex WINDOW w AS (PARTITION BY game_id, condition ORDER BY month)),
+f1 AS (
+  SELECT console, condition, game_id, month, e - e12 AS trend_12m, (e - e3) * 4 - (e - e12) AS acceleration,
+         CASE WHEN count(d) OVER y >= 8 THEN stddev_samp(d) OVER y END AS volatility_12m, CASE WHEN count(e) OVER t >= 12 THEN e - max(e) OVER t END AS drawdown_24m, e6 - e AS fwd
+  FROM f0 WINDOW y AS (PARTITION BY game_id, condition ORDER BY month ROWS 11 PRECEDING), t AS (PARTITION BY game_id, condition ORDER BY month ROWS 23 PRECEDING)),
+feat AS (
+  SELECT f.*, a.gap - b.gap AS cib_loose_change_12m FROM f1 f LEFT JOIN gap a ON a.game_id = f.game_id AND a.month = f.month
+  LEFT JOIN gap b ON b.game_id = f.game_id AND b.month = CAST(f.month - INTERVAL 12 MONTH AS DATE)
+  WHERE coalesce(trend_12m, acceleration, volatility_12m, drawdown_24m, fwd) IS NOT NULL)"""
+BLOCKS["brk"] = """bars AS (SELECT condition, quantile_cont(fwd, 0.95::DOUBLE) AS hi, quantile_cont(fwd, 0.5::DOUBLE) AS mid FROM feat WHERE fwd IS NOT NULL GROUP BY 1),
+hot AS (SELECT f.console, f.condition, f.game_id, f.month FROM feat f JOIN bars b USING (condition) WHERE f.fwd >= b.hi),
+thin AS (
+  SELECT console, condition, game_id, min(month) AS month FROM hot GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT console, condition, game_id, nxt AS month FROM (
+    SELECT t.console, t.condition, t.game_id, (SELECT min(h.month) FROM hot h WHERE h.game_id = t.game_id AND h.condition = t.condition AND h.month >= t.month + INTERVAL 12 MONTH) AS nxt FROM thin t) WHERE nxt IS NOT NULL),
+pool AS (
+  SELECT f.console, f.condition, f.game_id, f.month, row_number() OVER (PARTITION BY f.condition ORDER BY md5(f.game_id || '|' || f.condition || '|' || f.month), f.game_id, f.month) AS nth
+  FROM feat f JOIN bars b USING (condition)
+  WHERE f.fwd < b.mid AND NOT EXISTS (SELECT 1 FROM thin t WHERE t.game_id = f.game_id AND t.condition = f.condition AND abs(f.month - t.month) <= 372)),
+brk AS (
+  SELECT console, condition, game_id, month, 1 AS breakout FROM thin
+  UNION ALL
+  SELECT console, p.condition, game_id, month, 0 FROM pool p JOIN (SELECT condition, count(*) * 3 AS want FROM thin GROUP BY 1) w ON w.condition = p.condition WHERE nth <= want)"""
+BLOCKS["sam"] = """s0 AS (
+  SELECT p.*, i.level, lag(p.filled, 12) OVER w AS b, lag(i.level, 12) OVER w AS lb, lead(p.filled, 36) OVER w AS a, lead(i.level, 36) OVER w AS la
+  FROM panel p LEFT JOIN idx i USING (console, condition, month) WINDOW w AS (PARTITION BY p.game_id, p.condition ORDER BY p.month)),
+s1 AS (SELECT *, month AS t0, a - filled - (la - level) AS target FROM s0 WHERE month(month) = 1),
+sr AS (
+  SELECT h.game_id, t.t0, arg_max(price_cents, h.month) FILTER (condition = 'cib') / (arg_max(price_cents, h.month) FILTER (condition = 'loose'))::DOUBLE AS cl
+  FROM hist h JOIN (SELECT DISTINCT t0 FROM s1) t ON h.month <= t.t0 AND h.month >= t.t0 - INTERVAL 2 MONTH WHERE condition IN ('cib', 'loose') GROUP BY 1, 2),
+sam AS (
+  SELECT s.game_id, s.console, s.condition, s.t0, s.filled AS log_price_t0, s.filled - s.b - (s.level - s.lb) AS momentum_12m, s.target, sr.cl AS cib_loose_ratio,
+         (s.t0 - g.release_date) / 365.25::DOUBLE AS age_years, gf.publisher, gf.lifecycle_pos
+  FROM s1 s LEFT JOIN sr ON sr.game_id = s.game_id AND sr.t0 = s.t0 LEFT JOIN gf ON gf.game_id = s.game_id LEFT JOIN games g ON g.id = s.game_id
+  WHERE s.filled IS NOT NULL AND s.target IS NOT NULL)"""
+BLOCKS["now"] = """now_ AS (
+  SELECT game_id, arg_max(price_cents, month) FILTER (condition = 'loose') AS loose_cents, arg_max(price_cents, month) FILTER (condition = 'cib') AS cib_cents, arg_max(price_cents, month) FILTER (condition = 'new') AS new_cents FROM prices GROUP BY 1)"""
+
+HIST = ["li", "prices", "home", "hist"]
+INDEX = [*HIST, "rets", "cal", "idx"]
+PANEL = [*INDEX, "panel"]
+LAB = [*PANEL, "met", "lab"]
+FAC = [*LAB, "games", "gf", "ps", "sf", "fac", "long"]
+
+
+def sql(blocks: list[str], select: str) -> str:
+    head = "WITH RECURSIVE " + ",\n".join(BLOCKS[b] for b in blocks) + "\n" if blocks else ""
+    return head + select
+
+
+def r(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+
+
+_MET = r("ret_12m", "ret_36m", "ret_60m", "excess_12m", "excess_36m", "excess_60m", "ret_all", "excess_all", "slope_36m", "vol_36m", "max_drawdown", "jump_size")
+_GF = "region, platform, genre, publisher, developer, esrb, release_era, lifecycle, franchise, kw_ring, kw_bolt, kw_gear, release_year, round(lifecycle_pos, 6) AS lifecycle_pos"
+_PF = "price_bucket, cib_loose, new_cib, " + r("log_price_start", "cib_loose_ratio", "new_cib_ratio")
+
+
+def _search(order: str, cond: str, where: str = "TRUE") -> str:
+    return sql(
+        [*LAB, "games", "now"],
+        f"""SELECT g.id, g.name, n.loose_cents, n.cib_cents, n.new_cents, round(l.excess_36m, 6) AS excess_36m FROM games g LEFT JOIN lab l ON l.game_id = g.id AND l.condition = '{cond}'
+LEFT JOIN now_ n ON n.game_id = g.id WHERE {where} ORDER BY {order}, g.id LIMIT 7 OFFSET 7""",
+    )
+
+
+_COMPARE = """, own AS ({rows}), s0_ AS (SELECT id, min(month) AS f FROM own GROUP BY 1), st AS (SELECT max(f) AS start FROM s0_),
+kept AS (SELECT own.* FROM own, st WHERE month >= start), b0 AS (SELECT id, arg_min(price_cents, month) AS c0, arg_min(level, month) AS l0 FROM kept GROUP BY 1)
+SELECT k.id, name, console, month, round_even(100 * price_cents / c0::DOUBLE * exp(l0 - level), 3) AS y FROM kept k JOIN b0 USING (id)"""
+
+ORACLES = {
+    "scan_history": sql(HIST, "SELECT * FROM hist"),
+    "scan_games": sql(["home", "games"], "SELECT * FROM games"),
+    "scan_sales": sql(["li"], "SELECT game_id, condition, count(*) AS n, CAST(sum(CAST(round(price * 100) AS BIGINT)) AS BIGINT) AS cents, max(sale_date) AS last_sale FROM li GROUP BY 1, 2"),
+    "in_filter": sql(HIST, "SELECT * FROM hist WHERE condition IN ('loose', 'cib') AND console IN ('ASIA', 'EUROPE')"),
+    "price_cents": "SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS cents FROM part",
+    "clean_text": "SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_name END AS name FROM part",
+    "iso_date": """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN CAST(o_orderdate AS DATE) WHEN 1 THEN CAST(o_orderdate AS DATE) WHEN 2 THEN CAST(date_trunc('month', o_orderdate) AS DATE)
+ WHEN 3 THEN CAST(date_trunc('year', o_orderdate) AS DATE) END AS "day" FROM orders""",
+    "bin_cut": """SELECT p_partkey, CASE WHEN p_retailprice * 20 < 0 THEN 'unknown' WHEN p_retailprice * 20 < 2000 THEN '<$20' WHEN p_retailprice * 20 < 10000 THEN '$20-100' WHEN p_retailprice * 20 < 50000 THEN '$100-500' ELSE '$500+' END AS price,
+ CASE WHEN p_size <= -1 THEN 'unknown' WHEN p_size <= 0 THEN '0' WHEN p_size <= 4 THEN '1-4' WHEN p_size <= 14 THEN '5-14' ELSE '15+' END AS size FROM part""",
+    "like_search": sql(["home", "games"], "SELECT id, name FROM games WHERE contains(lower(name), 'red')"),
+    "nocase_sort": sql(["home", "games"], "SELECT id, name FROM games ORDER BY lower(name), id LIMIT 40"),
+    "split_matched": "SELECT p_partkey, p_name || '/' || p_brand AS parts FROM part",
+    "split_ids": "SELECT p_partkey, CASE WHEN p_size = p_partkey THEN p_size::VARCHAR ELSE p_size || ',' || p_partkey END AS ids FROM part",
+    "monthly_returns": sql([*HIST, "rets"], "SELECT console, condition, game_id, month, round(ret, 6) AS ret FROM rets"),
+    "console_index": sql(INDEX, f"SELECT console, condition, month, n, {r('ret', 'level')} FROM idx"),
+    "dense_panel": sql(PANEL, f"SELECT console, condition, game_id, month, {r('logp', 'filled')} FROM panel"),
+    "series_metrics": sql([*PANEL, "met"], f'SELECT game_id, console, condition, "asof", {_MET}, obs_36m, n_months, first_month, last_month, jump_month FROM met'),
+    "label_rising": sql(LAB, f"SELECT game_id, console, condition, rising, {r('excess_36m')} FROM lab"),
+    "agg_top_n": sql(["home", "games", "gf"], "SELECT publisher, count(*) AS n FROM gf GROUP BY 1"),
+    "game_factors": sql(["home", "games", "gf"], f"SELECT game_id, {_GF} FROM gf"),
+    "price_at": sql([*HIST, "pf"], "SELECT * FROM pf_at"),
+    "price_factors": sql([*HIST, "pf"], f"SELECT game_id, condition, {_PF} FROM pf"),
+    "sales_factors": sql(["li", "sf"], "SELECT * FROM sf"),
+    "build_factors": sql(FAC, f"SELECT game_id, condition, console, rising, {_GF}, {_PF}, sales_12m, liquidity, {r('excess_36m', 'age_years')} FROM fac"),
+    "wilson": f"WITH x AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS k FROM lineitem GROUP BY 1) SELECT l_suppkey, n, k, round({LO}, 6) AS lo, round({HI}, 6) AS hi FROM x",
+    "factor_lift": sql([*FAC, "lift"], f"SELECT condition, factor, value, n, k, {r('base', 'rate', 'lift', 'lift_lo', 'lift_hi')} FROM lift"),
+    "item_matrix": sql(FAC, "SELECT condition, factor || '=' || value AS item, count(*) AS n FROM long WHERE value <> 'unknown' AND NOT (factor LIKE 'kw_%' AND value = 'no') GROUP BY 1, 2"),
+    "zscore": "SELECT s_suppkey, round(coalesce((s_acctbal - avg(s_acctbal) OVER w) / nullif(stddev_pop(s_acctbal) OVER w, 0), 0), 6) AS z FROM supplier WINDOW w AS (PARTITION BY s_nationkey)",
+    "curve_matrix": sql([*PANEL, "ex", "curve"], "SELECT console, condition, game_id, pos, round(y, 6) AS y FROM curve"),
+    "curve_shapes": sql([*PANEL, "ex", "curve", "shape"], "SELECT * FROM shape"),
+    "pre_features": sql([*PANEL, "ex", "feat"], f"SELECT console, condition, game_id, month, {r('trend_12m', 'acceleration', 'volatility_12m', 'drawdown_24m', 'fwd', 'cib_loose_change_12m')} FROM feat"),
+    "breakouts": sql([*PANEL, "ex", "feat", "brk"], "SELECT * FROM brk"),
+    "samples": sql([*PANEL, "games", "gf", "sam"], f"SELECT game_id, console, condition, t0, publisher, {r('log_price_t0', 'momentum_12m', 'target', 'cib_loose_ratio', 'age_years', 'lifecycle_pos')} FROM sam"),
+    "split_by_time": sql(
+        [*PANEL, "games", "gf", "sam"],
+        """, lastp AS (SELECT min(t0) AS f FROM (SELECT DISTINCT t0 FROM sam ORDER BY t0 DESC LIMIT 2))
+SELECT CASE WHEN t0 >= f THEN 'test' ELSE 'train' END AS part, t0, count(*) AS n FROM sam, lastp WHERE t0 >= f OR t0 + INTERVAL 36 MONTH <= f GROUP BY 1, 2""",
+    ),
+    "spearman_rank": """WITH a AS (SELECT p_size, p_retailprice, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0::DOUBLE AS ra,
+ rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0::DOUBLE AS rb FROM part) SELECT round(corr(ra, rb), 6) AS rho, round(sum(ra), 6) AS sum_ra FROM a""",
+    "q_coverage": sql(
+        ["li", "prices", "home", "games"],
+        """SELECT console, min(platform) AS platform, min(region) AS region, count(*) AS listed, count(*) FILTER (id % 3 <> 0) AS fetched,
+ count(*) FILTER (id % 3 <> 0 AND release_date < TIMESTAMP '2001-10-01 00:00:00' - INTERVAL 365 DAY) AS stale, count(*) FILTER (id % 3 = 0 OR release_date IS NULL) AS never,
+ count(*) FILTER (id IN (SELECT game_id FROM prices)) AS with_history, max(release_date) AS last_list_at, max(release_date) FILTER (id % 3 <> 0) AS last_detail_at FROM games GROUP BY 1""",
+    ),
+    "q_facets": sql(["home", "games"], " UNION ".join(f"SELECT '{c}' AS facet, {c} AS value FROM games WHERE {c} IS NOT NULL" for c in ("console", "platform", "region", "genre"))),
+    "q_search_price": _search("n.loose_cents DESC NULLS LAST", "loose"),
+    "q_search_rank": _search("g.list_rank ASC NULLS LAST", "cib"),
+    "q_search_name": _search("lower(g.name)", "loose", "contains(lower(g.name), 'e')"),
+    "q_search_excess": _search("l.excess_36m DESC NULLS LAST", "new"),
+    "q_game": sql(["li", "prices", "home", "games", "now"], "SELECT g.*, n.* EXCLUDE (game_id) FROM games g LEFT JOIN now_ n ON n.game_id = g.id WHERE g.id = 7"),
+    "q_history": sql(["li", "prices"], "SELECT condition, month, price_cents FROM prices WHERE game_id = 7"),
+    "q_history_table": sql(["li", "prices"], "SELECT month, max(price_cents) FILTER (condition = 'loose') AS loose, max(price_cents) FILTER (condition = 'cib') AS cib, max(price_cents) FILTER (condition = 'new') AS new FROM prices WHERE game_id = 7 GROUP BY 1"),
+    "q_sales": sql(["li"], "SELECT game_id, condition, sale_date, CAST(round(price * 100) AS BIGINT) AS price_cents FROM li WHERE game_id = 7 ORDER BY sale_date DESC, condition, 4 LIMIT 60"),
+    "q_game_analysis": sql([*LAB, "ex", "curve", "shape"], f"SELECT l.game_id, l.condition, {r('ret_36m', 'excess_36m')}, rising, shape FROM lab l LEFT JOIN shape s ON s.game_id = l.game_id AND s.condition = l.condition WHERE l.game_id = 7"),
+    "q_rebased_index": sql(
+        INDEX,
+        """, o AS (SELECT condition, min(month) AS lo, max(month) AS hi, arg_min(price_cents, month) AS c FROM prices WHERE game_id = 7 GROUP BY 1), v AS (SELECT i.* FROM idx i JOIN home h ON h.console = i.console AND h.id = 7)
+SELECT v.condition, v.month, round_even(o.c / 100.0::DOUBLE * exp(v.level - b.level), 2) AS y FROM v JOIN o ON o.condition = v.condition AND v.month BETWEEN o.lo AND o.hi JOIN v b ON b.condition = v.condition AND b.month = o.lo""",
+    ),
+    "q_console_index": sql(INDEX, "SELECT condition, month, round_even((exp(level) - 1) * 100, 1) AS y FROM idx WHERE console = 'ASIA'"),
+    "q_movers": sql([*LAB, "games", "now"], f"SELECT g.id, g.name, g.console, g.genre, {r('excess_36m', 'ret_36m')}, rising, n.loose_cents AS price_cents FROM lab l JOIN games g ON g.id = l.game_id LEFT JOIN now_ n ON n.game_id = g.id WHERE l.console = 'EUROPE' AND l.condition = 'loose' AND excess_36m IS NOT NULL ORDER BY l.excess_36m DESC, g.id LIMIT 15"),
+    "q_compare_raw": sql(["li", "prices", "home", "games"], "SELECT g.id, g.name, g.console, p.month, p.price_cents / 100.0::DOUBLE AS y FROM prices p JOIN games g ON g.id = p.game_id WHERE g.id IN (3, 7, 9) AND p.condition = 'loose'"),
+    "q_compare_rebased": sql(["li", "prices", "home", "games"], _COMPARE.format(rows="SELECT g.id, g.name, g.console, p.month, p.price_cents, 0.0::DOUBLE AS level FROM prices p JOIN games g ON g.id = p.game_id WHERE g.id IN (3, 7, 9) AND p.condition = 'loose'")),
+    "q_compare_index": sql([*INDEX, "games"], _COMPARE.format(rows="SELECT g.id, g.name, g.console, p.month, p.price_cents, i.level FROM prices p JOIN games g ON g.id = p.game_id JOIN idx i ON i.console = g.console AND i.condition = p.condition AND i.month = p.month WHERE g.id IN (3, 7, 9) AND p.condition = 'loose'")),
+    "q_report_factors": sql([*FAC, "lift"], f"SELECT condition, factor, value, n, {r('lift')}, row_number() OVER (PARTITION BY condition ORDER BY lift.lift DESC, factor, value) AS nth FROM lift WHERE lift_lo > 1 QUALIFY nth <= 15"),
+    "q_healthz": sql(["home", "games"], "SELECT count(*) AS games FROM games"),
+}
