@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spindrift.functions.text import clean_text, iso_date, price_cents
 
@@ -144,7 +145,7 @@ def read_detail(html: str | None) -> dict:
 RAW = "fields map<string,string>, prices map<string,string>, pc_id string, sales array<struct<condition:string,row_id:string,sale_date:string,title:string,cell:string,price:string,url:string>>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _detail_json(html: pd.Series) -> pd.Series:
     return html.map(lambda x: json.dumps(read_detail(x)))
 
