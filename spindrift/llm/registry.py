@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import ann, brown, fingerprint, jaccard, mixing, packing, sharding, toxicity, warc
+from spindrift.llm import ann, brown, fingerprint, jaccard, licenses, mixing, packing, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_warc": warc.op1_warc,
         "op2_fingerprint": fingerprint.op2_fingerprint,
         "op3_mixing": mixing.op3_mixing,
+        "op4_licenses": licenses.op4_licenses,
         "op5_brown": brown.op5_brown,
         "op6_jaccard": jaccard.op6_jaccard,
         "op7_toxicity": toxicity.op7_toxicity,
