@@ -52,7 +52,12 @@ def chart_points(pages: DataFrame, column: str = "html") -> DataFrame:
     text = F.regexp_extract(column, CHART_NAME + r"\s*=\s*(\{[^{}]*\})", 1)
     chart = F.from_json(text, "used array<array<bigint>>, cib array<array<bigint>>, new array<array<bigint>>")
     some = pages.select("game_id", chart.alias("chart"))
-    parts = F.concat(*[F.transform(F.coalesce(F.col(f"chart.{k}"), F.array().cast("array<array<bigint>>")), lambda p, c=c: F.struct(F.lit(c).alias("condition"), F.get(p, 0).alias("ms"), F.get(p, 1).alias("cents"))) for k, c in CHART_KEYS.items()])
+
+    def points(key: str, condition: str):
+        pairs = F.coalesce(F.col(f"chart.{key}"), F.array().cast("array<array<bigint>>"))
+        return F.transform(pairs, lambda p: F.struct(F.lit(condition).alias("condition"), F.get(p, 0).alias("ms"), F.get(p, 1).alias("cents")))
+
+    parts = F.concat(*[points(k, c) for k, c in CHART_KEYS.items()])
     each = some.select("game_id", F.explode(parts).alias("p")).where("p.cents is not null and p.cents != 0")
     month = F.trunc(F.timestamp_millis("p.ms").cast("date"), "MM")
     return each.groupBy("game_id", F.col("p.condition").alias("condition"), month.alias("month")).agg(F.max_by("p.cents", "p.ms").alias("price_cents"))
