@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,6 +191,7 @@ def test_parsers(spark):
     assert (r.id, r.loose_cents, r.new_cents, r.cib_cents) == (5, 100, 300, None)
 
 
+@pytest.mark.skipif(not os.environ.get("SLOW_TESTS"), reason="takes minutes; set SLOW_TESTS")
 def test_planted_effects_and_store(spark, tmp_path):
     games, prices, sales = synthetic(spark, 40)
     h = model.scan_history(prices.cache(), games.cache())
@@ -218,9 +220,6 @@ def test_registry_matches_duckdb(spark):
     for t in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     for name in ("scan_history", "console_index", "dense_panel", "price_factors", "q_history_table", "q_compare_index", "wilson"):
-        got, want = queries()[name](spark, d), c.execute(oracle_sql()[name])
-        cols = sorted(got.columns)
-        rows = want.fetch_df()[cols]
-        assert sorted(got.columns) == sorted(x[0] for x in want.description) if want.description else True
-        assert got.count() == len(rows)
+        got, want = queries()[name](spark, d), c.execute(oracle_sql()[name]).fetch_df()
+        assert sorted(got.columns) == sorted(want.columns) and got.count() == len(want)
     assert entry(spark).count() > 0 and set(oracle_sql()) <= set(queries())
