@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.sources.staging import written
+
 SEPARATOR = " & "
 
 
@@ -70,10 +72,10 @@ def mine_patterns(factors: DataFrame, columns: list[str], excess: str = "excess_
     labelled = factors.where(F.col("rising").isNotNull())
     item = lambda c: F.when(F.col(c).isNotNull() & (F.col(c) != "unknown") & ((F.col(c) != "no") if c.startswith("kw_") else F.lit(True)), F.concat(F.lit(f"{c}="), c))
     held = F.array_sort(F.array_compact(F.array(*[item(c) for c in columns])))
-    rows = labelled.select("condition", "game_id", "rising", excess, held.alias("held"))
+    rows = written(labelled.select("condition", "game_id", "rising", excess, held.alias("held")), "pattern-rows")
     sets = rows.select("condition", "game_id", "rising", excess, F.explode(_combinations(F.col("held"), max_len)).alias("items"))
     counted = sets.groupBy("condition", "items").agg(F.count("*").alias("n"), F.sum("rising").alias("k")).where(F.col("n") >= min_count)
-    counted = _measured(counted.join(F.broadcast(_base(labelled)), "condition")).persist()  # used at every size
+    counted = written(_measured(counted.join(F.broadcast(_base(rows)), "condition")), "pattern-counts")
     less_one = F.explode(F.transform("items", lambda x: F.array_remove("items", x)))
     levels = [counted.where(F.size("items") == 1)]
     for size in range(2, max_len + 1):
@@ -83,7 +85,7 @@ def mine_patterns(factors: DataFrame, columns: list[str], excess: str = "excess_
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
-    every = every.persist()
+    every = written(every, "patterns-reached")
     looked_at = every.select("condition", "items", "lift")
     good = every.where(F.col("lift") >= min_lift)
     # proper parts: leave one out, and single items of triples; a part that wasn't looked at counts 0

@@ -12,6 +12,7 @@ from spindrift.operators import curves, forecast, mining, series, signals
 from spindrift.operators.factors import CATEGORICAL, build_factors
 from spindrift.operators.watchlist import watchlist
 from spindrift.plans.store import Store
+from spindrift.sources.staging import written
 
 CORE = ["console_index", "series_metrics", "factor_lift", "patterns"]
 OPTIONAL = ["curve_clusters", "cluster_summary", "cluster_profile", "pre_breakout", "watchlist", "model_importance"]
@@ -39,18 +40,18 @@ def analyze(history: DataFrame, games: DataFrame, sales: DataFrame, window: int
     """Everything downstream of a history (series.py's long form). The driver learns only the last
     month, counts and the fitted models."""
     spark: SparkSession = history.sparkSession
-    history = history.cache()
+    history = written(history, "history")
     last = series.last_month(history)
     if last is None:
         raise ValueError("no price history to analyse")
     asof = date.fromisoformat(str(asof)) if asof else last
-    index = series.console_index(history, min_games).cache()
-    metrics = series.label_rising(series.series_metrics(history, index, asof), window, top, min_group=min_group).cache()
+    index = written(series.console_index(history, min_games), "index")
+    metrics = written(series.label_rising(series.series_metrics(history, index, asof), window, top, min_group=min_group), "metrics")
     n_series, n_labeled, base_rate = metrics.agg(F.count("*"), F.count("rising"), F.avg("rising")).first()
     support = max(LEAST_SUPPORT, min(min_support, int(SUPPORT_SHARE * n_labeled)))
-    factors = build_factors(metrics, games, history, sales, asof, window, **named).cache()
+    factors = written(build_factors(metrics, games, history, sales, asof, window, **named), "factors")
     lift = mining.factor_lift(factors, CATEGORICAL, support)
-    patterns = in_order(mining.mine_patterns(factors, PATTERN_FACTORS, f"excess_{window}m", support)).cache()
+    patterns = written(in_order(mining.mine_patterns(factors, PATTERN_FACTORS, f"excess_{window}m", support)), "patterns")
     out = Analysis(
         {
             "asof": str(asof),
