@@ -224,43 +224,45 @@ def _prefixes(sketch: np.ndarray):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, node): small blocks as member lists, rows of larger ones one by one."""
-    h, nodes, long = None, [], False
+    """Of rows sorted by (h, node): small blocks as member lists, rows of larger ones one by one.
+    A heavy shingle's rows lie in several tasks, so each of them goes on as it is."""
+    h, nodes, long, spread = None, [], False, False
     small: list[list[int]] = []
-    big: list[tuple[int, int]] = []
+    big: list[tuple[int, int, bool]] = []
 
     def out() -> pa.RecordBatch:
         members = [*small, *([None] * len(big))]
-        hs, ns = [None] * len(small) + [x[0] for x in big], [None] * len(small) + [x[1] for x in big]
+        hs, ns, spreads = ([None] * len(small) + [x[i] for x in big] for i in range(3))
         small.clear()
         big.clear()
-        return pa.RecordBatch.from_arrays([pa.array(members, pa.list_(pa.int64())), pa.array(hs, pa.int64()), pa.array(ns, pa.int64())], names=["members", "h", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(members, pa.list_(pa.int64())), pa.array(hs, pa.int64()), pa.array(ns, pa.int64()), pa.array(spreads, pa.bool_())], names=["members", "h", "node", "heavy"])
 
     for batch in batches:
-        hs, ns = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        hs, ns, heavy = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
+        if not len(hs):
+            continue
         # drop rows that repeat, then rows whose shingle is alone within the batch
         fresh = np.ones(len(hs), bool)
         fresh[1:] = (hs[1:] != hs[:-1]) | (ns[1:] != ns[:-1])
-        hs, ns = hs[fresh], ns[fresh]
+        hs, ns, heavy = hs[fresh], ns[fresh], heavy[fresh]
         cuts = np.flatnonzero(np.diff(hs)) + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(hs)]])
-        keep = ends - starts > 1
-        if len(keep):
-            keep[0] = keep[-1] = True  # runs may go on in another batch
+        keep = (ends - starts > 1) | heavy[starts]
+        keep[0] = keep[-1] = True  # runs may go on in another batch
         for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True):
             if hs[a] != h:
                 if not long and len(nodes) > 1:
                     small.append(nodes)
-                h, nodes, long = hs[a], [], False
+                h, nodes, long, spread = hs[a], [], bool(heavy[a]), bool(heavy[a])
             for node in ns[a:b].tolist():
                 if nodes and node == nodes[-1]:
                     continue
                 nodes.append(node)
                 if not long and len(nodes) > SMALL_BLOCK:
-                    big.extend((int(h), x) for x in nodes)
+                    big.extend((int(h), x, spread) for x in nodes)
                     long = True
                 elif long:
-                    big.append((int(h), node))
+                    big.append((int(h), node, spread))
                     nodes = nodes[-1:]
         if small or big:
             yield out()
@@ -458,10 +460,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     prefixes = texts.select("text").mapInArrow(_prefixes(sketch), "h long, node long, heavy boolean")
     place = F.when(F.col("heavy"), F.pmod(F.col("node"), F.lit(SALTS))).otherwise(F.lit(0))
-    dealt = prefixes.select("h", "node", place.alias("place")).repartition("h", "place").sortWithinPartitions("h", "node")
-    shared = staged(dealt.select("h", "node").mapInArrow(_shared, "members array<long>, h long, node long"), "blocks")
-    small = shared.where("members is not null").select("members").distinct()
-    large = shared.where("members is null").select("h", "node").distinct()
+    dealt = prefixes.select("h", "node", "heavy", place.alias("place")).repartition("h", "place").sortWithinPartitions("h", "node")
+    shared = staged(dealt.select("h", "node", "heavy").mapInArrow(_shared, "members array<long>, h long, node long, heavy boolean"), "blocks")
+    small = shared.where("members is not null").select("members")
+    large = shared.where("members is null and not heavy").select("h", "node").distinct()
+    if (sketch > HEAVY).any():  # shingles dealt over several tasks: their members are counted over all of them
+        spread = staged(shared.where("heavy").select("h", "node").distinct(), "heavy-rows")
+        sums = spread.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+        counted = spread.join(sums, "h")
+        few = counted.where(F.col("m") <= SMALL_BLOCK).groupBy("h").agg(F.sort_array(F.collect_set("node")).alias("members"))
+        small = small.unionByName(few.select("members"))
+        large = large.unionByName(counted.where(F.col("m") > SMALL_BLOCK).select("h", "node"))
+    small = small.distinct()
     # one row per block and member; near copies share many shingles, but few different blocks
     listed = small.select(F.xxhash64("members").alias("h"), F.explode("members").alias("node"))
     blocks = staged(listed.withColumn("large", F.lit(False)).unionByName(large.withColumn("large", F.lit(True))), "block-rows")

@@ -219,6 +219,25 @@ def test_jaccard_large_group(spark):
     assert kept.columns == frame(spark, rows).columns and kept.count() == len({x.rsplit(",")[-1] for x in brute_components(rows)})
 
 
+def test_jaccard_heavy_shingles_meet_over_all_places(spark, monkeypatch):
+    """Every shared shingle counts as heavy: pairs, small and large groups stay linked."""
+    monkeypatch.setattr(jaccard, "HEAVY", 1)
+    rng = random.Random(9)
+    rows = []
+    for size in [2] * 15 + [5, 20, 60]:
+        base = [rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(14)]
+        rows += [(len(rows) + k, " ".join(base[:13] + [f"e{rng.randrange(9999)}"]), "a") for k in range(size)]
+    held = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert sorted(str(tuple(r)) for r in jaccard.near_duplicates(frame(spark, rows)).collect()) == brute_components(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_count_tree_loses_nothing():
     rng = np.random.default_rng(3)
     sets = [set(rng.choice(900, rng.integers(5, 200), replace=False).tolist()) for _ in range(150)]
