@@ -291,6 +291,14 @@ def test_licenses(spark, docs, none):
     assert licenses.scan_licenses(docs).where("license is not null").count() == 0 and licenses.scan_licenses(none).count() == 0
 
 
+def test_every_license_template_is_found_under_its_name():
+    scanner = licenses.Scanner()
+    assert scanner.scan(b"some words. All rights reserved. more words")[:2] == ("All rights reserved line", 1.0)
+    assert {"BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "LGPL-2.1", "CC-BY-SA-4.0 line", "MIT text", "Apache-2.0 text", "GPL-3 text"} <= set(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        assert scanner.scan(f"before {text} after".encode())[:2] == (name, 1.0)
+
+
 def test_alignment_is_common_and_increasing():
     rng = random.Random(8)
     for _ in range(200):
