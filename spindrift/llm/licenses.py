@@ -81,6 +81,11 @@ TEMPLATES["MIT text"] = TEMPLATES["MIT"] + (
 # Full texts, word for word.
 TEMPLATES |= {f"{f.stem} text": f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
+#: Words that tell licenses apart. A template of under NOTICE words holds only if its own ones (and
+#: its numbers) are all matched and none of the others stands between its matched words.
+NAMES = frozenset(b"mit apache gnu gpl lgpl agpl lesser affero bsd isc mozilla mpl eclipse artistic boost cc cc0 by nc sa nd creative commons attribution sharealike share alike noncommercial noderivatives noderivs all rights reserved universal clause".split())
+NOTICE = 150
+
 _TO_SPACE = bytes.maketrans(b".,;:()\"'/-!?", b" " * 12)
 
 
@@ -135,6 +140,10 @@ class Scanner:
         self.threshold = threshold
         self.templates = [(name, words_of(t.encode())) for name, t in templates.items()]
         self.counts = [Counter(t) for _, t in self.templates]
+        self.deciding = [frozenset(w for w in c if w in NAMES or w.isdigit()) if len(t) < NOTICE else frozenset() for (_, t), c in zip(self.templates, self.counts, strict=True)]
+        # prose puts these between the words of a notice; only in the short CC names do they decide
+        prose = frozenset(b"by all rights reserved share alike creative commons universal clause".split())
+        self.strange = [NAMES - c.keys() - (prose if b"cc" not in c else frozenset()) if len(t) < NOTICE else frozenset() for (_, t), c in zip(self.templates, self.counts, strict=True)]
         self.vocabulary = frozenset(w for c in self.counts for w in c)
 
     def scan(self, text: bytes) -> tuple[str | None, float, int | None, int | None]:
@@ -154,6 +163,13 @@ class Scanner:
                     best = found
         return (best[2] or None, best[0], best[3], best[4])
 
+    def _tells(self, k: int, window: list[bytes], pairs: list[tuple[int, int]]) -> bool:
+        """Whether an alignment has the template's deciding words and no other license's between."""
+        at = {j for _, j in pairs}
+        if not self.deciding[k] <= {window[j] for j in at}:
+            return False
+        return self.strange[k].isdisjoint(window[j] for j in range(pairs[0][1], pairs[-1][1]) if j not in at)
+
     def _best_window(self, k: int, words: list[bytes], places) -> tuple | None:
         name, template = self.templates[k]
         size, count = len(template), self.counts[k]
@@ -173,7 +189,7 @@ class Scanner:
             window = words[start : i + size]
             pairs = align(template, window)
             cover = len(pairs) / size
-            if pairs and cover >= self.threshold:
+            if pairs and cover >= self.threshold and self._tells(k, window, pairs):
                 found = (cover, size, name, start + pairs[0][1], start + pairs[-1][1])
                 best = found if best is None or found[0] > best[0] else best
                 if cover == 1.0:

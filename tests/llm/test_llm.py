@@ -299,6 +299,28 @@ def test_every_license_template_is_found_under_its_name():
         assert scanner.scan(f"before {text} after".encode())[:2] == (name, 1.0)
 
 
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("Released under the BSD License.", "BSD line"),
+        ("Released under the Foo License.", None),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0 short line"),
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0 line"),
+        ("Licensed under CC BY-NC 3.0.", None),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0 line"),
+        ("This work is licensed under the GNU General Public License, version 7.", None),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0 line"),
+        ("This work is licensed under the GNU General Public License version 3.", "GPL-3.0 line"),
+        ("Released by us under the MIT License.", "MIT line"),
+    ],
+)
+def test_license_lines_are_told_apart(text, name):
+    assert licenses.Scanner().scan(f"before it {text} after it".encode())[0] == name
+    # templates that lack the sibling don't take its place
+    few = {k: v for k, v in licenses.TEMPLATES.items() if k in ("MIT line", "GPL-3.0 line", "CC-BY-NC-4.0 line")}
+    assert licenses.Scanner(few).scan(f"before it {text} after it".encode())[0] in (None, name)
+
+
 def test_alignment_is_common_and_increasing():
     rng = random.Random(8)
     for _ in range(200):
