@@ -12,8 +12,10 @@ as often as both have it) are left out beforehand; that bound loses nothing. Who
 in one narrow pass without a shuffle.
 
 Defined results: a null or empty text, or one that no template covers, has a null license and
-coverage 0; of equal coverages the longer template wins, then the smaller name; repeated rows are
-scanned each on their own; an empty table gives no rows.
+coverage 0 and no notices; all notices of a text are listed, of overlapping ones that with most
+matched words, then of higher coverage, then the smaller name; the license is that of the notice with
+most matched words, then the first; repeated rows are scanned each on their own; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -146,22 +148,30 @@ class Scanner:
         self.strange = [NAMES - c.keys() - (prose if b"cc" not in c else frozenset()) if len(t) < NOTICE else frozenset() for (_, t), c in zip(self.templates, self.counts, strict=True)]
         self.vocabulary = frozenset(w for c in self.counts for w in c)
 
-    def scan(self, text: bytes) -> tuple[str | None, float, int | None, int | None]:
-        """(license, coverage, first and last matched word's place) of the best template."""
+    def matches(self, text: bytes) -> list[tuple[str, float, int, int, int]]:
+        """(license, coverage, matched words, first and last matched word's place) of every notice,
+        in the order of the text. Of overlapping ones that with most matched words is kept, then
+        that of higher coverage, then the smaller name."""
         words = words_of(text)
         held = self.vocabulary.intersection(words)
-        best: tuple = (0.0, 0, "", None, None)
         possible = [k for k, c in enumerate(self.counts) if sum(n for w, n in c.items() if w in held) >= self.threshold * len(self.templates[k][1])] if held else []
-        if possible:
-            places: dict[bytes, list[int]] = defaultdict(list)
-            for i, w in enumerate(words):
-                if w in held:
-                    places[w].append(i)
-            for k in possible:
-                found = self._best_window(k, words, places)
-                if found and (found[0], found[1]) >= best[:2] and (found[:2] > best[:2] or found[2] < best[2]):
-                    best = found
-        return (best[2] or None, best[0], best[3], best[4])
+        if not possible:
+            return []
+        places: dict[bytes, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            if w in held:
+                places[w].append(i)
+        found = [m for k in possible for m in self._windows(k, words, places)]
+        kept: list[tuple[str, float, int, int, int]] = []
+        for m in sorted(found, key=lambda m: (-m[2], -m[1], m[0], m[3])):
+            at = bisect_left(kept, m[3], key=lambda x: x[3])
+            if (not at or kept[at - 1][4] < m[3]) and (at == len(kept) or m[4] < kept[at][3]):
+                kept.insert(at, m)
+        return kept
+
+    def scan(self, text: bytes) -> tuple[str | None, float, int | None, int | None]:
+        """(license, coverage, first and last matched word's place) of the best notice."""
+        return best_of(self.matches(text))
 
     def _tells(self, k: int, window: list[bytes], pairs: list[tuple[int, int]]) -> bool:
         """Whether an alignment has the template's deciding words and no other license's between."""
@@ -170,11 +180,12 @@ class Scanner:
             return False
         return self.strange[k].isdisjoint(window[j] for j in range(pairs[0][1], pairs[-1][1]) if j not in at)
 
-    def _best_window(self, k: int, words: list[bytes], places) -> tuple | None:
+    def _windows(self, k: int, words: list[bytes], places) -> Iterator[tuple[str, float, int, int, int]]:
+        """Every notice of one template, from left to right."""
         name, template = self.templates[k]
         size, count = len(template), self.counts[k]
         if sum(min(n, len(places.get(w, ()))) for w, n in count.items()) < self.threshold * size:
-            return None
+            return
         # of the words that may be lacking together one at least is there: windows around the rarest
         # words, as many of them as a covered template can't lack
         spare, rare = size - self.threshold * size, []
@@ -183,32 +194,56 @@ class Scanner:
             spare -= count[w]
             if spare < 0:
                 break
-        best = None
-        for i in sorted(p for w in rare for p in places.get(w, ())):
-            start = max(0, i - size)
-            window = words[start : i + size]
-            pairs = align(template, window)
-            cover = len(pairs) / size
-            if pairs and cover >= self.threshold and self._tells(k, window, pairs):
-                found = (cover, size, name, start + pairs[0][1], start + pairs[-1][1])
-                best = found if best is None or found[0] > best[0] else best
-                if cover == 1.0:
-                    break
-        return best
+        offsets: dict[bytes, list[int]] = defaultdict(list)
+        for o, w in enumerate(template):
+            offsets[w].append(o)
+        free = 0  # words before it belong to notices already found
+        for i, w in sorted((p, w) for w in rare for p in places.get(w, ())):
+            if i < free:
+                continue
+            start, best = max(free, i - size), None
+            whole = next((i - o for o in offsets[w] if i - o >= free and words[i - o : i - o + size] == template), None)
+            if whole is not None:  # a repeated notice has no unique words in a wider window
+                best = (name, 1.0, size, whole, whole + size - 1)
+            else:
+                window = words[start : i + size]
+                there = Counter(window)
+                if sum(min(n, there[x]) for x, n in count.items()) < self.threshold * size:
+                    continue
+                for a, b in [(0, len(window)), *((max(0, i - o - start), i - o - start + size) for o in offsets[w] if size < NOTICE)]:
+                    part = window[a:b]
+                    pairs = align(template, part)
+                    if pairs and len(pairs) >= self.threshold * size and (best is None or len(pairs) > best[2]) and self._tells(k, part, pairs):
+                        best = (name, len(pairs) / size, len(pairs), start + a + pairs[0][1], start + a + pairs[-1][1])
+            if best:
+                yield best
+                free = best[4] + 1
+
+
+def best_of(found: list[tuple[str, float, int, int, int]]) -> tuple[str | None, float, int | None, int | None]:
+    """Of a text's notices that with most matched words, then the first."""
+    if not found:
+        return (None, 0.0, None, None)
+    name, cover, _, first, last = max(found, key=lambda m: (m[2], m[1], -m[3]))
+    return (name, cover, first, last)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, license, coverage, first_word, last_word of every row."""
+    """doc_id, license, coverage, first_word, last_word of every row's best notice, and all its notices."""
+    notice = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("matched", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, threshold)
+        names = [f.name for f in notice]
         for batch in batches:
-            rows = [scanner.scan(t) for t in utf8_column(batch.column(1))]
+            found = [scanner.matches(t) for t in utf8_column(batch.column(1))]
+            rows = [best_of(m) for m in found]
             kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds))], names=["doc_id", "license", "coverage", "first_word", "last_word"])
+            listed = pa.array([[dict(zip(names, x, strict=True)) for x in m] for m in found], pa.list_(notice))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)), listed], names=["doc_id", "license", "coverage", "first_word", "last_word", "notices"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, license string, coverage double, first_word long, last_word long")
+    return rows.mapInArrow(run, "doc_id long, license string, coverage double, first_word long, last_word long, notices array<struct<license: string, coverage: double, matched: long, first_word: long, last_word: long>>")
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -321,6 +321,16 @@ def test_license_lines_are_told_apart(text, name):
     assert licenses.Scanner(few).scan(f"before it {text} after it".encode())[0] in (None, name)
 
 
+def test_all_notices_of_a_text_are_listed(spark):
+    line, mit = licenses.TEMPLATES["Apache-2.0 line"], licenses.TEMPLATES["MIT"]
+    edited = " ".join(w for k, w in enumerate(mit.split()) if k % 20)
+    rows = [(1, f"a b {line} c d {edited} e {line} {line}", "s"), (2, None, "s")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert [(n.license, n.first_word) for n in got[1].notices][0] == ("Apache-2.0 line", 2)
+    assert [n.license for n in got[1].notices] == ["Apache-2.0 line", "MIT", "Apache-2.0 line", "Apache-2.0 line"]
+    assert got[1].license == "MIT" and 0.9 < got[1].coverage < 1 and got[2].notices == []
+
+
 def test_alignment_is_common_and_increasing():
     rng = random.Random(8)
     for _ in range(200):
