@@ -67,11 +67,11 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Vocabulary:
     """Bounded tables: counts of the hot words, units of words and endings."""
 
-    def __init__(self, hot: list[tuple[bytes, int]], suffixes: list[str], total: int, distinct: int):
+    def __init__(self, hot: list[tuple[bytes, int]], suffixes: list[str], total: int, distinct: int, ends: int):
         self.hot = [w for w, _ in hot]
         self.hot_counts = np.array([c for _, c in hot], dtype=np.int64)
         self.suffixes = suffixes
-        self.total, self.distinct = total, distinct
+        self.total, self.distinct, self.ends = total, distinct, ends  # ends: the end token's count
         self.words = min(UNIT_WORDS, len(hot))
         self.end = self.words + len(suffixes) + 1
         self.units = self.end + 1
@@ -102,7 +102,7 @@ def _code(v: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, unit, ending, rest = v.tables()
         look, logs = index.__getitem__, np.log10(v.hot_counts + 1.0) - v.log_all
-        end = look(END)
+        end = float(np.log10(v.ends + 1.0)) - v.log_all
         for batch in batches:
             n_, known_, base_, units_, rare_, times_ = [], [], [], [], [], []
             for text in utf8_column(batch.column(2)):
@@ -118,8 +118,8 @@ def _code(v: Vocabulary):
                     coded[missed] = [own[w] for w in lacking]
                 hits = at[at >= 0]
                 n_.append(len(words) + 1)
-                known_.append(len(hits) + (end >= 0))
-                base_.append(float(logs[hits].sum()) + (float(logs[end]) if end >= 0 else -v.log_all))
+                known_.append(len(hits) + (v.ends > 0))
+                base_.append(float(logs[hits].sum()) + end)
                 units_.append(coded.astype("<u2").tobytes())
                 rare_.append([w.decode() for w in rare])
                 times_.append(list(rare.values()))
@@ -260,17 +260,20 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     counts = staged(rows.where(~F.col("held_out")).select("text").mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    hot = counts.orderBy(F.desc("c"), "word").limit(HOT_WORDS).toArrow()
+    end = END.decode()  # in every text, so it has its own unit and no place in the ranked tables
+    ends = counts.where(F.col("word") == end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    hot = counts.where(F.col("word") != end).orderBy(F.desc("c"), "word").limit(HOT_WORDS).toArrow()
     hot_rows = [(w.encode(), c) for w, c in zip(hot.column(0).to_pylist(), hot.column(1).to_pylist(), strict=True)]
-    units = {w.decode() for w, _ in hot_rows[:UNIT_WORDS]}
+    units = {w.decode() for w, _ in hot_rows[:UNIT_WORDS]} | {end}
     top = spark.createDataFrame([(w,) for w in sorted(units)], "word string")
     others = counts.join(F.broadcast(top), "word", "left_anti").groupBy(F.right("word", F.lit(SUFFIX_CHARS)).alias("suffix")).agg(F.sum("c").alias("c"), F.count("*").alias("n"))
     mass_all = others.agg(F.coalesce(F.sum(F.col("c") + F.col("n")), F.lit(0))).first()[0]
     endings = others.orderBy(F.desc("c"), "suffix").limit(SUFFIXES).collect()
-    v = Vocabulary(hot_rows, [r["suffix"] for r in endings], total, distinct)
+    v = Vocabulary(hot_rows, [r["suffix"] for r in endings], total, distinct, ends)
     mass = np.zeros(v.units)
     for i, (w, c) in enumerate(hot_rows[:UNIT_WORDS]):
-        mass[v.end if w == END else i] += c + 1
+        mass[i] = c + 1
+    mass[v.end] = ends + 1 if ends else 0
     for i, r in enumerate(endings):
         mass[v.words + i] = r["c"] + r["n"]
     mass[v.end - 1] = mass_all - sum(r["c"] + r["n"] for r in endings)

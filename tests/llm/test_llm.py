@@ -360,6 +360,21 @@ def test_brown_beats_the_unigram_on_two_languages(spark):
     assert got.s > got.b + 100
 
 
+def test_brown_end_token_rarer_than_the_ranked_words(spark, monkeypatch):
+    monkeypatch.setattr(brown, "UNIT_WORDS", 4)
+    monkeypatch.setattr(brown, "HOT_WORDS", 8)
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(WORDS[:20]) for _ in range(200)), "s") for i in range(20)]
+    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    tok = lambda t: t.encode().split() + [b" "]
+    c = collections.Counter(w for i, t, _ in rows if not out(i) for w in tok(t))
+    n, v = sum(c.values()), len(c)
+    got = {r.doc_id: r for r in brown.score(frame(spark, rows), toxicity.id_crc() % 7 == 2).collect()}
+    for i, t, _ in rows:
+        assert got[i].n_known == sum(c[w] > 0 for w in tok(t)) and math.isfinite(got[i].score) and got[i].score <= 0
+        assert got[i].base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tok(t)))
+
+
 def test_exchange_moves_a_word_to_its_language():
     owner = np.array([0, 0, 1, 0, 2])  # units 0, 1 follow each other, and 2, 3 do; 3 is misplaced
     after = np.array([[100, 0, 0], [100, 0, 0], [50, 50, 0], [50, 50, 0], [0, 0, 0]])
