@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import staged
+from spindrift.llm.common import staged, unstaged
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges``: a, b (long). Returns node, label; label is the smallest node of the component.
+    """``edges``: a, b (long). Returns node, label (and old); label is the smallest node of the component.
 
     Each round every node takes the smallest label around it (a min per node, summed up before
     the shuffle), then its label's label; rounds grow with the logarithm of a path's length.
@@ -21,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
         nearer = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jumped = nearer.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left")
         step = staged(jumped.select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "old"), "labels")
-        moved = step.where("label != old").limit(1).count()
-        labels = step.select("node", "label")
-        if not moved:
+        unstaged(labels)
+        labels = step
+        if not step.where("label != old").limit(1).count():
+            unstaged(both)
             return labels

@@ -5,21 +5,27 @@
    shingles fall into each of ``GROUPS`` hash groups.
 2. Blocks. Two sets that reach the threshold share one of their first n - ceil(.8 n) + 1 shingles
    in any common order of all shingles. The order used is by an approximate document frequency
-   (a table of 2**``SKETCH_BITS`` counters over all classes), then by hash: common passages come
+   (a table of 2**``SKETCH_BITS`` counters over all documents), then by hash: common passages come
    last, so they fill no block unless a text consists of them. Any order gives the same result.
 3. In a block, count vectors are points of an R-tree. A node keeps the largest coordinates and the
    smallest set below it; since an overlap is at most the sum of coordinate minima, a subtree (or
-   a pair) whose bound misses the threshold is left out.
-4. Surviving pairs are verified on the sets themselves.
-
-Large blocks are cut into cells of about ``CELL`` rows. First a block's rows are compared with its
-most central one (found by cells, then by cells of cells), which joins groups of near copies
-without comparing all their pairs; then every pair of
-a block that isn't yet in one component is compared, cell against cell. A pair already in one
-component needs no comparison, any other isn't left out: components are exact.
+   a pair) whose bound misses the threshold is left out. What a block sends on is not its pairs but
+   its *candidate groups*: the members of each component of surviving pairs, one row a member.
+4. A candidate group's sets meet in one task, which verifies the surviving pairs on the sets
+   themselves and returns a spanning forest of the links, at most one a member. A pair whose two
+   sets are linked already, over others, needs no comparison; any other isn't left out.
+
+Blocks of more than ``SMALL_BLOCK`` rows are cut into cells of about ``CELL`` rows. First the rows
+of one in ``PIVOT_SHARE`` such blocks are compared with the block's most central one (found by
+cells, then by cells of cells), which joins most members of a group of near copies by one link
+each. Then the blocks that aren't yet in one component are done cell against cell, as in 3 and 4;
+rows of one component need no comparison. Components are exact. The work on a group of near copies
+grows with the members its centre doesn't reach times all its members; what is sent on never does.
 
 Nothing but counters of fixed size reaches the driver. Texts never move: each pass over them gives
-narrow rows, and only sets of classes that share a block are shuffled.
+narrow rows, and only sets of candidate groups and of large blocks are shuffled. A class is named
+by 64 bits of its digest; where two different sets share them (looked up over all classes), both
+are named by the other 64 bits.
 
 Defined results: a text without words (or null) has no shingles, links with nothing and is its own
 component; fewer than five words are one shingle; repeated rows are one class; a class without any
@@ -36,18 +42,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import staged, table, utf8_column
+from spindrift.llm.common import staged, table, unstaged, utf8_column
 from spindrift.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
 GROUPS, SKETCH_BITS = 512, 20
-SMALL_BLOCK, CELL, FANOUT, FANIN = 32, 256, 16, 256
+SMALL_BLOCK, CELL, CELL_SHINGLES, FANOUT, FANIN = 32, 256, 1 << 20, 16, 256
+#: Shared names of sets the driver looks at (about 70 are to be expected among 5 * 10**10 sets).
+MOST_SHARED = 10_000
 #: Of the shingles of a large block, one in so many serves the pivot round.
 PIVOT_SHARE = 8
 #: A shingle counted more often than this is dealt over several tasks.
 HEAVY = 1_000_000
 SALTS = 64
-CHUNK_BYTES = 1 << 20
+#: Figures of one large block are joined to its rows by (block, one of so many salts).
+SPREAD = 16
+#: Texts hashed together, rows taken from a batch at once, and names a task remembers to spare repeats: bounds of memory.
+CHUNK_BYTES, SLICE, REMEMBERED = 1 << 18, 1024, 1 << 16
 
 _U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -130,6 +141,35 @@ def identity(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, len(batch), SLICE):
+            yield batch.slice(i, SLICE)
+
+
+class Names:
+    """Of the sets of a task, the names not met before (as far as they are remembered)."""
+
+    def __init__(self, bits: int, shared: frozenset[int]):
+        self.mask, self.shared, self.met = (1 << bits) - 1 if bits < 64 else -1, shared, set()
+
+    def both(self, s: np.ndarray) -> tuple[int, int]:
+        first, second = identity(s)
+        return first & self.mask, second
+
+    def of(self, s: np.ndarray) -> int:
+        first, second = self.both(s)
+        return second if first in self.shared else first
+
+    def fresh(self, name) -> bool:
+        if name in self.met:
+            return False
+        if len(self.met) >= REMEMBERED:
+            self.met.clear()
+        self.met.add(name)
+        return True
+
+
 def cell_of(h: np.ndarray) -> np.ndarray:
     return (h >> _U(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -162,33 +202,34 @@ def reaches(overlap, both) -> np.ndarray:
 SEEN = "kind int, doc_id long, n long, node long, node2 long, data binary"
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _described(bits: int):
     """Kind 0: a document. Kind 1: a block of the task's document frequencies (node: its number)."""
-    seen: set[tuple[int, int]] = set()
-    counts = np.zeros(1 << SKETCH_BITS, np.int32)
 
     def out(rows) -> pa.RecordBatch:
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "doc_id", "n", "node", "node2", "data"])
 
-    for batch in batches:
-        rows, met = [], []
-        for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(list(utf8_column(batch.column(1)))), strict=True):
-            if not len(s):
-                rows.append((0, doc, 0, None, None, None))
-                continue
-            who = identity(s)
-            rows.append((0, doc, len(s), *who, count_vector(s)))
-            if who not in seen:
-                seen.add(who)
-                met.append(cell_of(s))
-        if met:
-            cells, times = np.unique(np.concatenate(met), return_counts=True)
-            counts[cells] += times.astype(np.int32)
-        if rows:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = Names(bits, frozenset())
+        counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        for batch in slices(batches):
+            rows, met = [], []
+            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(list(utf8_column(batch.column(1)))), strict=True):
+                if not len(s):
+                    rows.append((0, doc, 0, None, None, None))
+                    continue
+                who = names.both(s)
+                rows.append((0, doc, len(s), *who, count_vector(s)))
+                if names.fresh(who):
+                    met.append(cell_of(s))
+            if met:
+                cells, times = np.unique(np.concatenate(met), return_counts=True)
+                counts[cells] += times.astype(np.int32)
             yield out(rows)
-    step = len(counts) // 16
-    yield out([(1, None, None, i, None, counts[i * step : (i + 1) * step].astype("<i8").tobytes()) for i in range(16)])
+        step = len(counts) // 16
+        yield out([(1, None, None, i, None, counts[i * step : (i + 1) * step].astype("<i8").tobytes()) for i in range(16)])
+
+    return run
 
 
 def _sums(t: pa.Table) -> pa.Table:
@@ -203,18 +244,15 @@ def frequencies(seen: DataFrame) -> np.ndarray:
     return np.concatenate([found[i] for i in range(16)]) if found else np.zeros(1 << SKETCH_BITS, np.int64)
 
 
-def _prefixes(sketch: np.ndarray):
+def _prefixes(sketch: np.ndarray, bits: int, shared: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
+        names = Names(bits, shared)
+        for batch in slices(batches):
             hs, nodes = [], []
             for s in shingle_sets(list(utf8_column(batch.column(0)))):
-                if not len(s) or (who := identity(s)[0]) in seen:
-                    continue
-                seen.add(who)
-                p = prefix(s, sketch)
-                hs.append(p)
-                nodes.append(np.full(len(p), who))
+                if len(s) and names.fresh(who := names.of(s)):
+                    hs.append(prefix(s, sketch))
+                    nodes.append(np.full(len(hs[-1]), who))
             if hs:
                 h = np.concatenate(hs)
                 heavy = sketch[cell_of(h)] > HEAVY
@@ -272,14 +310,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _sets_of(wanted: np.ndarray):
+def _sets_of(wanted: np.ndarray, bits: int, shared: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
-        for batch in batches:
+        names = Names(bits, shared)
+        for batch in slices(batches):
             nodes, sets = [], []
             for s in shingle_sets(list(utf8_column(batch.column(0)))):
-                if len(s) and (who := identity(s)[0]) not in done and wanted[who & (len(wanted) - 1)]:
-                    done.add(who)
+                if len(s) and wanted[(who := names.of(s)) & (len(wanted) - 1)] and names.fresh(who):
                     nodes.append(who)
                     sets.append(s.tobytes())
             if nodes:
@@ -337,30 +374,104 @@ def _points(t: pa.Table):
     return np.asarray(t.column("node")), np.asarray(t.column("n")), vectors_of(t.column("data").to_pylist())
 
 
-def _pairs(a: list[int], b: list[int]) -> pa.Table:
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
 def _distance(vectors: np.ndarray, total: np.ndarray, n: int) -> np.ndarray:
     """L1 distances from the mean of n vectors of that sum."""
     return np.abs(vectors - total / n).sum(1)
 
 
-def _small_block(t: pa.Table) -> pa.Table:
-    """All pairs of a very small block; else its most central row against the others."""
-    nodes, sizes, vectors = _points(t)
-    if len(nodes) <= 4:
-        asked = range(len(nodes))
-    else:
-        order = np.lexsort((nodes, _distance(vectors, vectors.sum(0), len(nodes))))
-        asked = order[:1].tolist()
-    tree, a, b = CountTree(vectors, sizes), [], []
-    for i in asked:
-        for j in tree.search(vectors[i], sizes[i]).tolist():
-            if i != j:
-                a.append(int(min(nodes[i], nodes[j])))
-                b.append(int(max(nodes[i], nodes[j])))
-    return _pairs(a, b)
+class Forest:
+    """Disjoint groups of rows 0..n-1."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.parent[max(i, j)] = min(i, j)
+        return i != j
+
+    def groups(self) -> list[list[int]]:
+        """Those of more than one row."""
+        found: dict[int, list[int]] = {}
+        for i in range(len(self.parent)):
+            found.setdefault(self.root(i), []).append(i)
+        return [g for g in found.values() if len(g) > 1]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The runs of rows of equal first column (a long), also those that go on in another batch."""
+    held, parts = None, []
+    for batch in batches:
+        key = np.asarray(batch.column(0))
+        cuts = np.flatnonzero(np.diff(key)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+            if a == b:
+                continue
+            if parts and key[a] != held:
+                yield pa.Table.from_batches(parts)
+                parts = []
+            held = key[a]
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+GROUPED = "members array<long>, labels array<long>"
+
+
+def _grouped(found: list[tuple[list[int], list[int]]]) -> pa.RecordBatch:
+    kind = pa.list_(pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i in range(2)], names=["members", "labels"])
+
+
+def _near_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate groups of small blocks: rows (h, node, n, data) sorted by h."""
+    found = []
+    for block in _runs(batches):
+        nodes, sizes, vectors = _points(block)
+        tree, forest = CountTree(vectors, sizes), Forest(len(nodes))
+        for i in range(len(nodes)):
+            for j in tree.search(vectors[i], sizes[i]).tolist():
+                forest.join(i, j)
+        for g in forest.groups():
+            members = sorted(nodes[g].tolist())
+            found.append((members, members))
+        if len(found) >= SLICE:
+            yield _grouped(found)
+            found = []
+    yield _grouped(found)
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links of each candidate group, rows (g, node, label, set) sorted by
+    g; members of one label are linked already."""
+    a, b = [], []
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for group in _runs(batches):
+        nodes, labels = np.asarray(group.column("node")), np.asarray(group.column("label"))
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+        sizes, vectors = np.array([len(s) for s in sets]), vectors_of([count_vector(s) for s in sets])
+        tree, forest, first = CountTree(vectors, sizes), Forest(len(nodes)), {}
+        for i, label in enumerate(labels.tolist()):
+            forest.join(first.setdefault(label, i), i)
+        for i in range(len(nodes)):
+            for j in tree.search(vectors[i], sizes[i]).tolist():
+                if i < j and forest.root(i) != forest.root(j) and linked(sets[i], sets[j]):
+                    forest.join(i, j)
+                    a.append(int(nodes[i]))
+                    b.append(int(nodes[j]))
+        if len(a) >= SLICE:
+            yield out()
+            a, b = [], []
+    yield out()
 
 
 CENTRE = "h long, part long, node long, n long, data binary, total binary, rows long"
@@ -392,6 +503,14 @@ def _near_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep])], names=["a", "b"])
 
 
+def _met(rows: DataFrame, figures: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows (h, node, ...) of large blocks with their block's figures, one row an h: joined by
+    (h, salt), so that no block's rows meet in one task."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int"))
+    spread = figures.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return salted.join(spread, ["h", "salt"], how).drop("salt")
+
+
 def _pivot_pairs(rows: DataFrame, points: DataFrame) -> DataFrame:
     """Each row (h, node, parts) of large blocks with its block's most central row: centres of
     cells first, then centres of FANIN centres at a time."""
@@ -399,141 +518,165 @@ def _pivot_pairs(rows: DataFrame, points: DataFrame) -> DataFrame:
     centres = staged(placed.groupBy("h", "part").applyInArrow(_centre, CENTRE), "centres")
     most = rows.agg(F.coalesce(F.max("parts"), F.lit(1))).first()[0]
     while most > 1:
-        most = -(-most // FANIN)
-        centres = staged(centres.withColumn("part", F.floor(F.col("part") / FANIN).cast("long")).groupBy("h", "part").applyInArrow(_centre, CENTRE), "centres")
+        most, finer = -(-most // FANIN), centres
+        centres = staged(finer.withColumn("part", F.floor(F.col("part") / FANIN).cast("long")).groupBy("h", "part").applyInArrow(_centre, CENTRE), "centres")
+        unstaged(finer)
     pivots = centres.select("h", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("data").alias("pivot_data"))
-    return placed.join(pivots, "h").select("node", "n", "data", "pivot", "pivot_n", "pivot_data").mapInArrow(_near_pivot, "a long, b long")
+    return _met(placed, pivots).select("node", "n", "data", "pivot", "pivot_n", "pivot_data").mapInArrow(_near_pivot, "a long, b long").distinct()
 
 
 def _across(t: pa.Table) -> pa.Table:
-    """Pairs of a cell that lie in different components; side 0 meets side 1, or, where the cell
-    has one side only, its rows meet each other."""
+    """Candidate groups of a cell, of pairs in different components; side 0 meets side 1, or, where
+    the cell has one side only, its rows meet each other."""
     nodes, sizes, vectors = _points(t)
     label, side = np.asarray(t.column("label")), np.asarray(t.column("side"))
     ask = np.flatnonzero(side == 0)
-    held = np.flatnonzero(side == 1)
-    one = bool(t.column("alone")[0].as_py())
-    held = ask if one else held
-    if not len(ask) or not len(held):
-        return _pairs([], [])
-    tree, a, b = CountTree(vectors[held], sizes[held]), [], []
-    for i in ask.tolist():
-        for j in held[tree.search(vectors[i], sizes[i])].tolist():
-            if label[i] != label[j] and (not one or nodes[i] < nodes[j]):
-                a.append(int(min(nodes[i], nodes[j])))
-                b.append(int(max(nodes[i], nodes[j])))
-    return _pairs(a, b)
+    held = ask if bool(t.column("alone")[0].as_py()) else np.flatnonzero(side == 1)
+    forest = Forest(len(nodes))
+    if len(ask) and len(held):
+        tree = CountTree(vectors[held], sizes[held])
+        for i in ask.tolist():
+            for j in held[tree.search(vectors[i], sizes[i])].tolist():
+                if label[i] != label[j]:
+                    forest.join(i, j)
+    return pa.Table.from_batches([_grouped([(nodes[g].tolist(), label[g].tolist()) for g in forest.groups()])])
+
+
+def linked(s: np.ndarray, t: np.ndarray) -> bool:
+    if len(s) > len(t):
+        s, t = t, s
+    at = np.searchsorted(t, s)
+    at[at == len(t)] = 0
+    return bool(reaches(int((t[at] == s).sum()), len(s) + len(t)))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if len(s) > len(t):
-                s, t = t, s
-            at = np.searchsorted(t, s)
-            at[at == len(t)] = 0
-            keep.append(bool(reaches(int((t[at] == s).sum()), len(s) + len(t))))
+    for batch in slices(batches):
+        pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among some pairs, of which each row of a block has one at most."""
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     both = with_a.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(_verified, "a long, b long")
 
 
-# ---------------------------------------------------------------------------- the join
+def _links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Spanning forests of the links in candidate groups. Near copies meet in many blocks, but in
+    few different groups."""
+    members = groups.distinct().select(F.xxhash64("members", "labels").alias("g"), F.explode(F.arrays_zip("members", "labels")).alias("m")).select("g", F.col("m.members").alias("node"), F.col("m.labels").alias("label"))
+    rows = members.join(sets, "node").select("g", "node", "label", "set")
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_forests, "a long, b long").distinct()
+
+
+def _cells(large: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
+    """Candidate groups of large blocks that aren't in one component yet. A block's largest
+    component (side 1) and its other rows (side 0) are cut into parts of about CELL rows and
+    CELL_SHINGLES shingles; parts of side 0 meet all parts of side 1 and each other."""
+    labelled = large.join(labels, "node", "left").join(points, "node").withColumn("label", F.coalesce("label", "node"))
+    rows = staged(labelled.select("h", "node", "n", "data", "label"), "large-labelled")
+    per = rows.groupBy("h", "label").agg(F.count("*").alias("count"), F.sum("n").alias("shingles"))
+    most = per.groupBy("h").agg(F.max(F.struct("count", "label", "shingles")).alias("top"), F.sum("count").alias("m"), F.sum("shingles").alias("s"))
+    cut = lambda m, s: F.greatest(F.lit(1), F.ceil(m / CELL), F.ceil(s / CELL_SHINGLES)).cast("int")
+    figures = most.where(F.col("m") > F.col("top.count")).select("h", F.col("top.label").alias("top"), cut(F.col("m") - F.col("top.count"), F.col("s") - F.col("top.shingles")).alias("p0"), cut(F.col("top.count"), F.col("top.shingles")).alias("p1"))
+    r = _met(rows, figures).withColumn("side", (F.col("label") == F.col("top")).cast("int"))
+    r = r.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 1, F.col("p1")).otherwise(F.col("p0"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    keep = ["h", "x", "y", "alone", "side", "node", "n", "data", "label"]
+    zero, one = r.where("side = 0"), r.where("side = 1")
+    to_top = zero.withColumn("x", F.col("part")).withColumn("y", F.explode(upto("p1"))).withColumn("alone", F.lit(False)).select(keep)
+    top = one.withColumn("y", F.col("part")).withColumn("x", F.explode(upto("p0"))).withColumn("alone", F.lit(False)).select(keep)
+    # parts of side 0 with each other: part i meets j as (i, j), i < j with i on side 0 and j on side 1
+    other = zero.withColumn("z", F.explode(upto("p0"))).withColumn("x", F.least("part", "z")).withColumn("y", -1 - F.greatest("part", "z"))
+    other = other.withColumn("alone", F.col("x") == -1 - F.col("y")).withColumn("side", F.when(~F.col("alone") & (F.col("part") > F.col("z")), 1).otherwise(0)).select(keep)
+    cells = to_top.unionByName(top).unionByName(other)
+    found = staged(cells.groupBy("h", "x", "y").applyInArrow(_across, GROUPED), "cell-groups")
+    unstaged(rows)
+    return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen = staged(texts.mapInArrow(_described, SEEN), "shingle-sets")
-    rows = seen.where("kind = 0")
-    classes = staged(rows.where("n > 0").groupBy("node", "node2").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("data").alias("data")), "classes")
-    if classes.groupBy("node").count().where("count > 1").limit(1).count():
-        raise ValueError("two sets share a 64-bit digest; hash again with other constants")
-    sketch = frequencies(seen)
+# ---------------------------------------------------------------------------- the join
+
 
-    prefixes = texts.select("text").mapInArrow(_prefixes(sketch), "h long, node long, heavy boolean")
+def _blocks(texts: DataFrame, sketch: np.ndarray, bits: int, shared: frozenset[int]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Small blocks (members), rows (h, node) of large ones, and the tables these are read from."""
+    prefixes = texts.select("text").mapInArrow(_prefixes(sketch, bits, shared), "h long, node long, heavy boolean")
     place = F.when(F.col("heavy"), F.pmod(F.col("node"), F.lit(SALTS))).otherwise(F.lit(0))
     dealt = prefixes.select("h", "node", "heavy", place.alias("place")).repartition("h", "place").sortWithinPartitions("h", "node")
-    shared = staged(dealt.select("h", "node", "heavy").mapInArrow(_shared, "members array<long>, h long, node long, heavy boolean"), "blocks")
-    small = shared.where("members is not null").select("members")
-    large = shared.where("members is null and not heavy").select("h", "node").distinct()
-    if (sketch > HEAVY).any():  # shingles dealt over several tasks: their members are counted over all of them
-        spread = staged(shared.where("heavy").select("h", "node").distinct(), "heavy-rows")
-        sums = spread.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-        counted = spread.join(sums, "h")
-        few = counted.where(F.col("m") <= SMALL_BLOCK).groupBy("h").agg(F.sort_array(F.collect_set("node")).alias("members"))
-        small = small.unionByName(few.select("members"))
-        large = large.unionByName(counted.where(F.col("m") > SMALL_BLOCK).select("h", "node"))
-    small = small.distinct()
-    # one row per block and member; near copies share many shingles, but few different blocks
-    listed = small.select(F.xxhash64("members").alias("h"), F.explode("members").alias("node"))
-    blocks = staged(listed.withColumn("large", F.lit(False)).unionByName(large.withColumn("large", F.lit(True))), "block-rows")
-
-    cells = blocks.select(F.pmod(F.col("node"), F.lit(1 << SKETCH_BITS)).cast("int").alias("cell")).distinct().toArrow()
+    parted = staged(dealt.select("h", "node", "heavy").mapInArrow(_shared, "members array<long>, h long, node long, heavy boolean"), "blocks")
+    small = parted.where("members is not null").select("members")
+    large = parted.where("members is null and not heavy").select("h", "node").distinct()
+    if not (sketch > HEAVY).any():
+        return small.distinct(), large, [parted]
+    # shingles dealt over several tasks: their members are counted over all of them
+    spread = staged(parted.where("heavy").select("h", "node").distinct(), "heavy-rows")
+    counted = _met(spread, spread.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
+    few = counted.where(F.col("m") <= SMALL_BLOCK).groupBy("h").agg(F.sort_array(F.collect_set("node")).alias("members"))
+    return small.unionByName(few.select("members")).distinct(), large.unionByName(counted.where(F.col("m") > SMALL_BLOCK).select("h", "node")), [parted, spread]
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, bits: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The result, and the tables it is read from."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    seen = staged(texts.mapInArrow(_described(bits), SEEN), "shingle-sets")
+    rows = seen.where("kind = 0")
+    every = staged(rows.where("n > 0").groupBy("node", "node2").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("data").alias("data")), "classes")
+    twice = [r[0] for r in every.groupBy("node").count().where("count > 1").select("node").limit(MOST_SHARED + 1).collect()]
+    if len(twice) > MOST_SHARED:
+        raise ValueError(f"more than {MOST_SHARED} names of sets are shared")
+    name = F.when(F.col("node").isin(twice), F.col("node2")).otherwise(F.col("node")) if twice else F.col("node")
+    rows, classes = rows.withColumn("node", name), every.withColumn("node", name)
+    if twice and classes.groupBy("node").count().where("count > 1").limit(1).count():
+        raise ValueError("two sets share both halves of their digests' names")
+    shared, sketch, points = frozenset(twice), frequencies(seen), classes.select("node", "n", "data")
+
+    small, large_rows, parts = _blocks(texts, sketch, bits, shared)
+    listed = small.select(F.xxhash64("members").alias("h"), F.explode("members").alias("node")).join(points, "node").select("h", "node", "n", "data")
+    groups = staged(listed.repartition("h").sortWithinPartitions("h").mapInArrow(_near_groups, GROUPED).distinct(), "near-groups")
+    large = staged(large_rows, "large-blocks")
+    unstaged(*parts)
+
+    needed = groups.select(F.explode("members").alias("node")).unionByName(large.select("node"))
+    cells = needed.select(F.pmod(F.col("node"), F.lit(1 << SKETCH_BITS)).cast("int").alias("cell")).distinct().toArrow()
     wanted = np.zeros(1 << SKETCH_BITS, bool)  # of fixed size; a class let in for nothing meets no pair
     wanted[np.asarray(cells.column(0))] = True
-    sets = staged(texts.select("text").mapInArrow(_sets_of(wanted), "node long, set binary").dropDuplicates(["node"]), "sets")
-
-    points = classes.select("node", "n", "data")
-    size = blocks.where("large").groupBy("h").count().withColumnRenamed("count", "m")
-    sized = blocks.join(size, "h", "left").withColumn("parts", F.ceil(F.coalesce("m", F.lit(1)) / CELL).cast("int"))
-    tiny = sized.where(~F.col("large")).join(points, "node").groupBy("h").applyInArrow(_small_block, "a long, b long")
-    chosen = sized.where(F.col("large") & (F.pmod(F.xxhash64("h"), F.lit(PIVOT_SHARE)) == 0)).select("h", "node", "parts")
-    tried = staged(tiny.unionByName(_pivot_pairs(chosen, points)).distinct(), "pivot-pairs")
-    links = staged(_verify(tried, sets), "pivot-links")
+    sets = staged(texts.select("text").mapInArrow(_sets_of(wanted, bits, shared), "node long, set binary").dropDuplicates(["node"]), "sets")
 
+    size = large.groupBy("h").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    chosen = _met(large, size.where(F.pmod(F.xxhash64("h"), F.lit(PIVOT_SHARE)) == 0))
+    links = staged(_links(groups, sets).unionByName(_verify(_pivot_pairs(chosen, points), sets)), "links")
     labels = components(links)
-    labelled = sized.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed_blocks = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("h")
-    open_ = staged(labelled.join(mixed_blocks, "h", "left_semi").select("h", "node", "label"), "open-blocks")
-    left = staged(_remaining(open_, points, tried), "open-pairs")
-    links = links.unionByName(_verify(left, sets))
-    labels = components(staged(links, "links"))
-
-    full = classes.join(labels, "node", "left").select("node", "node2", "first_id", F.coalesce("label", "node").alias("label"))
+    if large.limit(1).count():
+        across = _cells(large, labels, points)
+        more = staged(links.unionByName(_links(across, sets)), "links")
+        unstaged(links, labels, across)
+        links, labels = more, components(more)
+    unstaged(groups, large, sets, links)
+
+    full = classes.join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
     whole = full.groupBy("label").agg(F.min("first_id").alias("component_id"))
     member = full.join(whole, "label").select("node", "component_id")
-    return rows.select("doc_id", "n", "node").join(member, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "n", "node").join(member, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), [seen, every, labels]
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row. ``name_bits``: see the head of the module."""
+    return _found(docs, id_col, text_col, name_bits)[0]
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of smallest doc_id of each component, all their columns; of identical rows one."""
-    found = near_duplicates(docs)
+    found, parts = _found(docs, "doc_id", "text", 64)
     kept = staged(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct(), "kept-ids")
+    unstaged(*parts)
     mine = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))).withColumn("kept_hash", F.xxhash64("text"))
     first = Window.partitionBy("doc_id", "kept_hash").orderBy("kept_id")
     return mine.withColumn("kept_nth", F.row_number().over(first)).where("kept_nth = 1").select(*docs.columns)
 
 
-def _remaining(rows: DataFrame, points: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of one block and two components, by the tree. A block's largest component (side 1)
-    and its other rows (side 0) are cut into parts of about CELL rows; parts of side 0 meet all
-    parts of side 1 and each other."""
-    per = rows.groupBy("h", "label").count()
-    most = per.groupBy("h").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("m")).select("h", F.col("top.label").alias("top"), F.col("top.count").alias("n1"), (F.col("m") - F.col("top.count")).alias("n0"))
-    cut = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / CELL)).cast("int")
-    r = rows.join(most, "h").withColumn("side", (F.col("label") == F.col("top")).cast("int")).withColumn("p0", cut("n0")).withColumn("p1", cut("n1"))
-    part = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 1, F.col("p1")).otherwise(F.col("p0"))).cast("int")
-    r = r.withColumn("part", part).join(points, "node")
-    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    keep = ["h", "x", "y", "alone", "side", "node", "n", "data", "label"]
-    zero, one = r.where("side = 0"), r.where("side = 1")
-    to_top = zero.withColumn("x", F.col("part")).withColumn("y", F.explode(upto("p1"))).withColumn("alone", F.lit(False)).select(keep)
-    top = one.withColumn("y", F.col("part")).withColumn("x", F.explode(upto("p0"))).withColumn("alone", F.lit(False)).select(keep)
-    # parts of side 0 with each other: part i meets j as (i, j), i < j with i on side 0 and j on side 1
-    other = zero.withColumn("z", F.explode(upto("p0"))).withColumn("x", F.least("part", "z")).withColumn("y", -1 - F.greatest("part", "z"))
-    other = other.withColumn("alone", F.col("x") == -1 - F.col("y")).withColumn("side", F.when(~F.col("alone") & (F.col("part") > F.col("z")), 1).otherwise(0)).select(keep)
-    cells = to_top.unionByName(top).unionByName(other)
-    found = cells.groupBy("h", "x", "y").applyInArrow(_across, "a long, b long").distinct()
-    return found.join(tried, ["a", "b"], "left_anti")
-
-
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

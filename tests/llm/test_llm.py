@@ -238,6 +238,26 @@ def test_jaccard_heavy_shingles_meet_over_all_places(spark, monkeypatch):
             spark.conf.set(k, v)
 
 
+def test_jaccard_shared_names_are_told_apart(docs, monkeypatch):
+    """Names of so few bits that most sets share theirs with another."""
+    assert sorted(str(tuple(r)) for r in jaccard.near_duplicates(docs, name_bits=4).collect()) == brute_components(odd_rows())
+
+
+def test_candidate_groups_and_forests_over_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[k % 3 :], rng.integers(0, 1 << 63, 3).astype(np.uint64)])) for k in range(9)] + [rng.integers(0, 1 << 63, 60).astype(np.uint64)]
+    data = [jaccard.count_vector(s) for s in sets]
+    block = pa.RecordBatch.from_arrays([pa.array([7] * 10), pa.array(range(10)), pa.array([len(s) for s in sets]), pa.array(data, pa.binary())], names=["h", "node", "n", "data"])
+    found = [m for b in jaccard._near_groups(iter([block.slice(0, 4), block.slice(4)])) for m in b.column(0).to_pylist()]
+    assert found == [list(range(9))]
+    group = pa.RecordBatch.from_arrays([pa.array([1] * 9), pa.array(range(9)), pa.array([0, 0, 2, 3, 4, 5, 6, 7, 8]), pa.array([np.sort(s).tobytes() for s in sets[:9]], pa.binary())], names=["g", "node", "label", "set"])
+    links = [tuple(r.values()) for b in jaccard._forests(iter([group.slice(0, 5), group.slice(5)])) for r in b.to_pylist()]
+    assert len(links) == 7 and {x for pair in links for x in pair} >= set(range(2, 9))
+
+
 def test_count_tree_loses_nothing():
     rng = np.random.default_rng(3)
     sets = [set(rng.choice(900, rng.integers(5, 200), replace=False).tolist()) for _ in range(150)]
