@@ -2,7 +2,8 @@
 
 Training (bounded): at most ``TRAIN_ROWS`` vectors, those of smallest md5 of the id, fit the
 coarse centroids (k-means) and, on their residuals, one codebook of 256 entries per sub-vector.
-The number of lists grows with the square root of the rows. How many of them a query visits is
+The number of lists grows with the square root of the rows. Rows are placed and queries dealt in
+blocks of bounded memory. How many of them a query visits is
 measured on the sample: the fewest that hold ``TARGET`` of its rows' exact neighbours. Clustered
 vectors need few; vectors without any structure need most.
 
@@ -13,8 +14,10 @@ centroid inner product. In a part, asymmetric distance tables score the codes; t
 (and k at least; ties to the smaller id) are rescored exactly from the original vectors in double precision, and
 the part's best k go on to one window over all parts of the query.
 
-Vectors that are null, all zero, or hold null or non-finite components take no part. Repeated
-rows are separate candidates (a query's own id is none). A table with fewer candidates than k
+Vectors that are null, all zero, or hold null or non-finite components take no part, nor do those
+of another length than the commonest (of several such lengths, the smallest). Repeated
+rows are separate candidates (a query's own id is none), but ask once; a query id with several
+vectors gets the nearest found for any of them. A table with fewer candidates than k
 returns all of them: below ``LEAST_PROBES`` lists every list is visited, and RERANK exceeds k.
 """
 
@@ -34,9 +37,11 @@ TRAIN_ROWS, ROUNDS = 16_384, 12
 BOOK_ROWS, BOOK_ROUNDS = 8_192, 8
 SUBVECTORS, CODES = 16, 256
 #: Probes are the fewest lists that hold this share of the sample's own neighbours; RERANK is by part.
-TARGET, LEAST_PROBES, RERANK = 0.97, 8, 64
+TARGET, LEAST_PROBES, RERANK = 0.95, 8, 64
 ASKED = 256
 PART_ROWS = 2048
+#: Distances computed at once, and rows put out at once: bounds of memory.
+DISTANCES, OUT_ROWS = 1 << 21, 1 << 14
 #: Queries scored together: bounds the distance tables in memory.
 BLOCK = 256
 
@@ -65,6 +70,11 @@ def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * (x @ centers.T) + (centers * centers).sum(1)
 
 
+def nearest_centre(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    step = max(1, DISTANCES // len(centers))
+    return np.concatenate([_distances(x[i : i + step], centers).argmin(1) for i in range(0, len(x), step)])
+
+
 class Quantiser:
     """Coarse centroids and residual codebooks."""
 
@@ -74,11 +84,11 @@ class Quantiser:
         m = max(d for d in range(1, SUBVECTORS + 1) if dim % d == 0)
         self.split = (m, dim // m)
         sample = sample[:BOOK_ROWS]
-        residuals = sample - self.centers[_distances(sample, self.centers).argmin(1)]
+        residuals = sample - self.centers[nearest_centre(sample, self.centers)]
         self.books = [kmeans(residuals[:, i * self.split[1] : (i + 1) * self.split[1]], CODES, BOOK_ROUNDS, 11 + i) for i in range(m)]
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = _distances(x, self.centers).argmin(1)
+        own = nearest_centre(x, self.centers)
         residuals, width = x - self.centers[own], self.split[1]
         codes = np.stack([_distances(residuals[:, i * width : (i + 1) * width], b).argmin(1) for i, b in enumerate(self.books)], 1)
         return own, codes.astype(np.uint8)
@@ -92,7 +102,7 @@ class Quantiser:
         score = asked @ sample.T
         score[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
         near = np.argsort(-score, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
-        own = _distances(sample, self.centers).argmin(1)
+        own = nearest_centre(sample, self.centers)
         rank = np.argsort(self.probes(asked, len(self.centers)), axis=1)
         met = np.bincount(np.take_along_axis(rank, own[near], 1).ravel(), minlength=len(self.centers)).cumsum()
         return int(np.searchsorted(met, target * met[-1])) + 1
@@ -106,10 +116,10 @@ class Quantiser:
         return out
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+def usable(vectors: DataFrame, is_query, id_col: str, vector_col: str) -> DataFrame:
     v = F.col(vector_col).cast("array<double>")
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -131,14 +141,17 @@ def _place(model: Quantiser, parts: list[int], want: int):
             part = salt % n[own]
             yield _placed(own, part, np.zeros(len(ids), np.int8), ids, x, codes)
             at = np.flatnonzero(is_query)
-            for i in range(0, len(at), BLOCK):
-                some = at[i : i + BLOCK]
+            step = max(1, min(BLOCK, OUT_ROWS // (probes * max(parts))))
+            for i in range(0, len(at), step):
+                some = at[i : i + step]
                 lists = model.probes(x[some], probes)
                 who = np.repeat(some, n[lists].sum(1))
                 flat = lists.ravel()
                 visited = np.repeat(flat, n[flat])
                 each = np.concatenate([np.arange(n[j]) for j in flat]) if len(flat) else np.zeros(0, int)
-                yield _placed(visited, each, np.ones(len(who), np.int8), ids[who], x[who], None)
+                for j in range(0, len(who), OUT_ROWS):
+                    out = slice(j, j + OUT_ROWS)
+                    yield _placed(visited[out], each[out], np.ones(len(who[out]), np.int8), ids[who[out]], x[who[out]], None)
 
     return run
 
@@ -166,7 +179,7 @@ def _search(model: Quantiser, k: int, rerank: int):
         if not len(rows) or not len(asking):
             return empty
         rows = rows[np.argsort(ids[rows], kind="stable")]
-        asking = asking[np.argsort(ids[asking], kind="stable")]
+        asking = np.array(sorted({(ids[i], raw[i]): i for i in asking.tolist()}.values(), key=lambda i: (ids[i], raw[i])))
         own = ids[rows]
         x = np.frombuffer(b"".join(raw[i] for i in rows), "<f8").reshape(len(rows), -1)
         held = t.column("codes").to_pylist()
@@ -196,17 +209,18 @@ def _search(model: Quantiser, k: int, rerank: int):
 def nearest(vectors: DataFrame, is_query, k: int = K, target: float = TARGET, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of each query row's k nearest found."""
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vector_col)
-    order = F.md5(F.concat_ws(":", F.lit("ann"), F.col("vec_id").cast("string")))
-    sample = rows.orderBy(order, "vec_id").select("v").limit(TRAIN_ROWS).toArrow()  # bounded
+    rows = usable(vectors, is_query, id_col, vector_col)
+    lengths = rows.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), "length").first()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not sample.num_rows:
+    if lengths is None:
         return spark.createDataFrame([], schema)
-    n = rows.count()
+    rows, n = rows.where(F.size("v") == lengths["length"]), lengths["count"]
+    order = F.md5(F.concat_ws(":", F.lit("ann"), F.col("vec_id").cast("string")))
+    sample = rows.orderBy(order, "vec_id").select("v").limit(TRAIN_ROWS).toArrow()  # bounded
     seen = _matrix(sample.column("v"))
     model = Quantiser(seen, max(1, int(n**0.5 / 2)))
     probes, rerank = max(LEAST_PROBES, model.enough(seen, k, target)), max(rerank, k)
-    salted = rows.select("vec_id", "v", is_query.alias("q"), F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(1 << 30)).alias("salt"))
+    salted = rows.select("vec_id", "v", "q", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(1 << 30)).alias("salt"))
     # rows of each list, one number a list
     counted = rows.select("vec_id", "v").mapInArrow(_lists(model), "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect()
     parts = [1] * len(model.centers)
@@ -222,7 +236,7 @@ def _lists(model: Quantiser):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                own = _distances(_matrix(batch.column(1)), model.centers).argmin(1)
+                own = nearest_centre(_matrix(batch.column(1)), model.centers)
                 lists, n = np.unique(own, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(n, pa.int64())], names=["list", "n"])
 

@@ -5,13 +5,14 @@ membership pattern, routes each pattern's token capacity to its sources' quotas
 and picks documents in a seeded order. Capacity comes in ``max_repeats`` layers of one copy each,
 and the k-th copy costs k - 1 per token, so a document repeats only where fresh ones run out.
 
-Selection: a pattern's documents lie on a line in the order of md5(seed:id); the line is laid down
+Selection: a pattern's documents lie on a line in the order of md5(seed:id:key), where the key tells
+rows of one id apart (a digest of the text), so that reruns agree; the line is laid down
 once per copy, and the first F tokens of it are taken, F being the pattern's flow. A copy is taken
 when its middle lies before F, so a pattern misses its flow by half a document at most. The
 sources that share a pattern own consecutive stretches of it.
 
 Prefix sums are taken per (pattern, first three hex digits of the md5): 4096 slices a pattern, so
-a source with a third of all rows is cut like any other; slice offsets come from a table of 4096
+a source with a third of all rows, or rows that all lack an id, are cut like any other; slice offsets come from a table of 4096
 rows a pattern. The driver sees one row per pattern (``max_patterns`` bounds them; more raise an
 error) and never a document.
 
@@ -45,7 +46,7 @@ def level_targets(sizes: list[int], weights: list[int], cap: float) -> list[floa
             break
         left -= cap * sizes[i]
         weight -= weights[i]
-    return [min(cap * s, level * w) for s, w in zip(sizes, weights, strict=True)]
+    return [float(min(cap * s, level * w)) for s, w in zip(sizes, weights, strict=True)]
 
 
 def min_cost_flow(patterns: list[tuple[int, list[int]]], quotas: list[int], layers: int) -> list[dict[int, int]]:
@@ -108,8 +109,9 @@ def _pattern():
     return F.to_json(F.sort_array(F.array_distinct("members")))
 
 
-def mix(sized: DataFrame, quotas: dict[str | None, int], max_repeats: int = MAX_REPEATS, seed: int = SEED, max_patterns: int = 200_000) -> DataFrame:
-    """``sized``: doc_id, size, members (array of source names). Returns its rows with ``pattern``,
+def mix(sized: DataFrame, quotas: dict[str | None, int], max_repeats: int = MAX_REPEATS, seed: int = SEED, max_patterns: int = 200_000, key_col: str | None = None) -> DataFrame:
+    """``sized``: doc_id, size, members (array of source names), and ``key_col``, a text that tells
+    rows of one id apart. Returns its rows with ``pattern``,
     ``copies``, ``taken`` (tokens) and ``taken_for`` (the source each copy counts for)."""
     spark = sized.sparkSession
     rows = sized.withColumn("pattern", _pattern())
@@ -129,7 +131,7 @@ def mix(sized: DataFrame, quotas: dict[str | None, int], max_repeats: int = MAX_
         plan.append((r["pattern"], r["size"] or 0, at, cuts, owners))
     routed = spark.createDataFrame(plan, "pattern string, pattern_size long, flow long, cuts array<long>, owners array<string>")
 
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), *([F.col(key_col)] if key_col else [])))
     rows = rows.withColumn("order_key", key).withColumn("slice", F.substring("order_key", 1, 3))
     before = Window.partitionBy("pattern").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("pattern", "slice").agg(F.sum("size").alias("slice_size")).select("pattern", "slice", F.coalesce(F.sum("slice_size").over(before), F.lit(0)).alias("slice_start"))
@@ -163,13 +165,13 @@ def source_targets(by_source: list[tuple[str | None, int]], cap: int = MAX_REPEA
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix of all rows at 100 % of their size: doc_id, size, source_size, target, taken,
-    source, copies, and text_key, a hash of the text."""
+    source, copies, and text_key, the md5 of the text."""
     sized = staged(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
-            F.xxhash64("text").alias("text_key"),
+            F.md5(text_or_empty().cast("binary")).alias("text_key"),
         ),
         "mix-sizes",
     )
@@ -179,17 +181,18 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         [(s, n, round(targets[s], 6)) for s, n in sizes],
         T.StructType([T.StructField("name", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())]),
     )
-    mixed = mix(sized.withColumn("members", F.array("source")), {s: int(targets[s] + 0.5) for s, _ in sizes})
+    mixed = mix(sized.withColumn("members", F.array("source")), {s: int(targets[s] + 0.5) for s, _ in sizes}, key_col="text_key")
     return mixed.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "text_key")
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, all its columns."""
     taken = mixed_documents(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"), F.col("source").alias("mix_source")).agg(F.sum("copies").cast("int").alias("mix_copies"))
-    mine = docs.withColumn("mix_hash", F.xxhash64("text"))
+    mine = docs.withColumn("mix_hash", F.md5(text_or_empty().cast("binary")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id")) & (F.col("mix_hash") == F.col("mix_key")) & F.col("source").eqNullSafe(F.col("mix_source"))
     # rows alike in id, text and source are one by now; their copies were summed up
-    first = Window.partitionBy("doc_id", "mix_hash", "source").orderBy("mix_key")
+    others = [c for c, kind in docs.dtypes if c not in ("doc_id", "text", "source") and not kind.startswith(("map", "variant"))]
+    first = Window.partitionBy("doc_id", "mix_hash", "source").orderBy(*others, "mix_key")
     once = mine.join(taken, same).withColumn("mix_nth", F.row_number().over(first)).where("mix_nth = 1")
     return once.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
 
@@ -200,7 +203,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(text, '')) AS text_key
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -218,7 +222,7 @@ t AS (
   SELECT r.source, r.source_size, least(3.0::DOUBLE * r.source_size, f.lvl * r.w) AS target FROM r, f
 ), o AS (
   SELECT d.*, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS q,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('7:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), d.size
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('7:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || d.text_key), d.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )

@@ -98,15 +98,16 @@ def permuted_column(x: Column, n: int, seed: int) -> Column:
     return F.when(once < size, once).otherwise(walk)
 
 
-def bucket_of(id_col: Column) -> Column:
+def bucket_of(id_col: Column, digest: Column) -> Column:
+    """By the id and a digest of the rest: rows that share one id, or have none, are dealt over all buckets too."""
     p = F.lit(PRIME).cast("long")
     mixed = (F.pmod(F.coalesce(id_col.cast("long"), F.lit(0).cast("long")), p) * F.lit(1103515245).cast("long") + F.lit(12345).cast("long")) % p
-    return (mixed % F.lit(BUCKETS)).cast("int")
+    return ((mixed % F.lit(BUCKETS) + F.pmod(digest, F.lit(BUCKETS))) % F.lit(BUCKETS)).cast("int")
 
 
 def numbered(rows: DataFrame, id_name: str, ties: list[str]) -> DataFrame:
-    """Adds ``row_number`` 0..N-1: by bucket of the id, then id (null last), then ``ties``."""
-    bucket = bucket_of(F.col(id_name))
+    """Adds ``row_number`` 0..N-1: by bucket of the id and the last of ``ties``, then id (null last), then ``ties``."""
+    bucket = bucket_of(F.col(id_name), F.col(ties[-1]))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.select(bucket.alias("bucket"))

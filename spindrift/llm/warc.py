@@ -9,8 +9,8 @@ reading the footer, the index and one frame.
 
 Writing: payload digests are SHA-256 in the JVM. The response of each payload of at least
 ``DEDUP_BYTES`` is the row of smallest page_id (a partial-then-final min by digest, so a payload
-that a third of all rows share is one row per task before the shuffle); the join back is a plain
-equi-join, whose hot keys adaptive execution splits. Texts move once. Each task streams its rows
+that a third of all rows share is one row per task before the shuffle); roles are joined on ids and
+digests alone, salted, and meet the payloads by (page, digest). Texts move once. Each task streams its rows
 into frames and yields bundles; Spark's own file writer commits them (one row a file), so a lost
 executor or a second attempt leaves no half or double bundle, on any file system Spark can write.
 
@@ -18,7 +18,8 @@ The writer is Spark's text sink, which ends each file with a line separator; the
 to the last byte of the seek table's magic number, so each file is exactly the bundle.
 
 Defined results: a null payload is empty; a null url has no target header; rows with equal id
-and payload are all responses if that id is the smallest; a null page_id is never the smallest
+and payload are all responses if that id is the smallest (such rows share one record id, under
+which a reader finds the first); a null page_id is never the smallest
 (such a row is a response if no row of its payload has an id); an empty table writes no bundle
 and reads back no row.
 """
@@ -37,6 +38,8 @@ from spindrift.llm.common import fresh_path, table
 DEDUP_BYTES = 100
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 32 << 20
 LEVEL = 3
+#: The first of a payload meets the payload's pages by (digest, one of so many salts).
+SALTS = 8
 
 # Fixed values of the Zstandard frame and seekable formats.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -154,17 +157,18 @@ class BundleReader:
             at += 14
             self.index.append((raw_index[at : at + n].decode(), frame, offset, length))
             at += n
+        self.places: dict[str, tuple[int, int, int]] = {}
+        for rid, *place in self.index:
+            self.places.setdefault(rid, tuple(place))
 
     def frame(self, i: int) -> bytes:
         at, packed, raw = self._spans[i]
         return self._zstd.decompress(self._data[at : at + packed], max_output_size=raw)
 
     def record(self, rid: str) -> bytes:
-        """One record, by its id: decompresses its frame only."""
-        for key, frame, offset, length in self.index:
-            if key == rid:
-                return self.frame(frame)[offset : offset + length]
-        raise KeyError(rid)
+        """One record, by its id: decompresses its frame only. Of equal records the first."""
+        frame, offset, length = self.places[rid]
+        return self.frame(frame)[offset : offset + length]
 
     def records(self) -> Iterator[tuple[str, int, int, bytes]]:
         held, data = -1, b""
@@ -187,10 +191,15 @@ def with_roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         F.octet_length(payload).cast("long").alias("payload_bytes"),
         F.sha2(payload, 256).alias("payload_digest"),
     )
-    firsts = rows.where(F.col("payload_bytes") >= dedup_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"))
-    joined = rows.join(firsts, "payload_digest", "left")
-    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id")), F.col("first_id"))
-    return joined.withColumn("refers_to", refers).select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", "refers_to")
+    # roles are chosen on ids and digests alone; payloads meet them by (page, digest), so the copies
+    # of one page go to as many tasks as there are
+    named = rows.where(F.col("payload_bytes") >= dedup_bytes).select("page_id", "payload_digest", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt")).distinct()
+    firsts = named.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("pages")).where("first_id is not null and pages > 1")
+    spread = firsts.select("payload_digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    roles = named.join(spread, ["payload_digest", "salt"]).where(F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id")))
+    roles = roles.select(F.col("page_id").alias("revisit_id"), F.col("payload_digest").alias("revisit_digest"), F.col("first_id").alias("refers_to"))
+    joined = rows.join(roles, F.col("page_id").eqNullSafe(F.col("revisit_id")) & (F.col("payload_digest") == F.col("revisit_digest")), "left")
+    return joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", "refers_to")
 
 
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.llm import ann, brown, fingerprint, jaccard, licenses, mixing, packing, sharding, toxicity, warc
 from spindrift.llm.components import components
@@ -62,6 +63,12 @@ def test_sharding(docs, none):
     assert rows == sharding.shard_rows(docs.repartition(3), 7).collect() or {tuple(r) for r in rows} == {tuple(r) for r in sharding.shard_rows(docs.repartition(3), 7).collect()}
 
 
+def test_rows_of_one_id_fall_into_many_buckets(spark):
+    data = frame(spark, [(None if i % 3 else 5, f"text {i}", "a") for i in range(300)])
+    found = data.select(sharding.bucket_of(F.col("doc_id"), F.xxhash64("text")).alias("b")).distinct().count()
+    assert found > 250 and {r.slot * 40 + r.shard for r in sharding.shard_rows(data).collect()} == set(range(300))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 100, 1000])
 def test_permutation_is_one(n):
     assert sorted(sharding.permuted(x, n, 3) for x in range(n)) == list(range(n))
@@ -94,6 +101,17 @@ def test_mixing(docs, none):
     assert repeated.columns == docs.columns and repeated.count() == sum(r.copies for r in rows)
 
 
+def test_mixing_a_capped_source_and_rows_of_one_id(spark):
+    """b's share is thrice its size and so is its target; rows without an id are told apart by text."""
+    rows = [(None if i % 2 else 7, f"{i} " + "w " * 40, "a") for i in range(60)] + [(i, f"v{i} v v", "b") for i in range(5)]
+    data = frame(spark, rows)
+    got = mixing.mixed_documents(data).collect()
+    assert {r.target for r in got if r.source == "b"} == {45.0} and all(r.copies == 3 for r in got if r.source == "b")
+    text = lambda df: sorted(map(str, mixing.mixed_documents(df).collect()))
+    assert text(data) == text(data.repartition(5)) == text(data.orderBy(F.desc("text")))
+    assert mixing.mixed_rows(data).where("source = 'b'").count() == 15
+
+
 def test_mixing_overlapping_sources(spark):
     sized = spark.createDataFrame([(i, 10, ["a"] if i < 10 else ["a", "b"]) for i in range(30)], "doc_id long, size long, members array<string>")
     rows = mixing.mix(sized, {"a": 100, "b": 150}).collect()
@@ -448,10 +466,20 @@ def test_ann(spark):
         assert len(near[q]) == 20 and all(abs(s[i] - z) < 1e-9 for i, z in near[q]) and [z for _, z in near[q]] == sorted((z for _, z in near[q]), reverse=True)
     assert hits / total >= 0.9 and set(near) == set(range(0, 600, 20))
     assert ann.nearest(data.limit(0), data["vec_id"] % 20 == 0).count() == 0
+    uneven = frame(spark, [*rows, (700, [1.0] * 3), (701, [2.0] * 3)], "vec_id long, embedding array<float>")
+    assert sorted(got) == sorted(ann.nearest(uneven, uneven["vec_id"] % 20 == 0).collect())
     few = data.where("vec_id < 5")
     assert few.count() == 5 and ann.nearest(few, few["vec_id"] == 0).count() == 4
 
 
+def test_ann_ties_and_repeated_rows(spark):
+    rows = [(k % 50, [float(k % 5 == 0), 1.0, 0.0, 0.5]) for k in range(100)]  # every row twice, many alike
+    got = ann.nearest(frame(spark, rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 20, k=12).collect()
+    near = [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])]
+    # the query row is there twice but asks once, doesn't find its own id, and ties go to the smaller
+    assert near == [(i, 2.25) for i in (0, 0, 5, 5, 10, 10, 15, 15, 25, 25, 30, 30)]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as pipeline
 
