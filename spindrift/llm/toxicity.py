@@ -3,14 +3,17 @@
 Features are rates and counts of a whole text: lexicon words and stems, their closeness to the
 second person, capitals, punctuation, obfuscation. The lexicon is a short fixed list plus the
 words and stems that the labelled rows single out. Trees are fitted on the driver from the dense
-features of at most ``TRAIN_DOCS`` labelled documents (those of smallest md5 of the id), a fifth
-of which at a time is scored by trees that haven't seen it, to calibrate; word statistics for the lexicon are summed by the executors.
+features of at most ``TRAIN_DOCS`` labelled documents (those of smallest md5 of the id). To
+calibrate, each of ``FOLDS`` parts is scored by trees and by a lexicon that haven't seen its labels;
+word statistics for the lexicons are summed by the executors, in one pass.
 Scoring is one narrow pass: each word is judged once per worker and remembered in a bounded table.
 
 Defined results: a null or empty text has all-zero features and gets their score; rows with equal
 ids are scored each on their own; a label that is null or whose document is missing is not used;
-several labels of one document count as toxic if one is; without labels every score is 0, with
-labels of one class only it is that class; an empty table gives no rows.
+several labels of one document count as toxic if one is; of rows that share a labelled id the one
+of smallest text is learned from; an empty table gives no rows. Trees need at least 2 * ``Trees.least``
+rows of each class, and both classes outside each part; with fewer every score is the share of toxic
+rows among the learned ones (0 without any).
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import staged, table, utf8_column
+from spindrift.llm.common import staged, table, unstaged, utf8_column
 
 TRAIN_DOCS = 12_000
 THRESHOLD = 0.7
 #: A learned term occurs in so many of the toxic documents (a number, a share), and at least
 #: ``PRECISION`` of the documents that hold it are toxic.
 LEAST_TOXIC, TOXIC_SHARE, PRECISION, MOST_TERMS = 3, 0.003, 0.8, 4096
-FOLDS = 5
+FOLDS = 3
 STEMS = (4, 5, 6)
 KEPT_WORDS = 400_000
 NEAR, SPAN = 5, 50
@@ -190,33 +193,53 @@ class Model:
         return np.clip(0.99 * np.interp(raw, self.at, self.share) + 0.01 / (1 + np.exp(-raw)), 0, 1)
 
 
-def boosted(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[Trees, np.ndarray, np.ndarray]:
-    """Trees of all rows, and the calibration of the scores that each row gets from the others' trees."""
+def boosted(xs: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> tuple[Trees, np.ndarray, np.ndarray]:
+    """Trees of all rows (features xs[FOLDS]), and the calibration of the scores that the rows of
+    each part k get from the other parts' trees (features xs[k], of a lexicon without part k)."""
     raw = np.empty(len(y))
     for k in np.unique(fold):
-        raw[fold == k] = Trees().fit(x[fold != k], y[fold != k]).raw(x[fold == k])
-    return Trees().fit(x, y), *isotonic(raw, y)
+        raw[fold == k] = Trees().fit(xs[k][fold != k], y[fold != k]).raw(xs[k][fold == k])
+    return Trees().fit(xs[FOLDS], y), *isotonic(raw, y)
 
 
 # ---------------------------------------------------------------------------- Spark side
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, toxic documents, all documents) of one task's rows; stems end in '*'."""
+    """(term, part, toxic documents, all documents) of one task's rows; stems end in '*'."""
     from collections import Counter
 
-    toxic, every = Counter(), Counter()
+    toxic, every = [Counter() for _ in range(FOLDS)], [Counter() for _ in range(FOLDS)]
     for batch in batches:
-        for text, label in zip(utf8_column(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+        for text, label, k in zip(utf8_column(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             words = {w.lower().strip(".,;:!?\"'()[]{}") for w in text.decode("utf-8", "replace").split()}
             terms = words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
-            every.update(terms)
+            every[k].update(terms)
             if label:
-                toxic.update(terms)
-    terms = [t for t in toxic if t]
-    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([every[t] for t in terms], pa.int64())], names=["term", "toxic", "n"])
-    clean = [t for t in every if t and t not in toxic]
-    yield pa.RecordBatch.from_arrays([pa.array(clean, pa.string()), pa.array([0] * len(clean), pa.int64()), pa.array([every[t] for t in clean], pa.int64())], names=["term", "toxic", "n"])
+                toxic[k].update(terms)
+    for k in range(FOLDS):
+        terms = [t for t in every[k] if t]
+        cols = [pa.array(terms, pa.string()), pa.array([k] * len(terms), pa.int32()), pa.array([toxic[k][t] for t in terms], pa.int64()), pa.array([every[k][t] for t in terms], pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["term", "fold", "toxic", "n"])
+
+
+Lexicon = tuple[frozenset[str], frozenset[str]]
+
+
+def lexicons(sample: DataFrame, toxic_of: list[int]) -> list[Lexicon]:
+    """Words and stems that all parts but k single out, for each part k, and those of all parts.
+    ``toxic_of``: toxic documents of each part."""
+    without = lambda c, k: F.sum(F.when(F.col("fold") != k, F.col(c)).otherwise(0))
+    sums = [without(c, k).alias(f"{c}{k}") for k in range(FOLDS + 1) for c in ("toxic", "n")]
+    terms = staged(sample.select("text", "toxic", "fold").mapInArrow(_terms, "term string, fold int, toxic long, n long").groupBy("term").agg(*sums), "toxicity-terms")
+    out = []
+    for k in range(FOLDS + 1):
+        toxic, n = F.col(f"toxic{k}"), F.col(f"n{k}")
+        least = max(LEAST_TOXIC, TOXIC_SHARE * (sum(toxic_of) - (toxic_of[k] if k < FOLDS else 0)))
+        best = [r[0] for r in terms.where((toxic >= least) & (toxic >= PRECISION * n)).orderBy(F.desc(toxic), "term").limit(MOST_TERMS).select("term").collect()]
+        out.append((frozenset(t for t in best if not t.endswith("*")), frozenset(t[:-1] for t in best if t.endswith("*"))))
+    unstaged(terms)
+    return out
 
 
 _JUDGES: dict[int, Judge] = {}
@@ -238,11 +261,13 @@ def _rows(judge: Judge, texts) -> np.ndarray:
     return np.array(rows, dtype=float).reshape(len(rows), len(NAMES))
 
 
-def _featured(words: frozenset[str], stems: frozenset[str]):
+def _featured(chosen: list[Lexicon]):
+    """The features of each lexicon, one after the other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = judge_of(words, stems)
+        judges = [Judge(*c) for c in chosen]
         for batch in batches:
-            x = _rows(judge, utf8_column(batch.column(0)))
+            x = np.concatenate([_rows(judge, utf8_column(batch.column(0))) for judge in judges], axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64())), batch.column(2)], names=["toxic", "x", "fold"])
 
     return run
@@ -257,24 +282,22 @@ def fit(docs: DataFrame, labels: DataFrame, use, limit: int = TRAIN_DOCS) -> Mod
     order = F.md5(F.concat_ws(":", F.lit("toxicity"), F.col("doc_id").cast("string")))
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(use).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(order).limit(limit)
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
-    sample = staged(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", fold.alias("fold")), "toxicity-sample")  # limit rows at most
-    n = sample.groupBy("toxic").count().collect()
-    counts = {r["toxic"] > 0: r["count"] for r in n}
-    if len(counts) < 2 or min(counts.values()) < 2 * Trees.least:
-        return Model(constant=counts.get(True, 0) / max(1, sum(counts.values())))
-    terms = sample.select("text", "toxic").mapInArrow(_terms, "term string, toxic long, n long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    best = terms.where((F.col("toxic") >= max(LEAST_TOXIC, TOXIC_SHARE * counts[True])) & (F.col("toxic") >= PRECISION * F.col("n"))).orderBy(F.desc("toxic"), "term").limit(MOST_TERMS).collect()
-    words = frozenset(r["term"] for r in best if not r["term"].endswith("*"))
-    stems = frozenset(r["term"][:-1] for r in best if r["term"].endswith("*"))
-    seen = sample.select("text", "toxic", "fold").mapInArrow(_featured(words, stems), "toxic int, x array<double>, fold int").toArrow()
-    x = np.array(seen.column("x").to_pylist(), dtype=float).reshape(seen.num_rows, len(NAMES))
+    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # limit rows at most
+    sample = staged(labelled.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic", fold.alias("fold")), "toxicity-sample")
+    n = {(r["fold"], r["toxic"] > 0): r["count"] for r in sample.groupBy("fold", "toxic").count().collect()}
+    of = {c: [n.get((k, c), 0) for k in range(FOLDS)] for c in (False, True)}
+    if any(sum(v) < 2 * Trees.least or sum(v) in v for v in of.values()):
+        unstaged(sample)
+        return Model(constant=sum(of[True]) / max(1, sum(n.values())))
+    chosen_terms = lexicons(sample, of[True])
+    seen = sample.select("text", "toxic", "fold").mapInArrow(_featured(chosen_terms), "toxic int, x array<double>, fold int").toArrow()
+    unstaged(sample)
+    x = np.array(seen.column("x").to_pylist(), dtype=float).reshape(seen.num_rows, -1)
     y, folds = np.asarray(seen.column("toxic")).astype(float), np.asarray(seen.column("fold"))
     arrived = np.lexsort(np.column_stack([x, y, folds]).T)  # the same trees however the rows arrive
     x, y, folds = x[arrived], y[arrived], folds[arrived]
-    if any(len(set(y[folds != k])) < 2 for k in range(FOLDS)):
-        return Model(constant=float(y.mean()))
-    trees, at, share = boosted(x, y, folds)
-    return Model(words, stems, trees, at, share)
+    trees, at, share = boosted(np.split(x, FOLDS + 1, axis=1), y, folds)
+    return Model(*chosen_terms[FOLDS], trees, at, share)
 
 
 def _scored(model: Model):

@@ -439,6 +439,24 @@ def test_toxicity(spark, docs, none):
     assert {r.score for r in toxicity.score(docs, bare).collect()} == {0.0}
 
 
+def test_toxicity_learns_nothing_from_noise(spark):
+    """Labels without any ground: a lexicon that had seen a part's labels would make the calibration sure of itself."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(30)), "s") for i in range(600)]
+    labels = spark.createDataFrame([(i, 1, int(rng.random() < 0.4)) for i in range(600)], "doc_id long, quality int, toxic int")
+    data = frame(spark, rows)
+    got = toxicity.score(data, toxicity.fit(data, labels, toxicity.training_rows())).collect()
+    held = [r.score for r in got if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert sum(s >= 0.7 for s in held) / len(held) < 0.1 and abs(sum(held) / len(held) - 0.4) < 0.15
+
+
+def test_toxicity_of_few_labels_and_repeated_ids(spark):
+    rows = [(i, f"text {i % 7} you idiot" if i < 8 else f"text {i % 7}", "s") for i in range(60)] + [(3, None, "s"), (3, "z again", "s")]
+    few = spark.createDataFrame([(i, 1, int(i < 8)) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(frame(spark, rows), few, F.lit(True))
+    assert model.trees is None and model.constant == 8 / 60  # 8 of 60 are toxic, fewer than 10
+
+
 def test_isotonic_is_monotone():
     at, share = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert list(share) == sorted(share) and list(at) == sorted(at)
