@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,9 +57,14 @@ def binned(value: Column, edges: list[float], labels: list[str], right: bool) ->
     return out.otherwise("unknown")
 
 
+def ascii_lower(text: Column) -> Column:
+    """A-Z alone are folded."""
+    return F.translate(text, ascii_uppercase, ascii_lowercase)
+
+
 def name_contains(name: Column, query: str) -> Column:
-    """Case-insensitive substring; %, _ and \\ in the query stand for themselves."""
-    return F.contains(F.lower(name), F.lit(query.lower()))
+    """Substring whatever the case of A-Z; %, _ and \\ in the query stand for themselves."""
+    return F.contains(ascii_lower(name), F.lit(query.translate(str.maketrans(ascii_uppercase, ascii_lowercase))))
 
 
 def split_matched(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.operators.mining import factor_lift
+from spindrift.operators.mining import measured, unpivoted
 from spindrift.operators.series import GROUP, SERIES, dense_panel, last_month
 
 POINTS, HORIZON, MIN_MONTHS = 24, 60, 36
@@ -27,18 +27,20 @@ def curve_matrix(history: DataFrame, index: DataFrame, points: int = POINTS, hor
     span = sliced.groupBy(*GROUP).agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
     seen = sliced.where(F.col("e").isNotNull()).join(F.broadcast(span), GROUP)  # a row per console and condition
     t = F.datediff("month", "lo") / F.datediff("hi", "lo")
-    per = seen.select(*SERIES, F.struct(t.alias("t"), F.col("e").alias("y")).alias("p")).groupBy(*SERIES).agg(F.array_sort(F.collect_list("p")).alias("ps")).where(F.size("ps") >= min_months)
-
-    def at(i):
-        g = i / F.lit(float(points - 1))
-        left = F.filter("ps", lambda p: p["t"] <= g)
-        right = F.filter("ps", lambda p: p["t"] > g)
-        a, b = F.try_element_at(left, F.lit(-1)), F.try_element_at(right, F.lit(1))
-        between = a["y"] + (b["y"] - a["y"]) * F.try_divide(g - a["t"], b["t"] - a["t"])
-        return F.when(a.isNull(), b["y"]).when(b.isNull(), a["y"]).otherwise(between)
-
-    raw = per.select(*SERIES, F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at).alias("raw"))
-    return raw.select(*SERIES, F.transform("raw", lambda y: y - F.element_at("raw", 1)).alias("curve"))
+    # each observation puts out the grid points from itself up to the next; the first also those
+    # before it, the last those after it
+    steps = points - 1
+    w = Window.partitionBy(*SERIES).orderBy("t")
+    rows = seen.select(*SERIES, t.alias("t"), F.col("e").alias("y")).withColumns({"t2": F.lead("t").over(w), "y2": F.lead("y").over(w), "nth": F.row_number().over(w)})
+    low = F.when(F.col("nth") == 1, F.lit(0)).otherwise(F.ceil(F.col("t") * steps))
+    high = F.when(F.col("t2").isNull(), F.lit(steps)).otherwise(F.ceil(F.col("t2") * steps) - 1)
+    grid = F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
+    g = lambda i: i / F.lit(float(steps))
+    inside = lambda i: F.col("y") + (F.col("y2") - F.col("y")) * F.try_divide(g(i) - F.col("t"), F.col("t2") - F.col("t"))
+    level = lambda i: F.col("t2").isNull() | (g(i) <= F.col("t"))
+    drawn = F.transform(grid, lambda i: F.struct(i.alias("i"), F.when(level(i), F.col("y")).otherwise(inside(i)).alias("y")))
+    per = rows.select(*SERIES, drawn.alias("drawn")).groupBy(*SERIES).agg(F.count("*").alias("n"), F.array_sort(F.flatten(F.collect_list("drawn"))).alias("raw")).where(F.col("n") >= min_months)
+    return per.select(*SERIES, F.transform("raw", lambda p: p["y"] - F.element_at("raw", 1)["y"]).alias("curve"))
 
 
 def shape_of(curve):
@@ -91,10 +93,12 @@ def cluster_curves(curves: DataFrame, k: int = 5, seed: int = 0, runs: int = 10)
 
 def profile_clusters(assigned: DataFrame, factors: DataFrame, columns: list[str], min_support: int = 20, top: int = 5) -> DataFrame:
     """Per cluster the factors whose share of it is surely above the average, the five strongest:
-    one lift over all clusters, each being its own condition."""
-    rows = assigned.join(factors.drop("rising", "console"), ["game_id", "condition"])
-    clusters = assigned.select(F.col("cluster").alias("of")).distinct()
-    each = rows.crossJoin(F.broadcast(clusters)).withColumn("rising", (F.col("cluster") == F.col("of")).cast("double")).withColumn("condition", F.col("of").cast("string"))  # k rows
-    lifts = factor_lift(each, columns, min_support).where("lift_lo > 1")
-    nth = Window.partitionBy("condition").orderBy(F.desc("lift"), "factor", "value")
-    return lifts.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= top).withColumn("cluster", F.col("condition").cast("int")).select("cluster", "nth", "factor", "value", "n", "k", "rate", "lift", "lift_lo", "lift_hi")
+    k of a factor value's n series lie in the cluster, and the cluster's share of all is the base."""
+    rows = assigned.select(*SERIES, "cluster").join(factors.drop("rising", "console"), ["game_id", "condition"])
+    counted = unpivoted(rows, ["cluster"], columns).where(F.col("value").isNotNull()).groupBy("factor", "value", "cluster").agg(F.count("*").cast("double").alias("k"))
+    kept = counted.where(~(F.col("factor").startswith("kw_") & (F.col("value") == "no"))).withColumn("n", F.sum("k").over(Window.partitionBy("factor", "value")).cast("long")).where(F.col("n") >= min_support)
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("m"))
+    base = sizes.select("cluster", (F.col("m") / F.sum("m").over(Window.partitionBy(F.lit(1)))).alias("base"))  # k rows
+    lifts = measured(kept.join(F.broadcast(base), "cluster")).where("lift_lo > 1")  # k rows
+    nth = Window.partitionBy("cluster").orderBy(F.desc("lift"), "factor", "value")
+    return lifts.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= top).select("cluster", "nth", "factor", "value", "n", "k", "rate", "lift", "lift_lo", "lift_hi")

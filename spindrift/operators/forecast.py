@@ -100,7 +100,7 @@ def _prepared(df: DataFrame, numeric: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in numeric} | {f"no_{c}": F.col(c).isNull().cast("double") for c in numeric})
 
 
-def fit_model(samples: DataFrame, window: int = 36, seed: int = 0, rounds: int = 40, repeats: int = 5) -> Fitted:
+def fit_model(samples: DataFrame, window: int = 36, seed: int = 0, rounds: int = 300, repeats: int = 5, rate: float = 0.05) -> Fitted:
     """Boosted trees on the training split, judged on the test split."""
     samples = samples.cache()
     train, test = split_by_time(samples, window)
@@ -115,7 +115,7 @@ def fit_model(samples: DataFrame, window: int = 36, seed: int = 0, rounds: int =
         StringIndexer(inputCols=cats, outputCols=[f"i_{c}" for c in cats], handleInvalid="keep"),
         Imputer(inputCols=nums, outputCols=[f"f_{c}" for c in nums]),
         VectorAssembler(inputCols=[f"i_{c}" for c in cats] + [f"f_{c}" for c in nums] + [f"no_{c}" for c in nums], outputCol="features"),
-        GBTRegressor(labelCol="target", maxDepth=4, minInstancesPerNode=40, stepSize=0.05 if rounds > 100 else 0.1, maxIter=rounds, maxBins=max(64, max((counts[c] for c in cats), default=1) + 2), seed=seed),
+        GBTRegressor(labelCol="target", maxDepth=4, minInstancesPerNode=40, stepSize=rate, maxIter=rounds, maxBins=max(64, max((counts[c] for c in cats), default=1) + 2), seed=seed),
     ]
     fitted = Fitted(summary, Pipeline(stages=stages).fit(_prepared(train, nums)), cats, nums)
     scored = predict(fitted, test).select(*SERIES, "t0", "target", "prediction", *[c for c in cats + nums if c not in SERIES]).cache()

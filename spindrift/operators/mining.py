@@ -20,7 +20,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.coalesce(middle - spread, F.lit(0.0)), F.coalesce(middle + spread, F.lit(1.0))
 
 
-def _measured(df: DataFrame) -> DataFrame:
+def measured(df: DataFrame) -> DataFrame:
     """Adds rate, lift and the interval's bounds over the base rate, from k, n and base."""
     lo, hi = wilson(F.col("k"), F.col("n"))
     return df.withColumns({"rate": F.col("k") / F.col("n"), "lift": F.col("k") / F.col("n") / F.col("base"), "lift_lo": lo / F.col("base"), "lift_hi": hi / F.col("base")})
@@ -42,7 +42,7 @@ def factor_lift(factors: DataFrame, columns: list[str], min_support: int = 30) -
     rows = factors.where(F.col("rising").isNotNull())
     per = unpivoted(rows, ["condition", "rising"], columns).groupBy("condition", "factor", "value").agg(F.count("*").alias("n"), F.sum("rising").alias("k"))
     kept = per.where((F.col("n") >= min_support) & ~(F.col("factor").startswith("kw_") & (F.col("value") == "no")))
-    return _measured(kept.join(F.broadcast(_base(rows)), "condition")).select("condition", "factor", "value", "n", "k", "base", "rate", "lift", "lift_lo", "lift_hi")
+    return measured(kept.join(F.broadcast(_base(rows)), "condition")).select("condition", "factor", "value", "n", "k", "base", "rate", "lift", "lift_lo", "lift_hi")
 
 
 def items(factors: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -75,7 +75,7 @@ def mine_patterns(factors: DataFrame, columns: list[str], excess: str = "excess_
     rows = written(labelled.select("condition", "game_id", "rising", excess, held.alias("held")), "pattern-rows")
     sets = rows.select("condition", "game_id", "rising", excess, F.explode(_combinations(F.col("held"), max_len)).alias("items"))
     counted = sets.groupBy("condition", "items").agg(F.count("*").alias("n"), F.sum("rising").alias("k")).where(F.col("n") >= min_count)
-    counted = written(_measured(counted.join(F.broadcast(_base(rows)), "condition")), "pattern-counts")
+    counted = written(measured(counted.join(F.broadcast(_base(rows)), "condition")), "pattern-counts")
     less_one = F.explode(F.transform("items", lambda x: F.array_remove("items", x)))
     levels = [counted.where(F.size("items") == 1)]
     for size in range(2, max_len + 1):
@@ -98,7 +98,10 @@ def mine_patterns(factors: DataFrame, columns: list[str], excess: str = "excess_
     found = good.join(explained, ["condition", "items"], "left_anti")
 
     rank = Window.partitionBy("condition", "items").orderBy(F.desc_nulls_last(excess), "game_id")
-    risers = sets.where("rising = 1").join(found.select("condition", "items"), ["condition", "items"], "left_semi").withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= examples)
+    items_found = found.select("condition", F.explode("items").alias("one")).distinct().groupBy("condition").agg(F.collect_set("one").alias("used"))  # item names, not rows
+    # only items that occur in some pattern are combined again
+    rising = rows.where("rising = 1").join(F.broadcast(items_found), "condition").withColumn("held", F.array_sort(F.array_intersect("held", "used")))
+    risers = rising.select("condition", "game_id", "rising", excess, F.explode(_combinations(F.col("held"), max_len)).alias("items")).join(found.select("condition", "items"), ["condition", "items"], "left_semi").withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= examples)
     shown = risers.groupBy("condition", "items").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "game_id"))), lambda x: x["game_id"]).alias("ids"))
     done = found.join(shown, ["condition", "items"], "left")
     return done.select(
@@ -125,6 +128,9 @@ def match_patterns(factors: DataFrame, patterns: DataFrame, keep: int = 3) -> Da
     columns = [c for c in factors.columns if c not in (*row, "console", "rising") and dict(factors.dtypes)[c] == "string"]
     long = items(factors, row, columns)
     holds = long.join(rules, ["condition", "item"]).groupBy(*row, "items", "lift_lo", "nth", "size").count().where("count = size")
-    first = F.slice(F.array_sort(F.collect_list(F.struct("nth", "items"))), 1, keep)
-    hits = holds.groupBy(*row).agg(F.sum(F.log("lift_lo")).alias("pattern_score"), F.array_join(F.transform(first, lambda x: x["items"]), " | ").alias("matched"))
+    # summed up in the rules' order, so that rows of the same rules have the very same score
+    held = F.array_sort(F.collect_list(F.struct("nth", "items", F.log("lift_lo").alias("gain"))))
+    first = F.slice("held", 1, keep)
+    score = F.aggregate("held", F.lit(0.0), lambda acc, x: acc + x["gain"])
+    hits = holds.groupBy(*row).agg(held.alias("held")).select(*row, score.alias("pattern_score"), F.array_join(F.transform(first, lambda x: x["items"]), " | ").alias("matched"))
     return factors.select(row).join(hits, row, "left").select(*row, F.coalesce("pattern_score", F.lit(0.0)).alias("pattern_score"), F.coalesce("matched", F.lit("")).alias("matched"))

@@ -46,16 +46,17 @@ def console_index(history: DataFrame, min_games: int = 5) -> DataFrame:
 
 def dense_panel(history: DataFrame) -> DataFrame:
     """A row per series and calendar month: logp is null in gaps, ``filled`` carries the last
-    price over at most GAP months. One shuffle by series; months of a series stay together."""
-    points = F.array_sort(F.collect_set(F.struct("month", "price_cents")))
-    series = history.groupBy(*SERIES).agg(points.alias("points"))
-    # of prices of one month the largest stays
-    last = F.filter("points", lambda x, i: (i + 1 >= F.size("points")) | (F.try_element_at("points", i + 2)["month"] != x["month"]))
-    prices = F.map_from_arrays(F.transform("kept", lambda x: x["month"]), F.transform("kept", lambda x: x["price_cents"]))
-    months = F.explode(F.sequence("lo", "hi", F.expr("interval 1 month")))
-    dense = series.join(F.broadcast(calendars(history)), GROUP)  # a row per console and condition
-    dense = dense.withColumn("kept", last).withColumn("prices", prices).select(*SERIES, "prices", months.alias("month"))
-    dense = dense.select(*SERIES, "month", F.log(F.try_element_at("prices", F.col("month"))).alias("logp"))
+    price over at most GAP months. One shuffle by series: each observed month puts out itself and
+    the gap up to the next one, the first also the months before it."""
+    w = Window.partitionBy(*SERIES)
+    ahead = w.orderBy("month", "price_cents")
+    rows = history.select(*SERIES, "month", "price_cents").withColumns({"next_": F.lead("month").over(ahead), "first_": F.min("month").over(w)})
+    rows = rows.where(F.col("next_").isNull() | (F.col("next_") > F.col("month")))  # of prices of one month the largest stays
+    rows = rows.join(F.broadcast(calendars(history)), GROUP)  # a row per console and condition
+    start = F.when(F.col("month") == F.col("first_"), F.col("lo")).otherwise(F.col("month"))
+    months = F.explode(F.sequence(start, F.coalesce(F.add_months("next_", -1), F.col("hi")), F.expr("interval 1 month")))
+    dense = rows.select(*SERIES, "price_cents", F.col("month").alias("seen_"), months.alias("month"))
+    dense = dense.select(*SERIES, "month", F.when(F.col("month") == F.col("seen_"), F.log("price_cents")).alias("logp"))
     near = Window.partitionBy(*SERIES).orderBy("month").rowsBetween(-GAP, 0)
     return dense.withColumn("filled", F.last("logp", ignorenulls=True).over(near))
 
@@ -128,7 +129,8 @@ def label_rising(metrics: DataFrame, window: int = 36, top: float = 0.2, min_obs
     """Adds ``rising``: 1 from the group's (1 - top) percentile of excess return up, ties and all;
     0 below; null for series or groups with too little to go by."""
     excess = F.when(F.col("n_months") >= min_obs, F.col(f"excess_{window}m"))
-    group = Window.partitionBy(*GROUP)
-    rows = metrics.withColumn("eligible", excess).withColumn("bar", F.percentile("eligible", F.lit(1.0 - top)).over(group)).withColumn("many", F.count("eligible").over(group))
+    rows = metrics.withColumn("eligible", excess)
+    bars = rows.groupBy(*GROUP).agg(F.percentile("eligible", F.lit(1.0 - top)).alias("bar"), F.count("eligible").alias("many"))
+    rows = rows.join(F.broadcast(bars), GROUP)  # a row per console and condition
     rising = F.when((F.col("many") >= min_group) & F.col("eligible").isNotNull(), (F.col("eligible") >= F.col("bar")).cast("double"))
     return rows.withColumn("rising", rising).drop("eligible", "bar", "many")

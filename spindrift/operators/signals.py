@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spindrift.functions.text import unit_normal_two_sided
 from spindrift.operators.curves import excess_panel
 from spindrift.operators.series import SERIES, dense_panel
+from spindrift.sources.staging import written
 
 SIGNALS = ["trend_12m", "acceleration", "volatility_12m", "drawdown_24m", "cib_loose_change_12m"]
 LEAST_EACH = 10
@@ -54,7 +55,7 @@ def breakouts(features: DataFrame, top: float = 0.05, gap: int = 12, controls_pe
     bars = known.groupBy("condition").agg(F.percentile("fwd", F.lit(1.0 - top)).alias("bar"), F.percentile("fwd", F.lit(0.5)).alias("mid"))
     rows = known.join(F.broadcast(bars), "condition")  # a row per condition
     hot = rows.where(F.col("fwd") >= F.col("bar")).groupBy(*SERIES).agg(F.sort_array(F.collect_list("month")).alias("months"))
-    breaks = hot.select(*SERIES, F.explode(thinned(F.col("months"), gap)).alias("month"))
+    breaks = written(hot.select(*SERIES, F.explode(thinned(F.col("months"), gap)).alias("month")), "breaks")
     away = breaks.select(*SERIES, F.col("month").alias("broke"))
     near = F.abs(F.datediff(F.col("r.month"), F.col("b.broke"))) <= gap * 31
     same = (F.col("r.console") == F.col("b.console")) & (F.col("r.condition") == F.col("b.condition")) & (F.col("r.game_id") == F.col("b.game_id"))
@@ -97,7 +98,7 @@ def compare(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def pre_breakout_signals(history: DataFrame, index: DataFrame, horizon: int = 6, top: float = 0.05) -> DataFrame:
-    features = pre_features(history, index, horizon)
+    features = written(pre_features(history, index, horizon), "pre-features")
     tagged = breakouts(features, top).join(features, [*SERIES, "month"])
     return compare(tagged, SIGNALS)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators.mining import match_patterns
@@ -11,10 +11,12 @@ from spindrift.operators.mining import match_patterns
 COLUMNS = ["condition", "game_id", "name", "console", "price_cents", "score", "pattern_score", "model_pred", "matched", "already_rising", "genre", "publisher", "region", "platform"]
 
 
-def zscore(x: Column, by: str = "condition") -> Column:
-    """Standard scores within a condition (population deviation); 0 where it doesn't vary."""
-    w = Window.partitionBy(by)
-    return F.coalesce(F.try_divide(x - F.avg(x).over(w), F.nullif(F.stddev_pop(x).over(w), F.lit(0.0))), F.lit(0.0))
+def zscored(df: DataFrame, x: str, out: str, by: str = "condition") -> DataFrame:
+    """Adds standard scores within a group (population deviation); 0 where it doesn't vary. Groups
+    are few: their means are summed up before the shuffle and joined by broadcast."""
+    per = df.groupBy(F.col(by).alias("by_")).agg(F.avg(x).alias("mean_"), F.stddev_pop(x).alias("sd_"))
+    joined = df.join(F.broadcast(per), F.col(by).eqNullSafe(F.col("by_")))  # a row per group
+    return joined.withColumn(out, F.coalesce(F.try_divide(F.col(x) - F.col("mean_"), F.nullif("sd_", F.lit(0.0))), F.lit(0.0))).drop("by_", "mean_", "sd_")
 
 
 def watchlist(now: DataFrame, patterns: DataFrame, labeled: DataFrame, games: DataFrame, history: DataFrame, predictions: DataFrame | None = None, top: int = 50) -> DataFrame:
@@ -26,15 +28,16 @@ def watchlist(now: DataFrame, patterns: DataFrame, labeled: DataFrame, games: Da
     model = predictions is not None
     rows = rows.join(predictions.select(*row, "model_pred"), row, "left") if model else rows.withColumn("model_pred", F.lit(None).cast("double"))
     rows = rows.where((F.col("pattern_score") > 0) | F.col("model_pred").isNotNull())
+    rows = zscored(rows, "pattern_score", "z_")
     if model:
-        filled = F.coalesce("model_pred", F.median("model_pred").over(Window.partitionBy("condition")))
-        rows = rows.withColumn("filled_pred", filled).withColumn("score", zscore(F.col("pattern_score")) + F.when(F.count("model_pred").over(Window.partitionBy("condition")) > 0, zscore(F.col("filled_pred"))).otherwise(0.0))
-    else:
-        rows = rows.withColumn("score", zscore(F.col("pattern_score")))
+        middle = rows.groupBy(F.col("condition").alias("of_")).agg(F.median("model_pred").alias("middle_"))
+        rows = rows.join(F.broadcast(middle), F.col("condition") == F.col("of_")).withColumn("filled_", F.coalesce("model_pred", "middle_"))  # a row per condition
+        rows = zscored(rows, "filled_", "m_").withColumn("z_", F.col("z_") + F.when(F.col("middle_").isNotNull(), F.col("m_")).otherwise(0.0))
+    rows = rows.withColumn("score", F.col("z_"))
     latest = history.groupBy(*row).agg(F.max_by("price_cents", "month").alias("price_cents"))
     flags = labeled.select(*row, (F.coalesce("rising", F.lit(0.0)) == 1).alias("already_rising"))
     names = games.select(F.col("id").alias("game_id"), "name")
-    nth = Window.partitionBy("condition").orderBy(F.desc("score"), "game_id")
+    nth = Window.partitionBy("condition").orderBy(F.desc(F.round("score", 9)), "game_id")  # sums differ in their last bits
     best = rows.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= top)
     whole = best.join(latest, row, "left").join(flags, row, "left").join(names, "game_id", "left")
     return whole.withColumn("already_rising", F.coalesce("already_rising", F.lit(False))).select(*COLUMNS)

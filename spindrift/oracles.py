@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # Named blocks; a query lists those it needs, in order.
 BLOCKS = {
     "li": """li AS (
@@ -170,11 +172,66 @@ sam AS (
 BLOCKS["now"] = """now_ AS (
   SELECT game_id, arg_max(price_cents, month) FILTER (condition = 'loose') AS loose_cents, arg_max(price_cents, month) FILTER (condition = 'cib') AS cib_cents, arg_max(price_cents, month) FILTER (condition = 'new') AS new_cents FROM prices GROUP BY 1)"""
 
+BLOCKS["pat"] = f"""it AS (SELECT condition, game_id, rising, excess_36m, factor || '=' || value AS item FROM long WHERE rising IS NOT NULL AND value <> 'unknown' AND NOT (factor LIKE 'kw_%' AND value = 'no')),
+combo AS (
+  SELECT condition, game_id, rising, excess_36m, [item] AS items FROM it
+  UNION ALL SELECT a.condition, a.game_id, a.rising, a.excess_36m, [a.item, b.item] FROM it a JOIN it b ON a.game_id = b.game_id AND a.condition = b.condition AND a.item < b.item
+  UNION ALL SELECT a.condition, a.game_id, a.rising, a.excess_36m, [a.item, b.item, c.item] FROM it a JOIN it b ON a.game_id = b.game_id AND a.condition = b.condition AND a.item < b.item
+  JOIN it c ON a.game_id = c.game_id AND a.condition = c.condition AND b.item < c.item),
+pcount AS (SELECT condition, items, count(*) AS n, sum(rising) AS k FROM combo GROUP BY 1, 2 HAVING count(*) >= 5),
+pmeas AS (SELECT p.*, base, labelled, k / n AS confidence, k / n / base AS lift, {LO} / base AS lift_lo, {HI} / base AS lift_hi FROM pcount p JOIN base USING (condition)),
+risen1 AS (SELECT * FROM pmeas WHERE len(items) = 1),
+risen2 AS (SELECT p.* FROM pmeas p WHERE len(items) = 2 AND EXISTS (SELECT 1 FROM risen1 o WHERE o.condition = p.condition AND o.lift >= 1 AND list_contains(p.items, o.items[1]))),
+risen3 AS (SELECT p.* FROM pmeas p WHERE len(items) = 3 AND EXISTS (SELECT 1 FROM risen2 o WHERE o.condition = p.condition AND o.lift >= 1 AND list_has_all(p.items, o.items))),
+reached AS (FROM risen1 UNION ALL FROM risen2 UNION ALL FROM risen3),
+pfound AS (
+  SELECT g.* FROM reached g WHERE g.lift >= 1.5
+  AND NOT EXISTS (SELECT 1 FROM reached o WHERE o.condition = g.condition AND len(o.items) < len(g.items) AND list_has_all(g.items, o.items) AND g.lift < o.lift + 0.1)
+  AND NOT (len(g.items) > 1 AND g.lift < 0.1)),
+best5 AS (
+  SELECT f.condition, f.items, c.game_id, row_number() OVER (PARTITION BY f.condition, f.items ORDER BY c.excess_36m DESC NULLS LAST, c.game_id) AS nth
+  FROM pfound f JOIN combo c ON c.condition = f.condition AND c.items = f.items AND c.rising = 1),
+pat AS (
+  SELECT f.condition, array_to_string(f.items, ' & ') AS items, CAST(len(f.items) AS INTEGER) AS size, f.n, f.k, f.n / f.labelled AS support, f.confidence, f.lift, f.lift_lo, f.lift_hi,
+         coalesce((SELECT string_agg(CAST(b.game_id AS VARCHAR), ',' ORDER BY b.nth) FROM best5 b WHERE b.condition = f.condition AND b.items = f.items AND b.nth <= 5), '') AS examples
+  FROM pfound f)"""
+BLOCKS["match"] = re.sub(r"\bps\b", "pf", BLOCKS["fac"]).replace("fac AS", "facnow AS") + ",\n" + BLOCKS["long"].replace("long AS", "longnow AS").replace("FROM fac", "FROM facnow") + """,
+rule AS (SELECT condition, items, lift_lo, row_number() OVER (PARTITION BY condition ORDER BY lift_lo DESC, items) AS nth FROM pat),
+itnow AS (SELECT condition, game_id, list(factor || '=' || value) AS have FROM longnow WHERE value <> 'unknown' AND NOT (factor LIKE 'kw_%' AND value = 'no') GROUP BY 1, 2),
+holds AS (SELECT i.condition, i.game_id, u.items, u.lift_lo, u.nth FROM itnow i JOIN rule u ON u.condition = i.condition AND u.lift_lo > 1 AND list_has_all(i.have, string_split(u.items, ' & '))),
+match AS (
+  SELECT f.condition, f.game_id, coalesce(sum(ln(h.lift_lo) ORDER BY h.nth), 0) AS pattern_score, coalesce(array_to_string(list(h.items ORDER BY h.nth) FILTER (h.nth IS NOT NULL)[1:3], ' | '), '') AS matched
+  FROM facnow f LEFT JOIN holds h ON h.condition = f.condition AND h.game_id = f.game_id GROUP BY 1, 2)"""
+BLOCKS["watch"] = """watch0 AS (
+  SELECT m.*, coalesce((pattern_score - avg(pattern_score) OVER c) / nullif(stddev_pop(pattern_score) OVER c, 0), 0) AS score FROM match m WHERE pattern_score > 0 WINDOW c AS (PARTITION BY condition)),
+watch1 AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY round(score, 9) DESC, game_id) AS nth FROM watch0),
+watch AS (
+  SELECT w.condition, w.game_id, g.name, f.console, (SELECT arg_max(h.price_cents, h.month) FROM hist h WHERE h.game_id = w.game_id AND h.condition = w.condition) AS price_cents, w.score, w.pattern_score,
+         CAST(NULL AS DOUBLE) AS model_pred, w.matched, coalesce(f.rising, 0) = 1 AS already_rising, f.genre, f.publisher, f.region, f.platform
+  FROM watch1 w JOIN facnow f ON f.condition = w.condition AND f.game_id = w.game_id LEFT JOIN games g ON g.id = w.game_id WHERE w.nth <= 50)"""
+_SIGNALS = ["trend_12m", "acceleration", "volatility_12m", "drawdown_24m", "cib_loose_change_12m"]
+BLOCKS["cmp"] = "tag AS (" + " UNION ALL ".join(f"SELECT f.condition, b.breakout, '{c}' AS signal, f.{c} AS x FROM brk b JOIN feat f ON f.game_id = b.game_id AND f.condition = b.condition AND f.month = b.month WHERE f.{c} IS NOT NULL" for c in _SIGNALS) + """),
+rk AS (SELECT *, rank() OVER (PARTITION BY condition, signal ORDER BY x) + (count(*) OVER (PARTITION BY condition, signal, x) - 1) / 2.0::DOUBLE AS rank FROM tag),
+tie AS (SELECT condition, signal, sum(t * t * t - t)::DOUBLE AS ties FROM (SELECT condition, signal, x, count(*)::DOUBLE AS t FROM tag GROUP BY 1, 2, 3) GROUP BY 1, 2),
+st AS (
+  SELECT condition, signal, count(*) FILTER (breakout = 1) AS n1, count(*) FILTER (breakout = 0) AS n0, avg(x) FILTER (breakout = 1) AS m1, avg(x) FILTER (breakout = 0) AS m0,
+         var_samp(x) FILTER (breakout = 1) AS v1, var_samp(x) FILTER (breakout = 0) AS v0, sum(rank) FILTER (breakout = 1) AS ranks FROM rk GROUP BY 1, 2),
+su AS (SELECT *, ranks - n1 * (n1 + 1) / 2.0::DOUBLE AS u, n1 * n0 / 2.0::DOUBLE AS mid, (n1 + n0)::DOUBLE AS n FROM st JOIN tie USING (condition, signal) WHERE n1 >= 10 AND n0 >= 10),
+cmp AS (
+  SELECT condition, signal, n1 AS n_break, n0 AS n_control, m1 AS mean_break, m0 AS mean_control, coalesce((m1 - m0) / nullif(sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 0), 0) AS d, u,
+         coalesce(greatest(abs(u - mid) - 0.5, 0) / nullif(sqrt(n1 * n0 / 12.0::DOUBLE * ((n + 1) - ties / (n * (n - 1)))), 0) * sign(u - mid), 0) AS z FROM su)"""
+BLOCKS["titles"] = """titles AS (SELECT *, CASE WHEN id % 3 <> 0 THEN release_date END AS last_detail_at FROM games)"""
+BLOCKS["listed"] = """listed AS (
+  SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'nes' WHEN 1 THEN 'pal-nes' WHEN 2 THEN 'famicom' ELSE 'other' END AS console, 'part-' || p_partkey AS slug, p_name AS name, CAST(NULL AS VARCHAR) AS image_url,
+         CAST(round(p_retailprice * 100) AS BIGINT) AS loose_cents, CASE WHEN p_size % 5 <> 0 THEN CAST(round(p_retailprice * 200) AS BIGINT) END AS cib_cents, CAST(round(p_retailprice * 300) AS BIGINT) AS new_cents FROM part)"""
+
+
 HIST = ["li", "prices", "home", "hist"]
 INDEX = [*HIST, "rets", "cal", "idx"]
 PANEL = [*INDEX, "panel"]
 LAB = [*PANEL, "met", "lab"]
 FAC = [*LAB, "games", "gf", "ps", "sf", "fac", "long"]
+MATCH = [*FAC, "lift", "pat", "pf", "match"]
 
 
 def sql(blocks: list[str], select: str) -> str:
@@ -203,6 +260,8 @@ _COMPARE = """, own AS ({rows}), s0_ AS (SELECT id, min(month) AS f FROM own GRO
 kept AS (SELECT own.* FROM own, st WHERE month >= start), b0 AS (SELECT id, arg_min(price_cents, month) AS c0, arg_min(level, month) AS l0 FROM kept GROUP BY 1)
 SELECT k.id, name, console, month, round_even(100 * price_cents / c0::DOUBLE * exp(l0 - level), 3) AS y FROM kept k JOIN b0 USING (id)"""
 
+_RUNS = """SELECT o_custkey AS id, o_orderkey AS number, CASE WHEN o_orderkey % 5 = 0 THEN 'timeout' END AS error FROM orders
+ QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 ORDER BY id DESC LIMIT {n}"""
 ORACLES = {
     "scan_history": sql(HIST, "SELECT * FROM hist"),
     "scan_games": sql(["home", "games"], "SELECT * FROM games"),
@@ -215,7 +274,7 @@ ORACLES = {
     "bin_cut": """SELECT p_partkey, CASE WHEN p_retailprice * 20 < 0 THEN 'unknown' WHEN p_retailprice * 20 < 2000 THEN '<$20' WHEN p_retailprice * 20 < 10000 THEN '$20-100' WHEN p_retailprice * 20 < 50000 THEN '$100-500' ELSE '$500+' END AS price,
  CASE WHEN p_size <= -1 THEN 'unknown' WHEN p_size <= 0 THEN '0' WHEN p_size <= 4 THEN '1-4' WHEN p_size <= 14 THEN '5-14' ELSE '15+' END AS size FROM part""",
     "like_search": sql(["home", "games"], "SELECT id, name FROM games WHERE contains(lower(name), 'red')"),
-    "nocase_sort": sql(["home", "games"], "SELECT id, name FROM games ORDER BY lower(name), id LIMIT 40"),
+    "nocase_sort": sql(["home", "games"], "SELECT id, name FROM games"),
     "split_matched": "SELECT p_partkey, p_name || '/' || p_brand AS parts FROM part",
     "split_ids": "SELECT p_partkey, CASE WHEN p_size = p_partkey THEN p_size::VARCHAR ELSE p_size || ',' || p_partkey END AS ids FROM part",
     "monthly_returns": sql([*HIST, "rets"], "SELECT console, condition, game_id, month, round(ret, 6) AS ret FROM rets"),
@@ -273,4 +332,44 @@ SELECT v.condition, v.month, round_even(o.c / 100.0::DOUBLE * exp(v.level - b.le
     "q_compare_index": sql([*INDEX, "games"], _COMPARE.format(rows="SELECT g.id, g.name, g.console, p.month, p.price_cents, i.level FROM prices p JOIN games g ON g.id = p.game_id JOIN idx i ON i.console = g.console AND i.condition = p.condition AND i.month = p.month WHERE g.id IN (3, 7, 9) AND p.condition = 'loose'")),
     "q_report_factors": sql([*FAC, "lift"], f"SELECT condition, factor, value, n, {r('lift')}, row_number() OVER (PARTITION BY condition ORDER BY lift.lift DESC, factor, value) AS nth FROM lift WHERE lift_lo > 1 QUALIFY nth <= 15"),
     "q_healthz": sql(["home", "games"], "SELECT count(*) AS games FROM games"),
+    "usd_percent": """SELECT c_custkey, '$' || format('{:,.2f}', round(c_acctbal * 100) / 100) AS usd,
+ CASE WHEN round_even(c_acctbal / 10000 * 100, 0) > 0 THEN '+' WHEN round_even(c_acctbal / 10000 * 100, 0) < 0 THEN '−' ELSE '' END || CAST(abs(CAST(round_even(c_acctbal / 10000 * 100, 0) AS BIGINT)) AS VARCHAR) || '%' AS pct FROM customer""",
+    "patterns": sql([*FAC, "lift", "pat"], f"SELECT condition, items, size, n, k, {r('support', 'confidence', 'lift', 'lift_lo', 'lift_hi')}, examples FROM pat"),
+    "match_patterns": sql([*MATCH], f"SELECT condition, game_id, {r('pattern_score')}, matched FROM match"),
+    "watchlist_pattern": sql([*MATCH, "watch"], f"SELECT condition, game_id, name, console, price_cents, {r('score', 'pattern_score')}, model_pred, matched, already_rising, genre, publisher, region, platform FROM watch"),
+    "q_watchlist": sql([*MATCH, "watch"], "SELECT game_id, name, console, round(score, 6) AS score, replace(matched, ' | ', ';') AS patterns FROM watch WHERE condition = 'cib'"),
+    "q_watchlist_consoles": sql([*MATCH, "watch"], "SELECT DISTINCT console FROM watch"),
+    "q_names": sql([*FAC, "lift", "pat"], """, each AS (SELECT condition || '|' || items AS key, unnest(string_split(examples, ',')) AS one, unnest(range(len(string_split(examples, ',')))) AS nth FROM pat)
+SELECT key, string_agg(g.name || ' (' || g.console || ')', '; ' ORDER BY nth) AS names FROM each JOIN games g ON CAST(g.id AS VARCHAR) = one WHERE g.name IS NOT NULL GROUP BY 1"""),
+    "compare_signals": sql([*PANEL, "ex", "feat", "brk", "cmp"], f"SELECT condition, signal, n_break, n_control, {r('mean_break', 'mean_control', 'd', 'u', 'z')} FROM cmp"),
+    "model_metrics": sql([*PANEL, "games", "gf", "sam"], """, p AS (SELECT condition, target, momentum_12m AS x FROM sam WHERE momentum_12m IS NOT NULL),
+ra AS (SELECT *, rank() OVER (ORDER BY target) + (count(*) OVER (PARTITION BY target) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS b, avg(target) OVER () AS m FROM p),
+q AS (SELECT condition, quantile_cont(target, 0.8::DOUBLE) AS qt, quantile_cont(x, 0.8::DOUBLE) AS qx FROM p GROUP BY 1 HAVING count(*) >= 25),
+s AS (SELECT condition, avg((target >= qt)::DOUBLE) AS share FROM p JOIN q USING (condition) WHERE x >= qx GROUP BY 1)
+SELECT round(corr(a, b), 6) AS spearman, round(1 - sum((target - x) ** 2) / sum((target - m) ** 2), 6) AS r2, round((SELECT avg(share) FROM s), 6) AS top_quintile_precision FROM ra"""),
+    "list_products": sql(["listed"], "SELECT * FROM listed"),
+    "chart_points": sql(["li", "prices"], "SELECT game_id, condition, month, price_cents FROM prices WHERE price_cents <> 0"),
+    "sale_ids": """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'ebay-' || o_orderkey ELSE 'h-' || substr(sha1(CAST(o_orderdate AS DATE) || '|' || o_orderpriority || '|' || CASE WHEN o_orderkey % 7 <> 0 THEN CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) ELSE 'None' END), 1, 16) END AS sale_id FROM orders""",
+    "upsert_games": sql(["home", "games", "titles", "listed"], """SELECT coalesce(l.id, g.id) AS id, CASE WHEN l.id IS NOT NULL THEN l.console ELSE g.console END AS console,
+ CASE WHEN l.id IS NULL THEN g.platform WHEN l.console <> 'other' THEN 'nes' END AS platform, CASE WHEN l.id IS NULL THEN g.region WHEN l.console = 'nes' THEN 'ntsc-u' WHEN l.console = 'pal-nes' THEN 'pal' WHEN l.console = 'famicom' THEN 'ntsc-j' END AS region,
+ CASE WHEN l.id IS NOT NULL THEN l.slug ELSE g.slug END AS slug, CASE WHEN l.id IS NOT NULL THEN l.name ELSE g.name END AS name, g.genre, g.publisher, g.release_date, CAST(CASE WHEN l.id IS NOT NULL THEN 1 ELSE g.list_rank END AS INTEGER) AS list_rank,
+ CASE WHEN g.id IS NOT NULL THEN DATE '2001-01-01' ELSE DATE '2001-10-01' END AS first_seen_at, CASE WHEN l.id IS NOT NULL THEN DATE '2001-10-01' END AS last_list_at, g.last_detail_at FROM titles g FULL JOIN listed l ON l.id = g.id"""),
+    "upsert_snapshots": sql(["listed"], """SELECT id AS game_id, DATE '2001-10-01' AS captured_on, 'list' AS source, loose_cents + CASE WHEN contains(name, 'red') THEN 100 ELSE 0 END AS loose_cents, cib_cents, new_cents FROM listed
+ UNION ALL SELECT id, DATE '2001-10-02', 'list', loose_cents, cib_cents, new_cents FROM listed"""),
+    "upsert_detail": sql(["home", "games", "titles"], """SELECT g.id, g.name, CASE WHEN o.c IS NOT NULL THEN o.genre ELSE g.genre END AS genre, CASE WHEN o.c IS NOT NULL THEN o.publisher ELSE g.publisher END AS publisher, CASE WHEN o.c IS NULL THEN g.release_date END AS release_date,
+ CASE WHEN o.c IS NOT NULL THEN DATE '2001-10-01' ELSE g.last_detail_at END AS last_detail_at FROM titles g LEFT JOIN (SELECT o_custkey AS c, o_orderpriority AS genre, CAST(o_orderkey AS VARCHAR) AS publisher FROM orders
+ QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderpriority DESC, CAST(o_orderkey AS VARCHAR) DESC) = 1) o ON o.c = g.id"""),
+    "quarantine": "WITH x AS (SELECT p_partkey AS game_id, CASE WHEN p_size % 3 <> 0 THEN p_partkey + (p_size % 5 = 0)::INT END AS pc_id FROM part) SELECT game_id, pc_id, NOT (pc_id IS NOT NULL AND pc_id <> game_id) AS accepted FROM x",
+    "games_due": sql(["home", "games", "titles"], "SELECT id, CAST(list_rank AS INTEGER) AS list_rank, last_detail_at FROM titles WHERE last_detail_at IS NULL OR last_detail_at < TIMESTAMP '2001-10-01 00:00:00' - INTERVAL 1500 DAY"),
+    "list_fresh": "SELECT DISTINCT o_orderpriority || '-' || (o_custkey % 50) AS console FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 <> 0 AND o_orderkey % 4 > 0 AND o_orderdate > TIMESTAMP '1995-06-01 00:00:00' - INTERVAL 200 DAY",
+    "run_log": """SELECT o_custkey AS id, o_orderkey AS number, CASE WHEN o_orderstatus = 'F' THEN 'list' ELSE 'detail' END AS stage, o_orderkey % 4 AS ok, CASE WHEN o_orderkey % 5 = 0 THEN 'timeout' END AS error FROM orders
+ QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
+    "q_recent_runs": _RUNS.format(n=20),
+    "q_last_analysis": _RUNS.format(n=1),
+    "q_coverage_totals": sql(["li", "prices", "home", "games"], """SELECT CAST(count(*) AS BIGINT) AS listed, count(*) FILTER (id % 3 <> 0 AND release_date IS NOT NULL) AS fetched,
+ count(*) FILTER (id % 3 <> 0 AND release_date < TIMESTAMP '2001-10-01 00:00:00' - INTERVAL 365 DAY) AS stale, count(*) FILTER (id % 3 = 0 OR release_date IS NULL) AS never,
+ count(*) FILTER (id IN (SELECT game_id FROM prices)) AS with_history FROM games"""),
+    "q_latest_prices": sql(["li", "prices", "listed"], """, m AS (SELECT game_id, arg_max(price_cents, month) FILTER (condition = 'loose') AS loose_cents, arg_max(price_cents, month) FILTER (condition = 'cib') AS cib_cents, arg_max(price_cents, month) FILTER (condition = 'new') AS new_cents FROM prices GROUP BY 1)
+SELECT coalesce(l.id, m.game_id) AS game_id, coalesce(CASE WHEN l.id % 3 = 0 THEN l.loose_cents + 5 ELSE l.loose_cents END, m.loose_cents) AS loose_cents,
+ coalesce(CASE WHEN l.id % 2 = 0 THEN l.cib_cents END, CASE WHEN l.id IS NOT NULL THEN 77 END, m.cib_cents) AS cib_cents, coalesce(l.new_cents, m.new_cents) AS new_cents FROM listed l FULL JOIN m ON m.game_id = l.id"""),
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import condition_order, name_contains, percent_of, split_matched
+from spindrift.functions.text import ascii_lower, condition_order, name_contains, percent_of, split_matched
 from spindrift.sources.model import CONDITIONS, console_table
 
 FILTERS = ("console", "platform", "region", "genre")
@@ -91,7 +91,7 @@ def _order(sort: str, cond: str) -> list[Column]:
     return {
         "price": [F.desc_nulls_last(f"{cond}_cents")],
         "rank": [F.asc_nulls_last("list_rank")],
-        "name": [F.lower("name").asc()],
+        "name": [ascii_lower(F.col("name")).asc()],
         "excess": [F.desc_nulls_last("excess_36m")],
     }[sort]
 
@@ -190,7 +190,7 @@ def watchlist(watch: DataFrame | None, cond: str = "loose", console: str | None
     _one_of(sort, WATCH_SORTS, "sort")
     rows = watch.where(F.col("condition") == cond)
     rows = rows.where(F.col("console") == console) if console else rows
-    order = {"score": F.desc("score"), "price": F.desc("price_cents"), "name": F.lower("name").asc(), "model": F.desc_nulls_last("model_pred")}[sort]
+    order = {"score": F.desc("score"), "price": F.desc("price_cents"), "name": ascii_lower(F.col("name")).asc(), "model": F.desc_nulls_last("model_pred")}[sort]
     return with_patterns(rows).orderBy(order, "game_id")
 
 

@@ -1,7 +1,8 @@
 """Upserts, the work queue, the run log, and derived tables on Parquet.
 
 A table is a folder of versions; a write makes a new version and then points ``_current`` at it,
-so readers never see half a table and a writer may read what it replaces.
+so readers never see half a table and a writer may read what it replaces. The version before the
+current one stays until the next write, for frames that still read it.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ DETAIL_COLUMNS = ["genre", "release_date", "esrb", "publisher", "developer", "mo
 
 
 def _last(batch: DataFrame, keys: list[str], order: str | None) -> DataFrame:
-    """Of rows with one key the last by ``order`` (without one, any)."""
-    nth = Window.partitionBy(*keys).orderBy(F.desc(order) if order else F.lit(1))
+    """Of rows with one key the last by ``order``, ties (and all, without one) by their columns."""
+    plain = [c for c, kind in batch.dtypes if c not in keys and not kind.startswith(("map", "variant"))]
+    nth = Window.partitionBy(*keys).orderBy(*([F.desc_nulls_last(order)] if order else []), *[F.desc_nulls_last(c) for c in plain])
     return batch.withColumn("nth_", F.row_number().over(nth)).where("nth_ = 1").drop("nth_")
 
 
@@ -53,17 +55,20 @@ def list_snapshots(listed: DataFrame, day) -> DataFrame:
     return listed.select(F.col("id").alias("game_id"), F.lit(day).cast("date").alias("captured_on"), F.lit("list").alias("source"), *[f"{c}_cents" for c in CONDITIONS])
 
 
-def upsert_detail(games: DataFrame, details: DataFrame, now) -> DataFrame:
-    """Detail pages overwrite all detail columns, with null too, of titles that exist."""
-    fresh = details.select(F.col("game_id").alias("d_id"), *[F.col(c).alias(f"d_{c}") for c in DETAIL_COLUMNS], F.lit(True).alias("hit_"))
+def upsert_detail(games: DataFrame, details: DataFrame, now, order: str | None = None) -> DataFrame:
+    """Detail pages overwrite all detail columns, with null too, of titles that exist; of several
+    pages of a title the last by ``order`` (its landing time)."""
+    fresh = _last(details, ["game_id"], order).select(F.col("game_id").alias("d_id"), *[F.col(c).alias(f"d_{c}") for c in DETAIL_COLUMNS], F.lit(True).alias("hit_"))
     joined = games.join(fresh, F.col("id") == F.col("d_id"), "left")
     pick = {c: F.when(F.col("hit_"), F.col(f"d_{c}")).otherwise(F.col(c)) for c in DETAIL_COLUMNS} | {"last_detail_at": F.when(F.col("hit_"), F.lit(now).cast("timestamp")).otherwise(F.col("last_detail_at"))}
     return joined.withColumns(pick).select(games.columns)
 
 
 def upsert_rows(table: str, old: DataFrame, new: DataFrame) -> DataFrame:
-    """price_snapshots, price_history or sales; a sale keeps when it was first seen."""
-    return upsert(old, new, KEYS[table], keep=("first_seen_at",) if table == "sales" else ())
+    """price_snapshots, price_history or sales; a sale keeps when it was first seen. Of several
+    sales of one key in a batch the last seen stays."""
+    sale = table == "sales"
+    return upsert(old, new, KEYS[table], keep=("first_seen_at",) if sale else (), order="first_seen_at" if sale else None)
 
 
 def checked_details(details: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,8 +128,9 @@ class Store:
         out = self._fs.create(self._path(f"{self.root}/{name}/_current"), True)
         out.writeUTF(v)
         out.close()
-        if old:
-            self._fs.delete(self._path(f"{self.root}/{name}/{old}"), True)
+        for status in self._fs.listStatus(self._path(f"{self.root}/{name}")):
+            if status.getPath().getName() not in ("_current", v, old):
+                self._fs.delete(status.getPath(), True)
 
     def append_run(self, name: str, row: dict) -> int:
         """Adds a row with the next id, which is returned."""

@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.functions.text import ascii_lower
 from spindrift.operators import curves, factors, forecast, mining, series, signals
-from spindrift.operators.watchlist import watchlist
-from spindrift.plans import report, serve
+from spindrift.operators.watchlist import watchlist, zscored
+from spindrift.plans import report, serve, store
 from spindrift.plans.analyze import in_order
-from spindrift.sources.model import Panel
+from spindrift.sources import parse
+from spindrift.sources.model import SCHEMAS, Panel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -163,8 +165,7 @@ def like_search(spark, d):
 
 @query
 def nocase_sort(spark, d):
-    rows = Stage(spark, d).games().orderBy(F.lower("name"), "id").limit(40)
-    return rows.select("id", "name")
+    return Stage(spark, d).games().orderBy(ascii_lower(F.col("name")), "id").select("id", "name")
 
 
 @query
@@ -274,9 +275,7 @@ def match_patterns(spark, d):
 
 @query
 def zscore(spark, d):
-    from spindrift.operators.watchlist import zscore as z
-
-    return rounded(Panel(spark, d).raw("supplier").select("s_suppkey", z(F.col("s_acctbal"), "s_nationkey").alias("z")))
+    return rounded(zscored(Panel(spark, d).raw("supplier"), "s_acctbal", "z", "s_nationkey").select("s_suppkey", "z"))
 
 
 @query
@@ -354,6 +353,117 @@ def spearman_rank(spark, d):
     return rounded(ranked.agg(F.corr("ra", "rb").alias("rho"), F.sum("ra").alias("sum_ra")))
 
 
+@query
+def model_metrics(spark, d):
+    """The measures of the model check, with momentum in the place of a prediction."""
+    rows = _samples(Stage(spark, d)).where("momentum_12m is not null").withColumn("prediction", F.col("momentum_12m"))
+    rho, r2 = forecast.spearman(rows, "target", "prediction"), forecast.r_squared(rows, "target", F.col("prediction"))
+    return rounded(spark.createDataFrame([(rho, r2, forecast.top_quintile_precision(rows))], "spearman double, r2 double, top_quintile_precision double"))
+
+
+# ---------------------------------------------------------------------------- ingest
+
+
+def _titles(spark, d) -> DataFrame:
+    """The games table, with the times of its visits."""
+    made = Stage(spark, d).games().withColumns({"first_seen_at": F.lit("2001-01-01 00:00:00").cast("timestamp"), "last_detail_at": F.when(F.col("id") % 3 != 0, F.col("release_date").cast("timestamp"))})
+    return made.select([F.col(f.name).cast(f.dataType) if f.name in made.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS["games"]])
+
+
+def _listed(spark, d) -> DataFrame:
+    """Every part as a product of a list payload, written as JSON and parsed."""
+    price = lambda x: F.concat(F.lit("$"), F.format_number(x, 2))
+    product = F.struct(
+        F.col("p_partkey").cast("string").alias("id"),
+        F.element_at(F.array(F.lit("nes"), F.lit("pal-nes"), F.lit("famicom"), F.lit("other")), (F.col("p_size") % 4 + 1).cast("int")).alias("consoleUri"),
+        F.concat(F.lit("part-"), "p_partkey").alias("productUri"),
+        F.col("p_name").alias("productName"),
+        F.lit("").alias("imageUri"),
+        price(F.col("p_retailprice")).alias("price1"),
+        price(F.col("p_retailprice") * 3).alias("price2"),
+        F.when(F.col("p_size") % 5 != 0, price(F.col("p_retailprice") * 2)).alias("price3"),
+    )
+    return parse.list_products(Panel(spark, d).raw("part").select(F.to_json(product).alias("json")))
+
+
+@query
+def list_products(spark, d):
+    return _listed(spark, d)
+
+
+@query
+def chart_points(spark, d):
+    """Every title's prices as the chart of a page, and back."""
+    series_ = lambda c: F.sort_array(F.collect_list(F.when(F.col("condition") == c, F.array(F.unix_millis(F.col("month").cast("timestamp")), F.col("price_cents")))))
+    pages = Stage(spark, d).prices().groupBy("game_id").agg(*[series_(c).alias(k) for k, c in parse.CHART_KEYS.items()])
+    html = F.concat(F.lit("<script>VGPC.chart_data = "), F.to_json(F.struct(*parse.CHART_KEYS)), F.lit(";</script>"))
+    return parse.chart_points(pages.select("game_id", html.alias("html")))
+
+
+@query
+def sale_ids(spark, d):
+    rows = Panel(spark, d).raw("orders")
+    row_id = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("ebay-"), "o_orderkey")).when(F.col("o_orderkey") % 3 == 0, "")
+    day, cents = F.col("o_orderdate").cast("date"), F.when(F.col("o_orderkey") % 7 != 0, F.round(F.col("o_totalprice") * 100).cast("long"))
+    return rows.select("o_orderkey", parse.sale_id(row_id, day, F.col("o_orderpriority"), cents).alias("sale_id"))
+
+
+@query
+def upsert_games(spark, d):
+    listed = _listed(spark, d).withColumn("list_rank", F.lit(1))
+    out = store.upsert_games(_titles(spark, d), listed, NOW)
+    return out.select("id", "console", "platform", "region", "slug", "name", "genre", "publisher", "release_date", "list_rank", *[F.col(c).cast("date") for c in ("first_seen_at", "last_list_at", "last_detail_at")])
+
+
+@query
+def upsert_snapshots(spark, d):
+    """Two list visits of one day and one of the next: the second of the day replaces the first."""
+    listed = _listed(spark, d)
+    first = store.list_snapshots(listed, "2001-10-01")
+    again = store.list_snapshots(listed.withColumn("loose_cents", F.col("loose_cents") + 100).where("name like '%red%'"), "2001-10-01")
+    return store.upsert_rows("price_snapshots", store.upsert_rows("price_snapshots", first, again), store.list_snapshots(listed, "2001-10-02"))
+
+
+@query
+def upsert_detail(spark, d):
+    """Every order as a detail page of a title: of a title's pages the last to land counts."""
+    orders = Panel(spark, d).raw("orders")
+    pages = orders.select(F.col("o_custkey").alias("game_id"), F.col("o_orderpriority").alias("genre"), F.col("o_orderkey").cast("string").alias("publisher"), F.col("o_orderdate").cast("timestamp").alias("landed_at"))
+    lacking = {c: F.lit(None).cast(SCHEMAS["games"][c].dataType) for c in store.DETAIL_COLUMNS if c not in pages.columns}
+    out = store.upsert_detail(_titles(spark, d), pages.withColumns(lacking), NOW, "landed_at")
+    return out.select("id", "name", "genre", "publisher", "release_date", F.col("last_detail_at").cast("date"))
+
+
+@query
+def quarantine(spark, d):
+    pages = Panel(spark, d).raw("part").select(F.col("p_partkey").alias("game_id"), F.when(F.col("p_size") % 3 != 0, F.col("p_partkey") + (F.col("p_size") % 5 == 0).cast("int")).alias("pc_id"))
+    good, bad = store.checked_details(pages)
+    return good.withColumn("accepted", F.lit(True)).unionByName(bad.withColumn("accepted", F.lit(False)))
+
+
+@query
+def games_due(spark, d):
+    return store.games_due(_titles(spark, d), NOW, 1500).select("id", "list_rank", F.col("last_detail_at").cast("date"))
+
+
+def _runs(spark, d) -> DataFrame:
+    when = F.col("o_orderdate").cast("timestamp")
+    return Panel(spark, d).raw("orders").select(
+        F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("number"), F.when(F.col("o_orderstatus") == "F", "list").otherwise("detail").alias("stage"),
+        F.concat_ws("-", "o_orderpriority", F.col("o_custkey") % 50).alias("console"), (F.col("o_orderkey") % 4).alias("ok"), F.when(F.col("o_orderkey") % 5 == 0, "timeout").alias("error"), when.alias("finished_at"), when.alias("at"),
+    )
+
+
+@query
+def list_fresh(spark, d):
+    return store.list_fresh(_runs(spark, d), "1995-06-01 00:00:00", 24 * 200)
+
+
+@query
+def run_log(spark, d):
+    return store.run_log(_runs(spark, d)).select("id", "number", "stage", "ok", "error")
+
+
 # ---------------------------------------------------------------------------- reads
 
 
@@ -365,6 +475,22 @@ def q_coverage(spark, d):
     return out.withColumns({c: F.col(c).cast("date") for c in ("last_list_at", "last_detail_at")})
 
 
+@query
+def q_coverage_totals(spark, d):
+    s = Stage(spark, d)
+    return serve.coverage_totals(serve.coverage(_titles(spark, d), s.prices(), NOW, 365))
+
+
+@query
+def q_recent_runs(spark, d):
+    return serve.recent_runs(store.run_log(_runs(spark, d))).select("id", "number", "error")
+
+
+@query
+def q_last_analysis(spark, d):
+    return serve.last_analysis(store.run_log(_runs(spark, d))).select("id", "number", "error")
+
+
 @query
 def q_facets(spark, d):
     return serve.facets(Stage(spark, d).games())
@@ -401,6 +527,15 @@ def q_game(spark, d):
     return serve.game(s.games(), s.prices(), 7)
 
 
+@query
+def q_latest_prices(spark, d):
+    """The newest snapshot that has a price, of one day the detail page's, else the last month's."""
+    shots = store.list_snapshots(_listed(spark, d), "2001-10-01").withColumn("cib_cents", F.when(F.col("game_id") % 2 == 0, F.col("cib_cents")))
+    detail = shots.withColumns({"source": F.lit("detail"), "loose_cents": F.when(F.col("game_id") % 3 == 0, F.col("loose_cents") + 5), "cib_cents": F.lit(None).cast("long")})
+    older = shots.withColumns({"captured_on": F.lit("2001-09-01").cast("date"), "new_cents": F.col("new_cents") + 1, "cib_cents": F.lit(77).cast("long")})
+    return serve.latest_prices(Stage(spark, d).prices(), shots.unionByName(detail).unionByName(older))
+
+
 @query
 def q_history(spark, d):
     return serve.history(Stage(spark, d).prices(), 7)

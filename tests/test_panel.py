@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text
 from spindrift.operators import curves, factors, forecast, mining, series, signals
-from spindrift.operators.watchlist import zscore
+from spindrift.operators.watchlist import zscored
 from spindrift.plans import analyze, report, serve, store
 from spindrift.sources import model, parse
 from spindrift.sources.synthetic import synthetic
@@ -145,7 +145,7 @@ def test_scalars(spark):
 
 def test_zscore(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0), ("b", 2.0)], "condition string, x double")
-    assert sorted(r[0] for r in df.select(zscore(F.col("x"))).collect()) == [-1, 0, 0, 1]
+    assert sorted(r[0] for r in zscored(df, "x", "z").select("z").collect()) == [-1, 0, 0, 1]
 
 
 def test_consoles():
@@ -210,6 +210,65 @@ def test_planted_effects_and_store(spark, tmp_path):
     assert train.agg(F.max("t0")).first()[0] <= test.agg(F.min("t0")).first()[0].replace(year=test.agg(F.min("t0")).first()[0].year - 3)
 
 
+def test_a_later_page_of_a_title_counts(spark):
+    titles = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string").withColumns({c: F.lit(None).cast(model.SCHEMAS["games"][c].dataType) for c in (*store.DETAIL_COLUMNS, "last_detail_at")})
+    pages = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (3, "none", 1)], "game_id long, genre string, nth int").withColumns({c: F.lit(None).cast("string") for c in store.DETAIL_COLUMNS if c != "genre"})
+    assert [(r.id, r.genre) for r in store.upsert_detail(titles, pages, "2020-01-01", "nth").orderBy("id").collect()] == [(1, "new"), (2, None)]
+
+
+def test_the_version_before_stays_readable(spark, tmp_path):
+    st = store.Store(spark, str(tmp_path))
+    st.replace("t", spark.range(3))
+    held = st.read("t")
+    st.replace("t", held.where("id < 2"))
+    assert held.count() == 3 and st.read("t").count() == 2
+
+
+def test_a_stream_of_sales_is_upserted_once(spark, tmp_path):
+    from spindrift.streaming import ingest
+
+    sale = lambda k, cents, at: (1, "loose", k, D(2020, 1, 1), "t", cents, "s", "u", dt.datetime(2020, 1, at))
+    for n, rows in enumerate(([sale("x", 100, 1), sale("x", 100, 1), sale("y", 5, 1)], [sale("y", 7, 9), sale("z", 3, 9)])):
+        spark.createDataFrame(rows, model.SCHEMAS["sales"]).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        st = store.Store(spark, str(tmp_path / "db"))
+        stream = ingest.sale_stream(spark.readStream.schema(model.SCHEMAS["sales"]).json(str(tmp_path / "in")))
+        stream.writeStream.foreachBatch(ingest.upsert_batches(st, "sales")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
+        got = {r.sale_id: r.price_cents for r in st.read("sales").collect()}
+        assert got == ({"x": 100, "y": 5} if n == 0 else {"x": 100, "y": 5, "z": 3})  # the watermark hasn't passed y's first sale yet
+
+
+def test_clusters_and_their_profile_by_property(spark):
+    """Two plain families of curves: each cluster holds one, and its trait marks it."""
+    rows = [("nes", "loose", g, [(0.02 if g % 2 else -0.03) * k * (1 + g / 500) for k in range(24)]) for g in range(60)]
+    data = spark.createDataFrame(rows, "console string, condition string, game_id long, curve array<double>")
+    assigned, summary = curves.cluster_curves(data, 2, runs=2)
+    own = {r.game_id: r.cluster for r in assigned.collect()}
+    assert len({own[g] for g in range(0, 60, 2)}) == 1 and len({own[g] for g in range(1, 60, 2)}) == 1 and own[0] != own[1]
+    assert sorted(r.n for r in summary.collect()) == [30, 30]
+    facts = spark.createDataFrame([(g, "loose", "nes", None, "odd" if g % 2 else "even", "no") for g in range(60)], "game_id long, condition string, console string, rising double, kind string, kw_x string")
+    got = curves.profile_clusters(assigned, facts, ["kind", "kw_x"], 20).collect()
+    assert {(r.cluster, r.value, r.n, r.k, r.lift) for r in got} == {(own[1], "odd", 30, 30, 2.0), (own[0], "even", 30, 30, 2.0)}
+
+
+def samples_of(spark, target):
+    rows = []
+    for g in range(320):
+        for year in (2010, 2013, 2016):
+            x = (g * 37 % 100) / 100
+            rows.append((g, "nes", "loose" if g % 2 else "cib", D(year, 1, 1), target(g, x), x, 0.1, 1.0 + g % 3, 5.0, 0.5, 2000, "us", "nes", "rpg" if g % 3 else "race", "p", None, "early", "f", "2000-2004", "no", "no", "no"))
+    return spark.createDataFrame(rows, "game_id long, console string, condition string, t0 date, target double, log_price_t0 double, momentum_12m double, cib_loose_ratio double, age_years double, lifecycle_pos double, release_year long, region string, platform string, genre string, publisher string, esrb string, lifecycle string, franchise string, release_era string, kw_budget_reprint string, kw_limited string, kw_collector string")
+
+
+def test_the_model_finds_a_planted_signal_and_none_in_noise(spark):
+    """Constant features and a null one among them are left out."""
+    good = forecast.fit_model(samples_of(spark, lambda g, x: x + 0.01 * (g % 7)), rounds=8, repeats=2, rate=0.3)
+    assert good.summary["status"] == "ok" and good.summary["signal"] and good.summary["spearman"] > 0.9 and good.summary["r2"] > 0.8 and good.summary["top_quintile_precision"] > 0.8
+    assert good.importance[0][0] == "log_price_t0" and good.importance[0][1] > 0.5 and "region" not in good.categorical and "momentum_12m" not in good.numeric
+    noise = forecast.fit_model(samples_of(spark, lambda g, x: ((g * 7919 + 13) % 101) / 101), rounds=3, repeats=1, rate=0.3)
+    assert noise.summary["r2"] < 0.3 and noise.summary["spearman"] < 0.5
+    assert forecast.fit_model(samples_of(spark, lambda g, x: x).limit(30), rounds=2).summary["status"] == "insufficient data"
+
+
 def test_registry_matches_duckdb(spark):
     import duckdb
 
@@ -219,7 +278,14 @@ def test_registry_matches_duckdb(spark):
     c = duckdb.connect()
     for t in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
-    for name in ("scan_history", "console_index", "dense_panel", "price_factors", "q_history_table", "q_compare_index", "wilson"):
-        got, want = queries()[name](spark, d), c.execute(oracle_sql()[name]).fetch_df()
-        assert sorted(got.columns) == sorted(want.columns) and got.count() == len(want)
+    def values(names, rows, order):
+        plain = lambda v: round(v, 5) + 0.0 if isinstance(v, float) else v.isoformat()[:10] if isinstance(v, dt.date) else v
+        return sorted([str(plain(row[names.index(c)])) for c in order] for row in rows)
+
+    some = "scan_history console_index dense_panel price_factors patterns match_patterns curve_matrix compare_signals upsert_games upsert_detail upsert_snapshots list_products chart_points sale_ids games_due run_log list_fresh quarantine q_latest_prices q_names q_history_table q_compare_index usd_percent zscore wilson"
+    for name in some.split():
+        df, sql = queries()[name](spark, d), c.execute(oracle_sql()[name])
+        names = [x[0] for x in sql.description]
+        assert sorted(df.columns) == sorted(names), name
+        assert values(df.columns, [tuple(r) for r in df.collect()], sorted(names)) == values(names, sql.fetchall(), sorted(names)), name
     assert entry(spark).count() > 0 and set(oracle_sql()) <= set(queries())
