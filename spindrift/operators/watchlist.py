@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators.mining import match_patterns
+from spindrift.sources.staging import written
 
 
 COLUMNS = ["condition", "game_id", "name", "console", "price_cents", "score", "pattern_score", "model_pred", "matched", "already_rising", "genre", "publisher", "region", "platform"]
@@ -28,7 +29,7 @@ def watchlist(now: DataFrame, patterns: DataFrame, labeled: DataFrame, games: Da
     model = predictions is not None
     rows = rows.join(predictions.select(*row, "model_pred"), row, "left") if model else rows.withColumn("model_pred", F.lit(None).cast("double"))
     rows = rows.where((F.col("pattern_score") > 0) | F.col("model_pred").isNotNull())
-    rows = zscored(rows, "pattern_score", "z_")
+    rows = zscored(written(rows, "watch-rows"), "pattern_score", "z_")  # read for the means and for the rows
     if model:
         middle = rows.groupBy(F.col("condition").alias("of_")).agg(F.median("model_pred").alias("middle_"))
         rows = rows.join(F.broadcast(middle), F.col("condition") == F.col("of_")).withColumn("filled_", F.coalesce("model_pred", "middle_"))  # a row per condition
