@@ -413,6 +413,37 @@ def test_brown_end_token_rarer_than_the_ranked_words(spark, monkeypatch):
         assert got[i].base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tok(t)))
 
 
+def test_brown_gives_words_outside_the_units_their_class(spark, monkeypatch):
+    """Two languages; rare words of both end alike, so only their neighbours tell them apart. The
+    score is recomputed from the classes, and each context's probabilities sum to one."""
+    monkeypatch.setattr(brown, "UNIT_WORDS", 20)
+    monkeypatch.setattr(brown, "HOT_WORDS", 60)
+    rng = random.Random(2)
+    pick = lambda k: f"{'ab'[k]}{min(int(rng.expovariate(0.3)), 9)}" if rng.random() < 0.8 else f"r{rng.randrange(60)}{'ab'[k]}xyz"
+    rows = [(i, " ".join(pick(i % 2) for _ in range(120)), "s") for i in range(150)]
+    data = frame(spark, rows).select("doc_id", "text", F.lit(False).alias("held_out"))
+    v, _, words, hot_class, owner, mass, _ = brown._learned(data.select("doc_id", "held_out", "text"))
+    cls = {r.word: (r.c, r["class"]) for r in words.collect()}
+    assert len(cls) == v.distinct and sum(c for c, _ in cls.values()) == v.total
+    sides = [{cls[w][1] for w in cls if w.endswith(f"{x}xyz")} for x in "ab"]
+    assert not sides[0] & sides[1]
+    n = len(mass)
+    pairs = np.zeros((n, n))
+    seqs = [[cls[w][1] for w in t.split()] for _, t, _ in rows]
+    for q in seqs:
+        for a, b in zip([n - 1, *q], [*q, n - 1]):
+            pairs[a, b] += 1
+    gains = brown.class_gains(pairs, mass, v.total, v.distinct)
+    u = lambda c: (c + 1) / (v.total + v.distinct + 1)
+    for a in range(n):
+        seen = sum(u(c) * 10 ** gains[a, k] for c, k in cls.values())
+        assert seen + sum(u(0) * 10 ** gains[a, k] for k in range(n - 1)) == pytest.approx(1)
+    got = {r.doc_id: r.score for r in brown.score(frame(spark, rows), F.lit(False)).collect()}
+    for (i, t, _), q in zip(rows, seqs):
+        want = sum(math.log10(u(cls[w][0])) for w in t.split()) + math.log10(u(cls[" "][0])) + sum(gains[a, b] for a, b in zip([n - 1, *q], [*q, n - 1]))
+        assert got[i] == pytest.approx(want)
+
+
 def test_exchange_moves_a_word_to_its_language():
     owner = np.array([0, 0, 1, 0, 2])  # units 0, 1 follow each other, and 2, 3 do; 3 is misplaced
     after = np.array([[100, 0, 0], [100, 0, 0], [50, 50, 0], [50, 50, 0], [0, 0, 0]])
