@@ -11,15 +11,17 @@
    smallest set below it; since an overlap is at most the sum of coordinate minima, a subtree (or
    a pair) whose bound misses the threshold is left out. What a block sends on is not its pairs but
    its *candidate groups*: the members of each component of surviving pairs, one row a member.
-4. A candidate group's sets meet in one task, which verifies the surviving pairs on the sets
-   themselves and returns a spanning forest of the links, at most one a member. A pair whose two
-   sets are linked already, over others, needs no comparison; any other isn't left out.
+4. First the pairs of one star a group are verified on the sets themselves, which joins most near
+   copies. Where a group isn't in one component by then, its sets meet in one task, which verifies
+   its surviving pairs and returns a spanning forest of the links, at most one a member. A pair
+   whose two sets are linked already, over others, needs no comparison; any other isn't left out.
 
 Blocks of more than ``SMALL_BLOCK`` rows are cut into cells of about ``CELL`` rows. First the rows
 of one in ``PIVOT_SHARE`` such blocks are compared with the block's most central one (found by
 cells, then by cells of cells), which joins most members of a group of near copies by one link
-each. Then the blocks that aren't yet in one component are done cell against cell, as in 3 and 4;
-rows of one component need no comparison. Components are exact. The work on a group of near copies
+each. Then the blocks that aren't yet in one component are done cell against cell: each row's best
+candidate first, then, with the components these make, as in 3 and 4. Rows of one component need no
+comparison. Components are exact. The work on a group of near copies
 grows with the members its centre doesn't reach times all its members; what is sent on never does.
 
 Nothing but counters of fixed size reaches the driver. Texts never move: each pass over them gives
@@ -430,17 +432,19 @@ def _grouped(found: list[tuple[list[int], list[int]]]) -> pa.RecordBatch:
 
 
 def _near_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate groups of small blocks: rows (h, node, n, data) sorted by h."""
+    """Candidate groups of small blocks, rows (h, node, n, data) sorted by h: the members, and as
+    labels the star of the member of most candidates, itself first."""
     found = []
     for block in _runs(batches):
         nodes, sizes, vectors = _points(block)
         tree, forest = CountTree(vectors, sizes), Forest(len(nodes))
-        for i in range(len(nodes)):
-            for j in tree.search(vectors[i], sizes[i]).tolist():
+        near = [tree.search(vectors[i], sizes[i]).tolist() for i in range(len(nodes))]
+        for i, js in enumerate(near):
+            for j in js:
                 forest.join(i, j)
         for g in forest.groups():
-            members = sorted(nodes[g].tolist())
-            found.append((members, members))
+            most = min(g, key=lambda i: (-len(near[i]), nodes[i]))
+            found.append((sorted(nodes[g].tolist()), [int(nodes[most]), *(int(nodes[j]) for j in near[most] if j != most)]))
         if len(found) >= SLICE:
             yield _grouped(found)
             found = []
@@ -525,21 +529,31 @@ def _pivot_pairs(rows: DataFrame, points: DataFrame) -> DataFrame:
     return _met(placed, pivots).select("node", "n", "data", "pivot", "pivot_n", "pivot_data").mapInArrow(_near_pivot, "a long, b long").distinct()
 
 
-def _across(t: pa.Table) -> pa.Table:
-    """Candidate groups of a cell, of pairs in different components; side 0 meets side 1, or, where
-    the cell has one side only, its rows meet each other."""
-    nodes, sizes, vectors = _points(t)
-    label, side = np.asarray(t.column("label")), np.asarray(t.column("side"))
-    ask = np.flatnonzero(side == 0)
-    held = ask if bool(t.column("alone")[0].as_py()) else np.flatnonzero(side == 1)
-    forest = Forest(len(nodes))
-    if len(ask) and len(held):
-        tree = CountTree(vectors[held], sizes[held])
-        for i in ask.tolist():
-            for j in held[tree.search(vectors[i], sizes[i])].tolist():
-                if label[i] != label[j]:
-                    forest.join(i, j)
-    return pa.Table.from_batches([_grouped([(nodes[g].tolist(), label[g].tolist()) for g in forest.groups()])])
+def _across(best: bool):
+    """Of a cell's pairs in different components; side 0 meets side 1, or, where the cell has one
+    side only, its rows meet each other: the best candidate of each row of side 0 (as a group of
+    two), or else the candidate groups of all."""
+
+    def run(t: pa.Table) -> pa.Table:
+        nodes, sizes, vectors = _points(t)
+        label, side = np.asarray(t.column("label")), np.asarray(t.column("side"))
+        ask = np.flatnonzero(side == 0)
+        held = ask if bool(t.column("alone")[0].as_py()) else np.flatnonzero(side == 1)
+        forest, pairs = Forest(len(nodes)), []
+        if len(ask) and len(held):
+            tree = CountTree(vectors[held], sizes[held])
+            for i in ask.tolist():
+                near = held[tree.search(vectors[i], sizes[i])]
+                near = near[label[near] != label[i]]
+                if best and len(near):
+                    overlap = np.minimum(vectors[near], vectors[i]).sum(1, dtype=np.int64) / (sizes[near] + sizes[i])
+                    pairs.append([i, int(near[np.lexsort((nodes[near], -overlap))[0]])])
+                elif not best:
+                    for j in near.tolist():
+                        forest.join(i, j)
+        return pa.Table.from_batches([_grouped([(nodes[g].tolist(), label[g].tolist()) for g in (pairs if best else forest.groups())])])
+
+    return run
 
 
 def linked(s: np.ndarray, t: np.ndarray) -> bool:
@@ -559,7 +573,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The links among some pairs, of which each row of a block has one at most."""
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    with_a = ordered.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     both = with_a.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(_verified, "a long, b long")
 
@@ -572,8 +587,16 @@ def _links(groups: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_forests, "a long, b long").distinct()
 
 
-def _cells(large: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
-    """Candidate groups of large blocks that aren't in one component yet. A block's largest
+def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Small blocks' candidate groups that aren't in one component yet, with their labels."""
+    rows = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("node")).join(labels.select("node", "label"), "node", "left")
+    per = rows.groupBy("g").agg(F.array_sort(F.collect_set(F.struct("node", F.coalesce("label", "node").alias("label")))).alias("m"))
+    both = per.select(F.transform("m", lambda x: x["node"]).alias("members"), F.transform("m", lambda x: x["label"]).alias("labels"))
+    return both.where(F.size(F.array_distinct("labels")) > 1)
+
+
+def _cells(large: DataFrame, labels: DataFrame, points: DataFrame, best: bool) -> DataFrame:
+    """Candidates (see ``_across``) in large blocks that aren't in one component yet. A block's largest
     component (side 1) and its other rows (side 0) are cut into parts of about CELL rows and
     CELL_SHINGLES shingles; parts of side 0 meet all parts of side 1 and each other."""
     labelled = large.join(labels, "node", "left").join(points, "node").withColumn("label", F.coalesce("label", "node"))
@@ -593,7 +616,7 @@ def _cells(large: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
     other = zero.withColumn("z", F.explode(upto("p0"))).withColumn("x", F.least("part", "z")).withColumn("y", -1 - F.greatest("part", "z"))
     other = other.withColumn("alone", F.col("x") == -1 - F.col("y")).withColumn("side", F.when(~F.col("alone") & (F.col("part") > F.col("z")), 1).otherwise(0)).select(keep)
     cells = to_top.unionByName(top).unionByName(other)
-    found = staged(cells.groupBy("h", "x", "y").applyInArrow(_across, GROUPED), "cell-groups")
+    found = staged(cells.groupBy("h", "x", "y").applyInArrow(_across(best), GROUPED), "cell-groups")
     unstaged(rows)
     return found
 
@@ -647,13 +670,29 @@ def _found(docs: DataFrame, id_col: str, text_col: str, bits: int) -> tuple[Data
 
     size = large.groupBy("h").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
     chosen = _met(large, size.where(F.pmod(F.xxhash64("h"), F.lit(PIVOT_SHARE)) == 0))
-    links = staged(_links(groups, sets).unionByName(_verify(_pivot_pairs(chosen, points), sets)), "links")
+    star = groups.select(F.element_at("labels", 1).alias("a"), F.explode(F.slice("labels", 2, SMALL_BLOCK)).alias("b"))
+    links = staged(_verify(star.unionByName(_pivot_pairs(chosen, points)), sets), "links")
     labels = components(links)
-    if large.limit(1).count():
-        across = _cells(large, labels, points)
-        more = staged(links.unionByName(_links(across, sets)), "links")
-        unstaged(links, labels, across)
-        links, labels = more, components(more)
+    some = large.limit(1).count() > 0
+
+    def more(found: DataFrame) -> None:
+        """Adds links; components are made anew if there are any."""
+        nonlocal links, labels
+        fresh = staged(found, "links")
+        if fresh.limit(1).count():
+            every = staged(links.unionByName(fresh), "links")
+            unstaged(links, labels)
+            links, labels = every, components(every)
+        unstaged(fresh)
+
+    if some:
+        near = _cells(large, labels, points, best=True)
+        more(_verify(near.select(F.element_at("members", 1).alias("a"), F.element_at("members", 2).alias("b")), sets))
+        unstaged(near)
+    rest = staged(_open(groups, labels), "open-groups")
+    last = [rest, *([_cells(large, labels, points, best=False)] if some else [])]
+    more(_links(last[0].unionByName(last[-1]) if some else rest, sets))
+    unstaged(*last)
     unstaged(groups, large, sets, links)
 
     full = classes.join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
