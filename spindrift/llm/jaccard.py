@@ -587,12 +587,32 @@ def _links(groups: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_forests, "a long, b long").distinct()
 
 
-def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Small blocks' candidate groups that aren't in one component yet, with their labels."""
-    rows = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("node")).join(labels.select("node", "label"), "node", "left")
-    per = rows.groupBy("g").agg(F.array_sort(F.collect_set(F.struct("node", F.coalesce("label", "node").alias("label")))).alias("m"))
-    both = per.select(F.transform("m", lambda x: x["node"]).alias("members"), F.transform("m", lambda x: x["label"]).alias("labels"))
-    return both.where(F.size(F.array_distinct("labels")) > 1)
+def _still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate groups of pairs of different labels: rows (g, node, n, data, label) sorted by g."""
+    found = []
+    for group in _runs(batches):
+        nodes, sizes, vectors = _points(group)
+        label = np.asarray(group.column("label"))
+        tree, forest = CountTree(vectors, sizes), Forest(len(nodes))
+        for i in range(len(nodes)):
+            for j in tree.search(vectors[i], sizes[i]).tolist():
+                if label[i] != label[j]:
+                    forest.join(i, j)
+        found += [(nodes[g].tolist(), label[g].tolist()) for g in forest.groups()]
+        if len(found) >= SLICE:
+            yield _grouped(found)
+            found = []
+    yield _grouped(found)
+
+
+def _open(groups: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
+    """What small blocks' candidate groups still leave open. A star's middle was compared with all
+    its candidates, so it takes no further part."""
+    others = groups.select(F.array_except("members", F.slice("labels", 1, 1)).alias("members")).where(F.size("members") > 1).distinct()
+    rows = others.select(F.xxhash64("members").alias("g"), F.explode("members").alias("node")).join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed_ = rows.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("g")
+    held = rows.join(mixed_, "g").join(points, "node").select("g", "node", "n", "data", "label")
+    return held.repartition("g").sortWithinPartitions("g", "node").mapInArrow(_still_open, GROUPED)
 
 
 def _cells(large: DataFrame, labels: DataFrame, points: DataFrame, best: bool) -> DataFrame:
@@ -689,7 +709,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, bits: int) -> tuple[Data
         near = _cells(large, labels, points, best=True)
         more(_verify(near.select(F.element_at("members", 1).alias("a"), F.element_at("members", 2).alias("b")), sets))
         unstaged(near)
-    rest = staged(_open(groups, labels), "open-groups")
+    rest = staged(_open(groups, labels, points), "open-groups")
     last = [rest, *([_cells(large, labels, points, best=False)] if some else [])]
     more(_links(last[0].unionByName(last[-1]) if some else rest, sets))
     unstaged(*last)
