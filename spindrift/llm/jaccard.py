@@ -15,6 +15,8 @@
    copies. Where a group isn't in one component by then, its sets meet in one task, which verifies
    its surviving pairs and returns a spanning forest of the links, at most one a member. A pair
    whose two sets are linked already, over others, needs no comparison; any other isn't left out.
+   Before long sets travel, their pairs meet the same bound over ``FINE_GROUPS`` finer groups: with
+   few groups any two sets of some 15,000 shingles look alike.
 
 Blocks of more than ``SMALL_BLOCK`` rows are cut into cells of about ``CELL`` rows. First the rows
 of one in ``PIVOT_SHARE`` such blocks are compared with the block's most central one (found by
@@ -54,6 +56,8 @@ SMALL_BLOCK, CELL, CELL_SHINGLES, FANOUT, FANIN = 32, 256, 1 << 20, 16, 256
 MOST_SHARED = 10_000
 #: Of the shingles of a large block, one in so many serves the pivot round.
 PIVOT_SHARE = 8
+#: Sets of more shingles than LONG have a count vector of FINE_GROUPS groups too.
+LONG, FINE_GROUPS = 4_096, 8_192
 #: A shingle counted more often than this is dealt over several tasks.
 HEAVY = 1_000_000
 SALTS = 64
@@ -176,16 +180,16 @@ def cell_of(h: np.ndarray) -> np.ndarray:
     return (h >> _U(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def count_vector(s: np.ndarray) -> bytes:
-    """GROUPS counts, of one byte each if they fit, else of four."""
-    counts = np.bincount((s & _U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+def count_vector(s: np.ndarray, groups: int = GROUPS) -> bytes:
+    """The counts of so many groups, of one byte each if they fit, else of four."""
+    counts = np.bincount((s & _U(groups - 1)).astype(np.int64), minlength=groups)
     return counts.astype(np.uint8 if counts.max() < 256 else "<u4").tobytes()
 
 
-def vectors_of(raw: list[bytes]) -> np.ndarray:
-    if all(len(r) == GROUPS for r in raw):
-        return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), GROUPS)
-    return np.stack([np.frombuffer(r, np.uint8 if len(r) == GROUPS else "<u4").astype(np.uint32) for r in raw])
+def vectors_of(raw: list[bytes], groups: int = GROUPS) -> np.ndarray:
+    if all(len(r) == groups for r in raw):
+        return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), groups)
+    return np.stack([np.frombuffer(r, np.uint8 if len(r) == groups else "<u4").astype(np.uint32) for r in raw])
 
 
 def prefix(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -579,25 +583,33 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(_verified, "a long, b long")
 
 
+def _members(groups: DataFrame) -> DataFrame:
+    """(g, node, label), a row a member of each different group."""
+    zipped = groups.distinct().select(F.xxhash64("members", "labels").alias("g"), F.explode(F.arrays_zip("members", "labels")).alias("m"))
+    return zipped.select("g", F.col("m.members").alias("node"), F.col("m.labels").alias("label"))
+
+
 def _links(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """Spanning forests of the links in candidate groups. Near copies meet in many blocks, but in
     few different groups."""
-    members = groups.distinct().select(F.xxhash64("members", "labels").alias("g"), F.explode(F.arrays_zip("members", "labels")).alias("m")).select("g", F.col("m.members").alias("node"), F.col("m.labels").alias("label"))
-    rows = members.join(sets, "node").select("g", "node", "label", "set")
+    rows = _members(groups).join(sets, "node").select("g", "node", "label", "set")
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_forests, "a long, b long").distinct()
 
 
 def _still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate groups of pairs of different labels: rows (g, node, n, data, label) sorted by g."""
+    """Candidate groups of pairs of different labels: rows (g, node, n, data, label, fine) sorted by
+    g. Of two sets with fine vectors, these decide too."""
     found = []
     for group in _runs(batches):
         nodes, sizes, vectors = _points(group)
         label = np.asarray(group.column("label"))
+        fine = [None if x is None else vectors_of([x], FINE_GROUPS)[0] for x in group.column("fine").to_pylist()]
         tree, forest = CountTree(vectors, sizes), Forest(len(nodes))
         for i in range(len(nodes)):
             for j in tree.search(vectors[i], sizes[i]).tolist():
-                if label[i] != label[j]:
-                    forest.join(i, j)
+                if i < j and label[i] != label[j] and forest.root(i) != forest.root(j):
+                    if fine[i] is None or fine[j] is None or reaches(int(np.minimum(fine[i], fine[j]).sum(dtype=np.int64)), sizes[i] + sizes[j]):
+                        forest.join(i, j)
         found += [(nodes[g].tolist(), label[g].tolist()) for g in forest.groups()]
         if len(found) >= SLICE:
             yield _grouped(found)
@@ -611,10 +623,23 @@ def _open(groups: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
     others = groups.select(F.array_except("members", F.slice("labels", 1, 1)).alias("members")).where(F.size("members") > 1).distinct()
     rows = others.select(F.xxhash64("members").alias("g"), F.explode("members").alias("node")).join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed_ = rows.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("g")
-    held = rows.join(mixed_, "g").join(points, "node").select("g", "node", "n", "data", "label")
+    held = rows.join(mixed_, "g").join(points, "node").select("g", "node", "n", "data", "label", F.lit(None).cast("binary").alias("fine"))
     return held.repartition("g").sortWithinPartitions("g", "node").mapInArrow(_still_open, GROUPED)
 
 
+def _fine_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        fine = [count_vector(np.frombuffer(x.as_buffer(), np.uint64), FINE_GROUPS) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary())], names=["node", "fine"])
+
+
+def _narrowed(groups: DataFrame, points: DataFrame, sets: DataFrame) -> DataFrame:
+    """What candidate groups leave open once their long sets were compared by fine vectors."""
+    fine = sets.where(F.length("set") > 8 * LONG).select("node", "set").mapInArrow(_fine_vectors, "node long, fine binary")
+    rows = _members(groups).join(points, "node").join(fine, "node", "left").select("g", "node", "n", "data", "label", "fine")
+    return rows.repartition("g").sortWithinPartitions("g", "node").mapInArrow(_still_open, GROUPED)
+
+
 def _cells(large: DataFrame, labels: DataFrame, points: DataFrame, best: bool) -> DataFrame:
     """Candidates (see ``_across``) in large blocks that aren't in one component yet. A block's largest
     component (side 1) and its other rows (side 0) are cut into parts of about CELL rows and
@@ -711,7 +736,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, bits: int) -> tuple[Data
         unstaged(near)
     rest = staged(_open(groups, labels, points), "open-groups")
     last = [rest, *([_cells(large, labels, points, best=False)] if some else [])]
-    more(_links(last[0].unionByName(last[-1]) if some else rest, sets))
+    more(_links(_narrowed(last[0].unionByName(last[-1]) if some else rest, points, sets), sets))
     unstaged(*last)
     unstaged(groups, large, sets, links)
 

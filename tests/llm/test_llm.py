@@ -219,8 +219,11 @@ def test_jaccard(docs, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
-def test_jaccard_large_group(spark):
-    """One large group of near copies whose members mostly reach only its middle, and a passage."""
+@pytest.mark.parametrize("long", [jaccard.LONG, 3])
+def test_jaccard_large_group(spark, monkeypatch, long):
+    """One large group of near copies whose members mostly reach only its middle, and a passage; by
+    coarse vectors alone, and with a fine one for every set."""
+    monkeypatch.setattr(jaccard, "LONG", long)
     rng = random.Random(4)
     base, passage = [rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(120)], [f"p{k}" for k in range(50)]
     rows = [(0, " ".join(base), "a")]
@@ -276,6 +279,21 @@ def test_candidate_groups_and_forests_over_batches():
     assert len(links) == 7 and {x for pair in links for x in pair} >= set(range(2, 9))
 
 
+def test_fine_vectors_tell_long_sets_apart():
+    """Of sets of 20,000 shingles the coarse bound lets every pair through, the fine one near copies."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) for _ in range(4)]
+    sets.append(np.unique(np.concatenate([sets[1][:18_500], rng.integers(0, 1 << 63, 900).astype(np.uint64)])))
+    assert jaccard.linked(sets[1], sets[4])
+    fine = next(jaccard._fine_vectors(iter([pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])]))).column(1).to_pylist()
+    for given, expected in ((fine, [[1, 4]]), ([None] * 5, [[0, 1, 2, 3, 4]]), ([*fine[:4], None], [[0, 1, 2, 3, 4]])):
+        columns = [pa.array([1] * 5), pa.array(range(5)), pa.array([len(s) for s in sets]), pa.array([jaccard.count_vector(s) for s in sets], pa.binary()), pa.array(range(5)), pa.array(given, pa.binary())]
+        group = pa.RecordBatch.from_arrays(columns, names=["g", "node", "n", "data", "label", "fine"])
+        assert [m for b in jaccard._still_open(iter([group.slice(0, 2), group.slice(2)])) for m in b.column(0).to_pylist()] == expected
+
+
 def test_count_tree_loses_nothing():
     rng = np.random.default_rng(3)
     sets = [set(rng.choice(900, rng.integers(5, 200), replace=False).tolist()) for _ in range(150)]
