@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op3_mixing": mixing.OP3_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op3_mixing": mixing.OP3_SQL, "op6_jaccard": jaccard.OP6_SQL, "op10_sharding": sharding.OP10_SQL}

@@ -98,16 +98,16 @@ def permuted_column(x: Column, n: int, seed: int) -> Column:
     return F.when(once < size, once).otherwise(walk)
 
 
-def bucket_of(id_col: Column, digest: Column) -> Column:
-    """By the id and a digest of the rest: rows that share one id, or have none, are dealt over all buckets too."""
+def bucket_of(id_col: Column, checksum: Column) -> Column:
+    """By the id and a checksum of the rest: rows that share one id, or have none, are dealt over all buckets too."""
     p = F.lit(PRIME).cast("long")
     mixed = (F.pmod(F.coalesce(id_col.cast("long"), F.lit(0).cast("long")), p) * F.lit(1103515245).cast("long") + F.lit(12345).cast("long")) % p
-    return ((mixed % F.lit(BUCKETS) + F.pmod(digest, F.lit(BUCKETS))) % F.lit(BUCKETS)).cast("int")
+    return ((mixed % F.lit(BUCKETS) + F.pmod(checksum, F.lit(BUCKETS))) % F.lit(BUCKETS)).cast("int")
 
 
 def numbered(rows: DataFrame, id_name: str, ties: list[str]) -> DataFrame:
-    """Adds ``row_number`` 0..N-1: by bucket of the id and the last of ``ties``, then id (null last), then ``ties``."""
-    bucket = bucket_of(F.col(id_name), F.col(ties[-1]))
+    """Adds ``row_number`` 0..N-1: by bucket of the id and the first of ``ties``, then id (null last), then ``ties``."""
+    bucket = bucket_of(F.col(id_name), F.col(ties[0]))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.select(bucket.alias("bucket"))
@@ -154,3 +154,49 @@ def shard_rows(docs: DataFrame, n_shards: int = 40, seed: int = 20, id_col: str
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
+
+
+def _crc_table() -> list[int]:
+    """CRC-32 of each single byte without start and end value: eight steps by the polynomial."""
+    found = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        found.append(byte)
+    return found
+
+
+#: The same numbering, network (one round a step of ``net``, walking on while the number is N or above) and checksum.
+#: Rows of one id, size and checksum would also need the digest.
+OP10_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 16 AS size FROM documents
+), c AS (
+  SELECT doc_id, size, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+    lambda c, b: xor(c >> 8, list_extract({_crc_table()}, CAST((xor(c, b) & 255) + 1 AS BIGINT))))) AS text_crc32
+  FROM d
+), dealt AS (
+  SELECT *, (((coalesce(doc_id, 0) % {PRIME} + {PRIME}) % {PRIME} * 1103515245 + 12345) % {PRIME} % {BUCKETS} + text_crc32 % {BUCKETS}) % {BUCKETS} AS bucket FROM c
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY bucket, doc_id NULLS LAST, text_crc32, size) - 1 AS num FROM dealt
+), dims AS (
+  SELECT n, side, greatest(1, (n + side - 1) // side) AS base
+  FROM (SELECT count(*) AS n, greatest(1, CAST(ceil(sqrt(count(*))) AS BIGINT)) AS side FROM documents)
+), keys(step, factor, shift) AS (
+  VALUES {", ".join(str((i, *key)) for i, key in enumerate(round_keys(20)))}
+), net AS (
+  SELECT num, num // base AS l, num % base AS r, 0 AS i FROM numbered, dims
+  UNION ALL
+  SELECT num, CASE WHEN i % 2 = 0 THEN (l + ((r % {PRIME} * factor + shift) % {PRIME} >> 3)) % side ELSE l END,
+         CASE WHEN i % 2 = 1 THEN (r + ((l % {PRIME} * factor + shift) % {PRIME} >> 3)) % base ELSE r END, i + 1
+  FROM net JOIN keys ON step = i % {ROUNDS}, dims
+  WHERE i = 0 OR i % {ROUNDS} <> 0 OR l * base + r >= n
+), done AS (
+  SELECT num, l * base + r AS permuted FROM net, dims WHERE i > 0 AND i % {ROUNDS} = 0 AND l * base + r < n
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law,
+       CAST(permuted % 40 AS INTEGER) AS shard, CAST(permuted // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard,
+       CAST(num AS BIGINT) AS row_number, CAST(permuted AS BIGINT) AS permuted
+FROM numbered JOIN done USING (num)
+"""
