@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import ann, brown, fingerprint, jaccard, licenses, mixing, packing, sharding, toxicity, warc
+from spindrift.llm import ann, brown, fingerprint, infill, jaccard, licenses, mixing, packing, passages, quantize, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_ann": ann.op8_ann,
         "op9_packing": packing.op9_packing,
         "op10_sharding": sharding.op10_sharding,
+        "op11_infill": infill.op11_infill,
+        "op12_passages": passages.op12_passages,
+        "op13_quantize": quantize.op13_quantize,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op3_mixing": mixing.OP3_SQL, "op6_jaccard": jaccard.OP6_SQL, "op10_sharding": sharding.OP10_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op3_mixing": mixing.OP3_SQL, "op6_jaccard": jaccard.OP6_SQL, "op10_sharding": sharding.OP10_SQL, "op11_infill": infill.OP11_SQL, "op12_passages": passages.OP12_SQL, "op13_quantize": quantize.OP13_SQL}
