@@ -43,10 +43,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spindrift.llm.common import staged, table, unstaged, utf8_column
+from spindrift.llm.common import WORD, staged, table, unstaged, utf8_column
 from spindrift.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -686,10 +687,32 @@ def _blocks(texts: DataFrame, sketch: np.ndarray, bits: int, shared: frozenset[i
     return small.unionByName(few.select("members")).distinct(), large.unionByName(counted.where(F.col("m") > SMALL_BLOCK).select("h", "node")), [parted, spread]
 
 
-def _found(docs: DataFrame, id_col: str, text_col: str, bits: int) -> tuple[DataFrame, list[DataFrame]]:
-    """The result, and the tables it is read from."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen = staged(texts.mapInArrow(_described(bits), SEEN), "shingle-sets")
+def _tagged(described):
+    """Adds the third column of the rows that came in, their text_hash; frequencies have none. A batch
+    comes out for each slice that went in, of the same rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list = []
+
+        def watched():
+            for batch in slices(batches):
+                waiting.append(batch.column(2))
+                yield batch
+
+        for out in described(watched()):
+            tag = waiting.pop(0) if waiting else pa.nulls(len(out), pa.int64())
+            yield pa.RecordBatch.from_arrays([*out.columns, tag], names=[*out.schema.names, "text_hash"])
+
+    return run
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, bits: int, tagged: bool = False) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The rows (doc_id, n, node and, if ``tagged``, text_hash, the xxhash64 of the text), the classes
+    (node, first_id, label: the smallest node of the component), and the tables both are read from."""
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *([F.xxhash64(text).alias("text_hash")] if tagged else []))
+    described, kinds = (_tagged(_described(bits)), f"{SEEN}, text_hash long") if tagged else (_described(bits), SEEN)
+    seen = staged(texts.mapInArrow(described, kinds), "shingle-sets")
     rows = seen.where("kind = 0")
     every = staged(rows.where("n > 0").groupBy("node", "node2").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("data").alias("data")), "classes")
     twice = [r[0] for r in every.groupBy("node").count().where("count > 1").select("node").limit(MOST_SHARED + 1).collect()]
@@ -741,25 +764,41 @@ def _found(docs: DataFrame, id_col: str, text_col: str, bits: int) -> tuple[Data
     unstaged(groups, large, sets, links)
 
     full = classes.join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
+    return rows, full, [seen, every, labels]
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row. ``name_bits``: see the head of the module."""
+    rows, full, _ = _found(docs, id_col, text_col, name_bits)
     whole = full.groupBy("label").agg(F.min("first_id").alias("component_id"))
     member = full.join(whole, "label").select("node", "component_id")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n", "node").join(member, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), [seen, every, labels]
+    return rows.select("doc_id", "n", "node").join(member, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_bits: int = 64) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row. ``name_bits``: see the head of the module."""
-    return _found(docs, id_col, text_col, name_bits)[0]
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of smallest doc_id of each component, all their columns; of identical rows one."""
-    found, parts = _found(docs, "doc_id", "text", 64)
-    kept = staged(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct(), "kept-ids")
+    """One row of each component, all its columns: that of smallest doc_id (null ids last), of one id
+    that whose text has the smallest hash, of one id and text the first by the other columns (all that can be put
+    in order; rows alike in these are interchangeable). Rows without words are linked with nothing and all stay."""
+    rows, full, parts = _found(docs, "doc_id", "text", 64, tagged=True)
+    key = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "text_hash"]
+    member = rows.where("n > 0").select(*key, "node").join(full.select("node", "label"), "node")
+    kept = staged(member.groupBy("label").agg(F.min(F.struct("no_id", "id", "text_hash")).alias("first")).select("first.*"), "kept-rows")
     unstaged(*parts)
-    mine = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))).withColumn("kept_hash", F.xxhash64("text"))
-    first = Window.partitionBy("doc_id", "kept_hash").orderBy("kept_id")
-    return mine.withColumn("kept_nth", F.row_number().over(first)).where("kept_nth = 1").select(*docs.columns)
+    number, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    mine = docs.select(F.struct(*columns).alias("row"), number.isNull().alias("no_id"), F.coalesce(number, F.lit(0).cast("long")).alias("id"), F.xxhash64(text).alias("text_hash"), F.coalesce(text.rlike(WORD), F.lit(False)).alias("words"))
+    order = F.struct(*[F.col(f"row.`{f.name}`") for f in docs.schema if _orderable(f.dataType)])
+    chosen = mine.where("words").join(kept, ["no_id", "id", "text_hash"]).groupBy("no_id", "id", "text_hash").agg(F.min_by("row", order).alias("row"))
+    return chosen.select("row.*").unionByName(mine.where("not words").select("row.*"))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import unicodedata
 import zlib
 
@@ -547,15 +548,78 @@ def test_ann_ties_and_repeated_rows(spark):
     assert near == [(i, 2.25) for i in (0, 0, 5, 5, 10, 10, 15, 15, 25, 25, 30, 30)]
 
 
+def representatives(rows):
+    """Of (id, text, other) rows those that stay: per component the smallest id (null last), then the
+    smallest hash of the text, then the smallest other column; all without words."""
+    def words(t):
+        return [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if w]
+
+    def shingles(t):
+        w = words(t)
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets = [shingles(t) for _, t, _ in rows]
+    parent = list(range(len(rows)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                parent[top(i)] = top(j)
+    groups = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        if s:
+            groups[top(i)].append(rows[i])
+    return groups, [r for r, s in zip(rows, sets, strict=True) if not s]
+
+
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    a, b, c, d = text(30), text(30), text(40), text(50)
+    near = c.split()
+    near[3] = "other"
+    rows = [(5, a, "x"), (3, b, "x"), (5, b, "x"), (None, a, "x"), (None, b, "y"), (None, d, "m"), (None, d.upper(), "k"), (7, c, "z"), (7, " ".join(near), "a"), (9, c, "q")]
+    rows += [(11, text(9), "p"), (11, text(9), "p"), (12, "", "e"), (12, "", "e"), (None, None, "n"), (None, " ", "n")]
+    same = text(25)
+    rows += [(20, same, "b"), (20, same, "a"), (20, same, "a"), (21, same, None)]
+    data = spark.createDataFrame([(i, t, o, o, len(t or "")) for i, t, o in rows], DOCS).selectExpr("*", "1 as node", "2 as label", "map('k', n_chars) as row", "4 as `text_hash`", "5 as words")
+    groups, wordless = representatives(rows)
+    hashed = {r.text: r.h for r in data.select("text", F.xxhash64("text").alias("h")).collect()}
+    want = [min(g, key=lambda r: (r[0] is None, r[0] or 0, hashed[r[1]], r[2] is not None, r[2] or "")) for g in groups.values()] + wordless
+    for parts in (1, 7):
+        kept = jaccard.one_of_each(data.repartition(parts))
+        assert kept.columns == data.columns
+        got = kept.select("doc_id", "text", "lang").collect()
+        assert collections.Counter(map(tuple, got)) == collections.Counter(want)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as pipeline
 
-    rows = [(i, t, s) for i, t, s in odd_rows() if i is not None]
-    frame(spark, rows, extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = odd_rows()
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     d = str(tmp_path)
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    kept = pipeline.near_duplicates(spark, pipeline.without_toxic(spark, docs, d), d)
-    comps = {x for x in brute_components(rows)}
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {int(x.strip("()").split(", ")[2]) for x in comps}
-    assert pipeline.run(spark, d).count() > 0
+    clean = pipeline.without_toxic(spark, docs, d)
+    assert clean.columns == docs.columns and collections.Counter(map(tuple, clean.select("doc_id", "text").collect())) == collections.Counter((i, t) for i, t, _ in rows)
+    kept = pipeline.near_duplicates(spark, clean, d)
+    groups, wordless = representatives(rows)
+    hashed = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    want = [min(g, key=lambda r: (r[0] is None, r[0] or 0, hashed[r[1]])) for g in groups.values()] + wordless
+    assert kept.columns == docs.columns and collections.Counter(map(tuple, kept.select("doc_id", "text").collect())) == collections.Counter((i, t) for i, t, _ in want)
+    packed = pipeline.run(spark, d)
+    assert packed.count() > 0 and {r.doc_id for r in packed.select("doc_id").collect()} <= {r.doc_id for r in kept.collect()}
+
+
+def test_pipeline_on_an_empty_table(spark, none, tmp_path):
+    import corpus_pipeline as pipeline
+
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
