@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators.mining import measured, unpivoted
 from spindrift.operators.series import GROUP, SERIES, dense_panel, last_month
+from spindrift.sources.staging import written
 
 POINTS, HORIZON, MIN_MONTHS = 24, 60, 36
 
@@ -71,20 +70,52 @@ def named_shapes(centers: DataFrame) -> DataFrame:
     return rows.withColumn("shape", F.when(many > 1, strength).otherwise(F.col("base"))).drop("base")
 
 
-def cluster_curves(curves: DataFrame, k: int = 5, seed: int = 0, runs: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(assignment: series, cluster, shape; summary: cluster, shape, n, share, end_value, centroid):
-    the best of ``runs`` seeded k-means fits. Fewer than k curves give empty frames."""
+def _distance(curve, center: list[float]):
+    """Squared, summed up in order of points."""
+    gaps = F.transform(curve, lambda y, i: (y - F.get(F.array(*map(F.lit, center)), i)) * (y - F.get(F.array(*map(F.lit, center)), i)))
+    return F.aggregate(gaps, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _nearest(curve, centers: list[list[float]]):
+    """The index of the nearest center, of equally near ones the first."""
+    return F.array_min(F.array(*[F.struct(F.round(_distance(curve, c), 9).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centers)]))
+
+
+def farthest_points(curves: DataFrame, k: int) -> list[list[float]]:
+    """``k`` curves, the first by series, then each the one farthest from all before it, ties by series."""
+    found = [list(curves.groupBy().agg(F.min_by("curve", F.struct(*SERIES))).first()[0])]
+    while len(found) < k:
+        far = _nearest(F.col("curve"), found)["d"]
+        found.append(list(curves.groupBy().agg(F.min_by("curve", F.struct((-far).alias("d"), *SERIES))).first()[0]))
+    return found
+
+
+def lloyd_round(curves: DataFrame, centers: list[list[float]]) -> list[list[float]]:
+    """Means of what each center is nearest to, to nine places; one that has nothing stays."""
+    points = len(centers[0])
+    near = curves.select(_nearest(F.col("curve"), centers)["k"].alias("k"), "curve")
+    mean = F.array(*[F.round(F.avg(F.get("curve", i)), 9) for i in range(points)])
+    moved = {r["k"]: list(r["m"]) for r in near.groupBy("k").agg(mean.alias("m")).collect()}  # a row a center
+    return [moved.get(i, c) for i, c in enumerate(centers)]
+
+
+def cluster_curves(curves: DataFrame, k: int = 5, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(assignment: series, cluster, shape; summary: cluster, shape, n, share, end_value, centroid)
+    by k-means from farthest points, at most ``rounds`` rounds, fewer if nothing moves. Nothing is drawn by chance: equal
+    inputs give equal clusters, in any partitioning. Fewer than k curves give empty frames."""
     spark = curves.sparkSession
-    data = curves.withColumn("features", array_to_vector("curve")).cache()
+    data = written(curves, "curves")
     n = data.count()
     if n < k:
         none = spark.createDataFrame([], "cluster int, shape string, n long, share double, end_value double, centroid array<double>")
         return curves.select(*SERIES, F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("string").alias("shape")).limit(0), none
-    fits = [KMeans(k=k, seed=seed + i, maxIter=50).fit(data) for i in range(runs)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    centers = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())], "cluster int, centroid array<double>")
-    named = named_shapes(centers)
-    assigned = best.transform(data).withColumnRenamed("prediction", "cluster").select(*SERIES, "cluster")
+    centers = farthest_points(data, k)
+    for _ in range(rounds):
+        before, centers = centers, lloyd_round(data, centers)
+        if centers == before:
+            break
+    named = named_shapes(spark.createDataFrame([(i, c) for i, c in enumerate(centers)], "cluster int, centroid array<double>"))
+    assigned = data.select(*SERIES, _nearest(F.col("curve"), centers)["k"].alias("cluster"))
     assigned = assigned.join(F.broadcast(named.select("cluster", "shape")), "cluster").select(*SERIES, "cluster", "shape")  # k rows
     sizes = assigned.groupBy("cluster").agg(F.count("*").alias("n"))
     summary = named.join(sizes, "cluster").select("cluster", "shape", "n", (F.col("n") / n).alias("share"), F.element_at("centroid", -1).alias("end_value"), F.transform("centroid", lambda x: F.bround(x, 4)).alias("centroid"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,7 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators.factors import GAP, game_factors
+from spindrift.operators.ranks import average_ranks, numbered, quantiles
 from spindrift.operators.series import GROUP, SERIES, dense_panel
+from spindrift.sources.staging import unwritten, written
 
 # The model's features and its bounds.
 CATEGORICAL = ["condition", "region", "platform", "genre", "publisher", "esrb", "lifecycle", "franchise", "release_era", "kw_budget_reprint", "kw_limited", "kw_collector"]
@@ -60,10 +63,8 @@ def split_by_time(samples: DataFrame, window: int = 36, test_periods: int = 2) -
 
 def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     """Ranks from 1, ties sharing their average: cumulative counts over the distinct values."""
-    values = df.groupBy(column).agg(F.count("*").alias("t_"))
-    below = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = values.select(column, (F.coalesce(F.sum("t_").over(below), F.lit(0)) + (F.col("t_") + 1) / 2).alias(out))
-    return df.join(ranked, column)
+    ranked = average_ranks(df.groupBy(column).agg(F.count("*").alias("t_")), [], column, "t_", out)
+    return df.join(ranked.drop("t_"), column)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> float | None:
@@ -81,7 +82,7 @@ def r_squared(df: DataFrame, target: str, predicted) -> float | None:
 
 def top_quintile_precision(df: DataFrame, least: int = 25) -> float | None:
     """Of a condition's top fifth by prediction, the share in its top fifth by target; averaged."""
-    bars = df.groupBy("condition").agg(F.percentile("target", F.lit(0.8)).alias("t"), F.percentile("prediction", F.lit(0.8)).alias("p"), F.count("*").alias("n")).where(F.col("n") >= least)
+    bars = quantiles(df, ["condition"], "target", {"t": 0.8}, least).drop("n").join(quantiles(df, ["condition"], "prediction", {"p": 0.8}, least), "condition")
     top = df.join(F.broadcast(bars), "condition").where(F.col("prediction") >= F.col("p"))  # a row per condition
     per = top.groupBy("condition").agg(F.avg((F.col("target") >= F.col("t")).cast("double")).alias("share"))
     return per.agg(F.avg("share")).first()[0]
@@ -102,7 +103,7 @@ def _prepared(df: DataFrame, numeric: list[str]) -> DataFrame:
 
 def fit_model(samples: DataFrame, window: int = 36, seed: int = 0, rounds: int = 300, repeats: int = 5, rate: float = 0.05) -> Fitted:
     """Boosted trees on the training split, judged on the test split."""
-    samples = samples.cache()
+    samples = written(samples, "samples")
     train, test = split_by_time(samples, window)
     n_train, n_test = train.count(), test.count()
     summary = {"n_train": n_train, "n_test": n_test, "window": window}
@@ -118,8 +119,9 @@ def fit_model(samples: DataFrame, window: int = 36, seed: int = 0, rounds: int =
         GBTRegressor(labelCol="target", maxDepth=4, minInstancesPerNode=40, stepSize=rate, maxIter=rounds, maxBins=max(64, max((counts[c] for c in cats), default=1) + 2), seed=seed),
     ]
     fitted = Fitted(summary, Pipeline(stages=stages).fit(_prepared(train, nums)), cats, nums)
-    scored = predict(fitted, test).select(*SERIES, "t0", "target", "prediction", *[c for c in cats + nums if c not in SERIES]).cache()
-    middle = train.agg(F.median("target")).first()[0]
+    scored = predict(fitted, test).select(*SERIES, "t0", "target", "prediction", *[c for c in cats + nums if c not in SERIES])
+    scored = written(scored, "scored")
+    middle = quantiles(train, [], "target", {"middle": 0.5}).first()["middle"]
     rho, r2, flat = spearman(scored, "target", "prediction"), r_squared(scored, "target", F.col("prediction")), r_squared(scored, "target", F.lit(middle))
     signal = (rho or 0) > SIGNAL_SPEARMAN and (r2 or 0) > (flat or 0)
     fitted.summary |= {"status": "ok", "spearman": rho, "r2": r2, "r2_baseline": flat, "top_quintile_precision": top_quintile_precision(scored), "signal": signal}
@@ -133,21 +135,24 @@ def predict(fitted: Fitted, samples: DataFrame) -> DataFrame:
 
 
 def permutation_importance(fitted: Fitted, scored: DataFrame, r2: float, repeats: int, seed: int) -> list[tuple[str, float, float]]:
-    """(feature, mean, deviation) of the loss in R2 when a feature's values change rows. All
-    shuffles of a feature are scored in one job: rows are numbered in two seeded orders and a row
-    takes the value of the other order's row."""
-    base = scored.drop("prediction").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    salt = F.concat_ws("|", F.lit(str(seed)), "rep", *[F.col(c).cast("string") for c in (*SERIES, "t0")])
-    to = Window.partitionBy("rep").orderBy(F.md5(salt), "game_id")
-    own = Window.partitionBy("rep").orderBy(F.md5(F.concat(salt, F.lit("from"))), "game_id")
-    rows = base.withColumn("to_", F.row_number().over(to)).withColumn("own_", F.row_number().over(own)).cache()
-    mean = scored.agg(F.avg("target")).first()[0]
-    out = []
-    for c in fitted.categorical + fitted.numeric:
-        other = rows.select("rep", F.col("own_").alias("to_"), F.col(c).alias("other_"))
-        moved = rows.join(other, ["rep", "to_"]).withColumn(c, F.col("other_")).drop("other_")
-        per = predict(fitted, moved).groupBy("rep").agg((1 - F.sum((F.col("target") - F.col("prediction")) ** 2) / F.sum((F.col("target") - mean) ** 2)).alias("r2"))
-        m, s = per.agg(F.avg(r2 - F.col("r2")), F.stddev_pop(F.lit(r2) - F.col("r2"))).first()
-        out.append((c, m, s))
-    rows.unpersist()
-    return sorted(out, key=lambda x: -x[1])
+    """(feature, mean, deviation) of the loss in R2 when a feature's values change rows.
+
+    Rows are numbered in a seeded order; in a repetition each row takes the value of the row that
+    lies a drawn number of places on, around the end: a permutation without fixed points. One join
+    by number brings a row its partners, and one aggregation scores all features and repetitions."""
+    features = fitted.categorical + fitted.numeric
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*SERIES, "t0")]))
+    rows = written(numbered(scored.drop("prediction").withColumn("digest_", digest), [F.col("digest_"), *map(F.col, SERIES), F.col("t0")], "nr_").drop("digest_"), "numbered")
+    n, mean = rows.agg(F.count("*"), F.avg("target")).first()
+    shifts = random.Random(seed).sample(range(1, n), min(repeats, n - 1)) if n > 1 else []
+    if not shifts:
+        return [(c, 0.0, 0.0) for c in features]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("rep"), F.lit(s).alias("by")) for k, s in enumerate(shifts)])).alias("s")
+    partner = rows.select(each, "nr_", F.struct(*features).alias("other_")).select(F.col("s.rep").alias("rep"), F.pmod(F.col("nr_") + F.col("s.by"), F.lit(n)).alias("nr_"), "other_")
+    moved = rows.join(partner, "nr_").withColumn("moved_", F.explode(F.array(*map(F.lit, features))))
+    moved = moved.withColumns({c: F.when(F.col("moved_") == c, F.col(f"other_.{c}")).otherwise(F.col(c)) for c in features})
+    lost = 1 - F.sum((F.col("target") - F.col("prediction")) ** 2) / F.sum((F.col("target") - mean) ** 2)
+    per = predict(fitted, moved.drop("other_")).groupBy("moved_", "rep").agg(lost.alias("r2"))
+    found = {r[0]: (r[1], r[2]) for r in per.groupBy("moved_").agg(F.avg(r2 - F.col("r2")), F.stddev_pop(F.lit(r2) - F.col("r2"))).collect()}  # a row a feature
+    unwritten(rows)
+    return sorted(((c, *found[c]) for c in features), key=lambda x: (-x[1], x[0]))

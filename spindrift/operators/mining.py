@@ -51,59 +51,80 @@ def items(factors: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return long.where(F.col("value").isNotNull() & (F.col("value") != "unknown") & ~(F.col("factor").startswith("kw_") & (F.col("value") == "no"))).select(*keys, "factor", F.concat("factor", F.lit("="), "value").alias("item"))
 
 
-def _combinations(a: Column, most: int) -> Column:
-    """All combinations of 1 to ``most`` (3 at most) items of a sorted array, each in its order."""
-    rest = lambda i: F.slice(a, i, F.size(a))
-    kinds = [F.transform(a, lambda x: F.array(x))]
-    if most > 1:
-        kinds.append(F.flatten(F.transform(a, lambda x, i: F.transform(rest(i + 2), lambda y: F.array(x, y)))))
-    if most > 2:
-        kinds.append(F.flatten(F.transform(a, lambda x, i: F.flatten(F.transform(rest(i + 2), lambda y, j: F.transform(rest(i + j + 3), lambda z: F.array(x, y, z)))))))
-    return F.concat(*kinds)
+def _grown(rows: DataFrame, base: DataFrame, min_count: int, max_len: int) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """Frequent combinations by conditional tables, level by level: (all that were looked at,
+    measured; per level the rows of each combination that is grown on: condition, items, row, rest,
+    rising; tables to remove).
+
+    ``rows``: condition, row (one column), rising, held (sorted items). The conditional table of a combination
+    has a row for each row that holds it, with the items it may be grown by. Only combinations with lift 1 or more
+    have one. Extensions are counted by (combination, item), summed up before the shuffle; a
+    combination reached from several parts has the same count from each, and the first one's rows."""
+    tables: list[DataFrame] = []
+    level = rows.select("condition", F.array().cast("array<string>").alias("items"), "row", "rising", F.col("held").alias("rest"))
+    reached, grown = [], []
+    for size in range(1, max_len + 1):
+        each = level.select("condition", "items", "row", "rising", "rest", F.explode("rest").alias("item"))
+        counted = each.groupBy("condition", "items", "item").agg(F.count("*").alias("n"), F.sum("rising").alias("k")).where(F.col("n") >= min_count)
+        whole = F.array_sort(F.array_append("items", F.col("item")))
+        found = counted.groupBy("condition", whole.alias("whole")).agg(F.first("n").alias("n"), F.first("k").alias("k"), F.min(F.struct("items", "item")).alias("part"))
+        kept = written(measured(found.join(F.broadcast(base), "condition")), "pattern-level")  # a row per condition
+        tables.append(kept)
+        reached.append(kept.select("condition", F.col("whole").alias("items"), *MEASURES))
+        risen = kept.where("lift >= 1").select("condition", "part.items", "part.item", "whole")
+        on = each.join(risen, ["condition", "items", "item"]).select("condition", F.col("whole").alias("items"), "row", "rising", F.array_except("rest", F.array("item")).alias("rest"))
+        level = written(on, "pattern-rows")
+        tables.append(level)
+        grown.append(level)
+        if size < max_len and not level.limit(1).count():
+            break
+    every = reached[0]
+    for more in reached[1:]:
+        every = every.unionByName(more)
+    return every, grown, tables
+
+
+MEASURES = ["n", "k", "base", "labelled", "rate", "lift", "lift_lo", "lift_hi"]
+
+
+def _proper_parts(items: Column, size: int) -> Column:
+    """All parts of an array of ``size`` items but the whole and the empty one, each in its order."""
+    picks = [[i for i in range(size) if mask >> i & 1] for mask in range(1, (1 << size) - 1)]
+    return F.array(*[F.array(*[F.get(items, i) for i in pick]) for pick in picks]) if picks else F.array().cast("array<array<string>>")
 
 
 def mine_patterns(factors: DataFrame, columns: list[str], excess: str = "excess_36m", min_count: int = 30, max_len: int = 3, min_lift: float = 1.5, min_gain: float = 0.1, examples: int = 5) -> DataFrame:
-    """Combinations of up to three items with a lift that no part of them explains.
+    """Combinations of up to ``max_len`` items with a lift that no part of them explains.
 
     A combination is looked at if it is frequent and one of its parts with one item less was
-    looked at and had lift 1 or more. A row has one item a factor at most, so its combinations are
-    made in place and counted in one aggregation, summed up before the shuffle; all that follows
-    works on the counted combinations."""
+    looked at and had lift 1 or more. A row has one item a factor at most, so a combination holds
+    no factor twice."""
     labelled = factors.where(F.col("rising").isNotNull())
     item = lambda c: F.when(F.col(c).isNotNull() & (F.col(c) != "unknown") & ((F.col(c) != "no") if c.startswith("kw_") else F.lit(True)), F.concat(F.lit(f"{c}="), c))
     held = F.array_sort(F.array_compact(F.array(*[item(c) for c in columns])))
-    rows = written(labelled.select("condition", "game_id", "rising", excess, held.alias("held")), "pattern-rows")
-    sets = rows.select("condition", "game_id", "rising", excess, F.explode(_combinations(F.col("held"), max_len)).alias("items"))
-    counted = sets.groupBy("condition", "items").agg(F.count("*").alias("n"), F.sum("rising").alias("k")).where(F.col("n") >= min_count)
-    counted = written(measured(counted.join(F.broadcast(_base(rows)), "condition")), "pattern-counts")
-    less_one = F.explode(F.transform("items", lambda x: F.array_remove("items", x)))
-    levels = [counted.where(F.size("items") == 1)]
-    for size in range(2, max_len + 1):
-        risen = levels[-1].where("lift >= 1").select("condition", F.col("items").alias("part"))
-        reached = counted.where(F.size("items") == size).select("condition", "items", less_one.alias("part")).join(risen, ["condition", "part"], "left_semi").select("condition", "items").distinct()
-        levels.append(counted.join(reached, ["condition", "items"], "left_semi"))
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    every = written(every, "patterns-reached")
+    rows = written(labelled.select("condition", F.struct("game_id", F.col(excess).alias("excess")).alias("row"), "rising", held.alias("held")), "pattern-rows")
+    every, grown, tables = _grown(rows, _base(rows), min_count, max_len)
     looked_at = every.select("condition", "items", "lift")
     good = every.where(F.col("lift") >= min_lift)
-    # proper parts: leave one out, and single items of triples; a part that wasn't looked at counts 0
-    whole = F.size("items")
-    out_one = F.transform("items", lambda x: F.array_remove("items", x))
-    alone = F.transform("items", lambda x: F.array(x))
-    parts = F.array_distinct(F.when(whole == 1, F.array().cast("array<array<string>>")).otherwise(F.concat(out_one, alone)))
+    # a part that wasn't looked at counts 0, so it explains only what gains less than that
+    sizes = range(2, max_len + 1)
+    parts = F.array().cast("array<array<string>>")
+    for size in sizes:
+        parts = F.when(F.size("items") == size, _proper_parts(F.col("items"), size)).otherwise(parts)
     part = good.select("condition", F.col("items").alias("whole"), F.col("lift").alias("whole_lift"), F.explode(parts).alias("items"))
     explained = part.join(looked_at, ["condition", "items"], "left").where(F.col("whole_lift") < F.coalesce("lift", F.lit(0.0)) + min_gain).select("condition", F.col("whole").alias("items")).distinct()
     found = good.join(explained, ["condition", "items"], "left_anti")
 
-    rank = Window.partitionBy("condition", "items").orderBy(F.desc_nulls_last(excess), "game_id")
-    items_found = found.select("condition", F.explode("items").alias("one")).distinct().groupBy("condition").agg(F.collect_set("one").alias("used"))  # item names, not rows
-    # only items that occur in some pattern are combined again
-    rising = rows.where("rising = 1").join(F.broadcast(items_found), "condition").withColumn("held", F.array_sort(F.array_intersect("held", "used")))
-    risers = rising.select("condition", "game_id", "rising", excess, F.explode(_combinations(F.col("held"), max_len)).alias("items")).join(found.select("condition", "items"), ["condition", "items"], "left_semi").withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= examples)
-    shown = risers.groupBy("condition", "items").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "game_id"))), lambda x: x["game_id"]).alias("ids"))
-    done = found.join(shown, ["condition", "items"], "left")
+    # the first rising rows of each: a combination with lift 1.5 has its own table
+    order = F.struct(F.col("row.excess").isNull().alias("none"), (-F.col("row.excess")).alias("excess"), F.col("row.game_id").alias("game_id"))
+    shown = None
+    for level in grown:
+        own = level.where("rising = 1").join(found.select("condition", "items"), ["condition", "items"], "left_semi")
+        nth = F.row_number().over(Window.partitionBy("condition", "items").orderBy(order))
+        best = own.withColumn("nth", nth).where(F.col("nth") <= examples).select("condition", "items", "nth", "row.game_id")
+        shown = best if shown is None else shown.unionByName(best)
+    ids = shown.groupBy("condition", "items").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "game_id"))), lambda x: x["game_id"]).alias("ids"))  # ``examples`` rows
+    done = found.join(ids, ["condition", "items"], "left")
     return done.select(
         "condition",
         F.array_join("items", SEPARATOR).alias("items"),

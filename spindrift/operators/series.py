@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.operators.ranks import quantiles
+from spindrift.sources.staging import written
+
 GROUP = ["console", "condition"]
 SERIES = [*GROUP, "game_id"]
 #: Months a price is carried forward.
@@ -129,8 +132,8 @@ def label_rising(metrics: DataFrame, window: int = 36, top: float = 0.2, min_obs
     """Adds ``rising``: 1 from the group's (1 - top) percentile of excess return up, ties and all;
     0 below; null for series or groups with too little to go by."""
     excess = F.when(F.col("n_months") >= min_obs, F.col(f"excess_{window}m"))
-    rows = metrics.withColumn("eligible", excess)
-    bars = rows.groupBy(*GROUP).agg(F.percentile("eligible", F.lit(1.0 - top)).alias("bar"), F.count("eligible").alias("many"))
-    rows = rows.join(F.broadcast(bars), GROUP)  # a row per console and condition
-    rising = F.when((F.col("many") >= min_group) & F.col("eligible").isNotNull(), (F.col("eligible") >= F.col("bar")).cast("double"))
-    return rows.withColumn("rising", rising).drop("eligible", "bar", "many")
+    rows = written(metrics.withColumn("eligible", excess), "metrics")  # read for the bars and for the rows
+    bars = quantiles(rows, GROUP, "eligible", {"bar": 1.0 - top}, least=min_group)
+    rows = rows.join(F.broadcast(bars), GROUP, "left")  # a row per console and condition
+    rising = F.when(F.col("bar").isNotNull() & F.col("eligible").isNotNull(), (F.col("eligible") >= F.col("bar")).cast("double"))
+    return rows.withColumn("rising", rising).drop("eligible", "bar", "n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.text import unit_normal_two_sided
 from spindrift.operators.curves import excess_panel
+from spindrift.operators.ranks import average_ranks, first_by_hash, quantiles
 from spindrift.operators.series import SERIES, dense_panel
 from spindrift.sources.staging import written
 
@@ -52,17 +53,18 @@ def breakouts(features: DataFrame, top: float = 0.05, gap: int = 12, controls_pe
     """series, month, breakout (1 or 0): thinned months of the top forward returns, and ordinary
     months away from any breakout of their series, three for each, in md5 order."""
     known = features.where(F.col("fwd").isNotNull())
-    bars = known.groupBy("condition").agg(F.percentile("fwd", F.lit(1.0 - top)).alias("bar"), F.percentile("fwd", F.lit(0.5)).alias("mid"))
+    bars = quantiles(known, ["condition"], "fwd", {"bar": 1.0 - top, "mid": 0.5})
     rows = known.join(F.broadcast(bars), "condition")  # a row per condition
     hot = rows.where(F.col("fwd") >= F.col("bar")).groupBy(*SERIES).agg(F.sort_array(F.collect_list("month")).alias("months"))
     breaks = written(hot.select(*SERIES, F.explode(thinned(F.col("months"), gap)).alias("month")), "breaks")
     away = breaks.select(*SERIES, F.col("month").alias("broke"))
     near = F.abs(F.datediff(F.col("r.month"), F.col("b.broke"))) <= gap * 31
     same = (F.col("r.console") == F.col("b.console")) & (F.col("r.condition") == F.col("b.condition")) & (F.col("r.game_id") == F.col("b.game_id"))
-    pool = rows.where(F.col("fwd") < F.col("mid")).alias("r").join(away.alias("b"), same & near, "left_anti").select("console", "condition", "game_id", "month")
-    want = breaks.groupBy("condition").agg((F.count("*") * controls_per).alias("want"))
-    drawn = Window.partitionBy("condition").orderBy(F.md5(F.concat_ws("|", F.col("game_id").cast("string"), "condition", F.col("month").cast("string"))), "game_id", "month")
-    controls = pool.join(F.broadcast(want), "condition", "left").withColumn("nth", F.row_number().over(drawn)).where(F.col("nth") <= F.coalesce("want", F.lit(controls_per)))
+    digest = F.md5(F.concat_ws("|", F.col("game_id").cast("string"), "condition", F.col("month").cast("string")))
+    pool = rows.where(F.col("fwd") < F.col("mid")).alias("r").join(away.alias("b"), same & near, "left_anti").select(*SERIES, "month", digest.alias("digest"))
+    many = breaks.groupBy("condition").agg((F.count("*") * controls_per).alias("want"))
+    want = bars.select("condition").join(many, "condition", "left").select("condition", F.coalesce("want", F.lit(controls_per)).alias("want"))
+    controls = first_by_hash(written(pool, "controls"), "condition", "digest", ["game_id", "month"], want)
     return breaks.withColumn("breakout", F.lit(1)).unionByName(controls.select(*SERIES, "month", F.lit(0).alias("breakout")))
 
 
@@ -74,8 +76,7 @@ def compare(rows: DataFrame, columns: list[str]) -> DataFrame:
     key = ["condition", "signal"]
     # ranks by value: a value's average rank follows from the counts below it
     values = long.groupBy(*key, "x").agg(F.count("*").alias("t"), F.sum("breakout").alias("b"))
-    below = Window.partitionBy(*key).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = values.withColumn("rank", F.coalesce(F.sum("t").over(below), F.lit(0)) + (F.col("t") + 1) / 2)
+    ranked = average_ranks(values, key, "x", "t", "rank")
     ranks = ranked.groupBy(*key).agg(F.sum(F.col("rank") * F.col("b")).alias("rank_sum"), F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")).alias("ties"))
     on, off = F.col("breakout") == 1, F.col("breakout") == 0
     stats = long.groupBy(*key).agg(
@@ -99,7 +100,7 @@ def compare(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def pre_breakout_signals(history: DataFrame, index: DataFrame, horizon: int = 6, top: float = 0.05) -> DataFrame:
     features = written(pre_features(history, index, horizon), "pre-features")
-    tagged = breakouts(features, top).join(features, [*SERIES, "month"])
+    tagged = written(breakouts(features, top).join(features, [*SERIES, "month"]), "tagged")  # read for its ranks and for its means
     return compare(tagged, SIGNALS)
 
 

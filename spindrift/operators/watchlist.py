@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators.mining import match_patterns
+from spindrift.operators.ranks import quantiles
 from spindrift.sources.staging import written
 
 
@@ -31,8 +32,8 @@ def watchlist(now: DataFrame, patterns: DataFrame, labeled: DataFrame, games: Da
     rows = rows.where((F.col("pattern_score") > 0) | F.col("model_pred").isNotNull())
     rows = zscored(written(rows, "watch-rows"), "pattern_score", "z_")  # read for the means and for the rows
     if model:
-        middle = rows.groupBy(F.col("condition").alias("of_")).agg(F.median("model_pred").alias("middle_"))
-        rows = rows.join(F.broadcast(middle), F.col("condition") == F.col("of_")).withColumn("filled_", F.coalesce("model_pred", "middle_"))  # a row per condition
+        middle = quantiles(rows, ["condition"], "model_pred", {"middle_": 0.5}).select(F.col("condition").alias("of_"), "middle_")
+        rows = rows.join(F.broadcast(middle), F.col("condition") == F.col("of_"), "left").withColumn("filled_", F.coalesce("model_pred", "middle_"))  # a row per condition
         rows = zscored(rows, "filled_", "m_").withColumn("z_", F.col("z_") + F.when(F.col("middle_").isNotNull(), F.col("m_")).otherwise(0.0))
     rows = rows.withColumn("score", F.col("z_"))
     latest = history.groupBy(*row).agg(F.max_by("price_cents", "month").alias("price_cents"))

@@ -226,6 +226,40 @@ BLOCKS["listed"] = """listed AS (
          CAST(round(p_retailprice * 100) AS BIGINT) AS loose_cents, CASE WHEN p_size % 5 <> 0 THEN CAST(round(p_retailprice * 200) AS BIGINT) END AS cib_cents, CAST(round(p_retailprice * 300) AS BIGINT) AS new_cents FROM part)"""
 
 
+
+
+def _cluster_block(k: int = 5, rounds: int = 20) -> str:
+    """Farthest points, then rounds of nearest centers and means, each a table."""
+    gap = "round(sum((u.y - b.c) * (u.y - b.c)), 9)"
+    key = "console, condition, game_id"
+    near = f"SELECT u.console, u.condition, u.game_id, b.k, {gap} AS d FROM curve u JOIN {{}} b ON b.pos = u.pos GROUP BY 1, 2, 3, 4"
+    steps = [f"far0 AS (SELECT {key} FROM curve GROUP BY ALL ORDER BY {key} LIMIT 1)", f"cen0 AS (SELECT 0 AS k, pos, y AS c FROM curve JOIN far0 USING ({key}))"]
+    for j in range(1, k):
+        steps.append(f"far{j} AS (SELECT {key} FROM (SELECT {key}, min(d) AS d FROM ({near.format(f'cen{j - 1}')}) GROUP BY {key}) ORDER BY d DESC, {key} LIMIT 1)")
+        steps.append(f"cen{j} AS (SELECT * FROM cen{j - 1} UNION ALL SELECT {j}, pos, y FROM curve JOIN far{j} USING ({key}))")
+    at = f"cen{k - 1}"
+    own = lambda at: f"SELECT {key}, k FROM ({near.format(at)}) QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY d, k) = 1"
+    for j in range(rounds):
+        steps.append(f"own{j} AS ({own(at)})")
+        steps.append(f"mid{j} AS (SELECT c.k, c.pos, coalesce(m.c, c.c) AS c FROM {at} c LEFT JOIN (SELECT k, pos, round(avg(y), 9) AS c FROM own{j} JOIN curve USING ({key}) GROUP BY 1, 2) m USING (k, pos))")
+        at = f"mid{j}"
+    steps.append(f"assigned AS ({own(at)})")
+    shape = BLOCKS["shape"][BLOCKS["shape"].index("CASE") : BLOCKS["shape"].index("AS shape")]
+    steps.append(f"cshape AS (SELECT k, c, {shape} AS base FROM (SELECT k, list(c ORDER BY pos) AS c FROM {at} GROUP BY 1))")
+    steps.append("cname AS (SELECT k, c, CASE WHEN many = 1 THEN base WHEN nth <= 3 THEN ['strong', 'moderate', 'mild'][nth] || ' ' || base ELSE base || ' #' || nth END AS shape FROM (SELECT *, count(*) OVER (PARTITION BY base) AS many, row_number() OVER (PARTITION BY base ORDER BY abs(c[24]) DESC, k) AS nth FROM cshape))")
+    steps.append("csum AS (SELECT n.k AS cluster, n.shape, count(*) AS n, count(*) / (SELECT count(*) FROM assigned)::DOUBLE AS share, c[24] AS end_value FROM cname n JOIN assigned a ON a.k = n.k GROUP BY ALL)")
+    return ",\n".join(steps)
+
+
+BLOCKS["clusters"] = _cluster_block()
+BLOCKS["profile"] = f"""cl0 AS (SELECT a.k AS cluster, l.factor, l.value FROM assigned a JOIN long l ON l.game_id = a.game_id AND l.condition = a.condition WHERE l.value IS NOT NULL),
+clb AS (SELECT cluster, m / sum(m) OVER () AS base FROM (SELECT a.k AS cluster, count(*) AS m FROM assigned a JOIN fac f ON f.game_id = a.game_id AND f.condition = a.condition GROUP BY 1)),
+cl1 AS (SELECT cluster, factor, value, count(*)::DOUBLE AS k FROM cl0 WHERE NOT (factor LIKE 'kw_%' AND value = 'no') GROUP BY 1, 2, 3),
+cl2 AS (SELECT *, CAST(sum(k) OVER (PARTITION BY factor, value) AS BIGINT) AS n FROM cl1),
+cl3 AS (SELECT c.cluster, factor, value, n, k, k / n AS rate, k / n / base AS lift, {LO} / base AS lift_lo, {HI} / base AS lift_hi FROM cl2 c JOIN clb USING (cluster) WHERE n >= 5),
+prof AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY lift DESC, factor, value) AS nth FROM cl3 WHERE lift_lo > 1 QUALIFY nth <= 5)"""
+
+
 HIST = ["li", "prices", "home", "hist"]
 INDEX = [*HIST, "rets", "cal", "idx"]
 PANEL = [*INDEX, "panel"]
@@ -265,7 +299,7 @@ _RUNS = """SELECT o_custkey AS id, o_orderkey AS number, CASE WHEN o_orderkey %
 ORACLES = {
     "scan_history": sql(HIST, "SELECT * FROM hist"),
     "scan_games": sql(["home", "games"], "SELECT * FROM games"),
-    "scan_sales": sql(["li"], "SELECT game_id, condition, count(*) AS n, CAST(sum(CAST(round(price * 100) AS BIGINT)) AS BIGINT) AS cents, max(sale_date) AS last_sale FROM li GROUP BY 1, 2"),
+    "scan_sales": "SELECT l_suppkey AS game_id, l_returnflag AS condition, CAST(l_shipdate AS DATE) AS sale_date, CAST(round(l_extendedprice * 100) AS BIGINT) AS price_cents, l_linestatus AS source FROM lineitem",
     "in_filter": sql(HIST, "SELECT * FROM hist WHERE condition IN ('loose', 'cib') AND console IN ('ASIA', 'EUROPE')"),
     "price_cents": "SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS cents FROM part",
     "clean_text": "SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_name END AS name FROM part",
@@ -294,6 +328,23 @@ ORACLES = {
     "zscore": "SELECT s_suppkey, round(coalesce((s_acctbal - avg(s_acctbal) OVER w) / nullif(stddev_pop(s_acctbal) OVER w, 0), 0), 6) AS z FROM supplier WINDOW w AS (PARTITION BY s_nationkey)",
     "curve_matrix": sql([*PANEL, "ex", "curve"], "SELECT console, condition, game_id, pos, round(y, 6) AS y FROM curve"),
     "curve_shapes": sql([*PANEL, "ex", "curve", "shape"], "SELECT * FROM shape"),
+    "curve_clusters": sql([*PANEL, "ex", "curve", "clusters"], "SELECT a.console, a.condition, a.game_id, a.k AS cluster, n.shape FROM assigned a JOIN cname n USING (k)"),
+    "cluster_summary": sql([*PANEL, "ex", "curve", "clusters"], f"SELECT cluster, shape, n, {r('share', 'end_value')} FROM csum"),
+    "cluster_profile": sql([*FAC, "ex", "curve", "clusters", "profile"], f"SELECT cluster, nth, factor, value, n, {r('k', 'rate', 'lift', 'lift_lo', 'lift_hi')} FROM prof"),
+    "q_report_clusters": sql(
+        [*FAC, "ex", "curve", "clusters", "profile"],
+        """SELECT shape, c.n, round(share, 6) AS share, round(exp(end_value) - 1, 6) AS "end", coalesce(string_agg(p.factor || '=' || p.value || ' (' || printf('%.1f', round_even(p.lift, 1)) || '×)', '; ' ORDER BY p.nth), '') AS traits
+ FROM csum c LEFT JOIN prof p ON p.cluster = c.cluster GROUP BY 1, 2, 3, 4""",
+    ),
+    "q_report_index": sql(INDEX, "SELECT condition, console, string_agg(CAST(month AS VARCHAR), ',' ORDER BY month) AS x, string_agg(format('{:,.1f}', round_even((exp(level) - 1) * 100, 1)), ' ' ORDER BY month) AS y FROM idx GROUP BY 1, 2"),
+    "q_report_bars": sql(
+        [*FAC, "lift"],
+        """SELECT condition, CAST(row_number() OVER (PARTITION BY condition ORDER BY nth DESC) - 1 AS INTEGER) AS pos, factor || '=' || value AS label, round_even(l, 3) AS lift, round_even(lift_lo, 3) AS lo, round_even(lift_hi, 3) AS hi, n
+ FROM (SELECT condition, factor, value, n, lift.lift AS l, lift_lo, lift_hi, row_number() OVER (PARTITION BY condition ORDER BY lift.lift DESC, factor, value) AS nth FROM lift WHERE lift_lo > 1 QUALIFY nth <= 15)""",
+    ),
+    "stored_upsert": """WITH s AS (SELECT DISTINCT l_suppkey AS game_id, l_returnflag AS condition, l_orderkey || '-' || l_linenumber || '-' || CAST(l_shipdate AS DATE) || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS sale_id, CAST(round(l_extendedprice * 100) AS BIGINT) AS c, CAST(l_shipdate AS DATE) AS day FROM lineitem)
+ SELECT game_id, condition, sale_id, c + CASE WHEN c % 5 = 0 AND game_id % 3 = 0 THEN 1 ELSE 0 END AS price_cents, c AS before_cents, day AS first_seen_at FROM s""",
+    "stored_runs": "SELECT row_number() OVER (ORDER BY n_nationkey) AS id, n_name AS nation, CAST(n_nationkey AS BIGINT) AS ok, CASE WHEN n_nationkey % 5 = 0 THEN 'timeout' END AS error FROM nation",
     "pre_features": sql([*PANEL, "ex", "feat"], f"SELECT console, condition, game_id, month, {r('trend_12m', 'acceleration', 'volatility_12m', 'drawdown_24m', 'fwd', 'cib_loose_change_12m')} FROM feat"),
     "breakouts": sql([*PANEL, "ex", "feat", "brk"], "SELECT * FROM brk"),
     "samples": sql([*PANEL, "games", "gf", "sam"], f"SELECT game_id, console, condition, t0, publisher, {r('log_price_t0', 'momentum_12m', 'target', 'cib_loose_ratio', 'age_years', 'lifecycle_pos')} FROM sam"),
@@ -339,6 +390,11 @@ SELECT v.condition, v.month, round_even(o.c / 100.0::DOUBLE * exp(v.level - b.le
     "watchlist_pattern": sql([*MATCH, "watch"], f"SELECT condition, game_id, name, console, price_cents, {r('score', 'pattern_score')}, model_pred, matched, already_rising, genre, publisher, region, platform FROM watch"),
     "q_watchlist": sql([*MATCH, "watch"], "SELECT game_id, name, console, round(score, 6) AS score, replace(matched, ' | ', ';') AS patterns FROM watch WHERE condition = 'cib'"),
     "q_watchlist_consoles": sql([*MATCH, "watch"], "SELECT DISTINCT console FROM watch"),
+    "q_report_patterns": sql([*FAC, "lift", "pat"], """, first AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY lift_lo DESC, items) AS nth FROM pat QUALIFY nth <= 20),
+each AS (SELECT condition, nth, unnest(string_split(examples, ',')) AS one, unnest(range(len(string_split(examples, ',')))) AS place FROM first),
+shown AS (SELECT condition, nth, string_agg(g.name || ' (' || g.console || ')', '; ' ORDER BY place) AS names FROM each JOIN games g ON CAST(g.id AS VARCHAR) = one WHERE g.name IS NOT NULL GROUP BY 1, 2)
+SELECT f.condition, CAST(f.nth AS INTEGER) AS nth, items, round(f.lift, 6) AS lift, names FROM first f LEFT JOIN shown s ON s.condition = f.condition AND s.nth = f.nth"""),
+    "q_report_signals": sql([*PANEL, "ex", "feat", "brk", "cmp"], "SELECT condition, signal, row_number() OVER (PARTITION BY condition ORDER BY abs(d) DESC, signal) AS nth, round(d, 6) AS d FROM cmp"),
     "q_names": sql([*FAC, "lift", "pat"], """, each AS (SELECT condition || '|' || items AS key, unnest(string_split(examples, ',')) AS one, unnest(range(len(string_split(examples, ',')))) AS nth FROM pat)
 SELECT key, string_agg(g.name || ' (' || g.console || ')', '; ' ORDER BY nth) AS names FROM each JOIN games g ON CAST(g.id AS VARCHAR) = one WHERE g.name IS NOT NULL GROUP BY 1"""),
     "compare_signals": sql([*PANEL, "ex", "feat", "brk", "cmp"], f"SELECT condition, signal, n_break, n_control, {r('mean_break', 'mean_control', 'd', 'u', 'z')} FROM cmp"),
@@ -350,6 +406,19 @@ SELECT round(corr(a, b), 6) AS spearman, round(1 - sum((target - x) ** 2) / sum(
     "list_products": sql(["listed"], "SELECT * FROM listed"),
     "chart_points": sql(["li", "prices"], "SELECT game_id, condition, month, price_cents FROM prices WHERE price_cents <> 0"),
     "sale_ids": """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'ebay-' || o_orderkey ELSE 'h-' || substr(sha1(CAST(o_orderdate AS DATE) || '|' || o_orderpriority || '|' || CASE WHEN o_orderkey % 7 <> 0 THEN CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) ELSE 'None' END), 1, 16) END AS sale_id FROM orders""",
+    "detail_pages": """SELECT p_partkey AS game_id, p_partkey AS pc_id, p_type AS genre, CAST(DATE '1990-01-01' + CAST(p_size AS INTEGER) AS DATE) AS release_date, p_brand || ' & ' || p_name AS publisher,
+ CASE WHEN p_size % 3 <> 0 THEN 'Teen' END AS esrb, CAST(p_partkey AS VARCHAR) AS upc, CAST(NULL AS VARCHAR) AS asin, CAST(round(p_retailprice * 100) AS BIGINT) AS loose_cents,
+ CASE WHEN p_size % 5 <> 0 THEN CAST(round(p_retailprice * 200) AS BIGINT) END AS cib_cents, CAST(NULL AS BIGINT) AS new_cents FROM part""",
+    "detail_sales": """SELECT l_partkey AS game_id, CASE l_returnflag WHEN 'A' THEN 'loose' WHEN 'N' THEN 'cib' ELSE 'new' END AS condition,
+ CASE WHEN l_orderkey % 2 = 0 THEN 'ebay-' || l_orderkey || '-' || l_linenumber ELSE 'h-' || substr(sha1(CAST(l_shipdate AS DATE) || '|Lot ' || l_orderkey || CASE WHEN l_linenumber % 6 = 0 THEN ' [Shop]' ELSE '' END || '|' || CAST(round(l_extendedprice * 100) AS BIGINT)), 1, 16) END AS sale_id,
+ CAST(l_shipdate AS DATE) AS sale_date, 'Lot ' || l_orderkey || CASE WHEN l_linenumber % 6 = 0 THEN ' [Shop]' ELSE '' END AS title, CAST(round(l_extendedprice * 100) AS BIGINT) AS price_cents,
+ CASE WHEN l_orderkey % 2 = 0 THEN 'ebay' WHEN l_linenumber % 2 = 0 THEN 'shop' ELSE 'private' END AS source, CASE WHEN l_linenumber % 3 <> 0 THEN '/lot/' || l_orderkey END AS url
+ FROM lineitem JOIN part ON p_partkey = l_partkey""",
+    "import_sqlite": sql(["li", "prices"], "SELECT game_id, condition, month, price_cents FROM prices"),
+    "migrate_backfill": """WITH x AS (SELECT p_partkey AS id, p_name AS name, CASE p_size % 4 WHEN 0 THEN 'nes' WHEN 1 THEN 'pal-nes' WHEN 2 THEN 'jp-wii' ELSE 'other' END AS console,
+ CASE WHEN p_size % 3 = 0 THEN 'kept' END AS p, CASE WHEN p_size % 6 = 0 THEN 'pal' END AS r FROM part)
+ SELECT id, console, CASE WHEN console <> 'other' AND r IS NULL THEN CASE console WHEN 'jp-wii' THEN 'wii' ELSE 'nes' END ELSE p END AS platform,
+ CASE WHEN console <> 'other' AND r IS NULL THEN CASE console WHEN 'nes' THEN 'ntsc-u' WHEN 'pal-nes' THEN 'pal' ELSE 'ntsc-j' END ELSE r END AS region, name, CAST(NULL AS VARCHAR) AS genre FROM x""",
     "upsert_games": sql(["home", "games", "titles", "listed"], """SELECT coalesce(l.id, g.id) AS id, CASE WHEN l.id IS NOT NULL THEN l.console ELSE g.console END AS console,
  CASE WHEN l.id IS NULL THEN g.platform WHEN l.console <> 'other' THEN 'nes' END AS platform, CASE WHEN l.id IS NULL THEN g.region WHEN l.console = 'nes' THEN 'ntsc-u' WHEN l.console = 'pal-nes' THEN 'pal' WHEN l.console = 'famicom' THEN 'ntsc-j' END AS region,
  CASE WHEN l.id IS NOT NULL THEN l.slug ELSE g.slug END AS slug, CASE WHEN l.id IS NOT NULL THEN l.name ELSE g.name END AS name, g.genre, g.publisher, g.release_date, CAST(CASE WHEN l.id IS NOT NULL THEN 1 ELSE g.list_rank END AS INTEGER) AS list_rank,

@@ -46,6 +46,17 @@ def cluster_rows(summary: DataFrame, profile: DataFrame) -> DataFrame:
     return summary.join(traits, "cluster", "left").select("shape", "n", "share", (F.exp("end_value") - 1).alias("end"), "centroid", F.coalesce("traits", F.array().cast("array<string>")).alias("traits")).orderBy(F.desc("end"))
 
 
+def top_patterns(patterns: DataFrame, games: DataFrame, n: int = TOP_PATTERNS) -> DataFrame:
+    """The first ``n`` patterns of each condition (nth: their order) with their examples' names."""
+    first = patterns.where(F.col("nth") <= n).withColumn("key", F.concat_ws("|", "condition", "items"))
+    return first.join(names_lookup(first, games, "key"), "key", "left").drop("key")
+
+
+def ordered_signals(compared: DataFrame) -> DataFrame:
+    """Adds nth: of a condition's signals the one of the largest difference first."""
+    return compared.withColumn("nth", F.row_number().over(Window.partitionBy("condition").orderBy(F.desc(F.abs("d")), "signal")).cast("long"))  # a row a signal
+
+
 def _dicts(df: DataFrame | None) -> list[dict]:
     return [json.loads(x) for x in df.toJSON().collect()] if df is not None else []
 
@@ -60,8 +71,7 @@ def _by_condition(rows: list[dict]) -> dict[str, list[dict]]:
 def context(done: Analysis) -> dict:
     """All parts, collected; every one is bounded by a top-k, the clusters or consoles x months."""
     t = done.tables
-    patterns = t["patterns"].where(F.col("nth") <= TOP_PATTERNS).withColumn("key", F.concat_ws("|", "condition", "items"))
-    named = patterns.join(names_lookup(patterns, done.games, "key"), "key", "left").drop("key").orderBy("condition", "nth")
+    named = top_patterns(t["patterns"], done.games).orderBy("condition", "nth")
     watch = _top(t["watchlist"], TOP_WATCH, F.desc("score"), "game_id").orderBy("condition", "nth") if "score" in t["watchlist"].columns else None
     return {
         "params": done.params,
@@ -71,7 +81,7 @@ def context(done: Analysis) -> dict:
         "bars": _by_condition(_dicts(factor_bars(t["factor_lift"]).orderBy("condition"))),
         "clusters": _dicts(cluster_rows(t["cluster_summary"], t["cluster_profile"])),
         "watch": _by_condition(_dicts(watch)),
-        "signals": _by_condition(_dicts(t["pre_breakout"].orderBy("condition", F.desc(F.abs("d")), "signal"))),
+        "signals": _by_condition(_dicts(ordered_signals(t["pre_breakout"]).orderBy("condition", "nth"))),
         "model": done.model,
         "importance": _dicts(t["model_importance"].limit(TOP_IMPORTANCE)) if "model_importance" in t else [],
     }

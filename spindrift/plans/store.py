@@ -1,13 +1,11 @@
-"""Upserts, the work queue, the run log, and derived tables on Parquet.
-
-A table is a folder of versions; a write makes a new version and then points ``_current`` at it,
-so readers never see half a table and a writer may read what it replaces. The version before the
-current one stays until the next write, for frames that still read it.
-"""
+"""Upserts, the work queue, the run log, and derived tables on Parquet."""
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,48 +94,223 @@ def run_log(events: DataFrame) -> DataFrame:
     return _last(events, ["id"], "at")
 
 
+#: Buckets of a new table, bytes of a bucket before their number doubles, folders of a log before
+#: they are put together, commits that stay readable, and hours before what no commit names is removed.
+BUCKETS, BUCKET_BYTES, MOST_FOLDERS, READABLE, ORPHAN_HOURS = 64, 256 << 20, 50, 2, 48
+
+
+@dataclass
+class Commit:
+    """What a table is at one number: its folders, by bucket (a table without keys: by a running
+    name), their bytes, its schema, and the last batch that each sink has put in."""
+
+    number: int
+    folders: dict[str, str]
+    sizes: dict[str, int]
+    schema: str
+    keys: list[str] = field(default_factory=list)
+    buckets: int = 0
+    next_id: int = 1
+    applied: dict[str, int] = field(default_factory=dict)
+
+    def next(self, **changed) -> Commit:
+        return replace(self, number=self.number + 1, **changed)
+
+
 class Store:
-    """Named tables below one folder."""
+    """Named tables below one folder, each a row of numbered commits.
+
+    A commit is a small file that appears whole or not at all and is never overwritten; it lists the
+    folders of the table's rows. A reader takes the newest (or a given) number and keeps to it. A
+    writer puts new folders beside the old ones and then tries the next number: if another writer
+    has taken it, the loser removes its folders, reads what is there now, and works anew. Upserts
+    deal rows to buckets by a hash of their key and rewrite no bucket but those a batch touches.
+
+    The commit is atomic on local and shared mounts (a hard link) and on HDFS (a rename that fails
+    where the name exists). Object stores without such a rename need one writer at a time."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _version(self, name: str) -> str | None:
-        p = self._path(f"{self.root}/{name}/_current")
-        if not self._fs.exists(p):
-            return None
-        stream = self._fs.open(p)
+    # ------------------------------------------------------------------ commits
+
+    def _file(self, name: str, number: int) -> str:
+        return f"{self.root}/{name}/_commits/{number:012d}.json"
+
+    def versions(self, name: str) -> list[int]:
+        folder = self._path(f"{self.root}/{name}/_commits")
+        if not self._fs.exists(folder):
+            return []
+        names = (st.getPath().getName() for st in self._fs.listStatus(folder))
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and not n.startswith("."))
+
+    def commit_of(self, name: str, version: int | None = None) -> Commit | None:
+        while True:
+            known = self.versions(name)
+            if not known or (version is not None and version not in known):
+                return None
+            try:
+                stream = self._fs.open(self._path(self._file(name, known[-1] if version is None else version)))
+            except Exception as e:  # it was the oldest and has just gone
+                if version is None and "FileNotFound" in str(e):
+                    continue
+                raise
+            try:
+                return Commit(**json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+
+    def _commit(self, name: str, commit: Commit) -> bool:
+        """Whether this commit took its number."""
+        done = self._path(self._file(name, commit.number))
+        draft = self._path(f"{done.getParent()}/.{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps(asdict(commit)).encode()))
+        out.close()
         try:
-            return stream.readUTF()
+            if self._fs.getScheme() != "file":
+                return self._fs.rename(draft, done)
+            local = lambda p: self._jvm.java.nio.file.Paths.get(self._fs.makeQualified(p).toUri().getPath(), self.spark.sparkContext._gateway.new_array(self._jvm.String, 0))
+            try:
+                self._jvm.java.nio.file.Files.createLink(local(done), local(draft))
+                return True
+            except Exception as e:
+                if "FileAlreadyExists" in str(e):
+                    return False
+                raise
         finally:
-            stream.close()
+            self._fs.delete(draft, False)
+
+    def _clean(self, name: str) -> None:
+        """Removes commits that aren't readable any more and folders that none of the others names."""
+        old = self.versions(name)[:-READABLE]
+        if not old:
+            return
+        gone = [c for n in old if (c := self.commit_of(name, n))]
+        kept = {f for n in self.versions(name)[-READABLE:] if (c := self.commit_of(name, n)) for f in c.folders.values()}
+        for commit in gone:
+            self._fs.delete(self._path(self._file(name, commit.number)), False)
+            for folder in set(commit.folders.values()) - kept:
+                self._fs.delete(self._path(f"{self.root}/{name}/{folder}"), True)
+        written = self._path(f"{self.root}/{name}/rows")
+        edge = (time.time() - ORPHAN_HOURS * 3600) * 1000
+        for st in self._fs.listStatus(written) if self._fs.exists(written) else []:
+            top = f"rows/{st.getPath().getName()}"
+            if st.getModificationTime() < edge and not any(f == top or f.startswith(f"{top}/") for f in kept):
+                self._fs.delete(st.getPath(), True)
+
+    def _loop(self, name: str, attempt) -> int:
+        """``attempt``: from the newest commit to (the next one, its new folder), or None for nothing
+        to do. Repeated until the number is taken."""
+        while True:
+            now = self.commit_of(name)
+            try:
+                made = attempt(now)
+            except Exception:
+                newest = self.commit_of(name)
+                if now and newest and newest.number >= now.number + READABLE:  # what it read has been removed meanwhile
+                    continue
+                raise
+            if made is None:
+                return now.number if now else 0
+            commit, folder = made
+            if self._commit(name, commit):
+                self._clean(name)
+                return commit.number
+            self._fs.delete(self._path(f"{self.root}/{name}/{folder}"), True)
+
+    def _written(self, name: str, df: DataFrame, by: str | None = None) -> tuple[str, dict[str, str], dict[str, int]]:
+        """(folder, folders by bucket, their bytes) of rows put down."""
+        folder = f"rows/v-{uuid.uuid4().hex}"
+        whole = f"{self.root}/{name}/{folder}"
+        if by is None:
+            df.write.parquet(whole)
+            parts = {folder.rpartition("-")[2]: folder}
+        else:
+            df.repartition(by).write.partitionBy(by).parquet(whole)
+            found = (st.getPath().getName() for st in self._fs.listStatus(self._path(whole)))
+            parts = {n.partition("=")[2]: f"{folder}/{n}" for n in found if n.startswith(f"{by}=")}
+        return folder, parts, {k: self._fs.getContentSummary(self._path(f"{self.root}/{name}/{f}")).getLength() for k, f in parts.items()}
+
+    def _rows(self, name: str, commit: Commit, buckets: list[str] | None = None) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(commit.schema))
+        folders = [f for k, f in commit.folders.items() if buckets is None or k in buckets]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/{f}" for f in folders])
+
+    # ------------------------------------------------------------------ tables
 
     def exists(self, name: str) -> bool:
-        return self._version(name) is not None
-
-    def read(self, name: str) -> DataFrame | None:
-        v = self._version(name)
-        return None if v is None else self.spark.read.parquet(f"{self.root}/{name}/{v}")
-
-    def replace(self, name: str, df: DataFrame) -> None:
-        old, v = self._version(name), f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}/{v}")
-        out = self._fs.create(self._path(f"{self.root}/{name}/_current"), True)
-        out.writeUTF(v)
-        out.close()
-        for status in self._fs.listStatus(self._path(f"{self.root}/{name}")):
-            if status.getPath().getName() not in ("_current", v, old):
-                self._fs.delete(status.getPath(), True)
+        return bool(self.versions(name))
+
+    def read(self, name: str, version: int | None = None) -> DataFrame | None:
+        """The table as of its newest commit, or of ``version``; None where there is none. A frame
+        stays with its commit, whose folders last for the next READABLE - 1 commits."""
+        commit = self.commit_of(name, version)
+        return None if commit is None else self._rows(name, commit)
+
+    def replace(self, name: str, df: DataFrame) -> int:
+        """All rows anew; returns the commit's number."""
+        folder, parts, sizes = self._written(name, df)
+
+        def attempt(now: Commit | None):
+            held = {"folders": parts, "sizes": sizes, "schema": df.schema.json(), "keys": [], "buckets": 0}
+            return (now.next(**held) if now else Commit(1, **held)), "rows/none"  # the rows don't depend on what was there
+
+        return self._loop(name, attempt)
+
+    def upsert(self, name: str, rows: DataFrame, keys: list[str], keep: tuple[str, ...] = (), order: str | None = None, sink: str | None = None, batch_id: int = 0, buckets: int = BUCKETS) -> int:
+        """``upsert`` of the stored rows with ``rows``; returns the commit's number. ``sink`` and
+        ``batch_id``: a batch that this sink has put in already (or a later one) changes nothing."""
+
+        def attempt(now: Commit | None):
+            if sink and now and now.applied.get(sink, -1) >= batch_id:
+                return None
+            kept = now is not None and now.keys == keys and now.buckets > 0
+            many = now.buckets if kept else buckets
+            whole = not kept
+            if kept and sum(now.sizes.values()) > many * BUCKET_BYTES:
+                many, whole = 2 * many, True
+            bucket = F.pmod(F.xxhash64(*keys), F.lit(many)).cast("int")
+            touched = [str(r[0]) for r in rows.select(bucket.alias("b")).distinct().collect()]  # the number of buckets at most
+            old = self._rows(name, now, None if whole else touched) if now else self.spark.createDataFrame([], rows.schema)
+            merged = upsert(old, rows, keys, keep, order)
+            folder, parts, sizes = self._written(name, merged.withColumn("bucket_", bucket), "bucket_")
+            if kept and not whole:
+                parts = {k: f for k, f in now.folders.items() if k not in touched} | parts
+                sizes = {k: n for k, n in now.sizes.items() if k not in touched} | sizes
+            held = {"folders": parts, "sizes": sizes, "schema": merged.schema.json(), "keys": keys, "buckets": many}
+            held["applied"] = (now.applied if now else {}) | ({sink: batch_id} if sink else {})
+            return (now.next(**held) if now else Commit(1, **held)), folder
+
+        return self._loop(name, attempt)
 
     def append_run(self, name: str, row: dict) -> int:
-        """Adds a row with the next id, which is returned."""
-        old = self.read(name)
-        number = 1 if old is None else (old.agg(F.max("id")).first()[0] or 0) + 1
+        """Adds a row with the next id, which is returned; of two that write at once both stay."""
         kinds = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), list: T.ArrayType(T.StringType())}
-        schema = T.StructType([T.StructField(k, kinds.get(type(v), T.StringType())) for k, v in ({"id": number} | row).items()])
-        fresh = self.spark.createDataFrame([tuple(({"id": number} | row).values())], schema)
-        self.replace(name, fresh if old is None else old.unionByName(fresh, allowMissingColumns=True))
-        return number
+        taken = 0
+
+        def attempt(now: Commit | None):
+            nonlocal taken
+            known = T.StructType.fromJson(json.loads(now.schema)) if now else T.StructType()
+            taken = now.next_id if now else 1
+            if now and now.next_id == 1 and "id" in known.names:  # a table that was put there whole
+                taken = (self._rows(name, now).agg(F.max("id")).first()[0] or 0) + 1
+            whole = {"id": taken} | row
+            schema = T.StructType([T.StructField(k, kinds.get(type(v), T.StringType())) for k, v in whole.items()])
+            fresh = self.spark.createDataFrame([tuple(whole.values())], schema)
+            fresh = fresh.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in known if f.name in whole})
+            merged = T.StructType([*known, *[f for f in fresh.schema if f.name not in known.names]])
+            old, sizes = (now.folders, now.sizes) if now else ({}, {})
+            if len(old) >= MOST_FOLDERS:
+                fresh, old, sizes = self._rows(name, now).unionByName(fresh, allowMissingColumns=True).coalesce(1), {}, {}
+            folder, parts, size = self._written(name, fresh)
+            held = {"folders": old | parts, "sizes": sizes | size, "schema": merged.json(), "next_id": taken + 1}
+            return (now.next(**held) if now else Commit(1, **held)), folder
+
+        self._loop(name, attempt)
+        return taken

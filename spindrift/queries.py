@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from spindrift.operators import curves, factors, forecast, mining, series, signa
 from spindrift.operators.watchlist import watchlist, zscored
 from spindrift.plans import report, serve, store
 from spindrift.plans.analyze import in_order
-from spindrift.sources import parse
-from spindrift.sources.model import SCHEMAS, Panel
+from spindrift.sources import model, parse, sqlite
+from spindrift.sources.model import KEYS, SCHEMAS, Panel
+from spindrift.sources.staging import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -108,13 +110,12 @@ def scan_games(spark, d):
 
 @query
 def scan_sales(spark, d):
-    return Panel(spark, d).sales().groupBy("game_id", "condition").agg(F.count("*").alias("n"), F.sum("price_cents").alias("cents"), F.max("sale_date").alias("last_sale"))
+    rows = Panel(spark, d).raw("lineitem").select(F.col("l_suppkey").alias("game_id"), "l_returnflag", F.col("l_shipdate").cast("string").alias("sale_date"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("price_cents"), F.col("l_linestatus").alias("source"))
+    return model.scan_sales(rows.withColumnRenamed("l_returnflag", "condition"))
 
 
 @query
 def in_filter(spark, d):
-    from spindrift.sources import model
-
     return model.in_filter(model.in_filter(Stage(spark, d).history(), "condition", ["loose", "cib"]), "console", ["ASIA", "EUROPE"])
 
 
@@ -299,16 +300,20 @@ def curve_shapes(spark, d):
 
 @query
 def curve_clusters(spark, d):
-    """Rows only: k-means starts differ between engines."""
     return curves.cluster_curves(Stage(spark, d).curves(), 5)[0]
 
 
+@query
+def cluster_summary(spark, d):
+    rows = curves.cluster_curves(Stage(spark, d).curves(), 5)[1]
+    return rounded(rows.select("cluster", "shape", "n", "share", "end_value"))
+
+
 @query
 def cluster_profile(spark, d):
-    """Rows only, like the clusters it describes."""
     s = Stage(spark, d)
     assigned = curves.cluster_curves(s.curves(), 5)[0]
-    return rounded(curves.profile_clusters(assigned, s.factors(), CATS, SUPPORT))
+    return rounded(curves.profile_clusters(assigned, s.factors(), CATS, SUPPORT).withColumn("nth", F.col("nth").cast("long")))
 
 
 @query
@@ -408,6 +413,62 @@ def sale_ids(spark, d):
     return rows.select("o_orderkey", parse.sale_id(row_id, day, F.col("o_orderpriority"), cents).alias("sale_id"))
 
 
+def _pages(spark, d) -> DataFrame:
+    """Every part as a detail page: its table of fields, its prices, and its order lines as sales."""
+    part, line = Panel(spark, d).raw("part"), Panel(spark, d).raw("lineitem")
+    cell = lambda cls, x: F.concat(F.lit(f'<td class="{cls}">'), x, F.lit("</td>"))
+    field = lambda label, x: F.concat(F.lit("<tr>"), cell("title", F.lit(label)), cell("details x", x), F.lit("</tr>"))
+    key = F.col("p_partkey").cast("string")
+    fields = [
+        field("Genre:", F.concat(F.lit("\n "), "p_type", F.lit(" <!-- <b> --> "))),
+        field("Release Date:", F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("p_size")), "MMMM d, yyyy")),
+        field("Publisher:", F.concat("p_brand", F.lit(" &amp; "), "p_name")),
+        field("ESRB Rating:", F.when(F.col("p_size") % 3 == 0, "none").otherwise("Teen")),
+        field("UPC:", F.concat(F.lit("<script>no</script>"), key)),
+        field("Catalogue ID:", key),
+    ]
+    money = lambda x: F.concat(F.lit("$"), F.format_number(x, 2))
+    price = lambda at, x: F.concat(F.lit(f"<p id='{at}'><b><i class='now price'>"), x, F.lit("</i></p>"))
+    prices = [price("used_price", money("p_retailprice")), price("complete_price", F.when(F.col("p_size") % 5 == 0, "-").otherwise(money(F.col("p_retailprice") * 2)))]
+    shop = F.when(F.col("l_linenumber") % 2 == 0, F.lit(" [Shop]")).otherwise("")
+    name = F.concat(F.lit("Lot "), F.col("l_orderkey").cast("string"))
+    title = F.when(F.col("l_linenumber") % 3 == 0, F.concat(name, shop)).otherwise(F.concat(F.lit("<a href=/lot/"), F.col("l_orderkey").cast("string"), F.lit(">"), name, F.lit("</a>"), shop))
+    own = F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit(" id='ebay-"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("'"))).otherwise("")
+    row = F.concat(F.lit("<tr"), own, F.lit(">"), cell("date", F.col("l_shipdate").cast("date").cast("string")), cell("title", title), cell("numeric", F.concat(F.lit("<span class=js-price>"), money("l_extendedprice"), F.lit("</span>"))), F.lit("</tr>"))
+    rows = lambda flag: F.array_join(F.array_sort(F.collect_list(F.when(F.col("l_returnflag") == flag, row))), "")
+    boxes = line.groupBy("l_partkey").agg(*[rows(f).alias(k) for k, f in (("used", "A"), ("cib", "N"), ("new", "R"))])
+    box = lambda k: F.concat(F.lit(f"<div class='tab completed-auctions-{k}'>x</div><div class='completed-auctions-{k}'><table><thead><tr><td class=date>Date</td></tr></thead><tbody>"), F.coalesce(k, F.lit("")), F.lit("</table></div>"))
+    html = F.concat(F.lit("<!doctype html><body><div>"), F.lit("<table id=attribute>"), *fields, F.lit("</table></div></em>"), *prices, box("used"), box("cib"), box("new"))
+    return part.join(boxes, F.col("p_partkey") == F.col("l_partkey"), "left").select(F.col("p_partkey").alias("game_id"), html.alias("html"))
+
+
+@query
+def detail_pages(spark, d):
+    shown = parse.page_details(parse.raw_pages(_pages(spark, d)))
+    return shown.select("game_id", "pc_id", "genre", "release_date", "publisher", "esrb", "upc", "asin", "loose_cents", "cib_cents", "new_cents")
+
+
+@query
+def detail_sales(spark, d):
+    return parse.page_sales(parse.raw_pages(_pages(spark, d)))
+
+
+@query
+def import_sqlite(spark, d):
+    """All monthly prices written to SQLite files, one a task, and imported from them."""
+    path = f"{shared_folder(spark).rstrip('/')}/sqlite-{uuid.uuid4().hex}"
+    sqlite.write_sqlite(Stage(spark, d).prices(), path, "price_history")
+    return model.import_sqlite(spark, path, rangerows=500)["price_history"]
+
+
+@query
+def migrate_backfill(spark, d):
+    """An older games table, without platforms and most columns, and a newer one with both."""
+    slug = F.element_at(F.array(F.lit("nes"), F.lit("pal-nes"), F.lit("jp-wii"), F.lit("other")), (F.col("p_size") % 4 + 1).cast("int"))
+    old = Panel(spark, d).raw("part").select(F.col("p_partkey").alias("id"), slug.alias("console"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 3 == 0, "kept").alias("platform"), F.when(F.col("p_size") % 6 == 0, "pal").alias("region"))
+    return model.migrated(old).select("id", "console", "platform", "region", "name", "genre")
+
+
 @query
 def upsert_games(spark, d):
     listed = _listed(spark, d).withColumn("list_rank", F.lit(1))
@@ -441,6 +502,39 @@ def quarantine(spark, d):
     return good.withColumn("accepted", F.lit(True)).unionByName(bad.withColumn("accepted", F.lit(False)))
 
 
+def _sales(spark, d) -> DataFrame:
+    """Every order line as a sale that was seen when it was received."""
+    rows = Panel(spark, d).raw("lineitem")
+    made = rows.select(
+        F.col("l_suppkey").alias("game_id"), F.col("l_returnflag").alias("condition"), F.concat_ws("-", "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date"), F.round(F.col("l_extendedprice") * 100).cast("long")).alias("sale_id"),
+        F.col("l_shipdate").cast("date").alias("sale_date"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("price_cents"), F.col("l_shipdate").cast("timestamp").alias("first_seen_at"),
+    )
+    return made.select([F.col(f.name).cast(f.dataType) if f.name in made.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS["sales"]])
+
+
+@query
+def stored_upsert(spark, d):
+    """Sales put in a stored table, then some of them again at another price, a batch that comes
+    twice, and the table as of its first commit beside the newest."""
+    kept_ = store.Store(spark, f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    rows = _sales(spark, d)
+    first = kept_.upsert("sales", rows, KEYS["sales"], keep=("first_seen_at",), order="first_seen_at", buckets=8)
+    again = rows.where("price_cents % 5 = 0 and game_id % 3 = 0").withColumns({"price_cents": F.col("price_cents") + 1, "first_seen_at": F.col("first_seen_at") + F.make_dt_interval(days=F.lit(9))})
+    for _ in range(2):
+        kept_.upsert("sales", again, KEYS["sales"], keep=("first_seen_at",), order="first_seen_at", sink="landing", batch_id=1)
+    now, before = kept_.read("sales"), kept_.read("sales", first)
+    return now.join(before.select(*KEYS["sales"], F.col("price_cents").alias("before_cents")), KEYS["sales"]).select("game_id", "condition", "sale_id", "price_cents", "before_cents", F.col("first_seen_at").cast("date"))
+
+
+@query
+def stored_runs(spark, d):
+    """A row in a stored log for every nation, each with the next number, some with a further column."""
+    kept_ = store.Store(spark, f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    for r in Panel(spark, d).raw("nation").orderBy("n_nationkey").collect():  # 25 rows, a commit each
+        kept_.append_run("runs", {"nation": r["n_name"], "ok": int(r["n_nationkey"])} | ({"error": "timeout"} if r["n_nationkey"] % 5 == 0 else {}))
+    return kept_.read("runs").select("id", "nation", "ok", "error")
+
+
 @query
 def games_due(spark, d):
     return store.games_due(_titles(spark, d), NOW, 1500).select("id", "list_rank", F.col("last_detail_at").cast("date"))
@@ -609,6 +703,41 @@ def q_report_factors(spark, d):
     return rounded(report.top_factors(Stage(spark, d).lift()).select("condition", "factor", "value", "n", "lift", F.col("nth").cast("long").alias("nth")))
 
 
+@query
+def q_report_index(spark, d):
+    rows = report.index_traces(Stage(spark, d).index())
+    return rows.select("condition", "console", F.array_join("x", ",").alias("x"), F.array_join(F.transform("y", lambda y: F.format_number(y, 1)), " ").alias("y"))
+
+
+@query
+def q_report_bars(spark, d):
+    rows = report.factor_bars(Stage(spark, d).lift())
+    bars = rows.select("condition", F.posexplode(F.arrays_zip("labels", "lift", "lo", "hi", "n")).alias("pos", "b"))
+    return bars.select("condition", "pos", F.col("b.labels").alias("label"), "b.lift", "b.lo", "b.hi", "b.n")
+
+
+@query
+def q_report_patterns(spark, d):
+    """The first patterns of each condition, with the names of their examples."""
+    s = Stage(spark, d)
+    first = report.top_patterns(in_order(s.patterns()), s.games())
+    return rounded(first.select("condition", "nth", "items", "lift", F.array_join("names", "; ").alias("names")))
+
+
+@query
+def q_report_clusters(spark, d):
+    s = Stage(spark, d)
+    assigned, summary = curves.cluster_curves(s.curves(), 5)
+    rows = report.cluster_rows(summary, curves.profile_clusters(assigned, s.factors(), CATS, SUPPORT))
+    return rounded(rows.select("shape", "n", "share", "end", F.array_join("traits", "; ").alias("traits")))
+
+
+@query
+def q_report_signals(spark, d):
+    s = Stage(spark, d)
+    return rounded(report.ordered_signals(signals.with_p_values(signals.pre_breakout_signals(s.history(), s.index()))).select("condition", "signal", "nth", "d"))
+
+
 @query
 def q_names(spark, d):
     s = Stage(spark, d)

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import itertools
-import sqlite3
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spindrift.sources import sqlite
 
 _TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "date": T.DateType(), "timestamp": T.TimestampType()}
 
@@ -111,20 +111,15 @@ def migrated(games: DataFrame) -> DataFrame:
     return filled.drop("platform", "region", "p_", "r_").withColumnsRenamed({"platform_": "platform", "region_": "region"}).select([f.name for f in SCHEMAS["games"]])
 
 
-def import_sqlite(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The base tables of an SQLite file, typed; for seeding, one table at a time through the driver."""
+def import_sqlite(spark: SparkSession, path: str, **options) -> dict[str, DataFrame]:
+    """The base tables of an SQLite file, or of a folder of such files, typed. Executors read ranges
+    of rows by themselves; the driver sees names of tables and columns alone. ``options``: those of
+    sources.sqlite."""
+    present = set().union(*map(sqlite.tables_of, sqlite.files_of({"path": path, **options})))
     out = {}
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as conn:
-        present = {r[0] for r in conn.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
-        for name, schema in SCHEMAS.items():
-            if name not in present:
-                continue
-            have = [r[1] for r in conn.execute(f"PRAGMA table_info({name})")]
-            columns = [f.name for f in schema if f.name in have]
-            rows = conn.execute(f"SELECT {', '.join(columns)} FROM {name}").fetchall()
-            raw = spark.createDataFrame([tuple(None if v is None else str(v) for v in r) for r in rows], T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-            typed = [F.try_to_timestamp(c).cast(schema[c].dataType).alias(c) if schema[c].dataType in (T.DateType(), T.TimestampType()) else F.col(c).try_cast(schema[c].dataType).alias(c) for c in columns]
-            df = raw.select(typed)
+    for name, schema in SCHEMAS.items():
+        if name in present:
+            df = sqlite.typed(sqlite.sqlite_table(spark, path, name, **options), schema)
             out[name] = migrated(df) if name == "games" else df
     return out
 

@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-import json
-from html.parser import HTMLParser
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spindrift.functions.text import clean_text, iso_date, price_cents
+from spindrift.sources.pages import LABELS, PRICE_IDS, read_detail
+from spindrift.sources.staging import written
 
-# Page labels, element ids and keys of the payloads.
+# Keys of the payloads.
 LIST_SCHEMA = "id string, consoleUri string, productUri string, productName string, imageUri string, price1 string, price2 string, price3 string"
 CHART_KEYS = {"used": "loose", "cib": "cib", "new": "new"}
-PRICE_IDS = {"used_price": "loose", "complete_price": "cib", "new_price": "new"}
-LABELS = {
-    "Genre:": "genre",
-    "Release Date:": "release_date",
-    "ESRB Rating:": "esrb",
-    "Publisher:": "publisher",
-    "Developer:": "developer",
-    "Model Number:": "model_number",
-    "Player Count:": "player_count",
-    "UPC:": "upc",
-    "ASIN (Amazon):": "asin",
-    "ePID (eBay):": "epid",
-}
-ID_LABEL = "ID:"
 CHART_NAME = "chart_data"
 
 
@@ -63,112 +49,44 @@ def chart_points(pages: DataFrame, column: str = "html") -> DataFrame:
     return each.groupBy("game_id", F.col("p.condition").alias("condition"), month.alias("month")).agg(F.max_by("p.cents", "p.ms").alias("price_cents"))
 
 
-class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+_FIELDS = list(LABELS.values())
+_SALE = ["condition", "row_id", "sale_date", "title", "cell", "price", "url"]
+RAW = f"game_id long, {', '.join(f'{c} string' for c in _FIELDS)}, {', '.join(f'{c}_price string' for c in PRICE_IDS.values())}, own_id string, sales array<struct<{','.join(f'{c}:string' for c in _SALE)}>>"
 
-    def __init__(self, tag: str, attrs: dict, parent):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
-    @property
-    def classes(self) -> set[str]:
-        return set((self.attrs.get("class") or "").split())
+def _read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    text = pa.string()
+    sale = pa.list_(pa.struct([(c, text) for c in _SALE]))
+    for batch in batches:
+        found = [read_detail(page.as_py()) for page in batch.column(1)]
+        columns = [batch.column(0)]
+        columns += [pa.array([d["fields"].get(c) for d in found], text) for c in _FIELDS]
+        columns += [pa.array([d["prices"][c] for d in found], text) for c in PRICE_IDS.values()]
+        columns += [pa.array([d["own_id"] for d in found], text), pa.array([d["sales"] for d in found], sale)]
+        yield pa.RecordBatch.from_arrays(columns, names=["game_id", *_FIELDS, *[f"{c}_price" for c in PRICE_IDS.values()], "own_id", "sales"])
 
-    def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
 
-    def walk(self):
-        for c in self.children:
-            if isinstance(c, _Node):
-                yield c
-                yield from c.walk()
+def raw_pages(pages: DataFrame) -> DataFrame:
+    """What each page (game_id, html) shows, as texts; a null page shows nothing."""
+    return pages.select(F.col("game_id").cast("long").alias("game_id"), F.col("html").cast("string").alias("html")).mapInArrow(_read_pages, RAW)
 
-    def find(self, test):
-        return next((n for n in self.walk() if test(n)), None)
 
-
-class _Tree(HTMLParser):
-    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        node = _Node(tag, dict(attrs), self.at)
-        self.at.children.append(node)
-        if tag not in self.VOID:
-            self.at = node
-
-    def handle_endtag(self, tag):
-        up = self.at
-        while up is not None and up.tag != tag:
-            up = up.parent
-        if up is not None and up.parent is not None:
-            self.at = up.parent
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-
-def _is(tag: str, cls: str | None = None):
-    return lambda n: n.tag == tag and (cls is None or cls in n.classes)
-
-
-def read_detail(html: str | None) -> dict:
-    """The raw texts of a detail page; values are cleaned in SQL."""
-    tree = _Tree()
-    tree.feed(html or "")
-    out = {"fields": {}, "prices": {}, "sales": [], "pc_id": None}
-    table = tree.root.find(lambda n: n.tag == "table" and n.attrs.get("id") == "attribute")
-    for row in (n for n in table.walk() if n.tag == "tr") if table else []:
-        key, value = row.find(_is("td", "title")), row.find(_is("td", "details"))
-        if key and value:
-            label = key.text().strip()
-            if label in LABELS:
-                out["fields"][LABELS[label]] = value.text()
-            elif label.endswith(ID_LABEL):
-                out["pc_id"] = value.text()
-    for html_id, condition in PRICE_IDS.items():
-        box = tree.root.find(lambda n, i=html_id: n.attrs.get("id") == i)
-        price = box.find(lambda n: "price" in n.classes) if box else None
-        out["prices"][condition] = price.text() if price else None
-    for key, condition in CHART_KEYS.items():
-        box = tree.root.find(lambda n, k=key: n.tag == "div" and f"completed-auctions-{k}" in n.classes and "tab" not in n.classes)
-        body = box.find(_is("tbody")) if box else None
-        for row in (n for n in body.walk() if n.tag == "tr") if body else []:
-            day, cell = row.find(_is("td", "date")), row.find(_is("td", "numeric"))
-            price = cell.find(_is("span", "js-price")) if cell else None
-            if not day or not price:
-                continue
-            title = row.find(_is("td", "title"))
-            link = title.find(_is("a")) if title else None
-            shown = link or title
-            out["sales"].append({"condition": condition, "row_id": row.attrs.get("id"), "sale_date": day.text().strip(), "title": shown.text() if shown else None, "cell": title.text() if title else None, "price": price.text(), "url": link.attrs.get("href") if link else None})
-    return out
-
-
-RAW = "fields map<string,string>, prices map<string,string>, pc_id string, sales array<struct<condition:string,row_id:string,sale_date:string,title:string,cell:string,price:string,url:string>>"
-
-
-@F.pandas_udf(T.StringType())
-def _detail_json(html: pd.Series) -> pd.Series:
-    return html.map(lambda x: json.dumps(read_detail(x)))
-
-
-def detail_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(details, sales) of pages (game_id, html)."""
-    raw = pages.select("game_id", F.from_json(_detail_json("html"), RAW).alias("d"))
-    clean = lambda c: clean_text(F.col(f"d.fields.{c}")).alias(c)
-    details = raw.select(
+def page_details(raw: DataFrame) -> DataFrame:
+    """A row for each page: game_id, pc_id (the page's own number), its fields and current prices."""
+    return raw.select(
         "game_id",
-        F.regexp_extract(F.trim("d.pc_id"), r"^\d+$", 0).try_cast("long").alias("pc_id"),
-        *[iso_date(F.col("d.fields.release_date")).alias(c) if c == "release_date" else clean(c) for c in LABELS.values()],
-        *[price_cents(F.col(f"d.prices.{c}")).alias(f"{c}_cents") for c in PRICE_IDS.values()],
+        F.regexp_extract(F.trim("own_id"), r"^\d+$", 0).try_cast("long").alias("pc_id"),
+        *[iso_date(F.col(c)).alias(c) if c == "release_date" else clean_text(F.col(c)).alias(c) for c in _FIELDS],
+        *[price_cents(F.col(f"{c}_price")).alias(f"{c}_cents") for c in PRICE_IDS.values()],
     )
-    s = raw.select("game_id", F.explode("d.sales").alias("s"))
+
+
+def page_sales(raw: DataFrame) -> DataFrame:
+    """A row for each completed sale that a page lists."""
+    s = raw.select("game_id", F.explode("sales").alias("s"))
     title, cents = clean_text(F.col("s.title")), price_cents(F.col("s.price"))
     tag = F.nullif(F.lower(F.regexp_extract("s.cell", r"\[([^\]]+)\]", 1)), F.lit(""))
-    sales = s.select(
+    return s.select(
         "game_id",
         F.col("s.condition").alias("condition"),
         sale_id(F.col("s.row_id"), F.col("s.sale_date"), title, cents).alias("sale_id"),
@@ -178,7 +96,12 @@ def detail_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.length("s.row_id") > 0, F.substring_index("s.row_id", "-", 1)).when(F.col("s.cell").isNotNull(), F.coalesce(tag, F.lit("private"))).alias("source"),
         F.col("s.url").alias("url"),
     )
-    return details, sales
+
+
+def detail_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(details, sales) of pages (game_id, html), which are read once into a written table."""
+    raw = written(raw_pages(pages), "pages")
+    return page_details(raw), page_sales(raw)
 
 
 def sale_id(row_id, day, title, cents):

@@ -26,4 +26,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     plan above it, the result is a plain scan."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held.written_at = path
+    return held
+
+
+def unwritten(*frames: DataFrame) -> None:
+    """Removes the tables of ``written`` frames that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.plans.store import Store, upsert_rows
+from spindrift.plans.store import Store
 from spindrift.sources.model import KEYS, SCHEMAS
+from spindrift.sources.staging import unwritten, written
 
 PAGE = "game_id long, html string, landed_at timestamp"
 
@@ -20,14 +21,15 @@ def sale_stream(sales: DataFrame, delay: str = "2 days") -> DataFrame:
     return sales.withWatermark("first_seen_at", delay).dropDuplicatesWithinWatermark(KEYS["sales"])
 
 
-def upsert_batches(store: Store, table: str):
-    """A foreachBatch sink: each batch is merged into a stored table; a batch that runs again
-    changes nothing more."""
+def upsert_batches(store: Store, table: str, sink: str = "stream"):
+    """A foreachBatch sink: each batch is merged into a stored table, whose untouched buckets stay
+    as they are. The commit holds the number of the batch, so one that runs again changes nothing."""
 
-    def sink(batch: DataFrame, _: int) -> None:
-        have = store.read(table)
-        old = have if have is not None else batch.sparkSession.createDataFrame([], SCHEMAS[table])
+    def put(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select([F.col(f.name).cast(f.dataType) if f.name in batch.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[table]])
-        store.replace(table, upsert_rows(table, old, rows))
+        held = written(rows, "batch")  # read for its buckets and for its rows
+        sale = table == "sales"
+        store.upsert(table, held, KEYS[table], keep=("first_seen_at",) if sale else (), order="first_seen_at" if sale else None, sink=sink, batch_id=batch_id)
+        unwritten(held)
 
-    return sink
+    return put
