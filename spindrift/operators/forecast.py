@@ -21,6 +21,8 @@ CATEGORICAL = ["condition", "region", "platform", "genre", "publisher", "esrb",
 NUMERIC = ["log_price_t0", "momentum_12m", "cib_loose_ratio", "age_years", "lifecycle_pos", "release_year"]
 MIN_TRAIN, MIN_TEST = 200, 50
 SIGNAL_SPEARMAN = 0.1
+#: Rounds of boosting and repetitions of a permutation.
+ROUNDS, REPEATS = 300, 5
 
 
 def build_samples(history: DataFrame, index: DataFrame, games: DataFrame, window: int = 36, t0s: list | None = None, with_target: bool = True, **named) -> DataFrame:
@@ -101,7 +103,7 @@ def _prepared(df: DataFrame, numeric: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in numeric} | {f"no_{c}": F.col(c).isNull().cast("double") for c in numeric})
 
 
-def fit_model(samples: DataFrame, window: int = 36, seed: int = 0, rounds: int = 300, repeats: int = 5, rate: float = 0.05) -> Fitted:
+def fit_model(samples: DataFrame, window: int = 36, seed: int = 0, rounds: int = ROUNDS, repeats: int = REPEATS, rate: float = 0.05) -> Fitted:
     """Boosted trees on the training split, judged on the test split."""
     samples = written(samples, "samples")
     train, test = split_by_time(samples, window)

@@ -36,7 +36,7 @@ def in_order(patterns: DataFrame) -> DataFrame:
     return patterns.withColumn("nth", F.row_number().over(Window.partitionBy("condition").orderBy(F.desc("lift_lo"), "items")))
 
 
-def analyze(history: DataFrame, games: DataFrame, sales: DataFrame, window: int = 36, top: float = 0.2, asof=None, min_support: int = MOST_SUPPORT, model: bool = True, clusters: int = 5, min_games: int = 5, min_group: int = 10, **named) -> Analysis:
+def analyze(history: DataFrame, games: DataFrame, sales: DataFrame, window: int = 36, top: float = 0.2, asof=None, min_support: int = MOST_SUPPORT, model: bool = True, clusters: int = 5, min_games: int = 5, min_group: int = 10, rounds: int = forecast.ROUNDS, repeats: int = forecast.REPEATS, **named) -> Analysis:
     """Everything downstream of a history (series.py's long form). The driver learns only the last
     month, counts and the fitted models."""
     spark: SparkSession = history.sparkSession
@@ -72,7 +72,7 @@ def analyze(history: DataFrame, games: DataFrame, sales: DataFrame, window: int
     out.tables["pre_breakout"] = signals.with_p_values(signals.pre_breakout_signals(history, index))
     predictions = None
     if model:
-        out.fitted = forecast.fit_model(forecast.build_samples(history, index, games, window, **named), window)
+        out.fitted = forecast.fit_model(forecast.build_samples(history, index, games, window, **named), window, rounds=rounds, repeats=repeats)
         out.model = out.fitted.summary
         out.tables["model_importance"] = spark.createDataFrame(out.fitted.importance, "feature string, importance double, deviation double")
         if out.model["signal"]:

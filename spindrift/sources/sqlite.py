@@ -96,10 +96,8 @@ def ranges_of(file: str, table: str, rows: int, most: int) -> list[Range]:
             least, greatest = conn.execute(f"SELECT min(rowid), max(rowid) FROM {name}").fetchone()
         except sqlite3.OperationalError:
             return [Range(file, None, None)]
-        if least is None:
-            return []
-        if not isinstance(least, int):  # a view's rowid is null or a value of its own
-            return [Range(file, None, None)]
+        if not isinstance(least, int):  # an empty table; or a view, whose rowid is null or a value of its own
+            return [Range(file, None, None)] if conn.execute(f"SELECT 1 FROM {name} LIMIT 1").fetchone() else []
         step = max(rows, -(-(greatest - least + 1) // most))
         out, at = [], least
         while at is not None:

@@ -191,6 +191,21 @@ def test_parsers(spark):
     assert (r.id, r.loose_cents, r.new_cents, r.cib_cents) == (5, 100, 300, None)
 
 
+def test_the_whole_analysis_is_stored_and_reported(spark, tmp_path):
+    """A small panel through every step, with a short model check: persisted, loaded, shown."""
+    games, prices, sales = synthetic(spark, 10)
+    h = model.scan_history(prices.where("month >= '2016-01-01'").cache(), games.cache())
+    done = analyze.analyze(h, games, sales, model=True, rounds=2, repeats=1, clusters=2)
+    st = store.Store(spark, str(tmp_path))
+    assert analyze.load_stored(st, games) is None
+    assert analyze.persist(st, done) == 1
+    again = analyze.load_stored(st, games)
+    assert again.params["n_series"] == done.params["n_series"] and again.model.keys() == done.model.keys()
+    a, b = report.context(done), report.context(again)
+    assert a["factors"] == b["factors"] and a["patterns"] == b["patterns"] and a["watch"] == b["watch"] and a["clusters"] == b["clusters"] and a["signals"] == b["signals"]
+    assert sum(c["n"] for c in a["clusters"]) > 0 and a["index"] and "<script" in report.render(b)
+
+
 @pytest.mark.skipif(not os.environ.get("SLOW_TESTS"), reason="takes minutes; set SLOW_TESTS")
 def test_planted_effects_and_store(spark, tmp_path):
     games, prices, sales = synthetic(spark, 40)
@@ -241,7 +256,7 @@ def test_clusters_and_their_profile_by_property(spark):
     """Two plain families of curves: each cluster holds one, and its trait marks it."""
     rows = [("nes", "loose", g, [(0.02 if g % 2 else -0.03) * k * (1 + g / 500) for k in range(24)]) for g in range(60)]
     data = spark.createDataFrame(rows, "console string, condition string, game_id long, curve array<double>")
-    assigned, summary = curves.cluster_curves(data, 2, runs=2)
+    assigned, summary = curves.cluster_curves(data, 2)
     own = {r.game_id: r.cluster for r in assigned.collect()}
     assert len({own[g] for g in range(0, 60, 2)}) == 1 and len({own[g] for g in range(1, 60, 2)}) == 1 and own[0] != own[1]
     assert sorted(r.n for r in summary.collect()) == [30, 30]
