@@ -88,11 +88,12 @@ def top_n(df: DataFrame, column: str, n: int = TOP_N) -> DataFrame:
     return named.withColumn(column, F.when(F.col(column).isNull(), "unknown").otherwise(F.coalesce("top_", F.lit("other")))).drop("top_")
 
 
-def lifecycle_position():
-    """Where a release lies between its console's first and last, 0 to 1; null without a span."""
-    console = Window.partitionBy("console")
-    first, last = F.min("release_date").over(console), F.max("release_date").over(console)
-    return F.when(last > first, F.least(F.greatest(F.datediff("release_date", first) / F.datediff(last, first), F.lit(0.0)), F.lit(1.0)))
+def with_lifecycle_position(games: DataFrame) -> DataFrame:
+    """Adds lifecycle_pos: where a release lies between its console's first and last, 0 to 1; null without a span."""
+    span = games.where(F.col("console").isNotNull()).groupBy(F.col("console").alias("of_")).agg(F.min("release_date").alias("first_"), F.max("release_date").alias("last_"))
+    rows = games.join(F.broadcast(span), F.col("console") == F.col("of_"), "left")  # a row per console
+    share = F.datediff("release_date", "first_") / F.datediff("last_", "first_")
+    return rows.withColumn("lifecycle_pos", F.when(F.col("last_") > F.col("first_"), F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))).drop("of_", "first_", "last_")
 
 
 def game_factors(games: DataFrame, top: int = TOP_N, franchises: dict[str, str] = FRANCHISES, words: dict[str, str] = KEYWORDS) -> DataFrame:
@@ -100,7 +101,7 @@ def game_factors(games: DataFrame, top: int = TOP_N, franchises: dict[str, str]
     for c in ("esrb", "developer"):
         if c not in games.columns:
             games = games.withColumn(c, F.lit(None).cast("string"))
-    rows = top_n(top_n(games, "publisher", top), "developer", top).withColumn("lifecycle_pos", lifecycle_position())
+    rows = with_lifecycle_position(top_n(top_n(games, "publisher", top), "developer", top))
     year = F.year("release_date")
     era = F.floor(year / 5) * 5
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c)
@@ -147,13 +148,26 @@ def sales_factors(sales: DataFrame, asof) -> DataFrame:
     return recent.groupBy("game_id", "condition").agg(F.count("*").alias("sales_12m"))
 
 
-def build_factors(labeled: DataFrame, games: DataFrame, history: DataFrame, sales: DataFrame, asof, window: int = 36, start=None, **named) -> DataFrame:
-    """Factors of each labelled series; prices as of ``start`` (default: where the window began)."""
-    day = F.lit(start).cast("date") if start is not None else F.add_months(F.lit(asof).cast("date"), -window)
+def lasting_factors(labeled: DataFrame, games: DataFrame, sales: DataFrame, asof, window: int = 36, **named) -> DataFrame:
+    """Of each labelled series what doesn't depend on where its prices are taken, and released."""
     begun = games.select(F.col("id").alias("game_id"), F.col("release_date").alias("released"))
     rows = labeled.select("game_id", "console", "condition", "rising", f"excess_{window}m")
-    rows = rows.join(game_factors(games, **named), "game_id", "left").join(price_factors(history, day), ["game_id", "condition"], "left")
-    rows = rows.join(sales_factors(sales, asof), ["game_id", "condition"], "left").join(begun, "game_id", "left")
-    rows = rows.withColumn("sales_12m", F.coalesce("sales_12m", F.lit(0))).withColumn("liquidity", binned(F.col("sales_12m"), *SALES_BINS, right=True))
+    rows = rows.join(game_factors(games, **named), "game_id", "left").join(sales_factors(sales, asof), ["game_id", "condition"], "left").join(begun, "game_id", "left")
+    return rows.withColumn("sales_12m", F.coalesce("sales_12m", F.lit(0))).withColumn("liquidity", binned(F.col("sales_12m"), *SALES_BINS, right=True))
+
+
+def priced_factors(lasting: DataFrame, history: DataFrame, day) -> DataFrame:
+    """``lasting_factors`` with prices and age as of a day."""
+    rows = lasting.join(price_factors(history, day), ["game_id", "condition"], "left")
     rows = rows.withColumn("age_years", F.datediff(day, "released") / 365.25).drop("released")
     return rows.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("price_bucket", "cib_loose", "new_cib")})
+
+
+def start_of(asof, window: int = 36, start=None):
+    """``start``, or where the window that ends at ``asof`` began."""
+    return F.lit(start).cast("date") if start is not None else F.add_months(F.lit(asof).cast("date"), -window)
+
+
+def build_factors(labeled: DataFrame, games: DataFrame, history: DataFrame, sales: DataFrame, asof, window: int = 36, start=None, **named) -> DataFrame:
+    """Factors of each labelled series; prices as of ``start`` (default: where the window began)."""
+    return priced_factors(lasting_factors(labeled, games, sales, asof, window, **named), history, start_of(asof, window, start))

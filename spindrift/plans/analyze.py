@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.operators import curves, forecast, mining, series, signals
-from spindrift.operators.factors import CATEGORICAL, build_factors
+from spindrift.operators.factors import CATEGORICAL, lasting_factors, priced_factors, start_of
 from spindrift.operators.watchlist import watchlist
 from spindrift.plans.store import Store
 from spindrift.sources.staging import written
@@ -49,7 +49,8 @@ def analyze(history: DataFrame, games: DataFrame, sales: DataFrame, window: int
     metrics = written(series.label_rising(series.series_metrics(history, index, asof), window, top, min_group=min_group), "metrics")
     n_series, n_labeled, base_rate = metrics.agg(F.count("*"), F.count("rising"), F.avg("rising")).first()
     support = max(LEAST_SUPPORT, min(min_support, int(SUPPORT_SHARE * n_labeled)))
-    factors = written(build_factors(metrics, games, history, sales, asof, window, **named), "factors")
+    lasting = written(lasting_factors(metrics, games, sales, asof, window, **named), "lasting")
+    factors = written(priced_factors(lasting, history, start_of(asof, window)), "factors")
     lift = mining.factor_lift(factors, CATEGORICAL, support)
     patterns = written(in_order(mining.mine_patterns(factors, PATTERN_FACTORS, f"excess_{window}m", support)), "patterns")
     out = Analysis(
@@ -78,7 +79,7 @@ def analyze(history: DataFrame, games: DataFrame, sales: DataFrame, window: int
         if out.model["signal"]:
             today = forecast.build_samples(history, index, games, window, [asof], with_target=False, **named)
             predictions = forecast.predict(out.fitted, today).select("game_id", "condition", F.col("prediction").alias("model_pred"))
-    now = build_factors(metrics, games, history, sales, asof, window, start=asof, **named)
+    now = priced_factors(lasting, history, start_of(asof, start=asof))
     out.tables["watchlist"] = watchlist(now, patterns, metrics, games, history, predictions)
     return out
 

@@ -97,24 +97,26 @@ def _order(sort: str, cond: str) -> list[Column]:
 
 
 def search_games(games: DataFrame, prices: DataFrame, snapshots: DataFrame | None = None, metrics: DataFrame | None = None, q: str | None = None, sort: str = "price", cond: str = "loose", page: int = 1, per_page: int = PER_PAGE, **filters: str | None) -> DataFrame:
-    """One page of matching titles. Unless the sort needs prices, the page of ids is found first
-    and prices are looked up for that page alone."""
+    """One page of matching titles. The page of ids is found first, from what its sort needs; the
+    rest is looked up for that page alone."""
     _one_of(sort, SORTS, "sort")
     _one_of(cond, CONDITIONS, "condition")
     rows = matching_games(games, q, **filters)
-    if metrics is not None:
-        rows = rows.join(metrics.where(F.col("condition") == cond).select(F.col("game_id").alias("id"), "excess_36m"), "id", "left")
-    else:
-        rows = rows.withColumn("excess_36m", F.lit(None).cast("double"))
-        sort = "price" if sort == "excess" else sort
-    cut = lambda df: df.orderBy(*_order(sort, cond), "id").offset((max(page, 1) - 1) * per_page).limit(per_page)
-    priced = lambda df, p: df.join(p.withColumnRenamed("game_id", "id"), "id", "left")
+    cut = lambda df, by: df.orderBy(*_order(by, cond), "id").offset((max(page, 1) - 1) * per_page).limit(per_page)
+    joined = lambda df, other: df.join(other.withColumnRenamed("game_id", "id"), "id", "left")
+    measured = metrics.where(F.col("condition") == cond).select("game_id", "excess_36m") if metrics is not None else None
+    sort = "price" if sort == "excess" and measured is None else sort
     if sort == "price":
-        return cut(priced(rows, latest_prices(prices, snapshots)))
-    some = cut(rows)
+        some = cut(joined(rows, latest_prices(prices, snapshots)), sort)
+    else:
+        some = cut(joined(rows, measured) if sort == "excess" else rows, sort)
     ids = F.broadcast(some.select(F.col("id").alias("game_id")))  # per_page rows
-    near = latest_prices(prices.join(ids, "game_id", "left_semi"), snapshots.join(ids, "game_id", "left_semi") if snapshots is not None else None)
-    return priced(some, near).orderBy(*_order(sort, cond), "id")
+    own = lambda df: df.join(ids, "game_id", "left_semi")
+    if sort != "price":
+        some = joined(some, latest_prices(own(prices), own(snapshots) if snapshots is not None else None))
+    if sort != "excess":
+        some = joined(some, own(measured)) if measured is not None else some.withColumn("excess_36m", F.lit(None).cast("double"))
+    return some.orderBy(*_order(sort, cond), "id")
 
 
 def game(games: DataFrame, prices: DataFrame, game_id: int, snapshots: DataFrame | None = None) -> DataFrame:

@@ -72,9 +72,13 @@ class Stage(Panel):
     def labeled(self) -> DataFrame:
         return series.label_rising(series.series_metrics(self.history(), self.index(), self.ASOF))
 
+    @kept
+    def lasting(self) -> DataFrame:
+        return factors.lasting_factors(self.labeled(), self.games(), self.sales(), self.ASOF, **NAMED)
+
     @kept
     def factors(self, start=None) -> DataFrame:
-        return factors.build_factors(self.labeled(), self.games(), self.history(), self.sales(), self.ASOF, start=start, **NAMED)
+        return factors.priced_factors(self.lasting(), self.history(), factors.start_of(self.ASOF, start=start))
 
     def lift(self) -> DataFrame:
         return mining.factor_lift(self.factors(), CATS, SUPPORT)
@@ -666,7 +670,9 @@ def q_console_index(spark, d):
 @query
 def q_movers(spark, d):
     s = Stage(spark, d)
-    return rounded(serve.movers(s.games(), s.prices(), s.labeled(), "EUROPE", "loose"))
+    own = s.history().where("console = 'EUROPE' and condition = 'loose'")  # labels and index of a group need no other
+    labeled = series.label_rising(series.series_metrics(own, series.console_index(own), s.ASOF))
+    return rounded(serve.movers(s.games(), s.prices(), labeled, "EUROPE", "loose"))
 
 
 @query
