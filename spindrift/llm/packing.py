@@ -35,8 +35,10 @@ LENGTH = 2048
 END_ID = 1
 #: Documents whose rests are packed together: bounds a group's memory at any input size.
 GROUP_DOCS = 4096
-#: Words kept per worker, and the length beyond which a word is not kept.
-KEPT_WORDS, KEPT_CHARS = 1_000_000, 40
+#: Words kept while a task runs and from one task to the next, and the length beyond which none is kept.
+KEPT_WORDS, IDLE_WORDS, KEPT_CHARS = 1_000_000, 200_000, 40
+#: Ids whose repeats a task counts at once.
+COUNTED = 500_000
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 
@@ -211,6 +213,8 @@ def _cut(path: str, groups: int):
             for doc, tokens in zip(ids, encode(list(utf8_column(batch.column(1)))), strict=True):
                 tokens += end
                 n = len(tokens) // 2
+                if len(seen) > COUNTED:  # repeats count anew: they only spread rows of one id over groups
+                    seen.clear()
                 nth = seen[doc] = seen.get(doc, -1) + 1
                 whole = n - n % LENGTH
                 group = zlib.crc32(f"{doc}:{nth}".encode()) % groups
@@ -220,6 +224,8 @@ def _cut(path: str, groups: int):
                     rows.append((doc, whole, n - whole, None, n, group, nth, tokens[2 * whole :]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        if len(encode.known) > IDLE_WORDS:  # the worker stays, and other stages need its memory
+            encode.known.clear()
 
     return run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, group int, place long, rest binary"
 

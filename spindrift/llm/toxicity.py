@@ -36,7 +36,8 @@ THRESHOLD = 0.7
 LEAST_TOXIC, TOXIC_SHARE, PRECISION, MOST_TERMS = 3, 0.003, 0.8, 4096
 FOLDS = 3
 STEMS = (4, 5, 6)
-KEPT_WORDS = 400_000
+#: Words that a worker remembers for each lexicon.
+KEPT_WORDS = 120_000
 NEAR, SPAN = 5, 50
 
 # Insults and second-person words of the four languages.
