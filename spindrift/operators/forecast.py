@@ -5,12 +5,10 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.operators import boosting
 from spindrift.operators.factors import GAP, game_factors
 from spindrift.operators.ranks import average_ranks, numbered, quantiles
 from spindrift.operators.series import GROUP, SERIES, dense_panel
@@ -93,18 +91,15 @@ def top_quintile_precision(df: DataFrame, least: int = 25) -> float | None:
 @dataclass
 class Fitted:
     summary: dict
-    model: PipelineModel | None = None
+    model: boosting.Boosted | None = None
     categorical: list[str] = field(default_factory=list)
     numeric: list[str] = field(default_factory=list)
     importance: list[tuple[str, float, float]] = field(default_factory=list)
 
 
-def _prepared(df: DataFrame, numeric: list[str]) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("double") for c in numeric} | {f"no_{c}": F.col(c).isNull().cast("double") for c in numeric})
-
-
 def fit_model(samples: DataFrame, window: int = 36, seed: int = 0, rounds: int = ROUNDS, repeats: int = REPEATS, rate: float = 0.05) -> Fitted:
-    """Boosted trees on the training split, judged on the test split."""
+    """Boosted trees (operators.boosting) on the training split, judged on the test split. Features
+    that don't vary in training are left out."""
     samples = written(samples, "samples")
     train, test = split_by_time(samples, window)
     n_train, n_test = train.count(), test.count()
@@ -114,13 +109,7 @@ def fit_model(samples: DataFrame, window: int = 36, seed: int = 0, rounds: int =
     counts = train.agg(*[F.countDistinct(c).alias(c) for c in CATEGORICAL + NUMERIC]).first()
     cats = [c for c in CATEGORICAL if counts[c] > 1]
     nums = [c for c in NUMERIC if counts[c] > 1]
-    stages = [
-        StringIndexer(inputCols=cats, outputCols=[f"i_{c}" for c in cats], handleInvalid="keep"),
-        Imputer(inputCols=nums, outputCols=[f"f_{c}" for c in nums]),
-        VectorAssembler(inputCols=[f"i_{c}" for c in cats] + [f"f_{c}" for c in nums] + [f"no_{c}" for c in nums], outputCol="features"),
-        GBTRegressor(labelCol="target", maxDepth=4, minInstancesPerNode=40, stepSize=rate, maxIter=rounds, maxBins=max(64, max((counts[c] for c in cats), default=1) + 2), seed=seed),
-    ]
-    fitted = Fitted(summary, Pipeline(stages=stages).fit(_prepared(train, nums)), cats, nums)
+    fitted = Fitted(summary, boosting.fit(train, "target", cats, nums, rounds, rate), cats, nums)
     scored = predict(fitted, test).select(*SERIES, "t0", "target", "prediction", *[c for c in cats + nums if c not in SERIES])
     scored = written(scored, "scored")
     middle = quantiles(train, [], "target", {"middle": 0.5}).first()["middle"]
@@ -132,8 +121,8 @@ def fit_model(samples: DataFrame, window: int = 36, seed: int = 0, rounds: int =
 
 
 def predict(fitted: Fitted, samples: DataFrame) -> DataFrame:
-    """Adds ``prediction``; a category that training hasn't seen has an index of its own."""
-    return fitted.model.transform(_prepared(samples, fitted.numeric))
+    """Adds ``prediction``."""
+    return boosting.predict(fitted.model, samples)
 
 
 def permutation_importance(fitted: Fitted, scored: DataFrame, r2: float, repeats: int, seed: int) -> list[tuple[str, float, float]]:

@@ -27,57 +27,63 @@ def _same(a: list, b: list):
     return out
 
 
-def quantiles(df: DataFrame, by: list[str], column: str, shares: dict[str, float], least: int = 0) -> DataFrame:
-    """A row for each group with a value: ``by``, n, and for each name its exact quantile, between
-    two values in proportion. Nulls don't count; groups of fewer than ``least`` values are left out.
-    The result has a row a group and is at hand (no job is left to run)."""
+def order_statistics(df: DataFrame, by: list[str], column: str, places, least: int = 0) -> dict[tuple, tuple[int, dict[int, float]]]:
+    """group -> (n, {place: value}): of the ascending values of each group those at the places (from 0)
+    that ``places`` gives for n. Nulls don't count; groups of fewer than ``least`` values are left out.
+
+    Places that lie in one interval share its bins, so a row meets no more intervals than it lies in."""
     spark = df.sparkSession
     x = df.select(*[F.col(c).alias(f"by{i}") for i, c in enumerate(by)], F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
     keys = [f"by{i}" for i in range(len(by))]
-    schema = ", ".join(f"{k} {dict(x.dtypes)[k]}" for k in keys)
-    schema = f"{schema}, " if schema else ""
+    schema = "".join(f"{k} {dict(x.dtypes)[k]}, " for k in keys)
     spans = x.groupBy(*keys).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where(F.col("n") >= least).collect()
-    groups = {tuple(r[k] for k in keys): r for r in spans}
-    # (group, rank from 0) -> (lowest and highest value it may be, values below those, values among them)
-    open_, known = {}, {}
-    for g, r in groups.items():
-        for share in shares.values():
-            at = share * (r["n"] - 1)
-            for rank in {int(at), min(int(at) + 1, r["n"] - 1)}:
-                open_[g, rank] = (r["lo"], r["hi"], 0, r["n"])
-    while open_:
-        for t in [t for t, (lo, hi, _, _) in open_.items() if lo == hi]:
-            known[t] = open_.pop(t)[0]
+    found: dict[tuple, tuple[int, dict[int, float]]] = {}
+    open_: dict[tuple, list[tuple[int, int]]] = {}  # (group, lo, hi, values in it) -> [(place, place in it)]
+    for r in spans:
+        g = tuple(r[k] for k in keys)
+        found[g] = (r["n"], {})
+        open_[g, r["lo"], r["hi"], r["n"]] = [(p, p) for p in sorted(set(places(r["n"])))]
+    while True:
+        for g, lo, hi, n in [t for t in open_ if t[1] == t[2]]:
+            found[g][1].update(dict.fromkeys((p for p, _ in open_.pop((g, lo, hi, n))), lo))
         if not open_:
-            break
-        sought = [(*g, rank, rank - below, lo, hi, n <= FEW) for (g, rank), (lo, hi, below, n) in open_.items()]
-        targets = spark.createDataFrame(sought, f"{schema}rank long, within long, lo double, hi double, few boolean").withColumnsRenamed({k: f"of_{k}" for k in keys})
-        inside = x.join(F.broadcast(targets), _same([F.col(k) for k in keys], [F.col(f"of_{k}") for k in keys]) & (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))  # a row a group and rank
-        step = F.least(F.floor((F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS), F.lit(BINS - 1))
-        where = [*keys, "rank"]
-        if any(not t[-1] for t in sought):
-            bins = inside.where("not few").groupBy(*where, step.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.first("within").alias("within"))
-            upto = F.sum("n").over(Window.partitionBy(*where).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))  # BINS rows
-            for r in bins.withColumn("upto", upto).where((F.col("upto") > F.col("within")) & (F.col("upto") - F.col("n") <= F.col("within"))).collect():
-                t = (tuple(r[k] for k in keys), r["rank"])
-                open_[t] = (r["lo"], r["hi"], open_[t][2] + r["upto"] - r["n"], r["n"])
-        if any(t[-1] for t in sought):
-            small = inside.where("few").groupBy(*where).agg(F.element_at(F.array_sort(F.collect_list("x")), (F.first("within") + 1).cast("int")).alias("x"))  # FEW values
-            for r in small.collect():
-                t = (tuple(r[k] for k in keys), r["rank"])
-                known[t] = r["x"]
-                del open_[t]
-
-    def value(g, n, share):
+            return found
+        intervals = list(open_.items())
+        held = spark.createDataFrame([(k, *g, lo, hi, n <= FEW) for k, ((g, lo, hi, n), _) in enumerate(intervals)], f"part long, {schema}lo double, hi double, few boolean").withColumnsRenamed({k: f"of_{k}" for k in keys})
+        sought = spark.createDataFrame([(k, p, within) for k, (_, some) in enumerate(intervals) for p, within in some], "part long, place long, within long")
+        inside = x.join(F.broadcast(held), _same([F.col(k) for k in keys], [F.col(f"of_{k}") for k in keys]) & (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))  # a row an interval
+        open_ = {}
+        if any(t[0][3] > FEW for t in intervals):
+            step = F.least(F.floor((F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS), F.lit(BINS - 1))
+            bins = inside.where("not few").groupBy("part", step.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+            upto = F.sum("n").over(Window.partitionBy("part").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))  # BINS rows
+            holds = bins.withColumn("upto", upto).join(F.broadcast(sought), "part").where((F.col("upto") > F.col("within")) & (F.col("upto") - F.col("n") <= F.col("within")))  # a row a place
+            for r in holds.collect():
+                open_.setdefault((intervals[r["part"]][0][0], r["lo"], r["hi"], r["n"]), []).append((r["place"], r["within"] - r["upto"] + r["n"]))
+        if any(t[0][3] <= FEW for t in intervals):
+            small = inside.where("few").groupBy("part").agg(F.array_sort(F.collect_list("x")).alias("xs"))  # FEW values
+            for r in small.join(F.broadcast(sought), "part").select("part", "place", F.get("xs", F.col("within").cast("int")).alias("x")).collect():
+                found[intervals[r["part"]][0][0]][1][r["place"]] = r["x"]
+
+
+def quantiles(df: DataFrame, by: list[str], column: str, shares: dict[str, float], least: int = 0) -> DataFrame:
+    """A row for each group with a value: ``by``, n, and for each name its exact quantile, between
+    two values in proportion. The result has a row a group and is at hand (no job is left to run)."""
+
+    def places(n: int) -> set[int]:
+        return {p for s in shares.values() for p in (int(s * (n - 1)), min(int(s * (n - 1)) + 1, n - 1))}
+
+    def value(n: int, known: dict[int, float], share: float) -> float:
         at = share * (n - 1)
         low = int(at)
-        high = min(low + 1, n - 1)
-        a, b = known[g, low], known[g, high]
+        a, b = known[low], known[min(low + 1, n - 1)]
         return a if at == low or a == b else (low + 1 - at) * a + (at - low) * b
 
-    rows = [(*g, r["n"], *(float(value(g, r["n"], s)) for s in shares.values())) for g, r in groups.items()]
-    out = spark.createDataFrame(rows, f"{schema}n long" + "".join(f", q{i} double" for i in range(len(shares))))
-    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], "n", *[F.col(f"q{i}").alias(name) for i, name in enumerate(shares)])
+    found = order_statistics(df, by, column, places, least)
+    kinds = {c: df.schema[c].dataType.simpleString() for c in by}
+    schema = "".join(f"by{i} {kinds[c]}, " for i, c in enumerate(by)) + "n long" + "".join(f", q{i} double" for i in range(len(shares)))
+    out = df.sparkSession.createDataFrame([(*g, n, *(value(n, known, s) for s in shares.values())) for g, (n, known) in found.items()], schema)
+    return out.select(*[F.col(f"by{i}").alias(c) for i, c in enumerate(by)], "n", *[F.col(f"q{i}").alias(name) for i, name in enumerate(shares)])
 
 
 def _ranged(df: DataFrame, order: list) -> DataFrame:

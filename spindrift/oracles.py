@@ -260,6 +260,40 @@ cl3 AS (SELECT c.cluster, factor, value, n, k, k / n AS rate, k / n / base AS li
 prof AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY lift DESC, factor, value) AS nth FROM cl3 WHERE lift_lo > 1 QUALIFY nth <= 5)"""
 
 
+def _fit_block(rounds: int = 2, rate: float = 0.3, least: int = 10, bins: int = 8) -> str:
+    """Cut points, codes, then two levels of the best split of each node for every round."""
+    key = "game_id, condition, t0"
+    square = "CAST({0} AS DOUBLE) * CAST({0} AS DOUBLE) / CAST({1} AS DOUBLE)".format
+    steps = [
+        """ms AS (SELECT game_id, condition, t0, publisher, CAST(round(target * 1000000) AS BIGINT) AS t, round(log_price_t0, 6) AS x2, round(momentum_12m, 6) AS x3, round(age_years, 6) AS x4,
+  CAST(t0 + INTERVAL 12 MONTH AS DATE) <= (SELECT max(t0) FROM sam) AS own FROM sam)""",
+        f"mx AS (SELECT {key}, own, 2 AS f, x2 AS x FROM ms UNION ALL SELECT {key}, own, 3, x3 FROM ms UNION ALL SELECT {key}, own, 4, x4 FROM ms)",
+        "mo AS (SELECT f, x, row_number() OVER (PARTITION BY f ORDER BY x) - 1 AS p, count(*) OVER (PARTITION BY f) AS n, max(x) OVER (PARTITION BY f) AS most FROM mx WHERE own AND x IS NOT NULL)",
+        f"mcut AS (SELECT DISTINCT f, x AS cut FROM mo, range(1, {bins + 1}) j WHERE p = j.range * (n - 1) // {bins} AND x < most)",
+        f"""mc AS (SELECT {key}, 0 AS f, CASE WHEN condition IS NULL THEN '' ELSE '=' || condition END AS code FROM ms UNION ALL SELECT {key}, 1, CASE WHEN publisher IS NULL THEN '' ELSE '=' || publisher END FROM ms
+  UNION ALL SELECT {key}, x.f, CASE WHEN x IS NULL THEN '000' ELSE printf('%03d', 1 + count(cut)) END FROM mx x LEFT JOIN mcut c ON c.f = x.f AND c.cut < x.x GROUP BY {key}, x.f, x)""",
+        f"p0 AS (SELECT {key}, own, t, (SELECT CAST(round(CAST(sum(t) AS DOUBLE) / count(*)) AS BIGINT) FROM ms WHERE own) AS pred FROM ms)",
+    ]
+    for r in range(rounds):
+        at = f"n{r}_0"
+        steps.append(f"{at} AS (SELECT *, t - pred AS g, 1 AS node FROM p{r})")
+        for level in range(2):
+            steps.append(
+                f"""h{r}_{level} AS (SELECT node, f, code, count(*) AS n, CAST(sum(g) AS BIGINT) AS s FROM {at} JOIN mc USING ({key}) WHERE own AND node >= {1 << level} GROUP BY 1, 2, 3),
+w{r}_{level} AS (SELECT node, f, code, CASE WHEN f < 2 THEN n ELSE sum(n) OVER u END AS nl, CASE WHEN f < 2 THEN s ELSE sum(s) OVER u END AS sl, sum(n) OVER a AS na, sum(s) OVER a AS sa
+  FROM h{r}_{level} WINDOW u AS (PARTITION BY node, f ORDER BY code ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY node, f)),
+b{r}_{level} AS (SELECT node, f, code FROM (SELECT *, {square("sl", "nl")} + {square("(sa - sl)", "(na - nl)")} - {square("sa", "na")} AS gain FROM w{r}_{level} WHERE nl >= {least} AND na - nl >= {least})
+  WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, code) = 1),
+n{r}_{level + 1} AS (SELECT n.* EXCLUDE (node), CASE WHEN b.node IS NULL THEN n.node WHEN CASE WHEN b.f < 2 THEN c.code = b.code ELSE c.code <= b.code END THEN 2 * n.node ELSE 2 * n.node + 1 END AS node
+  FROM {at} n LEFT JOIN b{r}_{level} b ON b.node = n.node LEFT JOIN mc c ON c.f = b.f AND c.game_id = n.game_id AND c.condition = n.condition AND c.t0 = n.t0)"""
+            )
+            at = f"n{r}_{level + 1}"
+        steps.append(f"v{r} AS (SELECT node, CAST(round({rate}::DOUBLE * (CAST(sum(g) AS DOUBLE) / count(*))) AS BIGINT) AS v FROM {at} WHERE own AND node > 1 GROUP BY 1)")
+        steps.append(f"p{r + 1} AS (SELECT {key}, own, t, pred + coalesce(v, 0) AS pred FROM {at} LEFT JOIN v{r} USING (node))")
+    return ",\n".join(steps)
+
+
+BLOCKS["fit"] = _fit_block()
 HIST = ["li", "prices", "home", "hist"]
 INDEX = [*HIST, "rets", "cal", "idx"]
 PANEL = [*INDEX, "panel"]
@@ -398,6 +432,7 @@ SELECT f.condition, CAST(f.nth AS INTEGER) AS nth, items, round(f.lift, 6) AS li
     "q_names": sql([*FAC, "lift", "pat"], """, each AS (SELECT condition || '|' || items AS key, unnest(string_split(examples, ',')) AS one, unnest(range(len(string_split(examples, ',')))) AS nth FROM pat)
 SELECT key, string_agg(g.name || ' (' || g.console || ')', '; ' ORDER BY nth) AS names FROM each JOIN games g ON CAST(g.id AS VARCHAR) = one WHERE g.name IS NOT NULL GROUP BY 1"""),
     "compare_signals": sql([*PANEL, "ex", "feat", "brk", "cmp"], f"SELECT condition, signal, n_break, n_control, {r('mean_break', 'mean_control', 'd', 'u', 'z')} FROM cmp"),
+    "model_fit": sql([*PANEL, "games", "gf", "sam", "fit"], "SELECT game_id, condition, t0, round(pred / 1000000.0::DOUBLE, 6) AS prediction FROM p2"),
     "model_metrics": sql([*PANEL, "games", "gf", "sam"], """, p AS (SELECT condition, target, momentum_12m AS x FROM sam WHERE momentum_12m IS NOT NULL),
 ra AS (SELECT *, rank() OVER (ORDER BY target) + (count(*) OVER (PARTITION BY target) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS b, avg(target) OVER () AS m FROM p),
 q AS (SELECT condition, quantile_cont(target, 0.8::DOUBLE) AS qt, quantile_cont(x, 0.8::DOUBLE) AS qx FROM p GROUP BY 1 HAVING count(*) >= 25),

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import ascii_lower
-from spindrift.operators import curves, factors, forecast, mining, series, signals
+from spindrift.operators import boosting, curves, factors, forecast, mining, series, signals
 from spindrift.operators.watchlist import watchlist, zscored
 from spindrift.plans import report, serve, store
 from spindrift.plans.analyze import in_order
 from spindrift.sources import model, parse, sqlite
 from spindrift.sources.model import KEYS, SCHEMAS, Panel
-from spindrift.sources.staging import shared_folder
+from spindrift.sources.staging import shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -370,6 +370,36 @@ def model_metrics(spark, d):
     return rounded(spark.createDataFrame([(rho, r2, forecast.top_quintile_precision(rows))], "spearman double, r2 double, top_quintile_precision double"))
 
 
+#: The features and bounds of ``model_fit``, which its SQL replays.
+FIT = {"categorical": ["condition", "publisher"], "numeric": ["log_price_t0", "momentum_12m", "age_years"], "rounds": 2, "rate": 0.3, "depth": 2, "least": 10, "bins": 8}
+
+
+def _fitted(spark, d):
+    """(rows, the training rows, those of the last January, the model fitted to the former)."""
+    rows = _samples(Stage(spark, d)).select("game_id", "console", "condition", "t0", "publisher", "target", *[F.round(c, 6).alias(c) for c in FIT["numeric"]])
+    rows = written(rows, "samples")
+    train, test = forecast.split_by_time(rows, 12, 1)
+    return rows, test, boosting.fit(train, "target", **FIT)
+
+
+@query
+def model_fit(spark, d):
+    """Two boosted trees of all Januaries but the last, and their predictions for all."""
+    rows, _, trees = _fitted(spark, d)
+    return rounded(boosting.predict(trees, rows).select("game_id", "condition", "t0", "prediction"))
+
+
+@query
+def model_importance(spark, d):
+    """What the fit loses on the last January when a feature's values change rows; rows only: the
+    permutation is drawn."""
+    _, test, trees = _fitted(spark, d)
+    fitted = forecast.Fitted({}, trees, FIT["categorical"], FIT["numeric"])
+    scored = written(forecast.predict(fitted, test), "scored")
+    found = forecast.permutation_importance(fitted, scored, forecast.r_squared(scored, "target", F.col("prediction")) or 0.0, 2, 0)
+    return spark.createDataFrame(found, "feature string, importance double, deviation double")
+
+
 # ---------------------------------------------------------------------------- ingest
 
 

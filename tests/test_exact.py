@@ -298,3 +298,75 @@ def test_a_watchlist_takes_predictions(spark):
     a, b = z(score), z(filled)
     assert all(got[g].score == pytest.approx(a[g] + b[g]) for g in got)
     assert got[0].already_rising and not got[1].already_rising and got[3].price_cents == 302 and got[2].model_pred is None
+
+
+# ---------------------------------------------------------------------------- boosted trees
+
+
+def plain_boosting(rows, categories, numbers, rounds, rate, depth, least, bins):
+    """Split by split, with Python's integers: predictions in millionths."""
+    half = lambda x: int(abs(x) + 0.5) * (1 if x >= 0 else -1)
+    cuts = []
+    for f in range(numbers):
+        xs = sorted(r[2][f] for r in rows if r[2][f] is not None)
+        cuts.append(sorted({x for x in (xs[j * (len(xs) - 1) // bins] for j in range(1, bins + 1)) if x < xs[-1]}) if xs else [])
+    coded = [[("" if v is None else "=" + v) for v in r[1]] + [0 if x is None else 1 + sum(c < x for c in cuts[f]) for f, x in enumerate(r[2])] for r in rows]
+    t = [half(r[0] * 1e6) for r in rows]
+    pred = [half(sum(t) / len(t))] * len(rows)
+    for _ in range(rounds):
+        g = [a - b for a, b in zip(t, pred, strict=True)]
+        node = [1] * len(rows)
+        for _ in range(depth):
+            for n in set(node):
+                here = [i for i in range(len(rows)) if node[i] == n]
+                whole, best = sum(g[i] for i in here), None
+                for f in range(categories + numbers):
+                    for code in sorted({coded[i][f] for i in here}):
+                        left = [i for i in here if (coded[i][f] == code if f < categories else coded[i][f] <= code)]
+                        if len(left) < least or len(here) - len(left) < least:
+                            continue
+                        s = sum(g[i] for i in left)
+                        gain = float(s) * s / len(left) + float(whole - s) * (whole - s) / (len(here) - len(left)) - float(whole) * whole / len(here)
+                        if gain > 0 and (best is None or gain > best[0]):
+                            best = (gain, set(left))
+                if best:
+                    for i in here:
+                        node[i] = 2 * n if i in best[1] else 2 * n + 1
+        for n in set(node) - {1}:
+            here = [i for i in range(len(rows)) if node[i] == n]
+            v = half(rate * (sum(g[i] for i in here) / len(here)))
+            for i in here:
+                pred[i] += v
+    return pred
+
+
+def test_boosting_equals_plain_trees(spark, monkeypatch):
+    from spindrift.operators import boosting
+
+    monkeypatch.setattr(boosting, "STEP", 2)
+    rng = random.Random(6)
+    rows = [(rng.choice([0.5, 1.25, -2.0]) + (i % 7) / 10, (rng.choice(["a", "b", "c", None]), rng.choice(["", "x"])), (rng.choice([None, 1.0, 2.0, 2.5, rng.random()]), round(rng.gauss(0, 3), 2), None)) for i in range(260)]
+    df = spark.createDataFrame([(i, t, *c, *x) for i, (t, c, x) in enumerate(rows)], "i long, target double, c1 string, c2 string, x1 double, x2 double, x3 double").repartition(4)
+    model_ = boosting.fit(df, "target", ["c1", "c2"], ["x1", "x2", "x3"], rounds=5, rate=0.4, depth=3, least=12, bins=6)
+    got = [round(r.prediction * 1e6) for r in boosting.predict(model_, df).orderBy("i").collect()]
+    assert got == plain_boosting(rows, 2, 3, 5, 0.4, 3, 12, 6) and len(model_.trees) == 5
+    new = spark.createDataFrame([("never seen", None, 99.0, -99.0, None)], "c1 string, c2 string, x1 double, x2 double, x3 double")
+    assert boosting.predict(model_, new).count() == 1 and boosting.predict(model_, new.limit(0)).count() == 0
+    flat = boosting.fit(df.withColumn("target", F.lit(3.0)), "target", ["c1"], ["x1"], rounds=4, rate=0.4)
+    assert flat.trees == [] and flat.base == 3_000_000
+
+
+def test_importance_orders_a_planted_signal(spark):
+    from spindrift.operators import boosting, forecast
+
+    rng = random.Random(7)
+    rows = [(k, "nes", "loose" if k % 2 else "cib", dt.date(2010 + k % 4, 1, 1), rng.choice("pqr"), rng.random(), rng.random()) for k in range(600)]
+    df = spark.createDataFrame(rows, "game_id long, console string, condition string, t0 date, publisher string, strong double, none double")
+    df = df.withColumn("target", F.col("strong") * 4 + (F.col("publisher") == "p").cast("double"))
+    trees = boosting.fit(df, "target", ["publisher"], ["strong", "none"], rounds=12, rate=0.3)
+    fitted = forecast.Fitted({}, trees, ["publisher"], ["strong", "none"])
+    scored = forecast.predict(fitted, df)
+    r2 = forecast.r_squared(scored, "target", F.col("prediction"))
+    found = forecast.permutation_importance(fitted, scored, r2, 3, 0)
+    assert [f for f, _, _ in found] == ["strong", "publisher", "none"] and found[0][1] > 0.5 > found[1][1] > 0.05 > abs(found[2][1])
+    assert forecast.permutation_importance(fitted, scored.repartition(7), r2, 3, 0) == [(f, pytest.approx(m), pytest.approx(s)) for f, m, s in found]
