@@ -5,11 +5,15 @@ increasing subsequence of their places is kept, and the gaps between anchors are
 way, down to gaps without anchors, whose equal ends are matched. Coverage is the share of the
 template's words that are matched.
 
-A text may state a license twice, which would leave no word unique. So the template is aligned
-with windows: one around each place of the template's rarest word in the text, as long as the
-template on either side. Templates whose coverage cannot reach the threshold (shared words, each
-as often as both have it) are left out beforehand; that bound loses nothing. Whole texts are read,
-in one narrow pass without a shuffle.
+A text may state a license twice, which would leave no word unique. So templates are aligned with
+windows of the text. First every verbatim copy is claimed: a text's grams of ``SEED`` words are
+looked up among the beginnings of all templates and compared on from there. Then the stretches
+between are searched for altered copies. A template of under ``NOTICE`` words is aligned with a
+window around each place of its rarest words, as long as the template on either side; a longer one
+with windows of ``WIDTHS`` times its length that start an even share of it apart, so every copy lies
+whole in one that is little longer. Windows that share too few of the template's words to reach
+the threshold are passed over by counts that slide along; that bound loses nothing. The time is in
+proportion to the text. Whole texts are read, in one narrow pass without a shuffle.
 
 Defined results: a null or empty text, or one that no template covers, has a null license and
 coverage 0 and no notices; all notices of a text are listed, of overlapping ones that with most
@@ -80,13 +84,32 @@ TEMPLATES = {
 TEMPLATES["MIT text"] = TEMPLATES["MIT"] + (
     " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 )
+# Everyday forms of the same notices, and names of the SPDX list.
+_SPDX = "MIT Apache-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later BSD-2-Clause BSD-3-Clause ISC MPL-2.0 BSL-1.0 EPL-1.0 EPL-2.0 Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0".split()
+TEMPLATES |= {f"{x} SPDX line": f"SPDX-License-Identifier: {x}" for x in _SPDX}
+TEMPLATES |= {
+    "MIT terms line": "This project is licensed under the terms of the MIT license.",
+    "MIT option line": "or MIT license at your option",
+    "Apache-2.0 option line": "Apache License, Version 2.0 or",
+    "GPL-3.0 v line": "Released under the GNU General Public License v3.0.",
+    "GPL-2.0 v line": "Released under the GNU General Public License v2.0.",
+    "BSL-1.0 line": "Distributed under the Boost Software License, Version 1.0.",
+    "EPL-1.0 line": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0",
+    "EPL-2.0 line": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Unlicense line": "Released under the Unlicense.",
+}
 # Full texts, word for word.
 TEMPLATES |= {f"{f.stem} text": f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
 #: Words that tell licenses apart. A template of under NOTICE words holds only if its own ones (and
 #: its numbers) are all matched and none of the others stands between its matched words.
-NAMES = frozenset(b"mit apache gnu gpl lgpl agpl lesser affero bsd isc mozilla mpl eclipse artistic boost cc cc0 by nc sa nd creative commons attribution sharealike share alike noncommercial noderivatives noderivs all rights reserved universal clause".split())
+NAMES = frozenset(b"mit apache gnu gpl lgpl agpl lesser affero bsd isc mozilla mpl eclipse artistic boost cc cc0 by nc sa nd creative commons attribution sharealike share alike noncommercial noderivatives noderivs all rights reserved universal clause bsl epl unlicense v1 v2 v3".split())
 NOTICE = 150
+#: Words of a template's beginning by which copies are found, and templates below which no word may be inserted.
+SEED, WHOLE = 5, 6
+#: (width, step) of the windows of long templates, in eighths of their length.
+WIDTHS = ((10, 1), (16, 4))
 
 _TO_SPACE = bytes.maketrans(b".,;:()\"'/-!?", b" " * 12)
 
@@ -137,6 +160,20 @@ def align(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def dense(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The run of matched places with most matches, each word of the text between them counting a
+    quarter against it: without stray words far before and after a copy."""
+    best, score, start, kept = 0.0, 0.0, 0, (0, 0)
+    for i, (_, at) in enumerate(pairs):
+        score = score - (at - pairs[i - 1][1] - 1) / 4 if i else 0.0
+        if score <= 0:
+            score, start = 0.0, i
+        score += 1
+        if score > best:
+            best, kept = score, (start, i + 1)
+    return pairs[kept[0] : kept[1]]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, threshold: float = COVERAGE):
         self.threshold = threshold
@@ -147,35 +184,111 @@ class Scanner:
         prose = frozenset(b"by all rights reserved share alike creative commons universal clause".split())
         self.strange = [NAMES - c.keys() - (prose if b"cc" not in c else frozenset()) if len(t) < NOTICE else frozenset() for (_, t), c in zip(self.templates, self.counts, strict=True)]
         self.vocabulary = frozenset(w for c in self.counts for w in c)
+        self.seeds: dict[tuple, list[int]] = defaultdict(list)
+        for k, (_, t) in enumerate(self.templates):
+            if t:
+                self.seeds[tuple(t[:SEED])].append(k)
+        self.seed_sizes = sorted({len(x) for x in self.seeds})
+        self.first_words = frozenset(x[0] for x in self.seeds)
 
     def matches(self, text: bytes) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, matched words, first and last matched word's place) of every notice,
-        in the order of the text. Of overlapping ones that with most matched words is kept, then
-        that of higher coverage, then the smaller name."""
+        in the order of the text. Verbatim copies come first; of overlapping ones that with most
+        matched words is kept, then that of higher coverage, then the smaller name."""
         words = words_of(text)
         held = self.vocabulary.intersection(words)
         possible = [k for k, c in enumerate(self.counts) if sum(n for w, n in c.items() if w in held) >= self.threshold * len(self.templates[k][1])] if held else []
         if not possible:
             return []
-        places: dict[bytes, list[int]] = defaultdict(list)
-        for i, w in enumerate(words):
-            if w in held:
-                places[w].append(i)
-        found = [m for k in possible for m in self._windows(k, words, places)]
         kept: list[tuple[str, float, int, int, int]] = []
+        self._keep(kept, self._verbatim(words))
+        edges = [(-1, -1), *((m[3], m[4]) for m in kept), (len(words), len(words))]
+        gaps = [(a + 1, b) for (_, a), (b, _) in zip(edges, edges[1:], strict=False) if b > a + 1]
+        self._keep(kept, [m for a, b in gaps for m in self._altered(words[a:b], a, possible)])
+        return kept
+
+    @staticmethod
+    def _keep(kept: list, found: list) -> None:
         for m in sorted(found, key=lambda m: (-m[2], -m[1], m[0], m[3])):
             at = bisect_left(kept, m[3], key=lambda x: x[3])
             if (not at or kept[at - 1][4] < m[3]) and (at == len(kept) or m[4] < kept[at][3]):
                 kept.insert(at, m)
-        return kept
+
+    def _verbatim(self, words: list[bytes]) -> list[tuple[str, float, int, int, int]]:
+        """All word-for-word copies."""
+        out = []
+        for i, w in enumerate(words):
+            if w not in self.first_words:
+                continue
+            for size in self.seed_sizes:
+                for k in self.seeds.get(tuple(words[i : i + size]), ()):
+                    if self._same(words, i, self.templates[k][1]):
+                        n = len(self.templates[k][1])
+                        out.append((self.templates[k][0], 1.0, n, i, i + n - 1))
+        return out
+
+    @staticmethod
+    def _same(words: list[bytes], at: int, template: list[bytes]) -> bool:
+        """Whether the template stands at a place; compared by ever longer pieces."""
+        if at + len(template) > len(words):
+            return False
+        a, step = 0, 8
+        while a < len(template):
+            if words[at + a : at + a + step][: len(template) - a] != template[a : a + step]:
+                return False
+            a, step = a + step, 2 * step
+        return True
+
+    def _altered(self, words: list[bytes], base: int, possible: list[int]) -> Iterator[tuple[str, float, int, int, int]]:
+        """Notices of a stretch between verbatim copies, which begins at ``base``."""
+        places: dict[bytes, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            if w in self.vocabulary:
+                places[w].append(i)
+        for k in possible:
+            size = len(self.templates[k][1])
+            if sum(min(n, len(places.get(w, ()))) for w, n in self.counts[k].items()) >= self.threshold * size:
+                for name, cover, n, first, last in self._windows(k, words, places) if size < NOTICE else self._grid(k, words):
+                    yield name, cover, n, first + base, last + base
+
+    def _grid(self, k: int, words: list[bytes]) -> Iterator[tuple[str, float, int, int, int]]:
+        """Notices of a long template: of windows an even step apart that share enough of its words,
+        the best one, then those that don't overlap it."""
+        name, template = self.templates[k]
+        size, count = len(template), self.counts[k]
+        found = []
+        for width, step in ((size * a // 8, max(1, size * b // 8)) for a, b in WIDTHS):
+            there: Counter = Counter()
+            shared = begin = end = 0
+            for at in range(0, max(1, len(words) - width + step), step):
+                for w in words[end : at + width]:  # words that come in, and those that fall out
+                    if w in count:
+                        there[w] += 1
+                        shared += there[w] <= count[w]
+                end = max(end, min(len(words), at + width))
+                for w in words[begin:at]:
+                    if w in count:
+                        shared -= there[w] <= count[w]
+                        there[w] -= 1
+                begin = at
+                if shared >= self.threshold * size:
+                    pairs = dense(align(template, words[at:end]))
+                    if len(pairs) >= self.threshold * size:
+                        found.append((name, len(pairs) / size, len(pairs), at + pairs[0][1], at + pairs[-1][1]))
+        kept: list = []
+        self._keep(kept, found)
+        yield from kept
 
     def scan(self, text: bytes) -> tuple[str | None, float, int | None, int | None]:
         """(license, coverage, first and last matched word's place) of the best notice."""
         return best_of(self.matches(text))
 
     def _tells(self, k: int, window: list[bytes], pairs: list[tuple[int, int]]) -> bool:
-        """Whether an alignment has the template's deciding words and no other license's between."""
+        """Whether an alignment has the template's deciding words and no other license's between. The
+        shortest templates stand only without a word between."""
         at = {j for _, j in pairs}
+        if len(self.templates[k][1]) < WHOLE and pairs[-1][1] - pairs[0][1] + 1 > len(pairs):
+            return False
         if not self.deciding[k] <= {window[j] for j in at}:
             return False
         return self.strange[k].isdisjoint(window[j] for j in range(pairs[0][1], pairs[-1][1]) if j not in at)
