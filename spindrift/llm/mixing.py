@@ -50,8 +50,10 @@ def level_targets(sizes: list[int], weights: list[int], cap: float) -> list[floa
 
 
 def min_cost_flow(patterns: list[tuple[int, list[int]]], quotas: list[int], layers: int) -> list[dict[int, int]]:
-    """Tokens each pattern (capacity, its sources) gives each source: successive shortest paths,
-    so the flow is maximal and, among maximal flows, of least repetition cost."""
+    """Tokens each pattern (capacity, its sources) gives each source: a maximal flow and, among
+    those, one of least repetition cost. Primal and dual steps in turn: the distances of all nodes,
+    then as much flow as goes along shortest paths, by whole blocking flows. Distances only grow
+    and are few, since a copy costs at most ``layers`` - 1."""
     n, m = len(patterns), len(quotas)
     source, sink = n + m, n + m + 1
     to: list[int] = []
@@ -74,31 +76,59 @@ def min_cost_flow(patterns: list[tuple[int, list[int]]], quotas: list[int], laye
             arc(p, n + s, big, 0)
     for s, q in enumerate(quotas):
         arc(n + s, sink, q, 0)
+    nodes, far = n + m + 2, 1 << 60
     while True:
-        dist: dict[int, int] = {source: 0}
-        via: dict[int, int] = {}
-        queue, queued = deque([source]), {source}
+        dist = [far] * nodes
+        dist[source] = 0
+        queue, queued = deque([source]), [False] * nodes
         while queue:
             u = queue.popleft()
-            queued.discard(u)
+            queued[u] = False
             for e in out[u]:
-                v = to[e]
-                if cap[e] and dist[u] + cost[e] < dist.get(v, 1 << 60):
+                if cap[e] and dist[u] + cost[e] < dist[v := to[e]]:
                     dist[v] = dist[u] + cost[e]
-                    via[v] = e
-                    if v not in queued:
+                    if not queued[v]:
                         queue.append(v)
-                        queued.add(v)
-        if sink not in dist:
+                        queued[v] = True
+        if dist[sink] == far:
             break
-        path, v = [], sink
-        while v != source:
-            path.append(via[v])
-            v = to[via[v] ^ 1]
-        push = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= push
-            cap[e ^ 1] += push
+        while True:  # blocking flows along shortest paths, of ever more arcs
+            level = [-1] * nodes
+            level[source] = 0
+            queue = deque([source])
+            while queue and level[sink] < 0:
+                u = queue.popleft()
+                for e in out[u]:
+                    if cap[e] and level[v := to[e]] < 0 and dist[v] == dist[u] + cost[e]:
+                        level[v] = level[u] + 1
+                        queue.append(v)
+            if level[sink] < 0:
+                break
+            nth, path, u = [0] * nodes, [], source
+            while True:
+                if u == sink:
+                    push = min(cap[e] for e in path)
+                    for e in path:
+                        cap[e] -= push
+                        cap[e ^ 1] += push
+                    full = next(i for i, e in enumerate(path) if not cap[e])
+                    u = to[path[full] ^ 1]
+                    del path[full:]
+                arcs = out[u]
+                while nth[u] < len(arcs):
+                    e = arcs[nth[u]]
+                    v = to[e]
+                    if cap[e] and level[v] == level[u] + 1 and dist[v] == dist[u] + cost[e]:
+                        break
+                    nth[u] += 1
+                if nth[u] < len(arcs):
+                    path.append(e)
+                    u = v
+                elif path:
+                    u = to[path.pop() ^ 1]
+                    nth[u] += 1
+                else:
+                    break
     flows: list[dict[int, int]] = []
     for p in range(n):
         flows.append({to[e] - n: cap[e ^ 1] for e in out[p] if n <= to[e] < n + m and e % 2 == 0 and cap[e ^ 1]})
@@ -109,10 +139,11 @@ def _pattern():
     return F.to_json(F.sort_array(F.array_distinct("members")))
 
 
-def mix(sized: DataFrame, quotas: dict[str | None, int], max_repeats: int = MAX_REPEATS, seed: int = SEED, max_patterns: int = 200_000, key_col: str | None = None) -> DataFrame:
+def mix(sized: DataFrame, quotas: dict[str | None, int], max_repeats: int = MAX_REPEATS, seed: int = SEED, max_patterns: int = 2_000_000, key_col: str | None = None) -> DataFrame:
     """``sized``: doc_id, size, members (array of source names), and ``key_col``, a text that tells
     rows of one id apart. Returns its rows with ``pattern``,
-    ``copies``, ``taken`` (tokens) and ``taken_for`` (the source each copy counts for)."""
+    ``copies``, ``taken`` (tokens) and ``taken_for`` (the source each copy counts for). The driver
+    routes a row for each pattern; more than ``max_patterns`` of them raise an error, nothing is left out."""
     spark = sized.sparkSession
     rows = sized.withColumn("pattern", _pattern())
     found = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("members").alias("members")).orderBy("pattern").limit(max_patterns + 1).collect()
