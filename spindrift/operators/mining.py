@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.sources.staging import written
+from spindrift.sources.staging import unwritten, written
 
 SEPARATOR = " & "
 
@@ -125,7 +125,7 @@ def mine_patterns(factors: DataFrame, columns: list[str], excess: str = "excess_
         shown = best if shown is None else shown.unionByName(best)
     ids = shown.groupBy("condition", "items").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "game_id"))), lambda x: x["game_id"]).alias("ids"))  # ``examples`` rows
     done = found.join(ids, ["condition", "items"], "left")
-    return done.select(
+    out = done.select(
         "condition",
         F.array_join("items", SEPARATOR).alias("items"),
         F.size("items").alias("size"),
@@ -138,6 +138,9 @@ def mine_patterns(factors: DataFrame, columns: list[str], excess: str = "excess_
         "lift_hi",
         F.coalesce(F.array_join("ids", ","), F.lit("")).alias("examples"),
     )
+    out = written(out, "patterns")
+    unwritten(rows, *tables)
+    return out
 
 
 def match_patterns(factors: DataFrame, patterns: DataFrame, keep: int = 3) -> DataFrame:

@@ -21,11 +21,28 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a table removed when the driver ends, should nothing have removed it before."""
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a written table. Unlike a cached frame, which carries its whole plan into every
-    plan above it, the result is a plain scan."""
+    plan above it, the result is a plain scan. The table goes with ``unwritten``, or when the driver ends."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gone_at_exit(df.sparkSession, path)
     held = df.sparkSession.read.schema(df.schema).parquet(path)
     held.written_at = path
     return held
@@ -34,5 +51,4 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def unwritten(*frames: DataFrame) -> None:
     """Removes the tables of ``written`` frames that nothing reads any more."""
     for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        removed(df.sparkSession, df.written_at)
