@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.sources.staging import gone_at_exit, removed
+from spindrift.sources.staging import shared_folder as shared_dir
+
 #: White space of the word rules: space and the five controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,32 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where that is unset (a local
-    session, as in tests) a temporary folder is chosen and kept for the session."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or None
-    if found is None:
-        jdir = sc._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            return jdir.get()
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spindrift-")
-        sc.setCheckpointDir(found)
-    return found
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut, every later use
-    reads the same rows, and a lost executor costs no more than its own tasks."""
+    reads the same rows, and a lost executor costs no more than its own tasks. The table goes with
+    ``unstaged``, or when the driver ends."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    gone_at_exit(spark, path)
     held = spark.read.schema(df.schema).parquet(path)
     held.staged_at = path
     return held
@@ -50,8 +38,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def unstaged(*frames: DataFrame) -> None:
     """Remove the tables of ``staged`` frames that nothing reads any more."""
     for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        removed(df.sparkSession, df.staged_at)
 
 
 def text_or_empty(name: str = "text"):
