@@ -302,6 +302,18 @@ FAC = [*LAB, "games", "gf", "ps", "sf", "fac", "long"]
 MATCH = [*FAC, "lift", "pat", "pf", "match"]
 
 
+def _title_words() -> str:
+    """The fixed dictionaries, in their order, as regular expressions of DuckDB."""
+    from spindrift.operators.factors import FRANCHISES, KEYWORDS
+    from spindrift.queries import TITLES
+
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    hit = lambda p: f"regexp_matches(name, {text('(?i)' + p)})"
+    named = " ".join(f"WHEN {hit(p)} THEN {text(k)}" for k, p in FRANCHISES.items())
+    flags = ", ".join(f"CASE WHEN {hit(p)} THEN 'yes' ELSE 'no' END AS kw_{k}" for k, p in KEYWORDS.items())
+    return f"WITH n AS (SELECT p_partkey, [{', '.join(map(text, TITLES))}][p_partkey % {len(TITLES)} + 1] || ' ' || p_name AS name FROM part) SELECT p_partkey, CASE {named} ELSE 'none' END AS franchise, {flags} FROM n"
+
+
 def sql(blocks: list[str], select: str) -> str:
     head = "WITH RECURSIVE " + ",\n".join(BLOCKS[b] for b in blocks) + "\n" if blocks else ""
     return head + select
@@ -352,6 +364,7 @@ ORACLES = {
     "label_rising": sql(LAB, f"SELECT game_id, console, condition, rising, {r('excess_36m')} FROM lab"),
     "agg_top_n": sql(["home", "games", "gf"], "SELECT publisher, count(*) AS n FROM gf GROUP BY 1"),
     "game_factors": sql(["home", "games", "gf"], f"SELECT game_id, {_GF} FROM gf"),
+    "title_words": _title_words(),
     "price_at": sql([*HIST, "pf"], "SELECT * FROM pf_at"),
     "price_factors": sql([*HIST, "pf"], f"SELECT game_id, condition, {_PF} FROM pf"),
     "sales_factors": sql(["li", "sf"], "SELECT * FROM sf"),
