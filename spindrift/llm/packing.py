@@ -21,6 +21,7 @@ fills no group); an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -68,6 +69,13 @@ class _Known(dict):
         self.lacking.append(word)
         return b""
 
+    def trim(self) -> None:
+        """Keeps the words that came first: frequent ones are met early."""
+        if len(self) > IDLE_WORDS:
+            first = list(itertools.islice(self.items(), IDLE_WORDS))
+            self.clear()
+            self.update(first)
+
 
 class WordIds:
     """Ids of whole texts by way of their words."""
@@ -123,7 +131,7 @@ class WordIds:
     def _some(self, texts: list[bytes]) -> list[bytes]:
         known = self.known
         if len(known) > KEPT_WORDS:
-            known.clear()
+            known.trim()
         look, join = known.__getitem__, b"".join
         out, again = [], []
         for i, t in enumerate(texts):
@@ -224,8 +232,7 @@ def _cut(path: str, groups: int):
                     rows.append((doc, whole, n - whole, None, n, group, nth, tokens[2 * whole :]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-        if len(encode.known) > IDLE_WORDS:  # the worker stays, and other stages need its memory
-            encode.known.clear()
+        encode.known.trim()  # the worker stays, and other stages need its memory
 
     return run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, group int, place long, rest binary"
 
