@@ -95,3 +95,12 @@ def unit_normal_two_sided(z: float) -> float:
     import math
 
     return math.erfc(abs(z) / math.sqrt(2))
+
+
+def deadline_from(until: Column, now: Column) -> Column:
+    """The next time of day 'HH:MM' after a timestamp: of the same day, or of the next one if that
+    has passed; null for what is no time of day."""
+    pattern = r"^\s*([01]?\d|2[0-3]):([0-5]\d)\s*$"
+    part = lambda k: F.nullif(F.regexp_extract(until, pattern, k), F.lit("")).cast("int")
+    day = lambda ahead: F.date_trunc("day", now) + F.make_dt_interval(days=F.lit(ahead), hours=part(1), mins=part(2))
+    return F.when(day(0) > now, day(0)).otherwise(day(1))

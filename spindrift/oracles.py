@@ -430,6 +430,8 @@ SELECT v.condition, v.month, round_even(o.c / 100.0::DOUBLE * exp(v.level - b.le
     "q_compare_index": sql([*INDEX, "games"], _COMPARE.format(rows="SELECT g.id, g.name, g.console, p.month, p.price_cents, i.level FROM prices p JOIN games g ON g.id = p.game_id JOIN idx i ON i.console = g.console AND i.condition = p.condition AND i.month = p.month WHERE g.id IN (3, 7, 9) AND p.condition = 'loose'")),
     "q_report_factors": sql([*FAC, "lift"], f"SELECT condition, factor, value, n, {r('lift')}, row_number() OVER (PARTITION BY condition ORDER BY lift.lift DESC, factor, value) AS nth FROM lift WHERE lift_lo > 1 QUALIFY nth <= 15"),
     "q_healthz": sql(["home", "games"], "SELECT count(*) AS games FROM games"),
+    "deadlines": """WITH x AS (SELECT o_orderkey, CAST(o_orderdate AS DATE)::TIMESTAMP AS day, CAST(o_orderkey % 24 AS INTEGER) * 60 + CAST(o_custkey % 60 AS INTEGER) AS m FROM orders)
+ SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN strftime(day + to_minutes(m) + CASE WHEN m > 720 THEN INTERVAL 0 DAY ELSE INTERVAL 1 DAY END, '%Y-%m-%d %H:%M') END AS ends FROM x""",
     "usd_percent": """SELECT c_custkey, '$' || format('{:,.2f}', round(c_acctbal * 100) / 100) AS usd,
  CASE WHEN round_even(c_acctbal / 10000 * 100, 0) > 0 THEN '+' WHEN round_even(c_acctbal / 10000 * 100, 0) < 0 THEN '−' ELSE '' END || CAST(abs(CAST(round_even(c_acctbal / 10000 * 100, 0) AS BIGINT)) AS VARCHAR) || '%' AS pct FROM customer""",
     "patterns": sql([*FAC, "lift", "pat"], f"SELECT condition, items, size, n, k, {r('support', 'confidence', 'lift', 'lift_lo', 'lift_hi')}, examples FROM pat"),

@@ -147,6 +147,17 @@ def iso_date(spark, d):
     return Panel(spark, d).raw("orders").select("o_orderkey", iso(shown).alias("day"))
 
 
+@query
+def deadlines(spark, d):
+    """When work on an order would end that begins at noon and may last until a time of day."""
+    from spindrift.functions.text import deadline_from
+
+    until = F.when(F.col("o_orderkey") % 11 == 0, "25:00").otherwise(F.format_string("%d:%02d", F.col("o_orderkey") % 24, F.col("o_custkey") % 60))
+    noon = F.date_trunc("day", F.col("o_orderdate").cast("timestamp")) + F.make_dt_interval(hours=F.lit(12))
+    ends = deadline_from(until, noon)
+    return Panel(spark, d).raw("orders").select("o_orderkey", F.date_format(ends, "yyyy-MM-dd HH:mm").alias("ends"))
+
+
 @query
 def usd_percent(spark, d):
     from spindrift.functions.text import signed_percent, usd
