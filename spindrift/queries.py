@@ -458,7 +458,7 @@ def chart_points(spark, d):
     """Every title's prices as the chart of a page, and back."""
     series_ = lambda c: F.sort_array(F.collect_list(F.when(F.col("condition") == c, F.array(F.unix_millis(F.col("month").cast("timestamp")), F.col("price_cents")))))
     pages = Stage(spark, d).prices().groupBy("game_id").agg(*[series_(c).alias(k) for k, c in parse.CHART_KEYS.items()])
-    html = F.concat(F.lit("<script>VGPC.chart_data = "), F.to_json(F.struct(*parse.CHART_KEYS)), F.lit(";</script>"))
+    html = F.concat(F.lit("<script>site.chart_data = "), F.to_json(F.struct(*parse.CHART_KEYS)), F.lit(";</script>"))
     return parse.chart_points(pages.select("game_id", html.alias("html")))
 
 
