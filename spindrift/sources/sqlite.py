@@ -48,12 +48,17 @@ def opened(file: str) -> sqlite3.Connection:
     return conn
 
 
+def local_path(path: str) -> str:
+    """A mounted path, also one written as file:/... or file:///..."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
+
 def files_of(options) -> list[str]:
     if shipped := options.get("shipped"):
         from pyspark import SparkFiles
 
         return [SparkFiles.get(shipped)]
-    path = options["path"].removeprefix("file://")
+    path = local_path(options["path"])
     if os.path.isdir(path):
         return sorted(f for kind in ("*.sqlite", "*.db") for f in glob.glob(os.path.join(glob.escape(path), kind)))
     if not os.path.exists(path):
@@ -170,7 +175,7 @@ class Written(WriterCommitMessage):
 class SqliteWriter(DataSourceWriter):
     def __init__(self, options, schema: T.StructType, overwrite: bool):
         self.options, self.schema, self.overwrite = dict(options), schema, overwrite
-        self.folder = self.options["path"].removeprefix("file://")
+        self.folder = local_path(self.options["path"])
         self.run = uuid.uuid4().hex[:12]
 
     def write(self, rows) -> Written:

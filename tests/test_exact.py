@@ -205,7 +205,8 @@ def test_sqlite_writes_show_whole(spark, tmp_path):
     df = spark.range(100).selectExpr("id", "concat('n', id) as name", "id % 2 = 0 as even", "cast(null as string) as none", "date'2020-01-01' as day")
     sqlite.write_sqlite(df.repartition(3), out, "t")
     assert {(r.id, r.name, r.even, r.none, r.day) for r in sqlite.sqlite_table(spark, out, "t").collect()} == {(str(i), f"n{i}", str(int(i % 2 == 0)), None, "2020-01-01") for i in range(100)}
-    sqlite.write_sqlite(df.limit(7), out, "t", mode="overwrite")
+    assert sqlite.sqlite_table(spark, f"file://{out}", "t").count() == sqlite.sqlite_table(spark, f"file:{out}", "t").count() == 100
+    sqlite.write_sqlite(df.limit(7), f"file:{out}", "t", mode="overwrite")
     assert sqlite.sqlite_table(spark, out, "t").count() == 7
     with pytest.raises(Exception):  # noqa: B017
         sqlite.write_sqlite(df.select(F.raise_error(F.lit("no")).cast("string").alias("x")), out, "t")
