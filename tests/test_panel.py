@@ -284,6 +284,12 @@ def test_the_model_finds_a_planted_signal_and_none_in_noise(spark):
     assert forecast.fit_model(samples_of(spark, lambda g, x: x).limit(30), rounds=2).summary["status"] == "insufficient data"
 
 
+def test_index_traces_keep_the_sign_of_a_small_fall(spark):
+    rows = [("A", "loose", dt.date(2000, m, 1), x) for m, x in enumerate((-1e-5, 0.0, 1e-5, -0.00125, 0.5), 1)]
+    trace = report.index_traces(spark.createDataFrame(rows, "console string, condition string, month date, level double")).first()
+    assert [str(y) for y in trace["y"]] == ["-0.0", "0.0", "0.0", "-0.1", "64.9"]
+
+
 def test_registry_matches_duckdb(spark):
     import duckdb
 
