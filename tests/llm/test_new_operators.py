@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import infill, passages, quantize
+from spindrift.llm import ann, infill, passages, quantize
 from tests.llm.test_llm import docs, frame, none, odd_rows  # noqa: F401
 
 # ---------------------------------------------------------------------------- fill-in-middle
@@ -202,3 +202,23 @@ def test_tree_filter_equals_full_comparison():
         assert (count == np.bincount(want, minlength=len(book))).all() and all((total[e] == x[want == e].sum(axis=0)).all() for e in range(len(book)))
         (again, y), *_ = quantize.unpacked(quantize.packed([x]))
         assert (again.order == tree.order).all() and (x == y).all()
+
+
+def test_ann_misses_nothing_without_structure_nor_in_a_tight_cluster(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2400, 32))
+    x[::8] = 2.0 + 1e-4 * rng.normal(size=(300, 32))  # told apart by far less than a code's width
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.nearest(data, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 2400, 20):
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        top = np.lexsort((np.arange(len(x)), -s))[:20]
+        assert [(i, z) for _, i, z in sorted(got[q])] == [(int(i), s[i]) for i in top]
+
+
+def test_small_lists_share_cells_and_large_ones_have_many():
+    of = ann.Lists.of(np.array([3, 0, 4, 25, 5, 6]), np.ones(6), np.ones(6), 10)
+    assert of.first.tolist() == [0, 0, 0, 1, 4, 5] and of.cells.tolist() == [1, 1, 1, 3, 1, 1]
