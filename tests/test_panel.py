@@ -290,6 +290,19 @@ def test_index_traces_keep_the_sign_of_a_small_fall(spark):
     assert [str(y) for y in trace["y"]] == ["-0.0", "0.0", "0.0", "-0.1", "64.9"]
 
 
+def test_usd_percent_as_its_sql_on_odd_balances(spark, tmp_path):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    odd = [-0.0, 0.0, -0.003, 0.003, -0.005, 0.005, 1.005, -1.005, 50.0, -50.0, 150.0, 250.0, 1e6, -1234567.895, 0.29, 9999.99, None]
+    spark.createDataFrame(list(enumerate(odd)), "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = c.execute(oracle_sql()["usd_percent"]).fetchall()
+    assert sorted(tuple(r) for r in queries()["usd_percent"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_registry_matches_duckdb(spark):
     import duckdb
 
