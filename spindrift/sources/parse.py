@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import clean_text, iso_date, price_cents
-from spindrift.sources.pages import LABELS, PRICE_IDS, read_detail
+from spindrift.sources.pages import LABELS, PRICE_IDS, SALE, read_page
 from spindrift.sources.staging import written
 
 # Keys of the payloads.
@@ -50,25 +51,46 @@ def chart_points(pages: DataFrame, column: str = "html") -> DataFrame:
 
 
 _FIELDS = list(LABELS.values())
-_SALE = ["condition", "row_id", "sale_date", "title", "cell", "price", "url"]
-RAW = f"game_id long, {', '.join(f'{c} string' for c in _FIELDS)}, {', '.join(f'{c}_price string' for c in PRICE_IDS.values())}, own_id string, sales array<struct<{','.join(f'{c}:string' for c in _SALE)}>>"
+RAW = f"game_id long, {', '.join(f'{c} string' for c in _FIELDS)}, {', '.join(f'{c}_price string' for c in PRICE_IDS.values())}, own_id string, sales array<struct<{','.join(f'{c}:string' for c in SALE)}>>"
 
 
-def _read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Pages turned to Arrow at once, or fewer once they have so many sales.
+PAGES, SALES = 1_000, 50_000
+
+
+def _read_pages(sales: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, first, held = [], 0, 0
+            for i, page in enumerate(batch.column(1)):
+                found.append(read_page(page.as_py(), sales))
+                held += len(found[-1]["sales"])
+                if len(found) >= PAGES or held >= SALES:
+                    yield _as_arrow(batch.column(0).slice(first, len(found)), found)
+                    found, first, held = [], i + 1, 0
+            if found:
+                yield _as_arrow(batch.column(0).slice(first, len(found)), found)
+
+    return run
+
+
+def _as_arrow(ids: pa.Array, found: list[dict]) -> pa.RecordBatch:
     text = pa.string()
-    sale = pa.list_(pa.struct([(c, text) for c in _SALE]))
-    for batch in batches:
-        found = [read_detail(page.as_py()) for page in batch.column(1)]
-        columns = [batch.column(0)]
-        columns += [pa.array([d["fields"].get(c) for d in found], text) for c in _FIELDS]
-        columns += [pa.array([d["prices"][c] for d in found], text) for c in PRICE_IDS.values()]
-        columns += [pa.array([d["own_id"] for d in found], text), pa.array([d["sales"] for d in found], sale)]
-        yield pa.RecordBatch.from_arrays(columns, names=["game_id", *_FIELDS, *[f"{c}_price" for c in PRICE_IDS.values()], "own_id", "sales"])
-
-
-def raw_pages(pages: DataFrame) -> DataFrame:
-    """What each page (game_id, html) shows, as texts; a null page shows nothing."""
-    return pages.select(F.col("game_id").cast("long").alias("game_id"), F.col("html").cast("string").alias("html")).mapInArrow(_read_pages, RAW)
+    columns = [ids]
+    columns += [pa.array([d["fields"].get(c) for d in found], text) for c in _FIELDS]
+    columns += [pa.array([d["prices"][c] for d in found], text) for c in PRICE_IDS.values()]
+    rows = [s for d in found for s in d["sales"]]
+    parts = zip(*rows, strict=True) if rows else [()] * len(SALE)
+    ends = itertools.accumulate((len(d["sales"]) for d in found), initial=0)
+    sales = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, text) for c in parts], names=list(SALE)))
+    columns += [pa.array([d["own_id"] for d in found], text), sales]
+    return pa.RecordBatch.from_arrays(columns, names=["game_id", *_FIELDS, *[f"{c}_price" for c in PRICE_IDS.values()], "own_id", "sales"])
+
+
+def raw_pages(pages: DataFrame, sales: bool = True) -> DataFrame:
+    """What each page (game_id, html) shows, as texts; a null page shows nothing. Without ``sales``
+    pages are read for their details alone."""
+    return pages.select(F.col("game_id").cast("long").alias("game_id"), F.col("html").cast("string").alias("html")).mapInArrow(_read_pages(sales), RAW)
 
 
 def page_details(raw: DataFrame) -> DataFrame:

@@ -371,3 +371,34 @@ def test_importance_orders_a_planted_signal(spark):
     found = forecast.permutation_importance(fitted, scored, r2, 3, 0)
     assert [f for f, _, _ in found] == ["strong", "publisher", "none"] and found[0][1] > 0.5 > found[1][1] > 0.05 > abs(found[2][1])
     assert forecast.permutation_importance(fitted, scored.repartition(7), r2, 3, 0) == [(f, pytest.approx(m), pytest.approx(s)) for f, m, s in found]
+
+
+def test_plain_rows_of_sales_are_read_as_the_stack_reads_them(monkeypatch):
+    rng = random.Random(8)
+    ids = ["", " id='ebay-1'", ' id="x"', " id=ebay-3", " id=''", " id='a&amp;b'", " id='used_price'", " id=x/", " class=price", " ID=y", " id='a<b'"]
+    titles = ["Lot 1", "<a href=/lot/1>Lot &amp; 1</a> [Shop]", "<a href='/x'>A</a>", "<a href=/x/>A</a>b", "<a>Q</a>", "<b>x</b>", "", "<!-- c -->y", "<a href=1>A</a><a href=2>B</a>", "<a href=''>e</a>", "x <a href=3>late</a>"]
+
+    def row():
+        kind = rng.choice(["date", "'date'", '"date"', '"date x"'])
+        end = rng.choice(["</td>"] * 9 + [""])
+        return f"<tr{rng.choice(ids)}>{rng.choice(['', chr(10)])}<td class={kind}> 2000-01-0{rng.randrange(10)}&nbsp;{end}<td class=title>{rng.choice(titles)}</td><td class=numeric><span class=\"js-price\">${rng.randrange(99)}</span></td>{rng.choice(['</tr>'] * 9 + [''])}"
+
+    def page():
+        boxes = "".join(f"<div class='completed-auctions-{k}'><table{rng.choice(['', '', ' id=attribute'])}>{rng.choice(['<tbody>'] * 5 + ['', '<tr><td class=title>ID:<td class=details><table><tbody>'])}{''.join(row() for _ in range(rng.randrange(9)))}</table></div>" for k in ("used", "cib", "new", "new"))
+        return f"<p id='new_price'>{rng.choice(['</p>', '<b>', '<i class=price>'])}{boxes}</p>"
+
+    pages_ = [page() for _ in range(2_000)]
+    got = [pages.read_detail(p) for p in pages_]
+    details = [pages.read_page(p, sales=False) for p in pages_]
+    monkeypatch.setattr(pages.DetailPage, "_plain", lambda self: False)
+    want = [pages.read_detail(p) for p in pages_]
+    assert got == want and sum(len(w["sales"]) for w in want) > 10_000
+    assert [d | {"sales": None} for d in details] == [w | {"sales": None} for w in want] and not any(d["sales"] for d in details)
+
+
+def test_plain_rows_of_sales_need_no_stack(monkeypatch):
+    started, start = [], pages.DetailPage._start
+    monkeypatch.setattr(pages.DetailPage, "_start", lambda self, *a: started.append(a) or start(self, *a))
+    row = "<tr id='ebay-{0}'><td class=\"date\">2000-01-01</td><td class=\"title\"><a href=/lot/{0}>Lot {0}</a> [Shop]</td><td class=\"numeric\"><span class=js-price>$1</span></td></tr>"
+    html = f"<div class='completed-auctions-used'><table><tbody>{''.join(map(row.format, range(500)))}</table></div>"
+    assert len(pages.read_detail(html)["sales"]) == 500 and len(started) < 10
