@@ -402,3 +402,14 @@ def test_plain_rows_of_sales_need_no_stack(monkeypatch):
     row = "<tr id='ebay-{0}'><td class=\"date\">2000-01-01</td><td class=\"title\"><a href=/lot/{0}>Lot {0}</a> [Shop]</td><td class=\"numeric\"><span class=js-price>$1</span></td></tr>"
     html = f"<div class='completed-auctions-used'><table><tbody>{''.join(map(row.format, range(500)))}</table></div>"
     assert len(pages.read_detail(html)["sales"]) == 500 and len(started) < 10
+
+
+def test_model_metrics_derive_their_samples_once(spark, monkeypatch):
+    from spindrift.operators import forecast
+    from spindrift.queries import QUERIES
+
+    seen = []
+    for name in ("spearman", "r_squared", "top_quintile_precision"):
+        monkeypatch.setattr(forecast, name, lambda df, *a: seen.append(df._jdf.queryExecution().toString()) or 0.0)
+    QUERIES["model_metrics"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 3 and not any("Window" in plan or "Join" in plan for plan in seen)
