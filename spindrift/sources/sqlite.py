@@ -7,7 +7,9 @@
 ``path`` is a file, or a folder whose files (*.sqlite, *.db) are read as one table. Every executor
 opens the files itself, so they must be on a mount that all machines see; where they aren't,
 ``shipped`` names a file sent with SparkContext.addFile. Planning asks each file for its least and
-greatest rowid and leaves ranges without a row out; rows go straight from a range to its task.
+greatest rowid and leaves ranges without a row out; rows go straight from a range to its task. With
+the option ``tasks`` (which ``sqlite_table`` sets by the cluster's cores) a task reads several ranges,
+one after the other, where there are more ranges than that.
 Tables without rowids, and views, are one range. The files must not change while they are read.
 
 SQLite types values, not columns: all columns come as text, for ``typed`` to cast. With
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import contextlib
 import glob
+import itertools
 import os
 import sqlite3
 import uuid
@@ -36,6 +39,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 #: Rows of a range at most (by its rowids), ranges of a file at most, and rows fetched together.
 RANGE_ROWS, MOST_RANGES, FETCHED = 200_000, 4_096, 8_192
+#: Tasks that ``sqlite_table`` reads by at most, for each core.
+TASKS_A_CORE = 4
 
 
 def quoted(name: str) -> str:
@@ -48,6 +53,19 @@ def opened(file: str) -> sqlite3.Connection:
     return conn
 
 
+def as_texts(column: tuple) -> pa.Array:
+    """A column of values as texts; whole numbers, and what is valid UTF-8, without a step for each."""
+    kinds = set(map(type, column)) - {type(None)}
+    try:
+        if kinds == {int}:
+            return pa.array(column, pa.int64()).cast(pa.string())
+        if kinds == {bytes}:
+            return pa.array(column, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        pass
+    return pa.array([as_text(v) for v in column], pa.string())
+
+
 def local_path(path: str) -> str:
     """A mounted path, also one written as file:/... or file:///..."""
     return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
@@ -94,6 +112,22 @@ class Range(InputPartition):
         super().__init__(None)
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads."""
+
+    ranges: list[Range]
+
+    def __post_init__(self):
+        super().__init__(None)
+
+
+def dealt(ranges: list[Range], tasks: int | None) -> list[Ranges]:
+    """The ranges in ``tasks`` even stretches at most; None: each by itself."""
+    n = len(ranges) if tasks is None else min(tasks, len(ranges))
+    return [Ranges(ranges[i * len(ranges) // n : (i + 1) * len(ranges) // n]) for i in range(n)]
+
+
 def ranges_of(file: str, table: str, rows: int, most: int) -> list[Range]:
     with contextlib.closing(opened(file)) as conn:
         name = quoted(table)
@@ -119,17 +153,24 @@ class SqliteReader(DataSourceReader):
         self.options, self.schema = dict(options), schema
 
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         rows, most = int(self.options.get("rangerows", RANGE_ROWS)), int(self.options.get("mostranges", MOST_RANGES))
-        table = self.options["table"]
-        return [r for file in files_of(self.options) if table in tables_of(file) for r in ranges_of(file, table, rows, most)]
+        table, tasks = self.options["table"], self.options.get("tasks")
+        found = [r for file in files_of(self.options) if table in tables_of(file) for r in ranges_of(file, table, rows, most)]
+        return dealt(found, tasks and max(1, int(tasks)))
 
-    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Ranges | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # Spark plans one task where there are no ranges
             return
+        for file, ranges in itertools.groupby(part.ranges, key=lambda r: r.file):
+            with contextlib.closing(opened(file)) as conn:
+                conn.text_factory = bytes
+                present = set(columns_of(file, self.options["table"]))
+                for r in ranges:
+                    yield from self._read(conn, present, r)
+
+    def _read(self, conn: sqlite3.Connection, present: set[str], part: Range) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in self.schema]
-        table = self.options["table"]
-        present = set(columns_of(part.file, table))
         shown = [quoted(n) if n in present else "NULL" for n in names]  # a column that this file lacks is null
         lacks = {quoted(n) for n in names if n not in present}
         where, values = [w for w in self.where if not any(x in w for x in lacks)], list(self.values)
@@ -137,12 +178,10 @@ class SqliteReader(DataSourceReader):
             where, values = [], []
         if part.low is not None:
             where, values = ["rowid >= ?", "rowid < ?", *where], [part.low, part.high, *values]
-        sql = f"SELECT {', '.join(shown)} FROM {quoted(table)}" + (f" WHERE {' AND '.join(where)}" if where else "")
-        with contextlib.closing(opened(part.file)) as conn:
-            cursor = conn.execute(sql, values)
-            while rows := cursor.fetchmany(FETCHED):
-                columns = [pa.array([as_text(v) for v in c], pa.string()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        sql = f"SELECT {', '.join(shown)} FROM {quoted(self.options['table'])}" + (f" WHERE {' AND '.join(where)}" if where else "")
+        cursor = conn.execute(sql, values)
+        while rows := cursor.fetchmany(FETCHED):
+            yield pa.RecordBatch.from_arrays([as_texts(c) for c in zip(*rows, strict=True)], names=names)
 
 
 class FilteringReader(SqliteReader):
@@ -188,6 +227,7 @@ class SqliteWriter(DataSourceWriter):
             conn.execute(f"CREATE TABLE {table} ({', '.join(names)})")
             insert = f"INSERT INTO {table} VALUES ({', '.join('?' * len(names))})"
             some: list[tuple] = []
+            plain = all(isinstance(f.dataType, (T.StringType, T.IntegralType, T.FractionalType, T.BinaryType)) and not isinstance(f.dataType, T.DecimalType) for f in self.schema)
 
             def put():
                 nonlocal n
@@ -196,7 +236,7 @@ class SqliteWriter(DataSourceWriter):
                 some.clear()
 
             for row in rows:
-                some.append(tuple(v if v is None or isinstance(v, (int, float, str, bytes)) and not isinstance(v, bool) else int(v) if isinstance(v, bool) else str(v) for v in row))
+                some.append(tuple(row) if plain else tuple(v if v is None or isinstance(v, (int, float, str, bytes)) and not isinstance(v, bool) else int(v) if isinstance(v, bool) else str(v) for v in row))
                 if len(some) >= FETCHED:
                     put()
             put()
@@ -243,6 +283,7 @@ class SqliteSource(DataSource):
 def sqlite_table(spark: SparkSession, path: str, table: str, **options) -> DataFrame:
     spark.dataSource.register(SqliteSource)
     pushed = str(spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).lower()
+    options = {"tasks": TASKS_A_CORE * spark.sparkContext.defaultParallelism} | options
     return spark.read.format("sqlite").options(path=path, table=table, pushed=pushed, **options).load()
 
 

@@ -413,3 +413,18 @@ def test_model_metrics_derive_their_samples_once(spark, monkeypatch):
         monkeypatch.setattr(forecast, name, lambda df, *a: seen.append(df._jdf.queryExecution().toString()) or 0.0)
     QUERIES["model_metrics"](spark, "/root/testdata/sf0.001")
     assert len(seen) == 3 and not any("Window" in plan or "Join" in plan for plan in seen)
+
+
+def test_sqlite_ranges_share_a_bounded_number_of_tasks(spark, tmp_path):
+    file = str(tmp_path / "a.sqlite")
+    odd = [7, 2**63 - 1, -3, 1.5, "text", "é", b"blob", b"\xff\xfe", None, "7"]
+    with contextlib.closing(sqlite3.connect(file)) as conn:
+        conn.execute("CREATE TABLE t (i, x)")
+        conn.executemany("INSERT INTO t VALUES (?, ?)", [(i, odd[i // 100 % len(odd)]) for i in range(3_000)])
+        conn.execute("INSERT INTO t VALUES (3000, CAST(x'ff41' AS TEXT))")
+        conn.commit()
+    df = sqlite.sqlite_table(spark, file, "t", rangerows=10)
+    assert df.rdd.getNumPartitions() <= sqlite.TASKS_A_CORE * spark.sparkContext.defaultParallelism < 300
+    got = {int(r.i): r.x for r in df.collect()}
+    assert got == {i: sqlite.as_text(odd[i // 100 % len(odd)]) for i in range(3_000)} | {3000: "\ufffdA"}
+    assert [len(p.ranges) for p in sqlite.dealt(list(range(7)), 3)] == [2, 2, 3] and sqlite.dealt([], 3) == []
