@@ -17,13 +17,18 @@ LIST_COLUMNS = ["console", "platform", "region", "slug", "name", "image_url", "l
 DETAIL_COLUMNS = ["genre", "release_date", "esrb", "publisher", "developer", "model_number", "player_count", "upc", "asin", "epid"]
 
 
-def _last(batch: DataFrame, keys: list[str], order: str | None) -> DataFrame:
-    """Of rows with one key the last by ``order``, ties (and all, without one) by their columns."""
-    plain = [c for c, kind in batch.dtypes if c not in keys and not kind.startswith(("map", "variant"))]
-    nth = Window.partitionBy(*keys).orderBy(*([F.desc_nulls_last(order)] if order else []), *[F.desc_nulls_last(c) for c in plain])
+def _last(batch: DataFrame, keys: list[str], order: str | None, within: tuple[str, ...] = ()) -> DataFrame:
+    """Of rows with one key the last by ``order``, ties (and all, without one) by their columns.
+    ``within``: columns that follow from the key and by which the rows lie together already."""
+    nth = Window.partitionBy(*within, *keys).orderBy(*_latest_first(batch, [*within, *keys], order))
     return batch.withColumn("nth_", F.row_number().over(nth)).where("nth_ = 1").drop("nth_")
 
 
+def _latest_first(batch: DataFrame, keys: list[str], order: str | None) -> list:
+    plain = [c for c, kind in batch.dtypes if c not in keys and not kind.startswith(("map", "variant"))]
+    return [*([F.desc_nulls_last(order)] if order else []), *[F.desc_nulls_last(c) for c in plain]]
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
     """``old`` with the rows of ``new`` replacing those of equal key; ``keep``: columns whose old
     value survives a replacement. Nulls of new rows overwrite, as any other value."""
@@ -38,6 +43,23 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...
     return joined.select([pick(c) for c in cols])
 
 
+def _upserted(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...], order: str | None, within: tuple[str, ...], placed) -> DataFrame:
+    """``upsert`` by one shuffle of both frames together: ``placed`` adds ``within``, columns that
+    follow from the key, and deals the rows by them. The result has them too and lies by them."""
+    cols = old.columns
+    both = placed(old.withColumn("new_", F.lit(False)).unionByName(new.withColumn("new_", F.lit(True)), allowMissingColumns=True))
+    # a key with a null equals no other: new rows of one are told from old ones
+    lacking = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    both = both.withColumn("apart_", F.when(lacking, F.col("new_")))
+    nth = Window.partitionBy(*within, *keys, "apart_").orderBy(F.desc("new_"), *_latest_first(both.drop("new_", "apart_"), [*within, *keys], order))
+    every = nth.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    both = both.withColumns({"nth_": F.row_number().over(nth), "top_": F.first(F.struct("new_", *cols)).over(every), "olds_": F.count(F.when(~F.col("new_"), 1)).over(every)})
+    # an old row takes the values of its key's last new row; that row itself stays where there is no old one
+    kept = both.where(~F.col("new_") | ((F.col("nth_") == 1) & (F.col("olds_") == 0)))
+    pick = lambda c: F.when(F.col("top_.new_"), F.coalesce(F.when(~F.col("new_"), F.col(c)), f"top_.{c}") if c in keep else F.col(f"top_.{c}")).otherwise(F.col(c)).alias(c)
+    return kept.select(*[pick(c) for c in cols], *within)
+
+
 def upsert_games(games: DataFrame, listed: DataFrame, now) -> DataFrame:
     """List pages own a title's list columns only: what detail pages found stays. ``listed``: id,
     console, slug, name, image_url, list_rank."""
@@ -97,6 +119,8 @@ def run_log(events: DataFrame) -> DataFrame:
 #: Buckets of a new table, bytes of a bucket before their number doubles, folders of a log before
 #: they are put together, commits that stay readable, and hours before what no commit names is removed.
 BUCKETS, BUCKET_BYTES, MOST_FOLDERS, READABLE, ORPHAN_HOURS = 64, 256 << 20, 50, 2, 48
+#: Pieces of all buckets for each shuffle partition: a bucket is spread over tasks, each writes few files.
+PIECES = 4
 
 
 @dataclass
@@ -230,7 +254,7 @@ class Store:
             df.write.parquet(whole)
             parts = {folder.rpartition("-")[2]: folder}
         else:
-            df.repartition(by).write.partitionBy(by).parquet(whole)
+            df.write.option("compression", "zstd").partitionBy(by).parquet(whole)
             found = (st.getPath().getName() for st in self._fs.listStatus(self._path(whole)))
             parts = {n.partition("=")[2]: f"{folder}/{n}" for n in found if n.startswith(f"{by}=")}
         return folder, parts, {k: self._fs.getContentSummary(self._path(f"{self.root}/{name}/{f}")).getLength() for k, f in parts.items()}
@@ -276,10 +300,18 @@ class Store:
             if kept and sum(now.sizes.values()) > many * BUCKET_BYTES:
                 many, whole = 2 * many, True
             bucket = F.pmod(F.xxhash64(*keys), F.lit(many)).cast("int")
-            touched = [str(r[0]) for r in rows.select(bucket.alias("b")).distinct().collect()]  # the number of buckets at most
-            old = self._rows(name, now, None if whole else touched) if now else self.spark.createDataFrame([], rows.schema)
-            merged = upsert(old, rows, keys, keep, order)
-            folder, parts, sizes = self._written(name, merged.withColumn("bucket_", bucket), "bucket_")
+            touched = None if whole else [str(r[0]) for r in rows.select(bucket.alias("b")).distinct().collect()]  # the number of buckets at most
+            # rows are shuffled once, by bucket and a piece of it, and are written where they are merged
+            pieces = -(-PIECES * int(self.spark.conf.get("spark.sql.shuffle.partitions")) // many)
+            within = ("bucket_", "piece_")
+            placed = lambda df: df.withColumns({"bucket_": bucket, "piece_": F.pmod(F.hash(*keys), F.lit(pieces))}).repartition(*within)
+            if now:
+                merged = _upserted(self._rows(name, now, touched), rows, keys, keep, order, within, placed)
+            else:
+                merged = _last(placed(rows), keys, order, within)
+            merged = merged.drop("piece_")
+            folder, parts, sizes = self._written(name, merged, "bucket_")
+            merged = merged.drop("bucket_")
             if kept and not whole:
                 parts = {k: f for k, f in now.folders.items() if k not in touched} | parts
                 sizes = {k: n for k, n in now.sizes.items() if k not in touched} | sizes

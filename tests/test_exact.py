@@ -243,6 +243,39 @@ def test_buckets_double_as_a_table_grows(spark, tmp_path, monkeypatch):
     assert st.commit_of("t").buckets == 8 and {(r.k, r.v) for r in st.read("t").collect()} == {(i, min(2, i // 40)) for i in range(140)}
 
 
+def _shuffled_rows(spark) -> int:
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_an_upsert_shuffles_its_rows_once(spark, tmp_path):
+    st = store.Store(spark, str(tmp_path))
+    rows = spark.range(4000).selectExpr("id as k", "id % 7 as v")
+    before = _shuffled_rows(spark)
+    st.upsert("t", rows, ["k"], buckets=4)
+    first = _shuffled_rows(spark)
+    st.upsert("t", rows.where("k < 500").selectExpr("k", "-1L as v"), ["k"])
+    assert first - before <= 4400 and _shuffled_rows(spark) - first <= 4950
+    assert {(r.k, r.v) for r in st.read("t").collect()} == {(k, -1 if k < 500 else k % 7) for k in range(4000)}
+
+
+def test_a_stored_upsert_equals_that_of_frames(spark, tmp_path):
+    """Null keys, several new rows of a key, several old ones of a table that had no keys, kept, absent and further columns."""
+    st = store.Store(spark, str(tmp_path))
+    rng = random.Random(7)
+    old = spark.createDataFrame([(rng.choice([None, *range(12)]), rng.choice(["a", None]), rng.randrange(5), rng.choice([None, 1, 2]), "o") for _ in range(60)], "k long, c string, v long, seen long, note string")
+    st.replace("t", old)
+    for turn in range(3):
+        new = spark.createDataFrame([(rng.choice([None, *range(16)]), rng.choice(["a", "b", None]), rng.choice([None, *range(5)]), rng.choice([None, 7, 8]), rng.randrange(4)) for _ in range(40)], "k long, c string, v long, seen long, at long")
+        want = store.upsert(old, new, ["k", "c"], keep=("seen",), order="at").collect()
+        st.upsert("t", new, ["k", "c"], keep=("seen",), order="at", buckets=3 + turn)
+        got = st.read("t")
+        assert got.columns == old.columns and collections.Counter(map(tuple, got.collect())) == collections.Counter(map(tuple, want))
+        old = spark.createDataFrame(want, old.schema)
+
+
 def test_writers_at_once_lose_nothing(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(store, "MOST_FOLDERS", 5)
     failed = []
